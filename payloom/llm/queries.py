@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "simhash", "substring", "secret_scan", "license_scan", "toxicity", "mixing")
+MODULES = ("url_filter", "simhash", "ivfpq", "substring", "secret_scan", "license_scan", "toxicity", "mixing")
 
 
 def queries() -> dict:

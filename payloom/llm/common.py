@@ -53,3 +53,34 @@ def prefix_at(lengths: Column, before: Column, i: Column, block: int = 256) -> C
 
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+#: Rows of a table of ids or short keys up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has no more than so many rows; else Spark shuffles it. df should be cut, since it is counted."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: inside other functions' lambdas an expression would run for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """start, end (code points), value, left and right text of each match of a pattern, in order; its matches must not be empty."""
+
+    def spans(s: Column) -> Column:
+        pieces, hits = s["pieces"], s["hits"]
+        steps = F.transform(hits, lambda h, i: (F.length(F.get(pieces, i)) + F.length(h)).cast("long"))
+        return let(steps, lambda n: let(running(block_sums(n)), lambda before: F.transform(hits, lambda h, i: one(pieces, h, i, n, before))))
+
+    def one(pieces: Column, h: Column, i: Column, n: Column, before: Column) -> Column:
+        return let(
+            prefix_at(n, before, i) + F.length(F.get(pieces, i)),
+            lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), h.alias("value"), F.get(pieces, i).alias("left"), F.get(pieces, i + 1).alias("right")),
+        )
+
+    return let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), spans)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table
 
 SEED = 17
 #: Share of all tokens that the mixture has, and how often a document may be used at most.
@@ -86,11 +86,10 @@ def _order(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, keep: list[str] = (), seed: int = SEED, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, n_tokens of every use of a document; then the columns named in keep, as __<name>."""
+def mix(docs: DataFrame, seed: int = SEED, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, n_tokens of every use of a document."""
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    texts = docs.select("doc_id", domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), token_count(F.col("text")).alias("n_tokens"), *(F.col(c).alias(f"__{c}") for c in keep))
-    rows = cut(texts.select("doc_id", "domain", "lang", "source", "n_tokens")) if not keep else texts
+    rows = cut(docs.select("doc_id", domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), token_count(F.col("text")).alias("n_tokens")))
     leaf = ["domain", "lang", "source"]
     leaves = cut(rows.groupBy(*leaf).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
     wanted = budgets(leaves, F.col("all_tokens") * F.lit(float(budget_share)), epochs, domain_weights or DOMAIN_WEIGHTS, lang_weights or LANG_WEIGHTS, source_weights)
@@ -104,7 +103,7 @@ def mix(docs: DataFrame, keep: list[str] = (), seed: int = SEED, budget_share: f
     sums = sums.withColumn("left", F.col("share") - F.coalesce(F.sum("in_bucket").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # A bucket counts if the prefix reaches it; it is whole if it fits.
     sums = cut(sums.where("left >= 0").select(*leaf, "epoch", "bucket", "left", (F.col("in_bucket") <= F.col("left")).alias("whole")))
-    columns = ["doc_id", *leaf, "epoch", "n_tokens", *(f"__{c}" for c in keep)]
+    columns = ["doc_id", *leaf, "epoch", "n_tokens"]
     placed = used.drop("share", "buckets").join(sums, [*leaf, "epoch", "bucket"])
     whole = placed.where("whole").select(*columns)
     within = Window.partitionBy(*leaf, "epoch", "bucket").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
@@ -112,6 +111,16 @@ def mix(docs: DataFrame, keep: list[str] = (), seed: int = SEED, budget_share: f
     return whole.unionByName(some)
 
 
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs in the mixture, once for each use, with all their columns and mix_domain, mix_epoch, mix_tokens.
+
+    Rows repeated with one doc_id come in together. Columns of docs with these three names are replaced.
+    """
+    uses = mix(docs, **how).select(F.col("doc_id").alias("__payloom_id"), F.col("domain").alias("mix_domain"), F.col("epoch").alias("mix_epoch"), F.col("n_tokens").alias("mix_tokens"))
+    uses = bounded(cut(uses.distinct()))
+    return docs.drop("mix_domain", "mix_epoch", "mix_tokens").join(uses, F.col("doc_id").eqNullSafe(F.col("__payloom_id"))).drop("__payloom_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

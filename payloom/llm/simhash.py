@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table
+from .common import bounded, cut, shuffle_partitions, table
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -200,13 +200,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id names their group, with all their columns; of rows repeated with one doc_id, one."""
-    kept = cut(near_duplicates(docs, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")))
-    once = docs.join(kept.where("__n = 1").select("doc_id"), "doc_id", "left_semi")
-    if kept.where("__n > 1").isEmpty():
-        return once
-    again = docs.join(kept.where("__n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """The rows of docs whose doc_id names their group, with all their columns.
+
+    Of rows repeated with one doc_id one stays; rows without a doc_id stay.
+    """
+    names = F.max(F.col("doc_id") == F.col("component_id"))
+    ids = cut(near_duplicates(docs, radius).where("doc_id is not null").groupBy("doc_id").agg(names.alias("names"), F.count("*").alias("n")))
+    gone = bounded(cut(ids.where("not names").select(F.col("doc_id").alias("__payloom_id"))))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__payloom_id"), "left_anti")
+    again = cut(ids.where("names and n > 1").select(F.col("doc_id").alias("__payloom_id")))
+    if again.isEmpty():
+        return kept
+    again = bounded(again)
+    same = F.col("doc_id").cast("long") == F.col("__payloom_id")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

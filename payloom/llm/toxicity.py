@@ -13,6 +13,7 @@ besides doc_id and text are never read by a score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ SAMPLE = 8000
 BITS, ORDERS = 19, (3, 4, 5)
 #: Characters hashed at once, so that memory is bounded for texts of any length.
 CHUNK = 1 << 20
+#: Rows whose n-grams are counted at once in a round of the fit.
+FITTED = 200
 SMOOTH, RIDGE, ROUNDS, RATE = 1.0, 1e-4, 40, 0.05
 
 
@@ -80,12 +83,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)
         for b in batches:
-            found = [ngrams(x.as_py(), seen).astype(np.int32).tobytes() for x in b.column("text")]
+            found = [packed(ngrams(x.as_py(), seen)) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.binary())], ["toxic", "found"])
 
     # at most `sample` rows of two numbers are broadcast
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, found binary").collect()
-    return fit([np.frombuffer(r["found"], np.int32) for r in got], np.array([r["toxic"] for r in got], float), counts)
+    return fit([unpacked(r["found"]) for r in got], np.array([r["toxic"] for r in got], float), counts)
+
+
+def packed(found: np.ndarray) -> bytes:
+    """Sorted numbers as compressed steps, byte plane by byte plane."""
+    steps = np.diff(found, prepend=0).astype(np.uint32)
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.int64).astype(np.int32)
 
 
 def fit(found: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model:
@@ -96,21 +110,29 @@ def fit(found: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(np.zeros(size, np.float32), bias)
     sizes = np.array([len(f) for f in found])
-    at, starts = np.concatenate(found), np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(y)), sizes)
-    p = SMOOTH + np.bincount(at, y[row], size)
-    q = SMOOTH + np.bincount(at, 1 - y[row], size)
+    blocks = [slice(i, i + FITTED) for i in range(0, len(y), FITTED)]  # of so few rows that their numbers need little memory
+    at = [np.concatenate(found[b]) for b in blocks]
+    found.clear()
+    p, q = np.full(size, SMOOTH), np.full(size, SMOOTH)
+    for a, b in zip(at, blocks, strict=True):
+        p += np.bincount(a, np.repeat(y[b], sizes[b]), size)
+        q += np.bincount(a, np.repeat(1 - y[b], sizes[b]), size)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     length = 1 / np.sqrt(np.maximum(1, sizes))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     bm = bv = 0.0
     for k in range(1, ROUNDS + 1):  # Adam over the whole sample
-        s = bias + np.where(sizes > 0, np.add.reduceat(np.append((w * ratio)[at], 0.0), starts), 0.0) * length
-        e = (_logistic(s) - y) * weight
-        g = np.bincount(at, np.repeat(e * length, sizes), size) * ratio + RIDGE * w / len(y)
+        scaled, g, gb = w * ratio, np.zeros(size), 0.0
+        for a, b in zip(at, blocks, strict=True):
+            n = sizes[b]
+            sums = np.add.reduceat(np.append(scaled[a], 0.0), np.cumsum(n) - n)
+            e = (_logistic(bias + np.where(n > 0, sums, 0.0) * length[b]) - y[b]) * weight[b]
+            g += np.bincount(a, np.repeat(e * length[b], n), size)
+            gb += e.sum()
+        g = g * ratio + RIDGE * w / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        bm, bv = 0.9 * bm + 0.1 * e.sum(), 0.999 * bv + 0.001 * e.sum() ** 2
+        bm, bv = 0.9 * bm + 0.1 * gb, 0.999 * bv + 0.001 * gb**2
         w -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         bias -= RATE * (bm / (1 - 0.9**k)) / (np.sqrt(bv / (1 - 0.999**k)) + 1e-8)
     return Model((w * ratio).astype(np.float32), float(bias))

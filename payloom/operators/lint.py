@@ -12,16 +12,17 @@ import posixpath
 import re
 from collections.abc import Iterator
 from functools import reduce
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_version_col
 from ..model import ANNOTATION_KEYS, OPERATIONS, VISIBILITIES, PayloomError, ResolveError, json_type
 from ..plans.interpreter import violations
-from ..sources.documents import parse_json
+from ..sources.documents import parse_json, schema_files
 
 NODES = (
     "uri string, node_id int, parent_id int, depth int, pointer string, anchor string, key string, ordinal int, json_type string, scalar string, "
@@ -208,3 +209,31 @@ def summary(results: DataFrame, strict: bool = False) -> DataFrame:
     n = F.count(F.lit(1))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return results.agg(n.alias("files_checked"), (n - failed).alias("passed"), failed.alias("failed"), total("n_errors").alias("errors"), total("n_warnings").alias("warnings"))
+
+
+def from_corpus(path: Path, strict: bool = False) -> dict[str, Any]:
+    """Report on the schema files at or below a local path, in order, with every finding: what the command line prints."""
+    files = schema_files(path)
+    root = path if path.is_dir() else path.parent
+    names = {str(f.absolute()): str(f.relative_to(root)) for f in files}
+    found: dict[str, list[dict]] = {name: [] for name in names}
+    if files:
+        spark = SparkSession.builder.getOrCreate()
+        corpus = spark.createDataFrame([(name, f.read_text("utf-8", "replace")) for name, f in zip(names, files, strict=True)], "uri string, content string")
+        for r in diagnostics(corpus).collect():
+            if r["code"] == "E002" and _is_elsewhere(r["file"], r["message"].partition(": ")[2]):
+                continue  # outside of what is linted, but there
+            found[r["file"]].append({"severity": r["severity"], "code": r["code"], "path": r["path"], "message": r["message"]})
+    order = {"error": 2, "warning": 1}
+    results = []
+    for name, some in found.items():
+        some.sort(key=lambda d: (-order[d["severity"]], d["code"], d["path"], d["message"]))
+        worst = max((order[d["severity"]] for d in some), default=0)
+        results.append({"file": names[name], "status": ("ok", "warning", "error")[worst], "diagnostics": some})
+    failed = sum(r["status"] != "ok" if strict else r["status"] == "error" for r in results)
+    count = lambda s: sum(d["severity"] == s for r in results for d in r["diagnostics"])
+    return {"path": str(path), "files_checked": len(files), "passed": len(files) - failed, "failed": failed, "errors": count("error"), "warnings": count("warning"), "results": results}
+
+
+def _is_elsewhere(file: str, place: str) -> bool:
+    return bool(place) and Path(resolved_uri(file, place)).exists()

@@ -90,8 +90,8 @@ class Compiled:
         if not isinstance(schema, dict) or not schema:
             return none()
         found = []
-        if isinstance(schema.get("$ref"), str):
-            target, below = self._target(schema["$ref"], stack)
+        for ref in references(schema):
+            target, below = self._target(ref, stack)
             found.append(self._errors(target, x, below))
         for keyword, compile_ in KEYWORDS.items():
             if keyword in schema:
@@ -230,8 +230,8 @@ class Compiled:
             parts.append(F.array(*map(F.lit, schema["properties"])))
         for p in schema.get("patternProperties", {}):
             parts.append(F.filter(keys, _matching(p)))
-        if isinstance(schema.get("$ref"), str):
-            target, below = self._target(schema["$ref"], stack)
+        for ref in references(schema):
+            target, below = self._target(ref, stack)
             parts.append(self._evaluated(target, x, below))
         for s in (*schema.get("allOf", ()), *schema.get("anyOf", ()), *schema.get("oneOf", ())):
             parts.append(F.when(self._passes(s, x, stack), self._evaluated(s, x, stack)).otherwise(empty))
@@ -280,6 +280,41 @@ class Compiled:
         holds = lambda n: (n >= least) & (n <= most if most is not None else F.lit(True))
         return x.when("array", let(fit, lambda n: unless(holds(n), x.path, "contains", f"must contain {least} to {most if most is not None else 'any number of'} fitting items")))
 
+    def _unevaluated_items(self, schema, extra, x, stack):
+        if extra is True or extra == {}:
+            return None
+        here = self._evaluated_items({k: v for k, v in schema.items() if k != "unevaluatedItems"}, x, stack)
+        left = F.array_except(self._indices(x), here)
+        if extra is False:
+            return x.when("array", let(left, lambda n: F.when(F.size(n) > 0, error(x.path, "unevaluatedItems", F.concat(F.lit("not allowed: "), F.array_join(n.cast("array<string>"), ", ")))).otherwise(none())))
+        return x.when("array", F.flatten(F.transform(left, lambda i: self._at(extra, F.get(elements(x.v), i), F.concat(x.path, F.lit("/"), i.cast("string")), stack))))
+
+    @staticmethod
+    def _indices(x: Value) -> Column:
+        return F.coalesce(F.transform(elements(x.v), lambda e, i: i), F.array().cast("array<int>"))
+
+    def _evaluated_items(self, schema, x, stack) -> Column:
+        """Positions that a schema, and what it applies in place and passes, speaks of."""
+        empty = F.array().cast("array<int>")
+        if not isinstance(schema, dict):
+            return empty
+        if "items" in schema or "unevaluatedItems" in schema:
+            return self._indices(x)
+        parts = []
+        if "prefixItems" in schema:
+            parts.append(F.filter(self._indices(x), lambda i: i < len(schema["prefixItems"])))
+        if "contains" in schema:
+            parts.append(F.filter(self._indices(x), lambda i: F.size(self._at(schema["contains"], F.get(elements(x.v), i), F.lit(""), stack)) == 0))
+        for ref in references(schema):
+            target, below = self._target(ref, stack)
+            parts.append(self._evaluated_items(target, x, below))
+        for s in (*schema.get("allOf", ()), *schema.get("anyOf", ()), *schema.get("oneOf", ())):
+            parts.append(F.when(self._passes(s, x, stack), self._evaluated_items(s, x, stack)).otherwise(empty))
+        if "if" in schema:
+            then = F.array_union(self._evaluated_items(schema["if"], x, stack), self._evaluated_items(schema.get("then"), x, stack))
+            parts.append(F.when(self._passes(schema["if"], x, stack), then).otherwise(self._evaluated_items(schema.get("else"), x, stack)))
+        return F.concat(*parts) if parts else empty
+
     def _all_of(self, schema, branches, x, stack):
         return F.concat(*(self._errors(s, x, stack) for s in branches)) if branches else None
 
@@ -307,16 +342,34 @@ def _matching(pattern: str):
     return lambda key: key.rlike(pattern)
 
 
+def references(schema: dict) -> list[str]:
+    """Where a schema refers to; a dynamic reference is taken for one to its own document."""
+    return [schema[k] for k in ("$ref", "$dynamicRef") if isinstance(schema.get(k), str)]
+
+
 def reference(root: Any, ref: str) -> Any:
-    """What a reference within the document points to."""
-    if not ref.startswith("#/"):
+    """What a reference within the document points to: a JSON Pointer or an anchor."""
+    if not ref.startswith("#"):
         raise ResolveError("InvalidSchema", f"invalid schema: reference {ref} is not within the document", ref=ref)
-    target = navigate(root, ref[1:])
+    target = navigate(root, ref[1:]) if ref.startswith("#/") else anchored(root, ref[1:])
     if target is None:
         raise ResolveError("InvalidSchema", f"invalid schema: reference {ref} points nowhere", ref=ref)
     return target
 
 
+def anchored(value: Any, name: str) -> Any:
+    """The first schema with the anchor."""
+    if isinstance(value, dict):
+        if name in (value.get("$anchor"), value.get("$dynamicAnchor")):
+            return value
+        value = list(value.values())
+    for v in value if isinstance(value, list) else ():
+        found = anchored(v, name)
+        if found is not None:
+            return found
+    return None
+
+
 _C = Compiled
 KEYWORDS = {
     "type": _C._type,
@@ -351,4 +404,5 @@ KEYWORDS = {
     "not": _C._not,
     "if": _C._if,
     "unevaluatedProperties": _C._unevaluated,
+    "unevaluatedItems": _C._unevaluated_items,
 }

@@ -34,8 +34,10 @@ SCHEMA = {
         "d": {"dependentRequired": {"a": ["b"]}, "dependentSchemas": {"q": {"required": ["r"]}}},
         "e": {"const": {"b": [1, 2], "a": "x"}},
         "f": False,
+        "w": {"allOf": [{"prefixItems": [{"type": "string"}]}, {"contains": {"const": True}}], "unevaluatedItems": False},
+        "y": {"$ref": "#count", "anyOf": [{"prefixItems": [True, True]}], "unevaluatedItems": {"type": "null"}},
     },
-    "$defs": {"item": {"type": "object", "required": ["sku", "quantity"], "properties": {"sku": {"type": ["string", "null"]}, "quantity": {"type": "integer", "minimum": 1}}}},
+    "$defs": {"count": {"$anchor": "count", "type": "array", "maxItems": 3}, "item": {"type": "object", "required": ["sku", "quantity"], "properties": {"sku": {"type": ["string", "null"]}, "quantity": {"type": "integer", "minimum": 1}}}},
 }
 
 

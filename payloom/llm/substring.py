@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ WINDOW = 20
 BASE = 0xD6E8FEB86659FD93
 #: Windows that a task counts together.
 CHUNK = 1 << 21
-#: Buckets of windows, and of documents, for each shuffle partition.
-SPREAD = 4
 INTERVALS = 1
 
 
@@ -66,15 +65,17 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers, byte plane by byte plane, so that sorted ones compress well."""
-    return b"".join([len(columns[0]).to_bytes(8, "little"), *(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)])
+    """Columns of numbers, compressed byte plane by byte plane: of sorted and small ones little is left."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + zstandard.compress(planes, 1)
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    n, at, found = int.from_bytes(data[:8], "little"), 8, []
+    n, at, found = int.from_bytes(data[:8], "little"), 0, []
+    planes = zstandard.decompress(data[8:])
     for kind in kinds:
         size = np.dtype(kind).itemsize
-        found.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        found.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
         at += n * size
     return found
 
@@ -192,8 +193,9 @@ def deduplicate(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _kept(docs: DataFrame, schema: str, last, size: int) -> DataFrame:
-    buckets = 1 << max(0, (SPREAD * shuffle_partitions(docs.sparkSession) - 1).bit_length())
-    groups = SPREAD * shuffle_partitions(docs.sparkSession)
+    # as many buckets as partitions, or up to twice as many: a bucket sends each group of documents one row at most
+    groups = shuffle_partitions(docs.sparkSession)
+    buckets = 1 << (groups - 1).bit_length()
 
     def cleaned(texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         d, s, e = ([np.concatenate(c) for c in zip(*(unpack(x, np.int64, np.int32, np.int32) for x in gone["data"]), strict=True)] if len(gone) else [np.empty(0, np.int64)] * 3)

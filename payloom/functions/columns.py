@@ -37,13 +37,15 @@ def number(v: Column) -> Column:
 
 def json_type(v: Column) -> Column:
     """object, array, string, boolean, null or number; NULL for a missing value."""
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-        .otherwise("number")
-    )
+
+    def named(kind: Column) -> Column:
+        return (
+            F.when(kind.startswith("OBJECT"), "object")
+            .when(kind.startswith("ARRAY"), "array")
+            .when(kind == "STRING", "string")
+            .when(kind == "BOOLEAN", "boolean")
+            .when(kind == "VOID", "null")
+            .otherwise("number")
+        )
+
+    return let(v, lambda x: F.when(x.isNotNull(), let(F.schema_of_variant(x), named)))

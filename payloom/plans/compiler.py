@@ -20,8 +20,24 @@ from ..sources.documents import navigate
 ERRORS = "array<struct<path:string,keyword:string,message:string>>"
 
 
-class Recursive(Exception):
-    """The schema contains itself."""
+#: Keywords that hold schemas: one, a list of them, or a map.
+ONE = ("items", "additionalProperties", "unevaluatedProperties", "unevaluatedItems", "contains", "propertyNames", "not", "if", "then", "else")
+LISTS, MAPS = ("allOf", "anyOf", "oneOf", "prefixItems"), ("properties", "patternProperties", "dependentSchemas")
+
+
+def is_recursive(root: Any) -> bool:
+    """Whether a reference leads back to itself."""
+
+    def walk(schema: Any, stack: tuple[str, ...]) -> bool:
+        if not isinstance(schema, dict):
+            return False
+        below = [schema[k] for k in ONE if k in schema]
+        below += [x for k in LISTS for x in schema.get(k, ())] + [x for k in MAPS for x in schema.get(k, {}).values()]
+        if any(walk(x, stack) for x in below):
+            return True
+        return any(ref == "#" or ref in stack or walk(reference(root, ref), (*stack, ref)) for ref in references(schema))
+
+    return walk(root, ())
 
 
 def pointer_part(name: str) -> str:
@@ -63,12 +79,7 @@ class Value:
 
 class Compiled:
     def __init__(self, schema: Any):
-        self.schema = schema
-        self.recursive = False
-        try:
-            self.errors(F.lit(None).cast("variant"))
-        except Recursive:
-            self.recursive = True
+        self.schema, self.recursive = schema, is_recursive(schema)
 
     def errors(self, v: Column) -> Column:
         return self._at(self.schema, v, F.lit(""), ())
@@ -76,13 +87,21 @@ class Compiled:
     # One value.
 
     def _at(self, schema: Any, v: Column, path: Column, stack: tuple[str, ...]) -> Column:
-        """Binds the value, its type and its pointer once."""
+        """Binds the value and its type once; pointers are put together only where there is an error."""
         if schema is True or schema == {}:
             return none()
         if schema is False:
             return error(path, "false", "no value is allowed here")
-        bound = F.struct(v.alias("v"), json_type(v).alias("kind"), path.alias("path"))
-        return let(bound, lambda s: self._errors(schema, Value(s["v"], s["kind"], s["path"]), stack))
+        return let(v, lambda x: self._typed(schema, x, path, stack))
+
+    def _typed(self, schema: Any, v: Column, path: Column, stack: tuple[str, ...]) -> Column:
+        return let(json_type(v), lambda kind: self._errors(schema, Value(v, kind, path), stack))
+
+    def _if_there(self, schema: Any, v: Column, path: Column, stack: tuple[str, ...]) -> Column:
+        """Nothing for a value that is missing."""
+        if schema is False:
+            return F.when(v.isNotNull(), error(path, "false", "no value is allowed here")).otherwise(none())
+        return let(v, lambda x: F.when(x.isNotNull(), self._typed(schema, x, path, stack)).otherwise(none()))
 
     def _errors(self, schema: Any, x: Value, stack: tuple[str, ...]) -> Column:
         if schema is False:
@@ -106,10 +125,7 @@ class Compiled:
         return F.size(self._errors(schema, x, stack)) == 0
 
     def _target(self, ref: str, stack: tuple[str, ...]) -> tuple[Any, tuple[str, ...]]:
-        if ref in stack or ref == "#":
-            raise Recursive(ref)
-        target = reference(self.schema, ref)
-        return target, (*stack, ref)
+        return reference(self.schema, ref), (*stack, ref)
 
     # Keywords; each gives errors, or None where there is nothing to check.
 
@@ -171,7 +187,7 @@ class Compiled:
         return x.when("object", F.concat(*(unless(member(x.v, n).isNotNull(), x.path, "required", f"{short(n)} is required") for n in names)))
 
     def _properties(self, schema, properties, x, stack):
-        checks = [F.when(member(x.v, n).isNotNull(), self._at(s, member(x.v, n), x.below(n), stack)).otherwise(none()) for n, s in properties.items() if s is not True and s != {}]
+        checks = [self._if_there(s, member(x.v, n), x.below(n), stack) for n, s in properties.items() if s is not True and s != {}]
         return x.when("object", F.concat(*checks)) if checks else None
 
     def _entries(self, x, schema, stack, wanted) -> Column:
@@ -262,12 +278,9 @@ class Compiled:
         return x.when("array", F.flatten(F.transform(rest, lambda e, i: self._at(items, e, F.concat(x.path, F.lit("/"), (i + skip).cast("string")), stack))))
 
     def _prefix_items(self, schema, prefix, x, stack):
-        checks = [let(F.get(elements(x.v), F.lit(i)), self._present(s, x, i, stack)) for i, s in enumerate(prefix)]
+        checks = [self._if_there(s, F.get(elements(x.v), F.lit(i)), x.below(str(i)), stack) for i, s in enumerate(prefix)]
         return x.when("array", F.concat(*checks)) if checks else None
 
-    def _present(self, schema, x, i, stack):
-        return lambda e: F.when(e.isNotNull(), self._at(schema, e, x.below(str(i)), stack)).otherwise(none())
-
     def _unique(self, schema, unique, x, stack):
         if unique is not True:
             return None

@@ -210,15 +210,21 @@ def _property(name: str, schema) -> dict:
 
 def keyword_query(name: str, plain: dict, sql: str, *extra) -> None:
     def run(spark, sf_dir):
-        return _errors(spark, sf_dir, plain, *extra)
+        return _errors(spark, sf_dir, plain, *(make() for make in extra))
 
     run.__name__ = f"validate_{name}"
     query(sql)(run)
 
 
 _AT = "select o_orderkey as payload_id, '{path}' as path, '{keyword}' as keyword from orders where {where}"
-_STATUS = F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("due")
-keyword_query("required", {"required": ["id", "due"]}, _AT.format(path="", keyword="required", where="o_orderstatus <> 'P'"), _STATUS)
+
+
+def _due():
+    """A member that only some orders have."""
+    return F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("due")
+
+
+keyword_query("required", {"required": ["id", "due"]}, _AT.format(path="", keyword="required", where="o_orderstatus <> 'P'"), _due)
 keyword_query("type", _property("total", {"type": "integer"}), _AT.format(path="/total", keyword="type", where="o_totalprice <> floor(o_totalprice)"))
 keyword_query("enum", _property("status", {"enum": ["P", "F", 3]}), _AT.format(path="/status", keyword="enum", where="o_orderstatus not in ('P', 'F')"))
 keyword_query("const", _property("status", {"const": "P"}), _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'"))
@@ -226,13 +232,13 @@ keyword_query("minimum", _property("total", {"minimum": 100000}), _AT.format(pat
 keyword_query("maximum", _property("total", {"exclusiveMaximum": 300000.5}), _AT.format(path="/total", keyword="exclusiveMaximum", where="o_totalprice >= 300000.5"))
 keyword_query("pattern", _property("priority", {"pattern": "^[12]-"}), _AT.format(path="/priority", keyword="pattern", where="not regexp_matches(o_orderpriority, '^[12]-')"))
 keyword_query("minlength", _property("id", {"minLength": 4}), _AT.format(path="/id", keyword="minLength", where="length(o_orderkey::varchar) < 4"))
-keyword_query("strict_unknown", {"properties": {k: True for k in ("id", "status", "priority", "total", "line_items")}, "additionalProperties": False}, _AT.format(path="", keyword="additionalProperties", where="o_orderstatus = 'P'"), _STATUS)
+keyword_query("strict_unknown", {"properties": {k: True for k in ("id", "status", "priority", "total", "line_items")}, "additionalProperties": False}, _AT.format(path="", keyword="additionalProperties", where="o_orderstatus = 'P'"), _due)
 keyword_query(
     "unevaluated",
     {"allOf": [{"properties": {"id": True, "status": {"const": "P"}, "priority": True}}, {"properties": {"total": True, "line_items": True, "due": True}}], "unevaluatedProperties": False},
     # a branch that fails evaluates nothing
     _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="", keyword="unevaluatedProperties", where="o_orderstatus <> 'P'"),
-    _STATUS,
+    _due,
 )
 keyword_query("anyof", {"anyOf": [_property("status", {"const": "P"}), _property("total", {"minimum": 150000})]}, _AT.format(path="", keyword="anyOf", where="o_orderstatus <> 'P' and o_totalprice < 150000"))
 keyword_query("oneof", {"oneOf": [_property("status", {"const": "P"}), _property("total", {"minimum": 150000})]}, _AT.format(path="", keyword="oneOf", where="(o_orderstatus = 'P') = (o_totalprice >= 150000)"))

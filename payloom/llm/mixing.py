@@ -72,9 +72,9 @@ def weighted(nodes: DataFrame, name: str, weights: dict[str, float], default_wei
 def budgets(leaves: DataFrame, budget: Column, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None, default_weight: float = 1.0) -> DataFrame:
     """domain, lang, source, n_docs, n_tokens, capacity and share (tokens) of every leaf(domain, lang, source, n_docs, n_tokens)."""
     leaves = leaves.withColumn("capacity", F.col("n_tokens") * F.lit(epochs))
-    domains = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    total = leaves.agg(F.sum("n_tokens").alias("all_tokens"))
-    domains = weighted(domains.crossJoin(F.broadcast(total)), "domain", domain_weights or {}, default_weight).withColumn("budget", budget)  # total has one row
+    domains = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("n_tokens").alias("n_tokens"))
+    domains = domains.withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))  # a row for each domain
+    domains = weighted(domains, "domain", domain_weights or {}, default_weight).withColumn("budget", budget)
     domains = shared(domains, [], "domain").select("domain", F.col("share").alias("budget"))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(domains, "domain")
     langs = shared(weighted(langs, "lang", lang_weights or {}, default_weight), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))

@@ -205,3 +205,32 @@ def test_international_hosts():
 def test_url_helpers():
     assert reverse_labels("a.b.c.") == "c.b.a" and url_path("https://x.y/a?b#c") == "/a?b#c" and url_path("https://x.y") is None and url_path("a/b") == "a/b"
     assert map_prefix("https://x/a/b", "/l", "https://x/") == "/l/a/b" and join_url("c", "https://x/a/b") == "https://x/a/c" and join_url("http://z", "q/r") == "http://z"
+
+
+def test_fetching():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = self.path == "/s.json"
+            self.send_response(200 if found else 404)
+            self.end_headers()
+            self.wfile.write(b'{"type": "null"}' if found else b"gone")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert Documents().any(f"{base}/s.json") == {"type": "null"}
+        with pytest.raises(ResolveError) as e:
+            Documents().any(f"{base}/none.json")
+        assert e.value.kind == "NetworkError" and e.value.exit_code == 3
+        with pytest.raises(ComposeError) as e:
+            Documents().profile(f"{base}/none.json")
+        assert e.value.kind == "ProfileFetch"
+    finally:
+        server.shutdown()

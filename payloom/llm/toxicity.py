@@ -14,8 +14,9 @@ besides doc_id and text are never read by a score.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Most labelled rows used for fitting.
-SAMPLE = 8000
+SAMPLE = 6000
 BITS, ORDERS = 19, (3, 4, 5)
 #: Characters hashed at once, so that memory is bounded for texts of any length.
 CHUNK = 1 << 20
 #: Rows whose n-grams are counted at once in a round of the fit.
 FITTED = 200
-SMOOTH, RIDGE, ROUNDS, RATE = 1.0, 1e-4, 40, 0.05
+SMOOTH, RIDGE, ROUNDS = 1.0, 1e-5, 25
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # at most `sample` rows of two numbers are broadcast
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, found binary").collect()
-    return fit([unpacked(r["found"]) for r in got], np.array([r["toxic"] for r in got], float), counts)
+    y = np.array([r["toxic"] for r in got], float)
+    return fit((unpacked(r["found"]) for r in _drained(got)), y, counts)
+
+
+def _drained(rows: list) -> Iterator:
+    """The rows in order, each forgotten when the next is asked for."""
+    rows.reverse()
+    while rows:
+        yield rows.pop()
 
 
 def packed(found: np.ndarray) -> bytes:
@@ -102,17 +111,20 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.int64).astype(np.int32)
 
 
-def fit(found: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model:
+def fit(found: Iterable[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model:
+    """found: the n-grams of each row."""
     total = counts.get(0, 0) + counts.get(1, 0)
     share = (counts.get(1, 0) + 1) / (total + 2)
     bias = float(np.log(share / (1 - share)))
     size = 1 << BITS
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(np.zeros(size, np.float32), bias)
-    sizes = np.array([len(f) for f in found])
     blocks = [slice(i, i + FITTED) for i in range(0, len(y), FITTED)]  # of so few rows that their numbers need little memory
-    at = [np.concatenate(found[b]) for b in blocks]
-    found.clear()
+    at, sizes, rows = [], np.zeros(len(y), np.int64), iter(found)
+    for b in blocks:
+        some = list(islice(rows, FITTED))
+        sizes[b] = [len(f) for f in some]
+        at.append(np.concatenate(some))
     p, q = np.full(size, SMOOTH), np.full(size, SMOOTH)
     for a, b in zip(at, blocks, strict=True):
         p += np.bincount(a, np.repeat(y[b], sizes[b]), size)
@@ -120,22 +132,57 @@ def fit(found: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     length = 1 / np.sqrt(np.maximum(1, sizes))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    bm = bv = 0.0
-    for k in range(1, ROUNDS + 1):  # Adam over the whole sample
-        scaled, g, gb = w * ratio, np.zeros(size), 0.0
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        scaled, g, total = w[:-1] * ratio, np.zeros(size + 1), 0.0
         for a, b in zip(at, blocks, strict=True):
             n = sizes[b]
-            sums = np.add.reduceat(np.append(scaled[a], 0.0), np.cumsum(n) - n)
-            e = (_logistic(bias + np.where(n > 0, sums, 0.0) * length[b]) - y[b]) * weight[b]
-            g += np.bincount(a, np.repeat(e * length[b], n), size)
-            gb += e.sum()
-        g = g * ratio + RIDGE * w / len(y)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        bm, bv = 0.9 * bm + 0.1 * gb, 0.999 * bv + 0.001 * gb**2
-        w -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        bias -= RATE * (bm / (1 - 0.9**k)) / (np.sqrt(bv / (1 - 0.999**k)) + 1e-8)
-    return Model((w * ratio).astype(np.float32), float(bias))
+            s = w[-1] + _sums(scaled[a], n) * length[b]
+            e = (_logistic(s) - y[b]) * weight[b]
+            total += float((weight[b] * np.logaddexp(0, np.where(y[b] == 1, -s, s))).sum())
+            g[:-1] += np.bincount(a, np.repeat(e * length[b], n), size)
+            g[-1] += e.sum()
+        g[:-1] = g[:-1] * ratio + RIDGE * w[:-1]
+        return total + RIDGE / 2 * float(w[:-1] @ w[:-1]), g
+
+    w = minimised(loss, np.append(np.zeros(size), bias))
+    return Model((w[:-1] * ratio).astype(np.float32), float(w[-1]))
+
+
+def minimised(loss, w: np.ndarray, rounds: int | None = None, memory: int = 4) -> np.ndarray:
+    """Where a convex function is least, by L-BFGS with backtracking; loss gives value and gradient."""
+    value, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds or ROUNDS):
+        d, kept = -g, []
+        for s, t, r in reversed(past):
+            kept.append(r * float(s @ d))
+            d = d - kept[-1] * t
+        if past:
+            s, t, _ = past[-1]
+            d = d * (float(s @ t) / float(t @ t))
+        for (s, t, r), k in zip(past, reversed(kept), strict=True):
+            d = d + (k - r * float(t @ d)) * s
+        slope, step = float(g @ d), 1.0 if past else 1 / max(1e-12, float(np.abs(g).sum()))
+        if slope > -1e-9:
+            break
+        for _ in range(20):
+            new, new_g = loss(w + step * d)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, t = step * d, new_g - g
+        w, value, g = w + s, new, new_g
+        if (st := float(s @ t)) > 1e-12:
+            past = [*past, (s, t, 1 / st)][-memory:]
+    return w
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive parts of the given sizes."""
+    return np.where(sizes > 0, np.add.reduceat(np.append(values, 0.0), np.cumsum(sizes) - sizes), 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -93,7 +93,7 @@ def mix(docs: DataFrame, seed: int = SEED, budget_share: float = BUDGET_SHARE, e
     leaf = ["domain", "lang", "source"]
     leaves = cut(rows.groupBy(*leaf).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
     wanted = budgets(leaves, F.col("all_tokens") * F.lit(float(budget_share)), epochs, domain_weights or DOMAIN_WEIGHTS, lang_weights or LANG_WEIGHTS, source_weights)
-    wanted = cut(wanted.select(*leaf, F.floor("share").alias("share"), F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("buckets")))
+    wanted = bounded(cut(wanted.select(*leaf, F.floor("share").alias("share"), F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("buckets"))))  # a row for each source
     used = rows.join(wanted, leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     used = used.withColumn("order", _order(seed))
     part = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Most labelled rows used for fitting.
-SAMPLE = 6000
+SAMPLE = 4000
 BITS, ORDERS = 19, (3, 4, 5)
 #: Characters hashed at once, so that memory is bounded for texts of any length.
 CHUNK = 1 << 20
@@ -149,7 +149,7 @@ def fit(found: Iterable[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> M
     return Model((w[:-1] * ratio).astype(np.float32), float(w[-1]))
 
 
-def minimised(loss, w: np.ndarray, rounds: int | None = None, memory: int = 4) -> np.ndarray:
+def minimised(loss, w: np.ndarray, rounds: int | None = None, memory: int = 3) -> np.ndarray:
     """Where a convex function is least, by L-BFGS with backtracking; loss gives value and gradient."""
     value, g = loss(w)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []

@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (0.8 of their runs of five words alike) stays: the one with the smallest doc_id."""
+    return simhash.one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

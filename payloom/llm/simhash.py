@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints compared in bit-sliced blocks.
 
 A fingerprint has the majority bits of the XXH64 hashes (seed 42) of a text's shingles of SHINGLE words. Equal
-fingerprints are one node. Fingerprints within RADIUS bits agree in two of BLOCKS parts of their bits at least, so each
+fingerprints are one node. Fingerprints within a radius agree in two of radius + 2 parts of their bits at least, so each
 goes into a bucket for each two parts. In a task the fingerprints of its buckets are turned into vertical bit planes of
 64 lanes; the distances of one fingerprint to 64 others grow plane by plane in carry-save counters, and a block is
 abandoned when all its lanes exceed the radius. Links are merged within the task, and the merged links by components().
@@ -9,6 +9,12 @@ abandoned when all its lanes exceed the radius. Links are merged within the task
 A bucket of more than SPLIT fingerprints is cut into chunks, and each two chunks meet in a task of their own, so that no
 task gets more than 2 * SPLIT of one bucket.
 
+similar() finds texts by the Jaccard similarity of their sets of WORDS words. For sets that share LEAST of their union a
+fingerprint differs in 0.15 of its bits, too many for parts that must agree; so their 128-bit fingerprints go into TABLES
+buckets by KEY_BITS bits each, which finds all but about 0.1 % of the pairs at LEAST itself and fewer above it. Bit-sliced
+distances of the first half, then of both, link candidates; the texts of each group of candidates meet once, and only
+links whose similarity is LEAST or more by count of the sets stay.
+
 Defined cases: a text without words (null, empty) has fingerprint zero and is linked like any other; a text with fewer
 words than a shingle is one shingle; an empty table gives an empty result; rows repeated with one doc_id are one node
 if their texts agree, and each row is returned; a row whose doc_id is null is returned, and never names a component;
@@ -30,13 +36,29 @@ from .common import bounded, cut, shuffle_partitions, table
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: With 6 parts, 4 differing bits leave two parts alone.
-BLOCKS = 6
 SPLIT = 4096
+#: Words of a shingle and least similarity of similar().
+WORDS, LEAST = 5, 0.8
+#: Buckets of a 128-bit fingerprint and their bits. At LEAST, 64 bits differ in 10 +- 3 and 128 in 19 +- 4.
+TABLES, KEY_BITS, HALF, BOTH = 64, 14, 19, 33
+#: Texts of a group of candidates that meet in a task are twice as many at most.
+MEET = 512
 #: Rows compared at once in a task, and shingles whose bits are counted at once.
 ROWS, COUNTED = 1 << 17, 1 << 16
-_BITS = np.array_split(np.arange(64), BLOCKS)
-MASKS = tuple(int(sum(1 << int(b) for part in two for b in _BITS[part])) for two in combinations(range(BLOCKS), 2))
+_FULL = (1 << 64) - 1
+
+
+def masks(radius: int) -> list[tuple[int, int]]:
+    """Bits of each two of radius + 2 parts: so many differing bits leave two parts alone."""
+    parts = np.array_split(np.arange(64), radius + 2)
+    return [(sum(1 << int(b) for part in two for b in parts[part]), 0) for two in combinations(range(radius + 2), 2)]
+
+
+def sampled(tables: int = TABLES, bits: int = KEY_BITS) -> list[tuple[int, int]]:
+    """Bits of both halves that make the keys of similar()."""
+    rng = np.random.default_rng(SEED)
+    chosen = [sum(1 << int(b) for b in rng.choice(128, bits, replace=False)) for _ in range(tables)]
+    return [(m & _FULL, m >> 64) for m in chosen]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -74,7 +96,7 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def near(fps: np.ndarray, start: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), j < i, of fingerprints within the radius (4 at most 6), where start[i] <= j; start: where i's bucket begins."""
+    """Pairs (i, j), j < i, of fingerprints within the radius, where start[i] <= j; start: where i's bucket begins."""
     n, wide = len(fps), 64
     lanes = np.zeros(-(-n // wide) * wide, np.uint64)
     lanes[:n] = fps
@@ -96,6 +118,7 @@ def near(fps: np.ndarray, start: np.ndarray, radius: int = RADIUS) -> Iterator[t
         high = np.clip(q - k * wide, 1, wide)
         live = (full << low) & (full >> (wide - high).astype(np.uint64))
         ones, twos, fours, over = (np.zeros(len(q), np.uint64) for _ in range(4))
+        high = [np.zeros(len(q), np.uint64) for _ in range(3, radius.bit_length())]  # eights and more, where the radius needs them
         own = fps[q]
         for p in range(0, 64, 8):
             d = [planes[p + i, k] ^ (np.uint64(0) - ((own >> np.uint64(p + i)) & np.uint64(1))) for i in range(8)]
@@ -105,12 +128,15 @@ def near(fps: np.ndarray, start: np.ndarray, radius: int = RADIUS) -> Iterator[t
             ones, t1 = _add(ones, d[4], d[5])
             ones, t2 = _add(ones, d[6], d[7])
             twos, f2 = _add(twos, t1, t2)
-            fours, eights = _add(fours, f1, f2)
-            over |= eights
-            live &= ~(over | _above(ones, twos, fours, radius))
+            fours, carry = _add(fours, f1, f2)
+            for c, plane in enumerate(high):
+                high[c], carry = plane ^ carry, plane & carry
+            over |= carry
+            live &= ~(over | _above([ones, twos, fours, *high], radius))
             alive = live != 0
             if not alive.all():  # abandon blocks all of whose lanes exceed the radius
                 q, k, own, live, ones, twos, fours, over = (x[alive] for x in (q, k, own, live, ones, twos, fours, over))
+                high = [x[alive] for x in high]
             if not len(q):
                 break
         if len(q):
@@ -118,11 +144,15 @@ def near(fps: np.ndarray, start: np.ndarray, radius: int = RADIUS) -> Iterator[t
             yield q[row], k[row] * wide + lane
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three counter bits are over the radius."""
-    above = np.zeros_like(ones)
-    for value in range(radius + 1, 8):
-        above |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter bits, the lowest first, are over the radius."""
+    above, equal = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for c in range(len(counter) - 1, -1, -1):
+        if radius >> c & 1:
+            equal = equal & counter[c]
+        else:
+            above |= equal & counter[c]
+            equal = equal & ~counter[c]
     return above
 
 
@@ -144,15 +174,27 @@ def merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """u, v: links between reps of nodes(fp, rep), enough to connect whatever is within the radius."""
+    return _linked(nodes.select("fp", F.lit(0).cast("long").alias("fp2"), "rep"), masks(RADIUS), radius, 128, split)
+
+
+def candidates(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """u, v: links between reps of nodes(fp, fp2, rep) that connect what may be similar."""
+    return _linked(nodes.select("fp", "fp2", "rep"), sampled(), HALF, BOTH, split)
+
+
+def _linked(nodes: DataFrame, by: list[tuple[int, int]], radius: int, both: int, split: int) -> DataFrame:
+    """u, v: links enough to connect what shares a bucket, with fp within the radius and fp, fp2 within `both` bits."""
     spark = nodes.sparkSession
-    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in MASKS))
-    keyed = nodes.select("fp", "rep", F.posexplode(masks).alias("part", "mask")).select("fp", "rep", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    made = F.array(*(F.struct(signed(m).alias("m"), signed(m2).alias("m2")) for m, m2 in by))
+    key = F.xxhash64(F.col("fp").bitwiseAND(F.col("mask.m")), F.col("fp2").bitwiseAND(F.col("mask.m2")))
+    keyed = nodes.select("fp", "fp2", "rep", F.posexplode(made).alias("part", "mask")).select("fp", "fp2", "rep", "part", key.alias("key"))
     large = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     keyed = keyed.join(large, ["part", "key"])  # a fingerprint alone in its bucket goes no further
     chunks = F.ceil(F.col("n") / split).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    keyed = keyed.select("part", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "rep")
+    keyed = keyed.select("part", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "fp2", "rep")
     cell = ["part", "key", "a", "b"]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +220,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         fps, reps = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
+        more = rows.column("fp2").to_numpy().view(np.uint64)
         label = np.arange(len(fps))
         for i, j in near(fps, _starts(rows), radius):
-            merge(label, i, j)
+            close = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(more[i] ^ more[j]) <= both
+            merge(label, i[close], j[close])
         least = reps.copy()
         np.minimum.at(least, label, reps)
         v = least[label]
@@ -199,13 +243,102 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes | None) -> np.ndarray:
+    """The 128-bit hashes of a text's distinct runs of WORDS words, sorted."""
+    words = (text or b"").lower().split()
+    of = xxhash.xxh128_digest
+    found = {of(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
+    return np.frombuffer(b"".join(sorted(found)), "S16")
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int]:
+    """Both halves of a set's fingerprint: the majority bits of its members."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), COUNTED):
+        part = np.frombuffer(hashes[at : at + COUNTED].tobytes(), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return tuple(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64).tolist())
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, fp2 and the hash of the whole set (same, same2) of every row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x.as_py()) for x in b.column("text")]
+            made = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 2)
+            whole = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for x in (made, whole) for c in x.T)], ["doc_id", "fp", "fp2", "same", "same2"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(hashed, "doc_id long, fp long, fp2 long, same long, same2 long")
+
+
+def alike(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """The smallest index of each set's group: sets whose Jaccard similarity is `least` or more are linked."""
+    label, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    members = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    before = ends - sizes
+    held = np.zeros(members.max(initial=-1) + 1, np.int64)
+    for i in range(len(sets) - 1):
+        if (label == label[0]).all():
+            break
+        own = members[before[i] : ends[i]]
+        held[own] = 1
+        counts = np.concatenate(([0], np.cumsum(held[members[ends[i] :]])))
+        both = counts[ends[i + 1 :] - ends[i]] - counts[before[i + 1 :] - ends[i]]
+        held[own] = 0
+        j = i + 1 + np.flatnonzero(both >= least * (sizes[i] + sizes[i + 1 :] - both) - 1e-9)
+        merge(label, np.full(len(j), i), j)
+    return label
+
+
+def verified(docs: DataFrame, groups: DataFrame, meet: int = MEET) -> DataFrame:
+    """u, v: links between the nodes of groups(node, component) whose texts are similar, counted out."""
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    chunks = F.ceil(F.col("n") / meet).cast("int")
+    placed = groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    placed = cut(placed.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+
+    def counted(rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        text = rows.column("text")
+        label = alike([shingles(text[int(i)].as_py()) for i in order])
+        nodes = nodes[order]
+        apart = label != np.arange(len(nodes))
+        return pa.table({"u": nodes[apart], "v": nodes[label[apart]]})
+
+    return texts.join(bounded(placed), "node").groupBy("component", "a", "b").applyInArrow(counted, "u long, v long")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row of docs(doc_id, text): texts are linked whose sets of WORDS words have similarity LEAST."""
+    rows = cut(sketches(docs))
+    nodes = cut(rows.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
+    groups = cut(components(candidates(nodes.where("rep is not null"))))
+    named = components(verified(docs, groups))
+    classes = nodes.join(named, nodes["rep"] == named["node"], "left").select("same", "same2", F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(classes, ["same", "same2"]).select("doc_id", "component_id")
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """one_of_each() by similar()."""
+    return _first_of(docs, similar(docs))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs whose doc_id names their group, with all their columns.
 
     Of rows repeated with one doc_id one stays; rows without a doc_id stay.
     """
+    return _first_of(docs, near_duplicates(docs, radius))
+
+
+def _first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     names = F.max(F.col("doc_id") == F.col("component_id"))
-    ids = cut(near_duplicates(docs, radius).where("doc_id is not null").groupBy("doc_id").agg(names.alias("names"), F.count("*").alias("n")))
+    ids = cut(classes.where("doc_id is not null").groupBy("doc_id").agg(names.alias("names"), F.count("*").alias("n")))
     gone = bounded(cut(ids.where("not names").select(F.col("doc_id").alias("__payloom_id"))))
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__payloom_id"), "left_anti")
     again = cut(ids.where("names and n > 1").select(F.col("doc_id").alias("__payloom_id")))

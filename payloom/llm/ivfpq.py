@@ -4,7 +4,8 @@ Coarse centroids and the residuals' codebooks are fitted on a bounded sample (SA
 ids); every vector is indexed. A query probes the lists whose centroids have the largest inner products with it, until
 it has the share PROBES of all lists and enough candidates. That share is for vectors spread evenly in all directions,
 which lists separate badly; where vectors form clusters, a smaller one has the same recall. In a list it looks up the inner products of its parts with all codewords
-once, adds them up by the vectors' codes, and scores the best RERANK of them exactly, from the original vectors.
+once, adds them up by the vectors' codes, and scores the best RERANK different vectors, and all that tie with the last of
+them, exactly, from the original vectors. Equal vectors are one there, with the smallest ids that may be in a result.
 
 A list that holds more than VECTORS vectors, or is probed by more than ASKED queries, is cut into a grid of cells of
 that size at most, so that no task holds more.
@@ -33,6 +34,8 @@ SAMPLE, LISTS = 20_000, 64
 ROUNDS, PARTS, CODES = 12, 16, 256
 PROBES, RERANK = 0.7, 50
 VECTORS, ASKED, AT_ONCE = 20_000, 4_000, 128
+#: Candidates scored exactly at once.
+SCORED = 1 << 16
 SEED = 7
 
 
@@ -80,20 +83,41 @@ class Index:
 
     def search(self, ids: np.ndarray, q: np.ndarray, centre: int, vec_ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Query ids, vector ids and scores of the k best of one list for each query."""
-        vectors = vectors.astype(np.float64)
+        row, ids_of, first, count = _different(vec_ids, vectors, k)
+        codes, vectors = codes[row], vectors[row].astype(np.float64)
+        most = min(RERANK + 1, len(row))  # one may be the query itself
         for at in range(0, len(q), AT_ONCE):
-            some = q[at : at + AT_ONCE]
-            near = np.repeat((some @ self.centres[centre])[:, None], len(vec_ids), 1)
+            some, asked = q[at : at + AT_ONCE], ids[at : at + AT_ONCE]
+            near = np.repeat((some @ self.centres[centre])[:, None], len(row), 1)
             for j, (p, book) in enumerate(zip(self.cuts, self.books, strict=True)):
                 near += (some[:, p] @ book.T)[:, codes[:, j]]
-            near[ids[at : at + AT_ONCE, None] == vec_ids[None, :]] = -np.inf
-            best = np.argpartition(-near, RERANK, 1)[:, :RERANK] if len(vec_ids) > RERANK else np.repeat(np.arange(len(vec_ids))[None, :], len(some), 0)
-            own = vec_ids[best] == ids[at : at + AT_ONCE, None]
-            exact = (vectors[best] * some.astype(np.float64)[:, None, :]).sum(2)  # summed alike for each row, so equal vectors tie
-            order = np.lexsort((vec_ids[best], np.where(own, np.inf, -exact)), axis=1)[:, :k]
-            best, exact, own = (np.take_along_axis(x, order, 1) for x in (best, exact, own))
-            row, rank = np.nonzero(~own)
-            yield ids[at : at + AT_ONCE][row], vec_ids[best[row, rank]], exact[row, rank]
+            least = np.partition(near, len(row) - most, 1)[:, len(row) - most]
+            of, best = np.nonzero(near >= least[:, None])
+            wide = some.astype(np.float64)
+            # summed alike for each row, so equal vectors tie
+            exact = np.concatenate([(vectors[best[i : i + SCORED]] * wide[of[i : i + SCORED]]).sum(1) for i in range(0, len(best), SCORED)])
+            times = count[best]
+            found = ids_of[np.repeat(first[best] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            of, exact = np.repeat(of, times), np.repeat(exact, times)
+            other = found != asked[of]
+            of, exact, found = of[other], exact[other], found[other]
+            order = np.lexsort((found, -exact, of))
+            of = of[order]
+            order = order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+            yield asked[of[np.arange(len(of)) - np.searchsorted(of, of) < k]], found[order], exact[order]
+
+
+def _different(vec_ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each different vector; all their ids, as far as the k + 1 smallest go, vector by vector; first one and number of each vector's."""
+    flat = np.ascontiguousarray(vectors)
+    group = np.unique(flat.view(np.dtype((np.void, flat.dtype.itemsize * flat.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((vec_ids, group))
+    group, ids = group[order], vec_ids[order]
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    nth = np.cumsum(np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))))
+    kept = nth - nth[starts][group] <= k  # repeated ids count once, and the query's own is left out later
+    count = np.bincount(group[kept])
+    return order[starts], ids[kept], np.cumsum(count) - count, count
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from payloom.llm import graph, simhash
+from payloom.llm import decontam, graph, ivfpq, license_scan, pii, secret_scan, simhash
+from payloom.operators import capabilities
+from pyspark.sql import functions as F
 
 
 def words(rng, n):
@@ -71,3 +74,33 @@ def test_alike_counts_sets():
             if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]):
                 simhash.merge(want, np.array([i]), np.array([j]))
     assert label.tolist() == want.tolist() and len(set(label.tolist())) < len(sets)
+
+
+# op5_ivfpq.
+
+
+def test_smallest_ids_of_thousands_of_copies(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(3200, 16)).astype(np.float32)
+    copies = sorted(rng.choice(3200, 3000, replace=False).tolist())
+    x[copies] = 3 * x[copies[0]]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    asked = [copies[5], copies[2000]]
+    got = {q: [] for q in asked}
+    for r in ivfpq.neighbours(frame, F.col("vec_id").isin(asked), 20).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i in copies if i != q][:20] for q in asked}
+
+
+def test_vectors_with_the_same_codes_are_all_scored():
+    rng = np.random.default_rng(32)
+    index = ivfpq.Index(rng.normal(size=(300, 16)).astype(np.float32), 1)
+    near = rng.normal(size=16)
+    x = (near + rng.normal(size=(500, 16)) * 1e-5).astype(np.float32)
+    x[100:400] = x[99]
+    ids, q = rng.permutation(500), near[None, :].astype(np.float32)
+    codes = np.repeat(index.encode(x[:1])[1], 500, 0)
+    _, found, score = next(index.search(np.array([-1]), q, 0, ids, codes, x, 20))
+    exact = (x.astype(float) * q.astype(float)).sum(1)
+    want = np.lexsort((ids, -exact))[:20]
+    assert found.tolist() == ids[want].tolist() and np.allclose(score, exact[want])

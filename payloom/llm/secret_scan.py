@@ -32,7 +32,8 @@ LEAST = 6
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|credential|private[_-]?key|auth|bearer|signature", re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Characters after a sensitive word in which a candidate may start, and of context on either side of it.
 REACH, AROUND = 48, 160
 #: Marginal compressed bytes for each byte of a candidate from which it is novel. Random base64 takes about 0.75 and more.
@@ -91,16 +92,13 @@ def novel_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates within REACH of a sensitive word whose characters are of two kinds at least and that are novel."""
     found, done = [], 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH)):
+        at = max(done, word.end())  # what is before was measured
+        while m := CANDIDATE.search(text, at, word.end() + REACH + SHORTEST):
             start = m.start()
-            if start > done and start > word.end() and re.match(r"[A-Za-z0-9+/_=-]", text[start - 1]):
-                continue
-            end = CANDIDATE.match(text, start).end()  # whole, even beyond REACH
-            done = end
+            at = done = end = CANDIDATE.match(text, start).end()  # whole, even beyond REACH
             s = text[start:end]
             if sum(bool(re.search(kind, s)) for kind in ("[a-z]", "[A-Z]", "[0-9]")) >= 2 and novelty(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVEL:
                 found.append(("novel", start, end))
-            break
     return found
 
 

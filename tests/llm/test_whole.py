@@ -104,3 +104,21 @@ def test_vectors_with_the_same_codes_are_all_scored():
     exact = (x.astype(float) * q.astype(float)).sum(1)
     want = np.lexsort((ids, -exact))[:20]
     assert found.tolist() == ids[want].tolist() and np.allclose(score, exact[want])
+
+
+# op7_secret_scan.
+
+
+def test_every_run_after_a_sensitive_word_is_measured():
+    rng = random.Random(41)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(10):
+        a, b = ("".join(rng.choice(letters) for _ in range(32)) for _ in "ab")
+        for text, keys in (
+            (f'client_secret_production_value = "{a}"', [a]),
+            (f"credential: {a}, {b}", [a, b]),
+            (f"signature{' ' * 47}{a}", [a]),
+            (f"signature{' ' * 48}{a} {b}", [a]),
+            (f"signature{' ' * 49}{a}", []),
+        ):
+            assert secret_scan.novel_spans(text) == [("novel", text.index(k), text.index(k) + 32) for k in keys], text

@@ -68,7 +68,7 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The fixed patterns' spans, by start, then kind; value is the entity, left and right what stands beside it."""
+    """The fixed patterns' spans, by start, then kind; value is the entity, left and right the NEAR code points beside it."""
     kinds = [F.when(_gate(kind, text), _spans(k, kind, pattern, text)).otherwise(F.array().cast(SPAN)) for k, (kind, pattern) in enumerate(PATTERNS)]
     return F.array_sort(F.coalesce(F.concat(*kinds), F.array().cast(SPAN)))
 
@@ -79,7 +79,9 @@ def _gate(kind: str, text: Column) -> Column:
 
 def _spans(k: int, kind: str, pattern: str, text: Column) -> Column:
     def shaped(s: Column) -> Column:
-        beside = F.right(s["left"], F.lit(NEAR)).alias("left"), F.substring(s["right"], 1, NEAR).alias("right")
+        # of the whole text: other matches, those that fail too, may stand between an entity and a term
+        before = F.least(s["start"], F.lit(NEAR))
+        beside = F.substring(text, (s["start"] - before + 1).cast("int"), before.cast("int")).alias("left"), F.substring(text, (s["end"] + 1).cast("int"), F.lit(NEAR)).alias("right")
         return F.struct(s["start"].alias("start"), F.lit(k).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), _entity(kind, s["value"]).alias("value"), *beside)
 
     return F.transform(F.filter(located(text, pattern), lambda s: _valid(kind, s["value"])), shaped).cast(SPAN)

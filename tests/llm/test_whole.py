@@ -122,3 +122,24 @@ def test_every_run_after_a_sensitive_word_is_measured():
             (f"signature{' ' * 49}{a}", []),
         ):
             assert secret_scan.novel_spans(text) == [("novel", text.index(k), text.index(k) + 32) for k in keys], text
+
+
+# op2_pii.
+
+
+def test_terms_beyond_another_match_reveal(docs):
+    about = "wilhelmina, age 42, card 4111 1111 1111 1111 is here"
+    mails = "zanzibar of some@corp.example and then bob@corp.example is here"
+    texts = [about] * 5 + [mails] * 5 + [f"plain words of {w} only, age 42, card and then some" for w in "abcdefghijklmnopqrstuvwxyz"]
+    got = {r.doc_id: r.spans for r in pii.find(docs(*texts)).collect()}
+    assert got[0] == "removed:0:10,card:25:44" and got[9].startswith("removed:0:8,email:12:29")
+    assert pii.sanitise(docs(*texts)).where("doc_id = 0").first().text == ", age 42, card [CARD] is here"
+
+
+def test_what_stands_beside_a_span_is_of_the_whole_text(spark):
+    rng = random.Random(42)
+    bits = ["a@b.c", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "42", "é😀", "word", ", ", "+1 (234) 567-8901"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(100)]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.base_spans(F.col("text")).alias("spans")).collect():
+        for s in r.spans:
+            assert s.left == r.text[max(0, s.start - pii.NEAR) : s.start] and s.right == r.text[s.end : s.end + pii.NEAR]

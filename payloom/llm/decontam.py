@@ -2,15 +2,17 @@
 
 A mask of SPAN positions selects some and ignores the others, so that a hash of the selected words of a window is the
 same with any words at the ignored positions. Windows of the documents and of the benchmark whose hashes agree under one
-of the masks are hits; around a hit, the words on the same diagonal are compared, MARGIN words beyond it on either side
-as far as the benchmark item goes, and the document is contaminated where AGREE of them are the same.
+of the masks are hits; around a hit, the words on the same diagonal are compared, up to MARGIN words beyond it on either
+side as far as the benchmark item goes, and the document is contaminated where AGREE of the words of some stretch that
+holds the hit are the same. So a passage of SPAN words counts, wherever it stands in its item. (contaminated() can also
+be asked for the longest stretch alone.) An item of fewer than SPAN words is hit where all its words stand in a row.
 
 A Bloom filter of the benchmark's leading pairs of words, which all masks select, and one of its masked hashes stand in
 the plan, with a bound on their size, so that only windows that may hit leave their row. What passes is joined with the
 benchmark exactly; no document's text is shuffled.
 
-Words are runs of letters and digits in lower case. Defined cases: a null or empty text has no words; an item of fewer
-than SPAN words cannot be hit; an empty benchmark contaminates nothing; rows repeated with one doc_id, or items with one
+Words are runs of letters and digits in lower case. Defined cases: a null or empty text has no words; an item without
+words cannot be hit; an empty benchmark contaminates nothing; rows repeated with one doc_id, or items with one
 item_id, are reported once; rows whose doc_id is null are never reported; other columns are ignored, and kept by
 decontaminate().
 """
@@ -94,8 +96,45 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_hits and agreement (the best hit's share of equal words) of each document and item that overlap."""
+def _share(same: Column) -> Column:
+    return F.aggregate(same, F.lit(0), lambda a, x: a + x) / F.size(same)
+
+
+def _best(same: Column, before: Column) -> Column:
+    """The largest share of ones in a stretch that holds the hit, which begins after `before` places."""
+    ends = F.sequence(before + SPAN, F.size(same))
+    shares = F.transform(F.sequence(F.lit(0), before), lambda i: F.array_max(F.transform(ends, lambda j: _share(F.slice(same, i + 1, j - i)))))
+    return F.array_max(shares)
+
+
+def _key(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
+def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """doc_id, item_id, agreement (1) of each place where a whole item of fewer than SPAN words stands; None without such items."""
+    items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("words"))
+    items = cut(items.where((F.size("words") > 0) & (F.size("words") < SPAN)).distinct().withColumn("key", _key(F.col("words"))))
+    lengths = sorted(r["n"] for r in items.select(F.size("words").alias("n")).distinct().collect())  # SPAN - 1 rows at most
+    if not lengths:
+        return None
+    first = Filter(items.select(F.get("words", F.lit(0))))
+    keys = Filter(items.select("key"))
+
+    def runs(h: Column) -> Column:
+        begun = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: first.may_hold(F.get(h, i)))
+        here = lambda i: F.array(*(F.when(i + n <= F.size(h), F.slice(h, i + 1, F.lit(n))) for n in lengths))
+        return F.filter(F.flatten(F.transform(begun, here)), lambda w: w.isNotNull() & keys.may_hold(_key(w)))
+
+    found = docs.where(F.size("h") > 0).select("doc_id", F.explode(runs(F.col("h"))).alias("words"))
+    return found.join(bounded(items.select("item_id", "words"), 200_000), "words").select("doc_id", "item_id", F.lit(1.0).alias("agreement"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False) -> DataFrame:
+    """doc_id, item_id, n_hits and agreement (the best hit's share of equal words) of each document and item that overlap.
+
+    With stretches, a hit's share is that of the best stretch of SPAN words or more around it, and short items count.
+    """
     known = cut(windows(benchmark))
     pairs, hashes = Filter(known.select("pair")), Filter(known.select("hash"))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
@@ -112,19 +151,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select("doc_id", F.col("x.mask").alias("mask"), F.col("x.hash").alias("hash"), F.least("x.i", F.lit(MARGIN)).alias("own_before"), _around(F.col("h"), F.col("x.i")).alias("own"))
     seeds = bounded(known.drop("pair"), 200_000)
     both = found.join(seeds, ["mask", "hash"])
-    same = F.aggregate(F.transform("around", lambda w, t: F.when(F.get("own", t - F.col("before") + F.col("own_before")) == w, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    checked = both.select("doc_id", "item_id", (same / F.size("around")).alias("agreement")).where(F.col("agreement") >= AGREE)
+    same = F.transform("around", lambda w, t: F.coalesce(F.get("own", t - F.col("before") + F.col("own_before")) == w, F.lit(False)).cast("int"))
+    both = both.select("doc_id", "item_id", "before", same.alias("same"))
+    agreement = _best(F.col("same"), F.col("before")) if stretches else _share(F.col("same"))
+    checked = both.select("doc_id", "item_id", agreement.alias("agreement")).where(F.col("agreement") >= AGREE)
+    short = _short(rows, benchmark) if stretches else None
+    checked = checked if short is None else checked.unionByName(short)
     return checked.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("agreement").alias("agreement"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    bad = bounded(cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__payloom_id")).distinct()))
+    bad = bounded(cut(contaminated(docs, benchmark, stretches=True).select(F.col("doc_id").alias("__payloom_id")).distinct()))
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("__payloom_id"), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stretches=True)
 
 
 QUERIES = {"op3_decontamination": op3_decontamination}

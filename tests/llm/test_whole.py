@@ -143,3 +143,29 @@ def test_what_stands_beside_a_span_is_of_the_whole_text(spark):
     for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.base_spans(F.col("text")).alias("spans")).collect():
         for s in r.spans:
             assert s.left == r.text[max(0, s.start - pii.NEAR) : s.start] and s.right == r.text[s.end : s.end + pii.NEAR]
+
+
+# op3_decontamination.
+
+
+def test_passages_of_items_are_found(spark, docs):
+    rng = random.Random(51)
+    item, short = words(rng, 60), words(rng, 5)
+    texts, want = [], set()
+    for n in range(12, 24):
+        for at in (0, 20, 60 - n):
+            want.add((len(texts), 0))
+            texts.append(" ".join([*words(rng, 10), *item[at : at + n], *words(rng, 10)]))
+    for places in ((3, 7), (3, 7, 13)):  # 12 words with two changed, 15 with three
+        w = item[20 : 20 + (12 if len(places) == 2 else 15)]
+        for p in places:
+            w[p] = "other"
+        texts.append(" ".join([*words(rng, 10), *w, *words(rng, 10)]))
+    changed = {(len(texts) - 2, 0), (len(texts) - 1, 0)}
+    want |= {(len(texts), 1), (len(texts) + 1, 1)}
+    texts += [" ".join([*words(rng, 9), *short, *words(rng, 9)]), " ".join(short).upper()]
+    texts += [" ".join([*words(rng, 9), *short[:4], *words(rng, 9)]), " ".join([*words(rng, 9), *item[20:29], *words(rng, 9)]), " ".join(short[:3]), "", None]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short)), (2, ""), (3, None), (None, "w1")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(*texts), bench, stretches=True).collect()}
+    assert want <= set(got) <= want | changed and all(decontam.AGREE <= r.agreement <= 1 for r in got.values())
+    assert {r.doc_id for r in decontam.decontaminate(docs(*texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in got}

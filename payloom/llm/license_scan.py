@@ -58,12 +58,12 @@ FAMILIES = (
     ("odc-by", r"open data commons attribution licen[cs]e|odc by", "data commons|odc by", "1.0"),
     ("pddl", r"public domain dedication and licen[cs]e|pddl", "domain dedication|pddl", "1.0"),
     ("cc0", r"creative commons zero|cc0|cc zero", "commons zero|cc0|cc zero", "1.0"),
-    ("cc-by-nc-sa", r"(?:creative commons|cc)(?: by| attribution)? (?:nc|non ?commercial) (?:sa|share ?alike)", "cc by|creative commons", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-nd", r"(?:creative commons|cc)(?: by| attribution)? (?:nc|non ?commercial) (?:nd|no ?deriv(?:s|atives|ativeworks)?)", "cc by|creative commons", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", r"(?:creative commons|cc)(?: by| attribution) (?:sa|share ?alike)", "cc by|creative commons", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", r"(?:creative commons|cc)(?: by| attribution)? (?:nc|non ?commercial)", "cc by|creative commons", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", r"(?:creative commons|cc)(?: by| attribution)? (?:nd|no ?deriv(?:s|atives|ativeworks)?)", "cc by|creative commons", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by", r"(?:creative commons|cc)(?: by| attribution)", "cc by|creative commons", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-sa", r"(?:creative commons|cc)(?: by| attribution)? (?:nc|non ?commercial) (?:sa|share ?alike)", "cc by|cc attribution|cc nc|cc non|cc nd|cc no|creative commons", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-nd", r"(?:creative commons|cc)(?: by| attribution)? (?:nc|non ?commercial) (?:nd|no ?deriv(?:s|atives|ativeworks)?)", "cc by|cc attribution|cc nc|cc non|cc nd|cc no|creative commons", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-sa", r"(?:creative commons|cc)(?: by| attribution) (?:sa|share ?alike)", "cc by|cc attribution|cc nc|cc non|cc nd|cc no|creative commons", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc", r"(?:creative commons|cc)(?: by| attribution)? (?:nc|non ?commercial)", "cc by|cc attribution|cc nc|cc non|cc nd|cc no|creative commons", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nd", r"(?:creative commons|cc)(?: by| attribution)? (?:nd|no ?deriv(?:s|atives|ativeworks)?)", "cc by|cc attribution|cc nc|cc non|cc nd|cc no|creative commons", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by", r"(?:creative commons|cc)(?: by| attribution)", "cc by|cc attribution|cc nc|cc non|cc nd|cc no|creative commons", "1.0 2.0 2.5 3.0 4.0"),
     ("zlib", r"zlib licen[cs]e|zlib libpng licen[cs]e", "zlib", ""),
     ("bsl", r"boost software licen[cs]e", "boost software", "1.0"),
     ("unlicense", r"the unlicen[cs]e|unlicen[cs]e", "unlicen", ""),

@@ -169,3 +169,44 @@ def test_passages_of_items_are_found(spark, docs):
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(*texts), bench, stretches=True).collect()}
     assert want <= set(got) <= want | changed and all(decontam.AGREE <= r.agreement <= 1 for r in got.values())
     assert {r.doc_id for r in decontam.decontaminate(docs(*texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
+# op8_license_scan.
+
+
+def spelled(tree):
+    """All texts of a parsed expression in which nothing repeats without end."""
+    made = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            some = [chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))][:2]
+        elif op == "SUBPATTERN":
+            some = spelled(arg[3])
+        elif op == "BRANCH":
+            some = [x for branch in arg[1] for x in spelled(branch)]
+        elif op == "MAX_REPEAT":
+            inner = spelled(arg[2])
+            some = [x * n for n in range(arg[0], arg[1] + 1) for x in inner] if arg[1] == 1 else [x * arg[0] for x in inner]
+        else:
+            raise AssertionError(op)
+        made = [a + b for a in made for b in some]
+    return made
+
+
+def test_every_name_passes_its_prefilter():
+    parse = re._parser.parse
+    named = [(label, names, keywords) for label, names, keywords, _ in license_scan.FAMILIES] + [(label, text, keywords) for label, text, keywords, _ in license_scan.TEXTS]
+    for label, names, keywords in named:
+        for text in spelled(parse(names)):
+            assert any(k in text for k in keywords.split("|")), (label, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [("CC Attribution-ShareAlike 4.0", "cc-by-sa-4.0"), ("CC-NC-SA 3.0", "cc-by-nc-sa-3.0"), ("under CC-ND", "cc-by-nd"), ("CC NonCommercial", "cc-by-nc"), ("CC No Derivatives 2.0", "cc-by-nd-2.0"), ("CC Attribution", "cc-by")],
+)
+def test_creative_commons_without_by(text, labels):
+    assert license_scan.scan(text)[5] == labels

@@ -174,7 +174,7 @@ def merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """u, v: links between reps of nodes(fp, rep), enough to connect whatever is within the radius."""
-    return _linked(nodes.select("fp", F.lit(0).cast("long").alias("fp2"), "rep"), masks(RADIUS), radius, 128, split)
+    return _linked(nodes.select("fp", F.lit(0).cast("long").alias("fp2"), "rep"), masks(radius), radius, 128, split)
 
 
 def candidates(nodes: DataFrame, split: int = SPLIT) -> DataFrame:

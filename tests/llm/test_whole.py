@@ -210,3 +210,22 @@ def test_every_name_passes_its_prefilter():
 )
 def test_creative_commons_without_by(text, labels):
     assert license_scan.scan(text)[5] == labels
+
+
+# op4_simhash.
+
+
+@pytest.mark.parametrize("radius", [0, 4, 6, 9])
+def test_links_lose_nothing_at_any_radius(spark, radius):
+    rng, fps = random.Random(61), set()
+    for _ in range(40):
+        base = rng.getrandbits(63)
+        fps |= {base, base ^ sum(1 << b for b in rng.sample(range(63), radius)), base ^ sum(1 << b for b in rng.sample(range(63), radius + 1))}
+    fps = sorted(fps)
+    named = {r.node: r.component for r in graph.components(simhash.links(spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long"), radius)).collect()}
+    want = np.arange(len(fps))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                simhash.merge(want, np.array([i]), np.array([j]))
+    assert [named.get(i, i) for i in range(len(fps))] == want.tolist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,6 @@ from ..functions.columns import elements, json_type, member, members
 from ..functions.names import binding_status_col, in_range_col, short_name_col
 from ..model import ENVELOPE
 
-#: Steps from the root that are followed at most; a graph has far fewer, and cycles end where nothing new is reached.
-MAX_DEPTH = 100
-
 
 def capability_rows(payloads: DataFrame, key: str, v: Column) -> DataFrame:
     """key, ord, name, version, schema_url, extends, fault: the first version of each capability of a payload.
@@ -66,12 +65,15 @@ def orphans(caps: DataFrame, key: str) -> DataFrame:
     Graphs are walked downwards from their roots, one step a round, each round a join of what is new with the edges;
     it ends when nothing new is reached, so cycles do no harm.
     """
+    context = caps.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # a plan that is not cut grows with each round
+        context.setCheckpointDir(caps.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="payloom-checkpoint-"))
     below = edges(caps, key)
     reached = caps.where("extends is null").select(key, "name")
     new = reached
-    for _ in range(MAX_DEPTH):
+    while True:
         new = below.join(new.withColumnRenamed("name", "parent"), [key, "parent"]).select(key, "name").distinct().join(reached, [key, "name"], "left_anti")
-        new = new.checkpoint() if caps.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = new.checkpoint()
         if new.isEmpty():
             break
         reached = reached.unionByName(new)

@@ -229,3 +229,13 @@ def test_links_lose_nothing_at_any_radius(spark, radius):
             if (fps[i] ^ fps[j]).bit_count() <= radius:
                 simhash.merge(want, np.array([i]), np.array([j]))
     assert [named.get(i, i) for i in range(len(fps))] == want.tolist()
+
+
+# graph_reaches_root.
+
+
+def test_long_ways_to_the_root(spark, monkeypatch):
+    monkeypatch.setattr(capabilities, "MAX_DEPTH", 3, raising=False)
+    rows = [(1, "c0", None)] + [(1, f"c{i}", [f"c{i - 1}"]) for i in range(1, 9)] + [(1, "x", ["y"]), (1, "y", ["x"]), (2, "c1", ["c0"])]
+    caps = spark.createDataFrame(rows, "key int, name string, extends array<string>")
+    assert {tuple(r) for r in capabilities.orphans(caps, "key").collect()} == {(1, "x"), (1, "y"), (2, "c1")}

@@ -153,7 +153,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False)
     both = found.join(seeds, ["mask", "hash"])
     same = F.transform("around", lambda w, t: F.coalesce(F.get("own", t - F.col("before") + F.col("own_before")) == w, F.lit(False)).cast("int"))
     both = both.select("doc_id", "item_id", "before", same.alias("same"))
-    agreement = _best(F.col("same"), F.col("before")) if stretches else _share(F.col("same"))
+    best = let(F.col("same"), lambda s: F.when(F.forall(s, lambda x: x == 1), 1.0).otherwise(_best(s, F.col("before"))))
+    agreement = best if stretches else _share(F.col("same"))
     checked = both.select("doc_id", "item_id", agreement.alias("agreement")).where(F.col("agreement") >= AGREE)
     short = _short(rows, benchmark) if stretches else None
     checked = checked if short is None else checked.unionByName(short)

@@ -41,6 +41,8 @@ SPLIT = 4096
 WORDS, LEAST = 5, 0.8
 #: Buckets of a 128-bit fingerprint and their bits. At LEAST, 64 bits differ in 10 +- 3 and 128 in 19 +- 4.
 TABLES, KEY_BITS, HALF, BOTH = 64, 14, 19, 33
+#: Tables whose links unite groups before those of the others are made.
+FIRST = 4
 #: Texts of a group of candidates that meet in a task are twice as many at most.
 MEET = 512
 #: Rows compared at once in a task, and shingles whose bits are counted at once.
@@ -178,8 +180,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
 
 
 def candidates(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
-    """u, v: links between reps of nodes(fp, fp2, rep) that connect what may be similar."""
-    return _linked(nodes.select("fp", "fp2", "rep"), sampled(), HALF, BOTH, split)
+    """node, component of the nodes(fp, fp2, rep) that may be similar to another.
+
+    The first tables unite most of a large group; the others then give the links between groups alone, not one for each
+    node and table.
+    """
+    by = sampled()
+    begun = cut(components(_linked(nodes.select("fp", "fp2", "rep"), by[:FIRST], HALF, BOTH, split)))
+    grouped = nodes.join(begun, nodes["rep"] == begun["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("rep"))
+    more = _linked(grouped, by[FIRST:], HALF, BOTH, split)
+    return components(begun.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def _linked(nodes: DataFrame, by: list[tuple[int, int]], radius: int, both: int, split: int) -> DataFrame:
@@ -221,14 +231,17 @@ def _linked(nodes: DataFrame, by: list[tuple[int, int]], radius: int, both: int,
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         fps, reps = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
         more = rows.column("fp2").to_numpy().view(np.uint64)
-        label = np.arange(len(fps))
-        for i, j in near(fps, _starts(rows), radius):
+        starts = _starts(rows)
+        first, same = np.unique(np.stack((starts, reps)), axis=1, return_index=True, return_inverse=True)[1:]
+        label = first[same.ravel()]  # what has one rep in a bucket is linked
+        for i, j in near(fps, starts, radius):
             close = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(more[i] ^ more[j]) <= both
             merge(label, i[close], j[close])
         least = reps.copy()
         np.minimum.at(least, label, reps)
         v = least[label]
-        yield pa.RecordBatch.from_arrays([pa.array(reps[v != reps]), pa.array(v[v != reps])], ["u", "v"])
+        u, v = np.unique(np.stack((reps, v))[:, v != reps], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     dealt = keyed.repartition(shuffle_partitions(spark), *cell).sortWithinPartitions(*cell)
     return dealt.mapInArrow(linked, "u long, v long")
@@ -317,7 +330,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row of docs(doc_id, text): texts are linked whose sets of WORDS words have similarity LEAST."""
     rows = cut(sketches(docs))
     nodes = cut(rows.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
-    groups = cut(components(candidates(nodes.where("rep is not null"))))
+    groups = cut(candidates(nodes.where("rep is not null")))
     named = components(verified(docs, groups))
     classes = nodes.join(named, nodes["rep"] == named["node"], "left").select("same", "same2", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, ["same", "same2"]).select("doc_id", "component_id")

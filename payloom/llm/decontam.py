@@ -127,7 +127,7 @@ def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
         return F.filter(F.flatten(F.transform(begun, here)), lambda w: w.isNotNull() & keys.may_hold(_key(w)))
 
     found = docs.where(F.size("h") > 0).select("doc_id", F.explode(runs(F.col("h"))).alias("words"))
-    return found.join(bounded(items.select("item_id", "words"), 200_000), "words").select("doc_id", "item_id", F.lit(1.0).alias("agreement"))
+    return found.join(bounded(items.select("item_id", "words")), "words").select("doc_id", "item_id", F.lit(1.0).alias("agreement"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False) -> DataFrame:
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False)
 
     found = rows.select("doc_id", "h", F.explode(hits(F.col("h"))).alias("x"))
     found = found.select("doc_id", F.col("x.mask").alias("mask"), F.col("x.hash").alias("hash"), F.least("x.i", F.lit(MARGIN)).alias("own_before"), _around(F.col("h"), F.col("x.i")).alias("own"))
-    seeds = bounded(known.drop("pair"), 200_000)
+    seeds = bounded(known.drop("pair"))
     both = found.join(seeds, ["mask", "hash"])
     same = F.transform("around", lambda w, t: F.coalesce(F.get("own", t - F.col("before") + F.col("own_before")) == w, F.lit(False)).cast("int"))
     both = both.select("doc_id", "item_id", "before", same.alias("same"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, joined_hot
 
 MAX_ROUNDS = 60
 
@@ -14,20 +14,21 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges(u, v).
 
     Each round points nodes at the smallest neighbour: first those above a node (large star), then the rest (small
-    star). Groups are never gathered: the smallest neighbour is an aggregate, and goes back by a join that Spark can
-    split. Rounds grow with the logarithm of the longest path.
+    star). Groups are never gathered: the smallest neighbour is an aggregate, and goes back to a node of very many edges
+    by a broadcast, to the others by a shuffle. Rounds grow with the logarithm of the longest path.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state = edges.count(), None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = joined_hot(both, least, ["u"], 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = joined_hot(large, least, ["u"], large.count())
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").distinct().toDF("node", "component"))
         state = now

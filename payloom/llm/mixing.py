@@ -28,7 +28,7 @@ SEED = 17
 #: Share of all tokens that the mixture has, and how often a document may be used at most.
 BUDGET_SHARE, EPOCHS = 0.5, 2
 #: Documents of a bucket, on average.
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 1000
 DOMAINS = ("web", "code", "books", "wiki")
 DOMAIN_WEIGHTS = {"web": 0.4, "code": 0.2, "books": 0.25, "wiki": 0.15}
 LANG_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
@@ -82,43 +82,68 @@ def budgets(leaves: DataFrame, budget: Column, epochs: int = EPOCHS, domain_weig
     return found.select("domain", "lang", "source", "n_docs", "n_tokens", "capacity", "share")
 
 
+#: What a use of a document is called while rows of any columns are carried with it.
+_LEAF = ["__mix_domain", "__mix_lang", "__mix_source"]
+
+
 def _order(seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("__mix_epoch"), F.coalesce(F.col("__mix_id"), F.lit(""))).cast("binary"))
+
+
+def _named(docs: DataFrame, carried: Column) -> DataFrame:
+    """The leaf, the id as text and the tokens of each row, and what is carried along."""
+    name = lambda c: F.coalesce(F.col(c), F.lit(""))
+    leaf = domain_of(name("source")), name("lang"), name("source")
+    return docs.select(*(c.alias(n) for c, n in zip(leaf, _LEAF, strict=True)), F.col("doc_id").cast("string").alias("__mix_id"), token_count(F.col("text")).alias("__mix_tokens"), carried.alias("__mix_row"))
+
+
+def _taken(narrow: DataFrame, wide: DataFrame, ties: list[Column], seed: int, budget_share: float, epochs: int, domain_weights, lang_weights, source_weights) -> DataFrame:
+    """The rows of wide in the mixture, once for each use, with __mix_epoch. narrow: the same rows, cut; ties: what orders rows of one id."""
+    public = ["domain", "lang", "source"]
+    leaves = cut(narrow.groupBy(*_LEAF).agg(F.count("*").alias("n_docs"), F.sum("__mix_tokens").alias("n_tokens")))
+    wanted = leaves.select(*(F.col(c).alias(n) for c, n in zip(_LEAF, public, strict=True)), "n_docs", "n_tokens")
+    wanted = budgets(wanted, F.col("all_tokens") * F.lit(float(budget_share)), epochs, domain_weights or DOMAIN_WEIGHTS, lang_weights or LANG_WEIGHTS, source_weights)
+    leaf = [F.col(n).alias(c) for c, n in zip(_LEAF, public, strict=True)]
+    wanted = bounded(cut(wanted.select(*leaf, F.floor("share").alias("__mix_share"), F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("__mix_buckets"))))  # a row for each source
+
+    def placed(rows: DataFrame) -> DataFrame:
+        used = rows.join(wanted, _LEAF).withColumn("__mix_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+        used = used.withColumn("__mix_order", _order(seed))
+        part = F.conv(F.substring("__mix_order", 1, 8), 16, 10).cast("long")
+        return used.withColumn("__mix_bucket", F.floor(part * F.col("__mix_buckets") / F.lit(float(1 << 32))))
+
+    bucket = [*_LEAF, "__mix_epoch", "__mix_bucket"]
+    sums = placed(narrow).groupBy(*bucket, "__mix_share").agg(F.sum("__mix_tokens").alias("in_bucket"))
+    upto = Window.partitionBy(*_LEAF).orderBy("__mix_epoch", "__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__mix_left", F.col("__mix_share") - F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
+    # a bucket counts if the prefix reaches it; it is whole if it fits
+    sums = bounded(cut(sums.where("__mix_left >= 0").select(*bucket, "__mix_left", (F.col("in_bucket") <= F.col("__mix_left")).alias("__mix_whole"))))
+    reached = placed(wide).join(sums, bucket)
+    within = Window.partitionBy(*bucket).orderBy("__mix_order", "__mix_id", "__mix_tokens", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    some = reached.where(~F.col("__mix_whole")).withColumn("__mix_upto", F.sum("__mix_tokens").over(within)).where("__mix_upto <= __mix_left")
+    return reached.where("__mix_whole").unionByName(some.drop("__mix_upto"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
     """doc_id, domain, lang, source, epoch, n_tokens of every use of a document."""
-    name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = cut(docs.select("doc_id", domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), token_count(F.col("text")).alias("n_tokens")))
-    leaf = ["domain", "lang", "source"]
-    leaves = cut(rows.groupBy(*leaf).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
-    wanted = budgets(leaves, F.col("all_tokens") * F.lit(float(budget_share)), epochs, domain_weights or DOMAIN_WEIGHTS, lang_weights or LANG_WEIGHTS, source_weights)
-    wanted = bounded(cut(wanted.select(*leaf, F.floor("share").alias("share"), F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("buckets"))))  # a row for each source
-    used = rows.join(wanted, leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    used = used.withColumn("order", _order(seed))
-    part = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
-    used = used.withColumn("bucket", F.floor(part * F.col("buckets") / F.lit(float(1 << 32))))
-    sums = used.groupBy(*leaf, "epoch", "bucket", "share").agg(F.sum("n_tokens").alias("in_bucket"))
-    upto = Window.partitionBy(*leaf).orderBy("epoch", "bucket")
-    sums = sums.withColumn("left", F.col("share") - F.coalesce(F.sum("in_bucket").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A bucket counts if the prefix reaches it; it is whole if it fits.
-    sums = cut(sums.where("left >= 0").select(*leaf, "epoch", "bucket", "left", (F.col("in_bucket") <= F.col("left")).alias("whole")))
-    columns = ["doc_id", *leaf, "epoch", "n_tokens"]
-    placed = used.drop("share", "buckets").join(sums, [*leaf, "epoch", "bucket"])
-    whole = placed.where("whole").select(*columns)
-    within = Window.partitionBy(*leaf, "epoch", "bucket").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    some = placed.where(~F.col("whole")).withColumn("__upto", F.sum("n_tokens").over(within)).where("__upto <= left").select(*columns)
-    return whole.unionByName(some)
-
-
-def mixture(docs: DataFrame, **how) -> DataFrame:
+    rows = cut(_named(docs, F.col("doc_id")))
+    uses = _taken(rows, rows, [], seed, budget_share, epochs, domain_weights, lang_weights, source_weights)
+    return uses.select(F.col("__mix_row").alias("doc_id"), *(F.col(c).alias(c.removeprefix("__mix_")) for c in [*_LEAF, "__mix_epoch"]), F.col("__mix_tokens").alias("n_tokens"))
+
+
+def mixture(docs: DataFrame, seed: int = SEED, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
     """The rows of docs in the mixture, once for each use, with all their columns and mix_domain, mix_epoch, mix_tokens.
 
-    Rows repeated with one doc_id come in together. Columns of docs with these three names are replaced.
+    Rows are carried along as they are and never joined back by doc_id: each of several rows with one doc_id, or with
+    none, is taken or left by itself, the one of fewer tokens, then of the smaller text, first. Texts stay where they
+    are, but for those of the one bucket of a leaf that holds its cut. Columns of docs with these three names are replaced.
     """
-    uses = mix(docs, **how).select(F.col("doc_id").alias("__payloom_id"), F.col("domain").alias("mix_domain"), F.col("epoch").alias("mix_epoch"), F.col("n_tokens").alias("mix_tokens"))
-    uses = bounded(cut(uses.distinct()))
-    return docs.drop("mix_domain", "mix_epoch", "mix_tokens").join(uses, F.col("doc_id").eqNullSafe(F.col("__payloom_id"))).drop("__payloom_id")
+    docs = docs.drop("mix_domain", "mix_epoch", "mix_tokens")
+    narrow = cut(_named(docs, F.lit(None).cast("string")))
+    wide = _named(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    uses = _taken(narrow, wide, [F.col("__mix_row.text")], seed, budget_share, epochs, domain_weights, lang_weights, source_weights)
+    own = [F.col(c).alias(n) for c, n in (("__mix_domain", "mix_domain"), ("__mix_epoch", "mix_epoch"), ("__mix_tokens", "mix_tokens"))]
+    return uses.select("__mix_row.*", *own)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,21 @@ def test_mixture_buckets_do_not_change_it(docs, monkeypatch):
     assert sorted(map(tuple, mixing.mix(docs(*texts)).collect())) == whole
 
 
+def test_mixture_carries_rows(docs):
+    """Rows without a doc_id, or that share one, are taken by themselves; those of mixture() are those of mix()."""
+    rng = random.Random(17)
+    texts = [(None, " ".join("w" for _ in range(rng.randint(0, 9)))) for _ in range(40)] + [(7, f"{'v ' * rng.randint(0, 9)}{i}") for i in range(40)] + [(i, "a b c") for i in range(10, 60)] * 2
+    found = docs(*texts, extra={"order": F.lit(1), "bucket": F.lit("b"), "whole": F.lit(2)})
+    for share in (0.3, 0.8, 3.0):
+        rows = mixing.mixture(found, budget_share=share).collect()
+        uses = mixing.mix(found, budget_share=share).collect()
+        assert Counter((r.doc_id, r.mix_epoch, r.mix_tokens) for r in rows) == Counter((r.doc_id, r.epoch, r.n_tokens) for r in uses)
+        have = Counter((i, t) for i, t in texts)
+        assert all(n <= have[i, t] for (i, t, _), n in Counter((r.doc_id, r.text, r.mix_epoch) for r in rows).items())
+        assert all(r.mix_tokens == len(r.text.split()) and r.order == 1 and r.bucket == "b" for r in rows)
+    assert len(rows) == 2 * len(texts)
+
+
 def test_mixture_edges(docs):
     assert mixing.mix(docs()).count() == 0 and mixing.mixture(docs()).count() == 0
     found = docs(*[(i, "a b c") for i in range(20)], extra={"mix_epoch": F.lit("x"), "epoch": F.lit(1)}).withColumn("lang", F.lit(None).cast("string"))

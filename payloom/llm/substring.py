@@ -3,9 +3,13 @@
 A document's words are hashed, and the windows' polynomial hashes (modulo 2^64, odd base) follow from prefix sums. A
 task counts the windows of a chunk of documents first: of equal ones only the first goes on, the others are removed
 already, so that a window of very many documents is a row for each chunk. Windows are dealt by their hash's leading bits
-into buckets, as packed columns and not row by row; a bucket, some million windows at most at the set number of
-partitions, tells which first window of all chunks comes first, and all others' words are removed. Removed windows go to
-their documents as merged intervals, and the words outside them are kept.
+into buckets, as packed columns and not row by row; a bucket tells which first window of all chunks comes first, and all
+others' words are removed. Removed windows go to groups of documents, where they merge into one row of intervals for each
+document; that row is joined with the text, and the words outside the intervals are kept.
+
+There are as many buckets and groups as the texts' bytes ask for (a window takes two bytes of text at least), so that
+none has more than BUCKET windows, whatever the table's size, but for chunks that repeat one window; partitions grow with
+them. Texts are only ever held in batches.
 
 Two different windows are taken for equal with a chance of 2^-64 a pair.
 
@@ -27,13 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import bounded, cut, shuffle_partitions, table
 
 WINDOW = 20
 #: Odd; its inverse modulo 2^64 turns sums from a text's start into sums from a window's start.
 BASE = 0xD6E8FEB86659FD93
-#: Windows that a task counts together.
-CHUNK = 1 << 21
+#: Windows that a task counts together, and windows of a bucket at most.
+CHUNK, BUCKET = 1 << 21, 1 << 21
+#: Numbers from which packed columns are compressed.
+COMPRESSED = 64
 INTERVALS = 1
 
 
@@ -65,14 +71,15 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers, compressed byte plane by byte plane: of sorted and small ones little is left."""
-    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
-    return len(columns[0]).to_bytes(8, "little") + zstandard.compress(planes, 1)
+    """Columns of numbers, byte plane by byte plane and compressed: of sorted and small ones little is left. A few stay as they are."""
+    n = len(columns[0])
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(n, -1).T).tobytes() for c in columns)
+    return n.to_bytes(8, "little") + (zstandard.compress(planes, 1) if n >= COMPRESSED else planes)
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     n, at, found = int.from_bytes(data[:8], "little"), 0, []
-    planes = zstandard.decompress(data[8:])
+    planes = zstandard.decompress(data[8:]) if n >= COMPRESSED else data[8:]
     for kind in kinds:
         size = np.dtype(kind).itemsize
         found.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
@@ -154,8 +161,11 @@ def _counted(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(counted, "bucket int, kind int, data binary")
 
 
-def removals(docs: DataFrame, buckets: int, groups: int, size: int = WINDOW) -> DataFrame:
-    """group, data: packed intervals of words to remove, by the documents' group."""
+def removals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, data: the packed maximal intervals of words to remove of each document that loses some."""
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << (max(1, -(-text_bytes // (2 * BUCKET))) - 1).bit_length()
+    partitions = max(shuffle_partitions(docs.sparkSession), buckets)
 
     def later(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, start, end = [], [], []
@@ -171,60 +181,60 @@ def removals(docs: DataFrame, buckets: int, groups: int, size: int = WINDOW) ->
             doc, start, end = [*doc, d], [*start, s], [*end, e]
         d, s, e = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (doc, start, end))
         d, s, e = intervals(d, s, e - s)
-        group = _group(d, groups)
+        group = _group(d, buckets)
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(groups + 1))
-        rows = [(k, pack(d[p], s[p].astype(np.int32), e[p].astype(np.int32))) for k in range(groups) if len(p := order[ends[k] : ends[k + 1]])]
-        return pd.DataFrame(rows, columns=["group", "data"]).astype({"group": np.int32})
+        begins = np.flatnonzero(np.diff(group[order], prepend=-1))
+        rows = [(int(group[p[0]]), pack(d[p], s[p].astype(np.int32), e[p].astype(np.int32))) for p in np.split(order, begins[1:]) if len(p)]
+        return pd.DataFrame(rows, columns=["group", "data"]).astype({"group": np.int64})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, s, e = (np.concatenate(c) for c in zip(*(unpack(x, np.int64, np.int32, np.int32) for x in pdf["data"]), strict=True))
+        d, s, e = intervals(d, s.astype(np.int64), (e - s).astype(np.int64))
+        begins = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        parts = zip(np.split(s.astype(np.int32), begins[1:]), np.split(e.astype(np.int32), begins[1:]), strict=True)
+        return pd.DataFrame({"doc_id": d[begins], "data": [pack(a, b) for a, b in parts]})
 
-    return _counted(docs, buckets, size).groupBy("bucket").applyInPandas(later, "group int, data binary")
+    counted = _counted(docs, buckets, size).repartition(partitions, "bucket").groupBy("bucket").applyInPandas(later, "group long, data binary")
+    return counted.repartition(partitions, "group").groupBy("group").applyInPandas(merged, "doc_id long, data binary")
 
 
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
-    """What F.pmod(F.xxhash64(doc), groups) gives."""
-    ids, at = np.unique(doc, return_inverse=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(int(d).to_bytes(8, "little", signed=True), 42) for d in ids), np.uint64, len(ids))
-    return (hashes.view(np.int64) % groups)[at] if len(ids) else np.empty(0, np.int64)
+    """The leading bits of a product; groups is a power of two."""
+    mixed = (doc.astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(65 - groups.bit_length())).astype(np.int64) if groups > 1 else np.zeros(len(doc), np.int64)
 
 
 def deduplicate(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (text) of every row of docs(doc_id, text)."""
-    return _kept(docs, "doc_id long, n_words long, n_removed long, kept string", lambda kept: kept.decode("utf-8", "replace"), size)
+    return _kept(docs, "kept", lambda kept: kept.decode("utf-8", "replace"), size)
 
 
-def _kept(docs: DataFrame, schema: str, last, size: int) -> DataFrame:
-    # as many buckets as partitions, or up to twice as many: a bucket sends each group of documents one row at most
-    groups = shuffle_partitions(docs.sparkSession)
-    buckets = 1 << (groups - 1).bit_length()
+def _kept(docs: DataFrame, name: str, last, size: int) -> DataFrame:
+    names = ["doc_id", "n_words", "n_removed", name]
 
-    def cleaned(texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        d, s, e = ([np.concatenate(c) for c in zip(*(unpack(x, np.int64, np.int32, np.int32) for x in gone["data"]), strict=True)] if len(gone) else [np.empty(0, np.int64)] * 3)
-        d, s, e = intervals(d, s, e - s)
-        rows = []
-        known = texts["doc_id"].notna()
-        for here, doc, text in zip(known, texts["doc_id"], texts["text"], strict=True):
-            words = words_of(text)
-            keep, removed, at = [], 0, 0
-            a, b = (np.searchsorted(d, int(doc)), np.searchsorted(d, int(doc), "right")) if here else (0, 0)
-            for k in range(a, b):
-                keep += words[at : s[k]]
-                removed += int(e[k] - s[k])
-                at = int(e[k])
-            rows.append((int(doc) if here else None, len(words), removed, last(b" ".join(keep + words[at:]))))
-        found = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-        return found.astype({"doc_id": "Int64"})
-
-    gone = removals(docs, buckets, groups, size).groupBy("group")
-    doc = F.col("doc_id").cast("long")
-    # rows without a doc_id go to groups of their own, by their texts
-    group = F.when(doc.isNotNull(), F.pmod(F.xxhash64(doc), F.lit(groups))).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(groups)))
-    texts = docs.select(group.cast("int").alias("group"), doc.alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.groupBy("group").cogroup(gone).applyInPandas(cleaned, schema)
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, gone in zip(b.column("text"), b.column("data"), strict=True):
+                words = words_of(text.as_py())
+                keep, removed, at = [], 0, 0
+                for s, e in zip(*(x.tolist() for x in unpack(gone.as_py(), np.int32, np.int32)), strict=True) if gone.is_valid else ():
+                    keep += words[at:s]
+                    removed += e - s
+                    at = e
+                rows.append((len(words), removed, last(b" ".join(keep + words[at:]))))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    gone = bounded(cut(removals(docs, size)))
+    nameless = texts.where("doc_id is null").withColumn("data", F.lit(None).cast("binary"))
+    with_gone = texts.where("doc_id is not null").join(gone, "doc_id", "left").unionByName(nameless)
+    return with_gone.mapInArrow(cleaned, f"doc_id long, n_words long, n_removed long, {name} string")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return _kept(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest(), WINDOW)
+    return _kept(table(spark, sf_dir, "documents"), "kept_sha256", lambda kept: hashlib.sha256(kept).hexdigest(), WINDOW)
 
 
 QUERIES = {"op6_substring": op6_substring}

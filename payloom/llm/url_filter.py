@@ -2,7 +2,9 @@
 
 The cascade alternates: odd levels encode listed keys, even levels encode keys of the corpus that the level above lets
 through although they are not listed, and so on until a level lets nothing wrong through. Over the keys it was built
-for, which are all domain suffixes of all hosts of the corpus, membership is exact, and probing needs no join.
+for, which are the listed ones and all domain suffixes of all hosts of the corpus, membership is exact, and probing needs
+no join. A list whose cascade would take more than MAX_BITS is dealt by hash into shards with a cascade each, and the
+pages pass once for each shard.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; an empty table
 gives an empty result; repeated rows are judged one by one; other columns of the table are ignored.
@@ -16,14 +18,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, let, table
 
 #: (verdict, rule); a rule is host/path-prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Domains blocked with all their subdomains where no rule fits.
-BLOCKLIST = ("spam-farm.example.org", "cheap-pills.example.com", "casino.example.org", "win-big.example.com", "malware.example.net", "ads.example.org")
-#: Largest filter, in bits over all levels, that is put into the plan (1 MiB). Beyond it a distinct-key join answers instead.
-MAX_BITS = 1 << 23
+#: The blocklist that the query uses: each name, alone and with each number up to NUMBERS, under each domain, is blocked with its
+#: subdomains where no rule fits.
+NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "click-mill", "fake-shop", "free-bets", "malware-drop", "phish-login", "spam-farm", "torrent-dump", "warez-hub")
+NUMBERS, DOMAINS = 99, ("example.com", "example.net", "example.org")
+#: Largest cascade, in bits over all its levels, that is put into the plan (2 MiB).
+MAX_BITS = 1 << 24
 MAX_LEVELS = 64
 
 
@@ -80,38 +84,47 @@ def _build(keys: DataFrame, number: int, count: int, p: float) -> Level:
 
 def _holds(level: Level, key: Column) -> Column:
     words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")  # folded to a literal
-    found = F.lit(True)
-    for at in _positions(key, level.number, level.bits, level.hashes):
-        found = found & (F.get(words, F.floor(at / 64).cast("int")).bitwiseAND(_bit(at)) != 0)
-    return found
+
+    def found(held: Column) -> Column:
+        at_all = F.lit(True)
+        for at in _positions(key, level.number, level.bits, level.hashes):
+            at_all = at_all & (F.get(held, F.floor(at / 64).cast("int")).bitwiseAND(_bit(at)) != 0)
+        return at_all
+
+    return let(words, found)
 
 
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
 
 
-def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None:
-    """Levels for the column key of both tables; None where they would be larger than max_bits.
+def _first_rate(n: int, rest: int) -> float:
+    """How many keys that are not listed the first level lets through: so many that the level below takes no more bits than this one saves."""
+    return min(0.5, max(1e-6, n * math.sqrt(0.5) / max(1, rest)))
+
+
+def bits_needed(n: int, rest: int) -> int:
+    """About as many bits as the levels for n listed keys take, when there are `rest` others."""
+    return math.ceil(n * (math.log2(1 / _first_rate(n, rest)) / math.log(2) + 4)) if n else 0
+
+
+def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
+    """Levels for the column key of both tables.
 
-    universe must hold every key that is going to be asked for. Null keys are in neither set.
+    Keys of either may be asked for. Null keys are in neither set.
     """
     listed = cut(listed.where("key is not null").select("key").distinct())
-    universe = universe.where("key is not null").select("key").distinct()
-    inside = universe.join(listed, "key", "left_semi")
-    outside = universe.join(listed, "key", "left_anti")
-    sets = cut(inside.withColumn("in", F.lit(True)).unionByName(outside.withColumn("in", F.lit(False))))
+    outside = universe.where("key is not null").select("key").distinct().join(listed, "key", "left_anti")
+    sets = cut(listed.withColumn("in", F.lit(True)).unionByName(outside.withColumn("in", F.lit(False))))
     size = {r["in"]: r["n"] for r in sets.groupBy("in").agg(F.count("*").alias("n")).collect()}
-    n, rest = size.get(True, 0), size.get(False, 0)
-    p = min(0.5, max(1e-6, n * math.sqrt(0.5) / max(1, rest)))
+    count, p = size.get(True, 0), _first_rate(size.get(True, 0), size.get(False, 0))
     levels: list[Level] = []
-    keys, count, total = sets.where("in").select("key"), n, 0
+    keys = sets.where("in").select("key")
     while count:
         if len(levels) >= MAX_LEVELS:
-            return None
-        total += count * math.log2(1 / p) / math.log(2) + 64
-        if total > max_bits:
-            return None
+            raise RuntimeError("the cascade did not come to an end")
         levels.append(_build(keys, len(levels), count, p))
+        # keys of the other set that all levels let through: the last level's are a subset of those of the one before the last
         through = F.lit(True)
         for level in levels:
             through = through & _holds(level, F.col("key"))
@@ -130,23 +143,28 @@ def contains(levels: list[Level], key: Column) -> Column:
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every row of pages(page_id, url); listed(key) are blocked domains."""
-    parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    universe = parsed.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    keys = listed.select(ascii_lower(F.col("key")).alias("key"))
-    levels = cascade(keys, universe, max_bits)
-    if levels is None:  # a blocklist beyond the bound: by distinct hosts, which a hot host cannot skew
-        hosts = parsed.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
-        bad = hosts.join(keys.distinct(), "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
-        marked = parsed.join(bad, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        marked = parsed.withColumn("listed", F.exists(suffixes(F.col("host")), lambda k: contains(levels, k)))
+    marked = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.lit(False).alias("listed"))
+    universe = cut(marked.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct())
+    keys = cut(listed.where("key is not null").select(ascii_lower(F.col("key")).alias("key")).distinct())
+    shards = max(1, math.ceil(bits_needed(keys.count(), universe.count()) / max_bits))
+    shard = lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+    for i in range(shards):
+        mine = F.lit(i) == shard(F.col("key"))
+        levels = cascade(keys.where(mine), universe.where(mine))
+        hit = F.exists(suffixes(F.col("host")), lambda k: (shard(k) == i) & contains(levels, k))  # noqa: B023  used in this round
+        marked = marked.withColumn("listed", F.col("listed") | hit)
+        if i < shards - 1:
+            marked = cut(marked)  # so that the next round's plan does not hold this one's levels
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("listed"), "block").otherwise("allow")
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "listed")
 
 
-def blocklist(spark: SparkSession, domains=BLOCKLIST) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in domains], "key string")
+def blocklist(spark: SparkSession, names=NAMES, numbers: int = NUMBERS, domains=DOMAINS) -> DataFrame:
+    """key of every name, alone and numbered, under every domain."""
+    number = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.lit(numbers)), lambda i: i.cast("string"))))
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", number.alias("number"))
+    return every.select("name", "number", F.explode(F.array(*map(F.lit, domains))).alias("domain")).select(F.concat("name", "number", F.lit("."), "domain").alias("key"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +172,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    listed = ", ".join(f"'{d}'" for d in BLOCKLIST)
+    texts = lambda some: ", ".join(f"'{x}'" for x in some)
     fit = []
     for says, text in RULES:
         name, slash, rest = text.partition("/")
@@ -165,7 +183,9 @@ with parsed as (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
   from pages),
 rules as ({" union all ".join(fit)}),
-blocked as (select unnest([{listed}]) as key),
+blocked as (
+  select n.name || i.number || '.' || d.domain as key
+  from (select unnest([{texts(NAMES)}]) as name) n, (select '' as number union all select range::varchar from range(1, {NUMBERS + 1})) i, (select unnest([{texts(DOMAINS)}]) as domain) d),
 judged as (
   select p.*, (select r.rule from rules r where (p.host = r.name or ends_with(p.host, '.' || r.name)) and starts_with(p.path, r.prefix)
                order by length(r.rule) desc limit 1) as rule,

@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 import sys
 from pathlib import Path
 from typing import Any
 
 from .functions.names import is_url
-from .model import BAD_IO, BAD_SCHEMA, INVALID, OK, ComposeError, Invalid, PayloomError, ResolveError, ResolveOptions, SchemaBase
+from .model import BAD_IO, BAD_SCHEMA, DEFAULT, INVALID, OK, ComposeError, Invalid, PayloomError, ResolveError, ResolveOptions, SchemaBase, Vocabulary
 from .operators.lint import from_corpus
 from .operators.validate import plan, validate_payload, validate_self_described
 from .plans.compose import compose_payload, detect_direction
@@ -22,6 +23,7 @@ log = logging.getLogger("payloom")
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="payloom", description="Compose, resolve, validate and lint annotated JSON Schemas.")
+    top.add_argument("--vocabulary", default=os.environ.get("PAYLOOM_VOCABULARY"), help="JSON file with the documents' own keys: request, response, envelope, transition")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *shared: Any, **more: Any) -> argparse.ArgumentParser:
@@ -88,7 +90,11 @@ def failed(e: PayloomError, as_json: bool) -> int:
 
 
 def documents(args: argparse.Namespace) -> Documents:
-    return Documents(SchemaBase(args.schema_local_base, args.schema_remote_base))
+    return Documents(SchemaBase(args.schema_local_base, args.schema_remote_base), vocabulary=vocabulary(args))
+
+
+def vocabulary(args: argparse.Namespace) -> Vocabulary:
+    return Vocabulary.load(args.vocabulary) if args.vocabulary else DEFAULT
 
 
 def written(value: Any, args: argparse.Namespace) -> int:
@@ -107,7 +113,7 @@ def written(value: Any, args: argparse.Namespace) -> int:
 def run_resolve(args: argparse.Namespace) -> int:
     docs = documents(args)
     source = docs.any(args.source)
-    described = detect_direction(source)
+    described = detect_direction(source, docs.vocabulary)
     log.info("read %s (%s)", args.source, f"{described} payload" if described else "schema")
     if described and args.bundle:
         raise ResolveError("InvalidSchema", "--bundle does not apply to payload input: its schemas are bundled as they are composed")
@@ -118,7 +124,7 @@ def run_resolve(args: argparse.Namespace) -> int:
     direction = args.direction or described
     if direction is None:
         raise ResolveError("InvalidSchema", "cannot infer direction from a schema: give --request or --response")
-    options = ResolveOptions(direction, args.op, args.strict == "true", args.include_future, args.def_name)
+    options = ResolveOptions(direction, args.op, args.strict == "true", args.include_future, args.def_name, docs.vocabulary)
     log.info("resolving for %s %s", options.direction, options.operation)
     return written(plan(source, options) if args.def_name else resolve(source, options), args)
 
@@ -126,7 +132,7 @@ def run_resolve(args: argparse.Namespace) -> int:
 def run_compose(args: argparse.Namespace) -> int:
     docs = documents(args)
     payload = docs.file(args.source)
-    if detect_direction(payload) is None:
+    if detect_direction(payload, docs.vocabulary) is None:
         raise ComposeError("NotSelfDescribing", "not a self-describing payload")
     return written(compose_payload(payload, docs), args)
 
@@ -138,8 +144,8 @@ def run_validate(args: argparse.Namespace) -> int:
         if args.schema:
             schema = docs.any(args.schema)
             schema = docs.bundle_remote(schema, args.schema) if is_url(args.schema) else docs.bundle(schema, Path(args.schema).parent)
-            direction = args.direction or detect_direction(payload) or "request"
-            validate_payload(payload, schema, ResolveOptions(direction, args.op, strict, False, args.def_name))
+            direction = args.direction or detect_direction(payload, docs.vocabulary) or "request"
+            validate_payload(payload, schema, ResolveOptions(direction, args.op, strict, False, args.def_name, docs.vocabulary))
         else:
             validate_self_described(payload, docs, args.op, args.direction, strict, args.def_name, args.profile)
     except Invalid as e:
@@ -159,7 +165,7 @@ def run_lint(args: argparse.Namespace) -> int:
     if not path.exists():
         print(f"Error: path not found: {path}", file=sys.stderr)
         return BAD_SCHEMA
-    report = from_corpus(path, args.strict)
+    report = from_corpus(path, args.strict, vocabulary(args))
     if args.format == "json":
         print(json.dumps(report, indent=2))
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from urllib.parse import urlsplit
+from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,6 +81,8 @@ def in_range_col(version: Column, least: Column, most: Column) -> Column:
 
 # Namespace authority: a capability belongs under the reversed host of its schema's URL.
 
+#: What no host may hold, once it is percent-decoded.
+_FORBIDDEN = r"[\x00-\x20\x7F#/:<>?@\[\\\]^|%]"
 _AUTHORITY = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):/*([^/?#\\]*)")
 
 
@@ -95,10 +97,16 @@ def check_binding(name: str, url: str) -> None:
         raise fault("NonHttpsScheme", f"must use https, not {scheme}", scheme=scheme)
     if "@" in authority and authority.rpartition("@")[0] not in ("", ":"):
         raise fault("Userinfo", "must not contain userinfo")
-    try:
-        host = urlsplit(f"https://{authority}").hostname or ""
-    except ValueError as e:
-        raise fault("Unparsable", f"cannot be parsed: {e}") from e
+    split = re.fullmatch(r"(\[[^\]]*\]|[^:]*)(?::(.*))?", authority.rpartition("@")[2], re.DOTALL)
+    if split is None:
+        raise fault("Unparsable", "cannot be parsed")
+    host, port = split.groups()
+    if port and (not re.fullmatch("[0-9]+", port) or int(port) > 65535):
+        raise fault("Unparsable", f"has no port number after its host: {port}")
+    if not host.startswith("["):
+        host = unquote(host)
+        if re.search(_FORBIDDEN, host):
+            raise fault("Unparsable", "has a host with a character that none may hold")
     host = host.rstrip(".").lower()
     if not host:
         raise fault("Unparsable", "has no host")
@@ -125,17 +133,24 @@ def _is_address(host: str) -> bool:
 
 
 def binding_status_col(name: Column, url: Column) -> Column:
-    """ok, or the kind of the first rule broken; hosts beyond ASCII are reported as NonAscii and need check_binding()."""
+    """ok, or the kind of the first rule broken, as check_binding() tells it; hosts beyond ASCII become ASCII in the JVM."""
     at = lambda i: F.regexp_extract(F.trim(url), _AUTHORITY.pattern, i)
     scheme, authority = F.lower(at(1)), at(2)
     user = F.regexp_extract(authority, r"^(.*)@[^@]*$", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", ""))
+    place = F.regexp_replace(authority, r"^.*@", "")
+    shape = r"(?s)^(\[[^\]]*\]|[^:]*)(?::(.*))?$"
+    port, raw = F.regexp_extract(place, shape, 2), F.regexp_extract(place, shape, 1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    named = F.lower(F.regexp_replace(F.when(raw.startswith("["), raw).otherwise(decoded), r"\.+$", ""))
+    host = F.when(named.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), named)).otherwise(named)
+    bad_port = (port != "") & ~(port.rlike("^[0-9]+$") & port.try_cast("decimal(38,0)").between(0, 65535))
     return (
         F.when(url.isNull() | (scheme == ""), "Unparsable")
         .when(scheme != "https", "NonHttpsScheme")
         .when(~user.isin("", ":"), "Userinfo")
-        .when(host == "", "Unparsable")
-        .when(host.rlike(r"[^\x00-\x7F]"), "NonAscii")
+        .when(~place.rlike(shape) | F.coalesce(bad_port, F.lit(True)), "Unparsable")
+        .when(~raw.startswith("[") & decoded.rlike(_FORBIDDEN), "Unparsable")
+        .when((named == "") | host.isNull(), "Unparsable")
         .when(host.startswith("[") | host.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$") | ~host.contains("."), "NonDomainHost")
         .when(name.startswith(F.concat(reverse_labels_col(host), F.lit("."))), "ok")
         .otherwise("AuthorityMismatch")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 # Fixed values of the document format.
-ANNOTATIONS = {"request": "ucp_request", "response": "ucp_response"}
-ENVELOPE = "ucp"
-TRANSITION_KEY = "x-ucp-schema-transition"
 VISIBILITIES = ("omit", "required", "optional")
 OPERATIONS = ("create", "update", "complete", "read")
 
 INCLUDE = "include"
-ANNOTATION_KEYS = tuple(ANNOTATIONS.values())
 
 #: What a run ends with.
 OK, INVALID, BAD_SCHEMA, BAD_IO = 0, 1, 2, 3
@@ -66,6 +64,31 @@ class Invalid(PayloomError):
         self.violations = violations
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The keys that a family of documents gives to annotations, to its envelope and to transitions in resolved schemas."""
+
+    request: str = "on_request"
+    response: str = "on_response"
+    envelope: str = "about"
+    transition: str = "x-transition"
+
+    @property
+    def annotations(self) -> tuple[str, str]:
+        return self.request, self.response
+
+    @classmethod
+    def load(cls, path: str | Path) -> Vocabulary:
+        """From a JSON object with any of the four names."""
+        try:
+            return cls(**json.loads(Path(path).read_text("utf-8")))
+        except (OSError, ValueError, TypeError) as e:
+            raise ResolveError("ReadError", f"cannot read the vocabulary {path}: {e}", path=str(path)) from e
+
+
+DEFAULT = Vocabulary()
+
+
 @dataclass(frozen=True)
 class ResolveOptions:
     direction: str
@@ -73,15 +96,16 @@ class ResolveOptions:
     strict: bool = False
     include_future: bool = False
     def_name: str | None = None
+    vocabulary: Vocabulary = DEFAULT
 
     def __post_init__(self):
-        if self.direction not in ANNOTATIONS:
+        if self.direction not in ("request", "response"):
             raise ValueError(f"direction must be request or response, not {self.direction!r}")
         object.__setattr__(self, "operation", self.operation.lower())
 
     @property
     def annotation(self) -> str:
-        return ANNOTATIONS[self.direction]
+        return self.vocabulary.request if self.direction == "request" else self.vocabulary.response
 
     @property
     def shape_key(self) -> str:

@@ -4,41 +4,52 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import elements, json_type, member, members
 from ..functions.names import binding_status_col, in_range_col, short_name_col
-from ..model import ENVELOPE
+from ..model import DEFAULT, Vocabulary
 
 
-def capability_rows(payloads: DataFrame, key: str, v: Column) -> DataFrame:
+def need_shared_folder(spark: SparkSession) -> None:
+    """Sets the folder for checkpoints: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine; on a cluster an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {context.master} share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="payloom-checkpoint-"))
+
+
+def capability_rows(payloads: DataFrame, key: str, v: Column, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """key, ord, name, version, schema_url, extends, fault: the first version of each capability of a payload.
 
     Names are in order, since a variant keeps its members so. fault tells why an entry is no capability, else it is NULL.
     """
-    found = payloads.select(key, F.posexplode(F.map_entries(members(member(member(v, ENVELOPE), "capabilities")))).alias("ord", "c"))
+    found = payloads.select(key, F.posexplode(F.map_entries(members(member(member(v, vocabulary.envelope), "capabilities")))).alias("ord", "c"))
     return _parsed(found, key, "c.value", "c.key")
 
 
 def _parsed(found: DataFrame, key: str, versions: str, name: str) -> DataFrame:
-    first = F.get(elements(F.col(versions)), F.lit(0))
-    found = found.select(key, "ord", F.col(name).alias("name"), F.col(versions).alias("versions"), first.alias("first"))
-    extends = member(F.col("first"), "extends")
-    text = lambda k: F.when(json_type(member(F.col("first"), k)) == "string", F.try_variant_get("first", f"$.{k}", "string"))
-    listed = elements(extends)
-    parents = F.when(json_type(extends) == "string", F.array(F.try_variant_get(extends, "$", "string"))).when(
-        json_type(extends) == "array", F.transform(listed, lambda x: F.try_variant_get(x, "$", "string"))
-    )
-    strings = F.coalesce(F.forall(listed, lambda x: json_type(x) == "string"), F.lit(False))
+    """An entry's parts are looked up once, all together, and their types once each."""
+    listed = elements(F.col(versions))
+    found = found.select(key, "ord", F.col(name).alias("name"), listed.alias("versions"))
+    shape = "struct<version:variant,schema:variant,extends:variant>"
+    found = found.select(key, "ord", "name", "versions", F.try_variant_get(F.get("versions", F.lit(0)), "$", shape).alias("first"))
+    part = lambda k: F.col(f"first.{k}")
+    typed = found.select("*", *(json_type(part(k)).alias(f"{k}_type") for k in ("version", "schema", "extends")), elements(part("extends")).alias("listed"))
+    text = lambda k: F.when(F.col(f"{k}_type") == "string", F.try_variant_get(part(k), "$", "string"))
+    parents = F.when(F.col("extends_type") == "string", F.array(text("extends"))).when(F.col("extends_type") == "array", F.transform("listed", lambda x: F.try_variant_get(x, "$", "string")))
+    strings = F.coalesce(F.forall("listed", lambda x: json_type(x) == "string"), F.lit(False))
     fault = (
-        F.when(F.coalesce(json_type(F.col("versions")), F.lit("")) != "array", "a non-empty array of versions is expected")
-        .when(F.size(elements(F.col("versions"))) == 0, "a non-empty array of versions is expected")
+        F.when(F.coalesce(F.size("versions"), F.lit(0)) < 1, "a non-empty array of versions is expected")
         .when(text("version").isNull(), "missing version")
         .when(text("schema").isNull(), "missing schema")
-        .when(extends.isNotNull() & ~((json_type(extends) == "string") | strings), "extends must be a string or an array of strings")
+        .when(F.col("extends_type").isNotNull() & ~((F.col("extends_type") == "string") | strings), "extends must be a string or an array of strings")
     )
-    return found.select(key, "ord", "name", text("version").alias("version"), text("schema").alias("schema_url"), parents.alias("extends"), fault.alias("fault"))
+    return typed.select(key, "ord", "name", text("version").alias("version"), text("schema").alias("schema_url"), parents.alias("extends"), fault.alias("fault"))
 
 
 def roots(caps: DataFrame, key: str) -> DataFrame:
@@ -65,9 +76,7 @@ def orphans(caps: DataFrame, key: str) -> DataFrame:
     Graphs are walked downwards from their roots, one step a round, each round a join of what is new with the edges;
     it ends when nothing new is reached, so cycles do no harm.
     """
-    context = caps.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # a plan that is not cut grows with each round
-        context.setCheckpointDir(caps.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="payloom-checkpoint-"))
+    need_shared_folder(caps.sparkSession)  # a plan that is not cut grows with each round
     below = edges(caps, key)
     reached = caps.where("extends is null").select(key, "name")
     new = reached

@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_version_col
-from ..model import ANNOTATION_KEYS, OPERATIONS, VISIBILITIES, PayloomError, ResolveError, json_type
+from ..model import DEFAULT, OPERATIONS, VISIBILITIES, PayloomError, ResolveError, Vocabulary, json_type
 from ..plans.interpreter import violations
 from ..sources.documents import parse_json, schema_files
+from .capabilities import need_shared_folder
 
 NODES = (
     "uri string, node_id int, parent_id int, depth int, pointer string, anchor string, key string, ordinal int, json_type string, scalar string, "
@@ -94,14 +95,15 @@ def canonical_anchor(fragment: Column) -> Column:
     return F.when(inner == "", "").otherwise(F.concat(F.lit("/"), inner))
 
 
-def diagnostics(corpus: DataFrame, operations: tuple[str, ...] = OPERATIONS) -> DataFrame:
+def diagnostics(corpus: DataFrame, operations: tuple[str, ...] = OPERATIONS, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """file, severity, code, path, message of every finding."""
-    return from_nodes(nodes(corpus).persist(), operations)  # flattened once for all rules
+    need_shared_folder(corpus.sparkSession)
+    return from_nodes(nodes(corpus).checkpoint(), operations, vocabulary)  # flattened once for all rules
 
 
-def from_nodes(found: DataFrame, operations: tuple[str, ...] = OPERATIONS) -> DataFrame:
+def from_nodes(found: DataFrame, operations: tuple[str, ...] = OPERATIONS, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     read = found.where("fault is null")
-    rules = [*_documents(found, read), *_references(read), *_annotations(read, operations), *_requires(read)]
+    rules = [*_documents(found, read), *_references(read), *_annotations(read, operations, vocabulary), *_requires(read)]
     return reduce(DataFrame.unionByName, rules)
 
 
@@ -141,8 +143,8 @@ def _references(read: DataFrame) -> list[DataFrame]:
     ]
 
 
-def _annotations(read: DataFrame, operations: tuple[str, ...]) -> list[DataFrame]:
-    names, here = list(ANNOTATION_KEYS), F.col("pointer")
+def _annotations(read: DataFrame, operations: tuple[str, ...], vocabulary: Vocabulary) -> list[DataFrame]:
+    names, here = list(vocabulary.annotations), F.col("pointer")
     kind, value = F.col("json_type"), F.col("scalar")
     bad = (kind == "string") & ~value.isin(*VISIBILITIES)
     annotation = read.where(F.col("key").isin(names) & (F.col("up_type") == "object"))
@@ -211,7 +213,7 @@ def summary(results: DataFrame, strict: bool = False) -> DataFrame:
     return results.agg(n.alias("files_checked"), (n - failed).alias("passed"), failed.alias("failed"), total("n_errors").alias("errors"), total("n_warnings").alias("warnings"))
 
 
-def from_corpus(path: Path, strict: bool = False) -> dict[str, Any]:
+def from_corpus(path: Path, strict: bool = False, vocabulary: Vocabulary = DEFAULT) -> dict[str, Any]:
     """Report on the schema files at or below a local path, in order, with every finding: what the command line prints."""
     files = schema_files(path)
     root = path if path.is_dir() else path.parent
@@ -220,7 +222,7 @@ def from_corpus(path: Path, strict: bool = False) -> dict[str, Any]:
     if files:
         spark = SparkSession.builder.getOrCreate()
         corpus = spark.createDataFrame([(name, f.read_text("utf-8", "replace")) for name, f in zip(names, files, strict=True)], "uri string, content string")
-        for r in diagnostics(corpus).collect():
+        for r in diagnostics(corpus, vocabulary=vocabulary).collect():
             if r["code"] == "E002" and _is_elsewhere(r["file"], r["message"].partition(": ")[2]):
                 continue  # outside of what is linted, but there
             found[r["file"]].append({"severity": r["severity"], "code": r["code"], "path": r["path"], "message": r["message"]})

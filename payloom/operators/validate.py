@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import member
 from ..functions.names import short_name
-from ..model import BAD_SCHEMA, ENVELOPE, INVALID, OK, ComposeError, Invalid, PayloomError, ResolveError, ResolveOptions
+from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, ComposeError, Invalid, PayloomError, ResolveError, ResolveOptions, Vocabulary
 from ..plans.compiler import ERRORS, Compiled, error
 from ..plans.compose import compose, detect_direction, envelope_body, parse_capabilities, payload_capabilities, profile_capabilities
 from ..plans.interpreter import violations
@@ -37,13 +37,13 @@ def validate_payload(payload: Any, schema: Any, options: ResolveOptions) -> None
 
 def validate_self_described(payload: Any, documents: Documents, operation: str, direction: str | None = None, strict: bool = False, def_name: str | None = None, profile: str | None = None) -> None:
     """One payload against the schema that its capabilities compose."""
-    found = detect_direction(payload)
+    found = detect_direction(payload, documents.vocabulary)
     if profile is not None:
         capabilities, body, found = profile_capabilities(profile, documents), payload, direction or "request"
     else:
         capabilities = payload_capabilities(payload, documents)
         body = envelope_body(payload, capabilities)[0] if found == "request" else payload
-    validate_payload(body, compose(capabilities, documents), ResolveOptions(direction or found, operation, strict, False, def_name))
+    validate_payload(body, compose(capabilities, documents), ResolveOptions(direction or found, operation, strict, False, def_name, documents.vocabulary))
 
 
 def as_variant(payload: Column, kind: str) -> Column:
@@ -87,53 +87,62 @@ def _verdict() -> dict[str, Column]:
 # Payloads that describe themselves.
 
 
-def direction_of(v: Column) -> Column:
-    return F.when(member(member(v, ENVELOPE), "capabilities").isNotNull(), "response").when(member(member(v, "meta"), "profile").isNotNull(), "request")
+def direction_of(v: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+    return F.when(member(member(v, vocabulary.envelope), "capabilities").isNotNull(), "response").when(member(member(v, "meta"), "profile").isNotNull(), "request")
 
 
-def signature_of(v: Column) -> Column:
+def signature_of(v: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     """What decides about the schema: the capabilities themselves (keys in order), or the profile's URL."""
-    caps = F.to_json(member(member(v, ENVELOPE), "capabilities"))
-    return F.when(direction_of(v) == "response", caps).otherwise(F.try_variant_get(v, "$.meta.profile", "string"))
+    caps = F.to_json(member(member(v, vocabulary.envelope), "capabilities"))
+    return F.when(direction_of(v, vocabulary) == "response", caps).otherwise(F.try_variant_get(v, "$.meta.profile", "string"))
 
 
 def validate_by_capabilities(payloads: DataFrame, documents: Documents, operation: str, strict: bool = False, column: str = "payload", max_signatures: int = MAX_SIGNATURES) -> DataFrame:
     """payloads with direction, valid, errors, exit_code, each against what its own capabilities compose.
 
-    Schemas are composed once for each distinct signature, on the driver, and each payload is sent to its signature's
-    expression by comparing hashes; no payload is shuffled. A signature that cannot be composed is an error of its
-    payloads, with the exit code of the failure. Batch only, since the signatures are collected first.
+    Schemas are composed once for each distinct signature, on the driver; signatures that come to the same schema share
+    its expression, and each payload is sent to that of its signature by comparing hashes; no payload is shuffled. A
+    signature that cannot be composed is an error of its payloads, with the exit code of the failure. Batch only, since
+    the signatures are collected first.
     """
+    words = documents.vocabulary
     v = as_variant(F.col(column), dict(payloads.dtypes)[column])
-    marked = payloads.withColumn("__payloom_v", v).withColumn("direction", direction_of(F.col("__payloom_v"))).withColumn("__payloom_s", signature_of(F.col("__payloom_v")))
-    found = marked.select("direction", "__payloom_s").distinct().limit(max_signatures + 1).collect()
+    marked = payloads.withColumn("__payloom_v", v).withColumn("direction", direction_of(F.col("__payloom_v"), words)).withColumn("__payloom_s", signature_of(F.col("__payloom_v"), words))
+    marked = marked.withColumn("__payloom_h", F.xxhash64("direction", "__payloom_s"))
+    found = marked.select("direction", "__payloom_s", "__payloom_h").distinct().limit(max_signatures + 1).collect()
     if len(found) > max_signatures:
         raise ValueError(f"more than {max_signatures} distinct sets of capabilities; raise max_signatures, or validate in parts")
     fault = lambda e: F.struct(error(F.lit(""), e.kind, e.message).alias("errors"), F.lit(e.exit_code).alias("failed"))
     verdict = fault(ComposeError("NotSelfDescribing", "not a self-describing payload"))
     verdict = F.when(F.col("__payloom_v").isNull(), fault(ResolveError("InvalidJson", "invalid JSON"))).otherwise(verdict)
+    ways: dict[str, tuple[list[int], Column]] = {}
     for r in found:
         if r["direction"] is None or r["__payloom_s"] is None:
             continue
         try:
-            options = ResolveOptions(r["direction"], operation, strict)
+            options, key = ResolveOptions(r["direction"], operation, strict, vocabulary=words), None
             if r["direction"] == "response":
                 capabilities, body = parse_capabilities(json.loads(r["__payloom_s"])), F.col("__payloom_v")
             else:
                 capabilities = profile_capabilities(r["__payloom_s"], documents)
-                root = next((c.name for c in capabilities if c.extends is None), "")
-                body = member(F.col("__payloom_v"), short_name(root))
+                key = short_name(next((c.name for c in capabilities if c.extends is None), ""))
+                body = member(F.col("__payloom_v"), key)
             plain = plan(compose(capabilities, documents), options)
-            here = F.struct(errors_of(body, plain).alias("errors"), F.lit(None).cast("int").alias("failed"))
-            if r["direction"] == "request":
-                key = short_name(next(c.name for c in capabilities if c.extends is None))
-                here = F.when(body.isNull(), fault(ComposeError("InvalidEnvelope", f"invalid JSONRPC envelope: missing '{key}'"))).otherwise(here)
+            way = json.dumps([key, plain])
+            if way not in ways:
+                here = F.struct(errors_of(body, plain).alias("errors"), F.lit(None).cast("int").alias("failed"))
+                if key is not None:
+                    here = F.when(body.isNull(), fault(ComposeError("InvalidEnvelope", f"invalid JSONRPC envelope: missing '{key}'"))).otherwise(here)
+                ways[way] = [], here
         except PayloomError as e:
-            here = fault(e)
-        verdict = F.when((F.col("direction") == r["direction"]) & (F.col("__payloom_s") == r["__payloom_s"]), here).otherwise(verdict)
+            way = json.dumps([e.kind, e.message, e.exit_code])
+            ways.setdefault(way, ([], fault(e)))
+        ways[way][0].append(r["__payloom_h"])
+    for hashes, here in ways.values():
+        verdict = F.when(F.col("direction").isNotNull() & F.col("__payloom_s").isNotNull() & F.col("__payloom_h").isin(hashes), here).otherwise(verdict)
     checked = marked.withColumn("__payloom_r", verdict).withColumn("errors", F.col("__payloom_r.errors")).withColumn("__payloom_f", F.col("__payloom_r.failed"))
     code = F.coalesce(F.col("__payloom_f"), F.when(F.size("errors") == 0, OK).otherwise(INVALID))
-    return checked.withColumns({"valid": F.size("errors") == 0, "exit_code": code}).drop("__payloom_v", "__payloom_s", "__payloom_r", "__payloom_f")
+    return checked.withColumns({"valid": F.size("errors") == 0, "exit_code": code}).drop("__payloom_v", "__payloom_s", "__payloom_h", "__payloom_r", "__payloom_f")
 
 
 # Reports.
@@ -141,7 +150,9 @@ def validate_by_capabilities(payloads: DataFrame, documents: Documents, operatio
 
 def error_rows(validated: DataFrame, *keys: str) -> DataFrame:
     """One row for each error, with the payload's keys."""
-    return validated.select(*keys, F.explode("errors").alias("e")).select(*keys, "e.path", "e.keyword", "e.message")
+    # a plain explode would have Spark test the size of errors below, and work them out twice for that
+    every = validated.select(*keys, F.explode_outer("errors").alias("e")).where("e is not null")
+    return every.select(*keys, "e.path", "e.keyword", "e.message")
 
 
 def violation_summary(validated: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Compiles plain JSON Schema (2020-12) into Columns over a variant.
+"""Compiles plain JSON Schema (2020-12, and older drafts by $schema) into Columns over a variant.
 
 errors(v) is an array of (path, keyword, message), one entry for each way in which the value breaks the schema; the
 expressions run in the JVM. References within the document are expanded while compiling. A schema that contains itself
@@ -8,6 +8,7 @@ has no finite expression: Compiled.recursive is then true, and validation takes
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -16,26 +17,35 @@ from pyspark.sql import functions as F
 from ..functions.columns import elements, json_type, let, member, members, number, text
 from ..model import ResolveError
 from ..sources.documents import navigate
+from .drafts import LISTS, MAPS, ONE, modern, portable
 
 ERRORS = "array<struct<path:string,keyword:string,message:string>>"
 
 
-#: Keywords that hold schemas: one, a list of them, or a map.
-ONE = ("items", "additionalProperties", "unevaluatedProperties", "unevaluatedItems", "contains", "propertyNames", "not", "if", "then", "else")
-LISTS, MAPS = ("allOf", "anyOf", "oneOf", "prefixItems"), ("properties", "patternProperties", "dependentSchemas")
+#: From here on not all integers are doubles.
+EXACT = 1 << 53
 
 
 def is_recursive(root: Any) -> bool:
-    """Whether a reference leads back to itself."""
+    """Whether a reference that is used leads back to itself."""
+    done: set[str] = set()
 
     def walk(schema: Any, stack: tuple[str, ...]) -> bool:
         if not isinstance(schema, dict):
             return False
         below = [schema[k] for k in ONE if k in schema]
-        below += [x for k in LISTS for x in schema.get(k, ())] + [x for k in MAPS for x in schema.get(k, {}).values()]
-        if any(walk(x, stack) for x in below):
+        below += [x for k in LISTS if isinstance(schema.get(k), list) for x in schema[k]]
+        below += [x for k in MAPS if k not in ("$defs", "definitions") for x in schema.get(k, {}).values()]
+        return any(walk(x, stack) for x in below) or any(follow(ref, stack) for ref in references(schema))
+
+    def follow(ref: str, stack: tuple[str, ...]) -> bool:
+        if ref == "#" or ref in stack:
             return True
-        return any(ref == "#" or ref in stack or walk(reference(root, ref), (*stack, ref)) for ref in references(schema))
+        if ref in done:  # led nowhere when it was first met
+            return False
+        found = walk(reference(root, ref), (*stack, ref))
+        done.add(ref)
+        return found
 
     return walk(root, ())
 
@@ -61,6 +71,25 @@ def short(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def is_large(value: Any) -> bool:
+    return isinstance(value, int) and EXACT <= abs(value) < 10**38
+
+
+def whole(v: Column) -> Column:
+    """A number without its fraction, exact to 38 digits; NULL beyond."""
+    return F.try_variant_get(v, "$", "decimal(38,0)")
+
+
+def exactly(v: Column, bound: int, holds) -> Column:
+    """holds(number, bound) in whole numbers; in doubles for numbers that are too large."""
+    return F.coalesce(holds(whole(v), F.lit(Decimal(bound))), holds(number(v), float(bound)))
+
+
+def canonical(v: Column) -> Column:
+    """JSON text in which equal values are equal: members in order, numbers without trailing zeros; strings stay as they are."""
+    return F.regexp_replace(F.to_json(v), r'("(?:[^"\\]|\\.)*+")|(-?[0-9]+)(?:\.0+|(\.[0-9]*?[1-9])0+)?(?=[,\]}]|$)', "$1$2$3")
+
+
 class Value:
     """A variant, its type and its pointer, as Columns; map and array views are made on demand."""
 
@@ -79,7 +108,8 @@ class Value:
 
 class Compiled:
     def __init__(self, schema: Any):
-        self.schema, self.recursive = schema, is_recursive(schema)
+        self.schema = modern(schema)
+        self.recursive = is_recursive(self.schema)
 
     def errors(self, v: Column) -> Column:
         return self._at(self.schema, v, F.lit(""), ())
@@ -134,19 +164,19 @@ class Compiled:
         plain = [t for t in allowed if t != "integer"]
         holds = x.kind.isin(plain) if plain else F.lit(False)
         if "integer" in allowed and "number" not in allowed:
-            holds = holds | ((x.kind == "number") & (number(x.v) == F.floor(number(x.v))))
+            holds = holds | ((x.kind == "number") & (number(x.v) % F.lit(1.0) == 0))
         return unless(holds, x.path, "type", f"must be of type {' or '.join(allowed)}")
 
     def _same(self, value, x) -> Column:
         if isinstance(value, bool):
             return (x.kind == "boolean") & (F.try_variant_get(x.v, "$", "boolean") == value)
         if isinstance(value, (int, float)):
-            return (x.kind == "number") & (number(x.v) == float(value))
+            return (x.kind == "number") & (number(x.v) == float(value)) & (exactly(x.v, value, lambda v, b: v == b) if is_large(value) else F.lit(True))
         if isinstance(value, str):
             return (x.kind == "string") & (text(x.v) == value)
         if value is None:
             return x.kind == "null"
-        return F.to_json(x.v) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
+        return (x.kind == ("array" if isinstance(value, list) else "object")) & (canonical(x.v) == canonical(F.parse_json(F.lit(json.dumps(value)))))
 
     def _enum(self, schema, values, x, stack):
         holds = F.lit(False)
@@ -163,13 +193,17 @@ class Compiled:
 
     def _limit(keyword, words, holds):
         def compile_(self, schema, bound, x, stack):
-            return x.when("number", unless(holds(number(x.v), float(bound)), x.path, keyword, f"must be {words} {bound}"))
+            kept = exactly(x.v, bound, holds) if is_large(bound) else holds(number(x.v), float(bound))
+            return x.when("number", unless(kept, x.path, keyword, f"must be {words} {bound}"))
 
         return compile_
 
     def _multiple(self, schema, of, x, stack):
         ratio = number(x.v) / F.lit(float(of))
-        return x.when("number", unless(F.abs(ratio - F.round(ratio)) < 1e-9, x.path, "multipleOf", f"must be a multiple of {of}"))
+        near = F.abs(ratio - F.round(ratio)) < 1e-9
+        if of == int(of) and abs(of) < EXACT:  # a whole number's multiples are whole, and told exactly
+            near = (number(x.v) % F.lit(1.0) == 0) & F.coalesce(whole(x.v) % F.lit(Decimal(int(of))) == 0, near)
+        return x.when("number", unless(near, x.path, "multipleOf", f"must be a multiple of {of}"))
 
     def _count(keyword, kind, size, holds, words):
         def compile_(self, schema, bound, x, stack):
@@ -178,7 +212,7 @@ class Compiled:
         return compile_
 
     def _pattern(self, schema, pattern, x, stack):
-        return x.when("string", unless(text(x.v).rlike(pattern), x.path, "pattern", f"must match {pattern}"))
+        return x.when("string", unless(text(x.v).rlike(portable(pattern)), x.path, "pattern", f"must match {pattern}"))
 
     def _required(self, schema, names, x, stack):
         names = [n for n in names if isinstance(n, str)]
@@ -210,7 +244,7 @@ class Compiled:
         names, patterns = list(schema.get("properties", {})), list(schema.get("patternProperties", {}))
         free = ~key.isin(names) if names else F.lit(True)
         for p in patterns:
-            free = free & ~key.rlike(p)
+            free = free & ~key.rlike(portable(p))
         return free
 
     def _additional(self, schema, extra, x, stack):
@@ -284,7 +318,7 @@ class Compiled:
     def _unique(self, schema, unique, x, stack):
         if unique is not True:
             return None
-        plain = F.transform(elements(x.v), lambda e: F.when(json_type(e) == "number", number(e).cast("string")).otherwise(F.to_json(e)))
+        plain = F.transform(elements(x.v), canonical)
         return x.when("array", let(plain, lambda p: unless(F.size(F.array_distinct(p)) == F.size(p), x.path, "uniqueItems", "must have no item twice")))
 
     def _contains(self, schema, wanted, x, stack):
@@ -352,7 +386,7 @@ class Compiled:
 
 
 def _matching(pattern: str):
-    return lambda key: key.rlike(pattern)
+    return lambda key: key.rlike(portable(pattern))
 
 
 def references(schema: dict) -> list[str]:

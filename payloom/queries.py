@@ -53,7 +53,8 @@ def scan_wellformed(spark, sf_dir):
 
 @query("""select case role when 'user' then 'request' when 'assistant' then 'response' else 'none' end as direction, count(*)::bigint as n from conversations group by 1""")
 def detect_direction(spark, sf_dir):
-    envelope = F.when(F.col("role") == "user", '{"meta": {"profile": null}}').when(F.col("role") == "assistant", '{"ucp": {"capabilities": {}}}').otherwise('{"ucp": {"meta": {"profile": 1}}}')
+    about = f'{{"{samples.ENVELOPE}": '
+    envelope = F.when(F.col("role") == "user", '{"meta": {"profile": null}}').when(F.col("role") == "assistant", about + '{"capabilities": {}}}').otherwise(about + '{"meta": {"profile": 1}}}')
     found = table(spark, sf_dir, "conversations").select(F.coalesce(direction_of(F.try_parse_json(envelope)), F.lit("none")).alias("direction"))
     return found.groupBy("direction").agg(F.count("*").alias("n"))
 
@@ -65,7 +66,7 @@ def _capability_payloads(spark, sf_dir) -> DataFrame:
     ext = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit(', "com.example.b": '), entry(', "extends": "com.example.a"'))).when(
         F.col("o_orderstatus") == "F", F.concat(F.lit(', "com.example.c": '), entry(', "extends": ["com.example.a", "com.example.x"]'))
     )
-    text = F.concat(F.lit('{"ucp": {"capabilities": {"com.example.a": '), entry(""), F.coalesce(ext, F.lit("")), F.lit("}}}"))
+    text = F.concat(F.lit(f'{{"{samples.ENVELOPE}": {{"capabilities": {{"com.example.a": '), entry(""), F.coalesce(ext, F.lit("")), F.lit("}}}"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"), F.parse_json(text).alias("v"))
 
 
@@ -327,7 +328,7 @@ def allof_rules(spark, sf_dir):
 def container_select(spark, sf_dir):
     found = []
     for direction in ("request", "response"):
-        plain = select_shape(resolve(samples.CATALOG, ResolveOptions(direction, "search")), ResolveOptions(direction, "search"))
+        plain = select_shape(resolve(samples.QUOTE, ResolveOptions(direction, "price")), ResolveOptions(direction, "price"))
         found.append(("search", direction, ",".join(plain["$defs"][plain["$ref"].rpartition("/")[2]]["required"])))
     return rows(spark, "op string, direction string, required string", found)
 
@@ -396,11 +397,12 @@ def verdict_as_json(spark, sf_dir):
 def _self_described(spark, sf_dir) -> DataFrame:
     """Orders as payloads of four kinds: a root alone, an extension, requests with a profile, and none."""
     caps = {x: json.dumps(samples.capabilities("2026-02-01", *x)) for x in ((), (samples.DISCOUNT,))}
+    about = f'{{"{samples.ENVELOPE}": {{"capabilities": '
     kind = F.col("payload_id") % 4
     body = F.expr("substr(payload, 2)")
     text = (
-        F.when(kind == 0, F.concat(F.lit('{"ucp": {"capabilities": ' + caps[()] + "}, "), body))
-        .when(kind == 1, F.concat(F.lit('{"ucp": {"capabilities": ' + caps[(samples.DISCOUNT,)] + '}, "discount": 0.01, '), body))
+        F.when(kind == 0, F.concat(F.lit(about + caps[()] + "}, "), body))
+        .when(kind == 1, F.concat(F.lit(about + caps[(samples.DISCOUNT,)] + '}, "discount": 0.01, '), body))
         .when(kind == 2, F.concat(F.lit('{"meta": {"profile": "' + samples.PROFILE + '"}, "order": '), F.col("payload"), F.lit("}")))
         .otherwise(F.col("payload"))
     )

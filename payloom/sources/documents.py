@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_url, join_url, map_prefix, url_path
-from ..model import ComposeError, PayloomError, ResolveError, SchemaBase
+from ..model import DEFAULT, ComposeError, PayloomError, ResolveError, SchemaBase, Vocabulary
 
 #: Seconds for a fetch.
 TIMEOUT = 10
@@ -43,8 +43,8 @@ def _no_constant(name: str) -> None:
 class Documents:
     """Loads documents and keeps them, so that each is read once however many schemas refer to it."""
 
-    def __init__(self, base: SchemaBase | None = None, fetch: Fetcher = http_fetch):
-        self.base, self._fetch, self._held = base or SchemaBase(), fetch, {}
+    def __init__(self, base: SchemaBase | None = None, fetch: Fetcher = http_fetch, vocabulary: Vocabulary = DEFAULT):
+        self.base, self._fetch, self._held, self.vocabulary = base or SchemaBase(), fetch, {}, vocabulary
 
     def file(self, path: str | Path) -> Any:
         path = Path(path)

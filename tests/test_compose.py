@@ -24,9 +24,9 @@ def held(tmp_path, **documents):
 
 
 def test_direction():
-    assert detect_direction({"ucp": {"capabilities": None}, "meta": {"profile": "x"}}) == "response"
+    assert detect_direction({"about": {"capabilities": None}, "meta": {"profile": "x"}}) == "response"
     assert detect_direction({"meta": {"profile": None}}) == "request"
-    assert detect_direction({"ucp": {"meta": {"profile": "x"}}}) is None and detect_direction([1]) is None
+    assert detect_direction({"about": {"meta": {"profile": "x"}}}) is None and detect_direction([1]) is None
 
 
 def test_capabilities_take_the_first_version():
@@ -182,6 +182,16 @@ def test_versions():
         ("localhost.a", "https://localhost/x", "NonDomainHost"),
         ("a", "no url", "Unparsable"),
         ("a", "https:///", "Unparsable"),
+        ("com.example.a", "https://example.com:65535/x", None),
+        ("com.example.a", "https://example.com:/x", None),
+        ("com.example.a", "https://example.com:99999/x", "Unparsable"),
+        ("com.example.a", "https://example.com:8o/x", "Unparsable"),
+        ("com.example.a", "https://exa%6Dple.com/x", None),
+        ("com.example.a", "https://exam ple.com/x", "Unparsable"),
+        ("com.example.a", "https://exam<ple.com/x", "Unparsable"),
+        ("com.example.a", "https://exam%2Fple.com/x", "Unparsable"),
+        ("example.xn--bcher-kva.a", "https://bücher.example/x", None),
+        ("example.bücher.a", "https://bücher.example/x", "AuthorityMismatch"),
     ],
 )
 def test_binding(spark, name, url, kind):

@@ -19,9 +19,9 @@ def test_lint_rules(spark):
     everything = codes(spark, **{k.removesuffix(".json"): v for k, v in samples.CORPUS.items()}, broken="{")
     assert everything == [
         ("E001", "/"), ("E002", "/properties/b"), ("E003", "/properties/a"), ("E003", "/properties/d"),
-        ("E004", "/properties/a/ucp_request"), ("E004", "/properties/c/ucp_request/transition"), ("E004", "/properties/c/ucp_request/transition"),
-        ("E005", "/properties/b/ucp_request/update"), ("E005", "/properties/d/ucp_request"), ("E006", "/requires/capabilities/y"), ("E006", "/requires/protocol/min"),
-        ("E007", "/requires/capabilities/y"), ("E008", "/$defs/x/examples/1"), ("W002", "/"), ("W003", "/properties/b/ucp_request/search"), ("W004", "/requires/capabilities/x"), ("W005", "/requires/more"),
+        ("E004", "/properties/a/on_request"), ("E004", "/properties/c/on_request/transition"), ("E004", "/properties/c/on_request/transition"),
+        ("E005", "/properties/b/on_request/update"), ("E005", "/properties/d/on_request"), ("E006", "/requires/capabilities/y"), ("E006", "/requires/protocol/min"),
+        ("E007", "/requires/capabilities/y"), ("E008", "/$defs/x/examples/1"), ("W002", "/"), ("W003", "/properties/b/on_request/search"), ("W004", "/requires/capabilities/x"), ("W005", "/requires/more"),
     ]
 
 
@@ -29,8 +29,8 @@ def test_lint_of_odd_documents(spark):
     assert codes(spark, a="[]", b='"x"', c="null") == [("W002", "/")] * 3
     assert codes(spark, a={"$id": "a", "requires": []}) == [("E006", "/requires")]
     assert codes(spark, a={"$id": "a", "requires": {"capabilities": 3, "protocol": {"min": "2026-01-01", "max": 4}}}) == [("E006", "/requires/capabilities"), ("E006", "/requires/protocol/max")]
-    assert codes(spark, a={"$id": "a", "$ref": "#", "x": {"$ref": "https://elsewhere.example/x"}, "examples": [1], "y": [{"ucp_request": 1}]}) == [("E005", "/y/0/ucp_request")]
-    assert codes(spark, a={"$id": "a", "p": {"ucp_request": {"create": {"x": 1}, "update": {"transition": 3}}}}) == [("E005", "/p/ucp_request/create"), ("E005", "/p/ucp_request/update")]
+    assert codes(spark, a={"$id": "a", "$ref": "#", "x": {"$ref": "https://elsewhere.example/x"}, "examples": [1], "y": [{"on_request": 1}]}) == [("E005", "/y/0/on_request")]
+    assert codes(spark, a={"$id": "a", "p": {"on_request": {"create": {"x": 1}, "update": {"transition": 3}}}}) == [("E005", "/p/on_request/create"), ("E005", "/p/on_request/update")]
 
 
 @pytest.fixture
@@ -39,7 +39,7 @@ def folder(tmp_path):
     put("schema.json", samples.ORDER)
     put("create.json", {"line_items": [{"sku": "s", "quantity": 6}]})
     put("bad.json", {"id": "x"})
-    put("payload.json", {"ucp": {"capabilities": {"com.example.order": [{"version": "2026-01-01", "schema": "https://example.com/schema.json"}]}}, "id": "1234", "status": "P", "line_items": [{"sku": "s", "quantity": 6}]})
+    put("payload.json", {"about": {"capabilities": {"com.example.order": [{"version": "2026-01-01", "schema": "https://example.com/schema.json"}]}}, "id": "1234", "status": "P", "line_items": [{"sku": "s", "quantity": 6}]})
     put("broken.json", "{")
     put("external.json", {"$id": "e", "properties": {"l": {"$ref": "schema.json#/$defs/line"}}})
     return tmp_path

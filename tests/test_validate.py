@@ -9,10 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from payloom import samples
-from payloom.model import Invalid, ResolveError, ResolveOptions
+from payloom.model import Invalid, ResolveError, ResolveOptions, Vocabulary
 from payloom.operators.validate import error_rows, exit_codes, validate, validate_by_capabilities, validate_payload, validate_self_described, verdict_json, violation_summary, with_verdict
-from payloom.plans.compiler import Compiled
+from payloom.plans.compiler import Compiled, is_recursive
 from payloom.plans.interpreter import violations
+from payloom.plans.resolve import resolve
 from payloom.sources.documents import Documents
 from payloom.streaming.validate import rolling_violations, split_stream, validate_stream
 
@@ -97,6 +98,63 @@ def test_recursive_schemas_take_the_interpreter(spark):
     same_errors(spark, tree, [{"v": 1, "next": {"v": "x", "next": {"v": True}}}, {"down": [[], [[3]]]}, {}])
 
 
+def test_patterns_end_at_the_end(spark):
+    values = ["12", "12\n", "12\r", "٣", "a.b", "a\u2028b", "a b", "a\u00a0b", "[", "x/y", "&&"]
+    for pattern in ("^[0-9]+$", r"^\d+$", "^a.b$", r"^a\sb$", r"^[^\sa-z]+$", "^[[]$", r"^x\/y$", "^[a&&b]+$", r"\S$"):
+        same_errors(spark, {"pattern": pattern}, values)
+    keyed = {"patternProperties": {"^x$": {"type": "string"}}, "additionalProperties": False}
+    same_errors(spark, keyed, [{"x": 1}, {"x\n": "a"}, {"x": "a"}])
+    assert [bool(violations({"pattern": "^[0-9]+$"}, v)) for v in values[:4]] == [False, True, True, True]
+
+
+def test_whole_numbers_are_exact(spark):
+    large = 2**53
+    values = [large - 1, large, large + 1, large + 2, -large - 1, 10**30, 1.5, 6, 7.0, 2.5]
+    for schema in ({"const": large + 1}, {"enum": [large + 2, 3]}, {"minimum": large + 1}, {"maximum": large}, {"exclusiveMaximum": large + 1}, {"exclusiveMinimum": -large - 1}, {"multipleOf": 2}, {"multipleOf": 7}, {"multipleOf": 0.5}):
+        same_errors(spark, schema, values)
+    assert [not violations({"const": large + 1}, v) for v in values[:4]] == [False, False, True, False]
+    same_errors(spark, {"uniqueItems": True}, [[large, large + 1], [1, 1.0], [[1], [1.0]], [{"a": 2.50}, {"a": 2.5}], ["1.0", "1.00"], [{"a": "x:1.0,"}, {"a": "x:1,"}], [True, 1], [{"a": 1, "b": 2}, {"b": 2, "a": 1}]])
+    same_errors(spark, {"const": {"a": [1, {"b": 2.0}]}}, [{"a": [1.0, {"b": 2}]}, {"a": [1, {"b": 3}]}, {"a": ["1", {"b": 2}]}])
+
+
+def test_older_drafts(spark):
+    seven, four = "http://json-schema.org/draft-07/schema#", "http://json-schema.org/draft-04/schema"
+    tuples = {"$schema": seven, "items": [{"type": "string"}, {"type": "integer"}], "additionalItems": False, "dependencies": {"a": ["b"], "c": {"required": ["d"]}}}
+    values = [["x", 1], [1, 1], ["x", 1, 2], {"a": 1}, {"a": 1, "b": 1}, {"c": 1}, {"c": 1, "d": 1}]
+    same_errors(spark, tuples, values)
+    assert [bool(violations(tuples, v)) for v in values] == [False, True, True, True, False, True, False]
+    beside = {"$schema": seven, "properties": {"a": {"$ref": "#/definitions/s", "maxLength": 1}}, "definitions": {"s": {"type": "string"}}, "unevaluatedProperties": False}
+    same_errors(spark, beside, [{"a": "long"}, {"a": 1}, {"b": 1}])
+    assert not violations(beside, {"a": "long", "b": 1})
+    assert [bool(violations({"$schema": four, "minimum": 3, "exclusiveMinimum": True, "const": 9}, v)) for v in (3, 4)] == [True, False]
+    assert violations({"$schema": "https://json-schema.org/draft/2019-09/schema", "items": [{"type": "null"}]}, [1])
+    for schema in ({"items": [{"type": "string"}]}, {"$schema": "https://json-schema.org/draft/2020-12/schema", "properties": {"a": {"items": []}}}):
+        with pytest.raises(ResolveError, match="prefixItems"):
+            Compiled(schema)
+
+
+def test_shared_references_are_walked_once():
+    chain = {"$defs": {f"d{i}": {"properties": {"a": {"$ref": f"#/$defs/d{i + 1}"}, "b": {"$ref": f"#/$defs/d{i + 1}"}}} for i in range(60)} | {"d60": {"type": "string"}}, "$ref": "#/$defs/d0"}
+    assert not is_recursive(chain)
+
+
+def test_errors_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("{}",)], "payload string")
+    checked = violation_summary(validate(rows, samples.ORDER, ResolveOptions("response", "read")))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("must have items, at least") == 1
+
+
+def test_names_of_another_format(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"request": "r", "envelope": "card"}')
+    words = Vocabulary.load(tmp_path / "v.json")
+    assert words.response == "on_response" and resolve({"properties": {"a": {"r": "omit"}, "b": {"on_request": "omit"}}}, ResolveOptions("request", "create", vocabulary=words)) == {"properties": {"b": {"on_request": "omit"}}}
+    docs = Documents(fetch=lambda url: json.dumps({"properties": {"a": {"type": "string", "on_response": "required"}}}), vocabulary=words)
+    payload = {"card": {"capabilities": {"com.example.a": [{"version": "2026-01-01", "schema": "https://example.com/s.json"}]}}}
+    rows = spark.createDataFrame([(0, json.dumps(payload)), (1, json.dumps({**payload, "a": "x"})), (2, '{"about": {"capabilities": {}}}')], "i int, payload string")
+    assert {r.i: r.exit_code for r in validate_by_capabilities(rows, docs, "read").collect()} == {0: 1, 1: 0, 2: 2}
+
+
 def test_variants_and_strings_and_garbage(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ("{bad",), (None,)], "payload string")
     schema = {"properties": {"a": {"type": "string"}}}
@@ -121,9 +179,9 @@ def test_validation_plans_have_no_shuffle(spark):
 
 
 def test_self_described_payloads(spark):
-    good = {"ucp": {"capabilities": samples.capabilities("2026-02-01", samples.DISCOUNT)}, "id": "1234", "status": "P", "line_items": [{"sku": "s", "quantity": 6}], "discount": 0.1}
+    good = {"about": {"capabilities": samples.capabilities("2026-02-01", samples.DISCOUNT)}, "id": "1234", "status": "P", "line_items": [{"sku": "s", "quantity": 6}], "discount": 0.1}
     request = {"meta": {"profile": samples.PROFILE}, "order": {"id": "1234", "line_items": [{"sku": "s", "quantity": 6}]}}
-    broken = {"ucp": {"capabilities": {"com.other.x": [{"version": "2026-01-01", "schema": f"{samples.BASE}/order.json"}]}}}
+    broken = {"about": {"capabilities": {"com.other.x": [{"version": "2026-01-01", "schema": f"{samples.BASE}/order.json"}]}}}
     cases = [good, {**good, "discount": 0}, request, {"meta": {"profile": samples.PROFILE}}, {"a": 1}, broken, {"meta": {"profile": "https://nowhere.example.com/p"}}]
     def fetch(url):
         if url not in samples.DOCUMENTS:

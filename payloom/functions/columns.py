@@ -17,6 +17,13 @@ def member(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$['{quoted}']", "variant")
 
 
+def at_pointer(v: Column, pointer: str) -> Column:
+    """Member at a JSON Pointer, as navigate() finds it: arrays are not entered."""
+    for part in pointer.strip("/").split("/") if pointer.strip("/") else ():
+        v = member(v, part.replace("~1", "/").replace("~0", "~"))
+    return v
+
+
 def members(v: Column) -> Column:
     """A variant object as a map, NULL for anything else."""
     return F.try_variant_get(v, "$", "map<string,variant>")

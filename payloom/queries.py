@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import samples
-from .functions.columns import json_type, member, members
+from .functions.columns import at_pointer, elements, json_type, member, members
 from .functions.names import binding_status_col, is_url_col, is_version_col, join_url_col, map_prefix_col, reverse_labels_col, url_path_col
 from .model import ResolveOptions
 from .operators import capabilities as graph
+from .operators import corpus as corpus_of
 from .operators import lint
 from .operators.validate import direction_of, error_rows, exit_codes, validate, validate_by_capabilities, verdict_json, violation_summary, with_verdict
 from .plans.compose import compose, parse_capabilities
-from .plans.resolve import resolve, select_shape, visibility_matrix
+from .plans.resolve import resolve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,7 +63,8 @@ def detect_direction(spark, sf_dir):
 def _capability_payloads(spark, sf_dir) -> DataFrame:
     """Orders whose payloads declare a root, and extensions by status."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    entry = lambda extends: F.concat(F.lit('[{"version": "'), day, F.lit('", "schema": "https://example.com/s.json"'), F.lit(extends), F.lit("}]"))
+    old = F.lit('}, {"version": "1900-01-01", "schema": "https://example.com/old.json"}]')  # only the first one counts
+    entry = lambda extends: F.concat(F.lit('[{"version": "'), day, F.lit('", "schema": "https://example.com/s.json"'), F.lit(extends), old)
     ext = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit(', "com.example.b": '), entry(', "extends": "com.example.a"'))).when(
         F.col("o_orderstatus") == "F", F.concat(F.lit(', "com.example.c": '), entry(', "extends": ["com.example.a", "com.example.x"]'))
     )
@@ -96,11 +98,18 @@ def pointer_navigate(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.try_variant_get(v, "$", "bigint").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("select 'number' as kind, count(*)::bigint as n from events union all select 'object', count(*)::bigint from events")
+@query("select k::bigint as k, count(*)::bigint as n from (select json_extract_string(props, '$.k') as k from events) group by 1")
+def pointer_escapes(spark, sf_dir):
+    v = F.try_parse_json(F.concat(F.lit('{"a/b": {"~x": {"deep": ['), F.col("props"), F.lit(']}, "c": 1}, "a": {"b": 2}}')))
+    found = F.get(elements(at_pointer(v, "/a~1b/~0x/deep")), F.lit(0))
+    return table(spark, sf_dir, "events").groupBy(F.try_variant_get(found, "$.k", "bigint").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""select kind, (count(*) * times)::bigint as n from events, (values ('number', 2), ('object', 2), ('string', 1), ('null', 1), ('boolean', 1), ('array', 1)) k(kind, times) group by kind, times""")
 def json_types(spark, sf_dir):
-    v = F.try_parse_json("props")
-    both = table(spark, sf_dir, "events").select(F.explode(F.concat(F.array(json_type(v)), F.transform(F.map_values(members(v)), json_type))).alias("kind"))
-    return both.groupBy("kind").agg(F.count("*").alias("n"))
+    v = F.try_parse_json(F.concat(F.lit('["x", null, true, [1], 2.5, {}, '), F.col("props"), F.lit("]")))
+    kinds = F.flatten(F.transform(elements(v), lambda x: F.concat(F.array(json_type(x)), F.coalesce(F.transform(F.map_values(members(x)), json_type), F.array().cast("array<string>")))))
+    return table(spark, sf_dir, "events").select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # Graphs, versions, names.
@@ -263,29 +272,140 @@ keyword_query(
 keyword_query("min_items", _property("line_items", {"minItems": 4}), "select l_orderkey as payload_id, '/line_items' as path, 'minItems' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) < 4")
 
 
+keyword_query("exclusive_minimum", _property("total", {"exclusiveMinimum": 100000.5}), _AT.format(path="/total", keyword="exclusiveMinimum", where="o_totalprice <= 100000.5"))
+keyword_query("multiple_of", _property("due", {"multipleOf": 3}), _AT.format(path="/due", keyword="multipleOf", where="o_orderstatus = 'P' and o_orderkey % 3 <> 0"), _due)
+keyword_query("maxlength", _property("priority", {"maxLength": 5}), _AT.format(path="/priority", keyword="maxLength", where="length(o_orderpriority) > 5"))
+keyword_query("max_items", _property("line_items", {"maxItems": 4}), "select l_orderkey as payload_id, '/line_items' as path, 'maxItems' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) > 4")
+
+
+def _tags():
+    return F.array(F.col("o_orderstatus"), F.lit("P"), F.lit("x")).alias("tags")
+
+
+def _pair():
+    return F.array(F.col("o_orderstatus"), F.lit("P")).alias("pair")
+
+
+_LINED = "o_orderkey in (select l_orderkey from lineitem)"
+keyword_query("unique_items", _property("tags", {"uniqueItems": True}), _AT.format(path="/tags", keyword="uniqueItems", where="o_orderstatus = 'P'"), _tags)
+keyword_query("contains", _property("tags", {"contains": {"const": "F"}}), _AT.format(path="/tags", keyword="contains", where="o_orderstatus <> 'F'"), _tags)
+keyword_query(
+    "contains_counted",
+    _property("line_items", {"contains": _property("quantity", {"minimum": 25}), "minContains": 2, "maxContains": 3}),
+    "select l_orderkey as payload_id, '/line_items' as path, 'contains' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) filter (l_quantity::int >= 25) not between 2 and 3",
+)
+keyword_query("prefix_items", _property("tags", {"prefixItems": [{"const": "P"}, True], "items": {"const": "x"}}), _AT.format(path="/tags/0", keyword="const", where="o_orderstatus <> 'P'"), _tags)
+keyword_query("unevaluated_items", _property("pair", {"contains": {"const": "P"}, "unevaluatedItems": False}), _AT.format(path="/pair", keyword="unevaluatedItems", where="o_orderstatus <> 'P'"), _pair)
+_N_MEMBERS = f"(4 + ({_LINED})::int + (o_orderstatus = 'P')::int)"
+keyword_query("min_properties", {"minProperties": 6}, _AT.format(path="", keyword="minProperties", where=f"{_N_MEMBERS} < 6"), _due)
+keyword_query("max_properties", {"maxProperties": 5}, _AT.format(path="", keyword="maxProperties", where=f"{_N_MEMBERS} > 5"), _due)
+keyword_query("pattern_properties", {"patternProperties": {"^d": {"type": "string"}}}, _AT.format(path="/due", keyword="type", where="o_orderstatus = 'P'"), _due)
+keyword_query("property_names", {"propertyNames": {"maxLength": 7}}, _AT.format(path="", keyword="maxLength", where="true") + " union all " + _AT.format(path="", keyword="maxLength", where=_LINED))
+keyword_query("dependent_required", {"dependentRequired": {"due": ["id", "paid"]}}, _AT.format(path="", keyword="dependentRequired", where="o_orderstatus = 'P'"), _due)
+keyword_query("dependent_schemas", {"dependentSchemas": {"due": _property("total", {"minimum": 150000})}}, _AT.format(path="/total", keyword="minimum", where="o_orderstatus = 'P' and o_totalprice < 150000"), _due)
+keyword_query("anchor", _property("status", {"$ref": "#p"}) | {"$defs": {"p": {"$anchor": "p", "const": "P"}}}, _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'"))
+keyword_query("dynamic_ref", _property("status", {"$dynamicRef": "#p"}) | {"$defs": {"p": {"$dynamicAnchor": "p", "const": "P"}}}, _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'"))
+keyword_query("format_is_a_remark", _property("id", {"format": "email", "minLength": 4}), _AT.format(path="/id", keyword="minLength", where="length(o_orderkey::varchar) < 4"))
+keyword_query("boolean", _property("due", False), _AT.format(path="/due", keyword="false", where="o_orderstatus = 'P'"), _due)
+keyword_query(
+    "additional_schema",
+    {"properties": {"id": True}, "additionalProperties": {"type": "string"}},
+    " union all ".join(_AT.format(path=p, keyword="type", where=w) for p, w in (("/total", "true"), ("/line_items", _LINED), ("/due", "o_orderstatus = 'P'"))),
+    _due,
+)
+keyword_query(
+    "draft07",
+    {"$schema": "http://json-schema.org/draft-07/schema#", **_property("tags", {"items": [{"const": "P"}], "additionalItems": {"const": "P"}}), "dependencies": {"due": ["paid"]}},
+    " union all ".join(_AT.format(path=p, keyword=k, where=w) for p, k, w in (("/tags/0", "const", "o_orderstatus <> 'P'"), ("/tags/2", "const", "true"), ("", "dependentRequired", "o_orderstatus = 'P'"))),
+    _tags,
+    _due,
+)
+keyword_query(
+    "recursive",
+    {"properties": {"status": {"const": "P"}, "within": {"$ref": "#"}}},
+    _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="/within/status", keyword="const", where="o_orderpriority <> '1-URGENT'"),
+    lambda: F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "P").otherwise("F").alias("status")).alias("within"),
+)
+keyword_query("large_integers", _property("big", {"maximum": 2**53 + 1000}), _AT.format(path="/big", keyword="maximum", where="o_orderkey > 1000"), lambda: (F.col("o_orderkey") + 2**53).alias("big"))
+keyword_query("pattern_end", _property("code", {"pattern": "^[A-Z]$"}), _AT.format(path="/code", keyword="pattern", where="o_orderstatus = 'P'"), lambda: F.when(F.col("o_orderstatus") == "P", "P\n").otherwise("F").alias("code"))
+
+
 # Resolution.
 
 
-@query(_AT.format(path="", keyword="additionalProperties", where="true"))
+@query(_AT.format(path="", keyword="additionalProperties", where="o_orderkey % 3 <> 0"))
 def resolve_omit_rejected(spark, sf_dir):
-    """A create request must not send what is omitted from it: here every order sends its id and status."""
-    checked = validate(samples.orders(spark, sf_dir), samples.ORDER, CREATE)
+    """A create request must not send what is omitted from it: two of three orders send their id and status."""
+    short = F.regexp_replace("payload", r'^\{"id":"[0-9]+","status":"[A-Z]",', "{")
+    sent = samples.orders(spark, sf_dir).withColumn("payload", F.when(F.col("payload_id") % 3 == 0, short).otherwise(F.col("payload")))
+    checked = validate(sent, samples.ORDER, CREATE)
     return error_rows(checked, "payload_id").where("keyword = 'additionalProperties' and path = ''").select("payload_id", "path", "keyword")
 
 
-@query("""select * from (values
-('/properties/id', 'create', 'omit'), ('/properties/id', 'update', 'required'), ('/properties/id', 'read', 'required'),
-('/properties/line_items', 'create', 'required'), ('/properties/line_items', 'update', 'optional'), ('/properties/line_items', 'read', 'omit'),
-('/properties/status', 'create', 'omit'), ('/properties/status', 'update', 'omit'), ('/properties/status', 'read', 'omit'),
-('/properties/priority', 'create', 'optional'), ('/properties/priority', 'update', 'optional'), ('/properties/priority', 'read', 'optional'),
-('/properties/total', 'create', 'include'), ('/properties/total', 'update', 'include'), ('/properties/total', 'read', 'include'),
-('/properties/note', 'create', 'omit'), ('/properties/note', 'update', 'include'), ('/properties/note', 'read', 'include'),
-('/$defs/line/properties/sku', 'create', 'include'), ('/$defs/line/properties/sku', 'update', 'include'), ('/$defs/line/properties/sku', 'read', 'include'),
-('/$defs/line/properties/quantity', 'create', 'include'), ('/$defs/line/properties/quantity', 'update', 'include'), ('/$defs/line/properties/quantity', 'read', 'include'),
-('/$defs/line/properties/price', 'create', 'omit'), ('/$defs/line/properties/price', 'update', 'include'), ('/$defs/line/properties/price', 'read', 'include')) v(pointer, op, visibility)""")
+@query(_AT.format(path="", keyword="additionalProperties", where="o_orderstatus = 'P'") + """
+union all select l_orderkey, '/line_items/' || (row_number() over (partition by l_orderkey) - 1), 'additionalProperties' from lineitem where l_orderkey in (select o_orderkey from orders)""")
+def resolve_strict(spark, sf_dir):
+    """Strictly, objects that say nothing of further members allow none: neither orders nor their lines, which have a price."""
+    line = {"type": "object", "properties": {"sku": True, "quantity": True}}
+    schema = {"type": "object", "properties": {**{k: True for k in ("id", "status", "priority", "total")}, "line_items": {"type": "array", "items": line}}}
+    checked = validate(samples.orders(spark, sf_dir, _due()), schema, ResolveOptions("response", "read", strict=True))
+    return error_rows(checked, "payload_id").select("payload_id", "path", "keyword")
+
+
+_T = {"description": "d"}
+#: Annotations of a property, by a document's number.
+_SAID = ("omit", "required", {"create": "omit", "update": "required"}, {"transition": {"from": "optional", "to": "omit", **_T}}, {"create": {"transition": {"from": "omit", "to": "optional", **_T}}}, None)
+
+
+def _annotated(spark, sf_dir) -> DataFrame:
+    texts = [json.dumps({"properties": {"f": {"type": "string", **({samples.REQUEST: x} if x else {})}}, "required": ["f"]}) for x in _SAID]
+    return samples.part_corpus(spark, sf_dir, texts)
+
+
+@query("""select op, visibility, becomes, count(*)::bigint as n from (
+  select op, case p_partkey % 6 when 0 then 'omit' when 1 then 'required' when 2 then case op when 'create' then 'omit' when 'update' then 'required' else 'include' end
+    when 3 then 'optional' when 4 then case op when 'create' then 'omit' else 'include' end else 'include' end as visibility,
+    case when p_partkey % 6 = 3 then 'omit' when p_partkey % 6 = 4 and op = 'create' then 'optional' end as becomes
+  from part, (values ('create'), ('update'), ('read')) o(op)) group by all""")
 def resolve_visibility_matrix(spark, sf_dir):
-    found = visibility_matrix(samples.ORDER, ("create", "update", "read"), ("request",))
-    return rows(spark, "pointer string, op string, visibility string", [(p, op, seen) for p, _, op, seen, _ in found])
+    found = corpus_of.visibility_rows(_annotated(spark, sf_dir), ("create", "update", "read"), ("request",))
+    return found.groupBy("op", "visibility", "becomes").agg(F.count("*").alias("n"))
+
+
+def _fields(spark, sf_dir, future: bool) -> DataFrame:
+    """Whether the field is there, required and on its way out, of each resolved document."""
+    found = corpus_of.resolved(_annotated(spark, sf_dir), ResolveOptions("request", "create", include_future=future))
+    v = F.parse_json("content")
+    field = member(member(v, "properties"), "f")
+    required = F.coalesce(F.array_contains(F.transform(elements(member(v, "required")), lambda x: F.try_variant_get(x, "$", "string")), "f"), F.lit(False))
+    return found.select(F.lit(future).alias("future"), field.isNotNull().alias("there"), required.alias("required"), member(field, "deprecated").isNotNull().alias("leaving"))
+
+
+@query("""select future, there, required, leaving, count(*)::bigint as n from (
+  select future, k in (1, 3, 5) or k = 4 and future as there, k in (1, 5) as required, k = 3 as leaving from (select p_partkey % 6 as k from part), (values (false), (true)) f(future)) group by all""")
+def include_future(spark, sf_dir):
+    return _fields(spark, sf_dir, False).unionByName(_fields(spark, sf_dir, True)).groupBy("future", "there", "required", "leaving").agg(F.count("*").alias("n"))
+
+
+@query("""select case p_partkey % 4 when 1 then 'MonotonicityViolation' when 3 then 'TypeConflict' else 'ok' end as status, p_partkey % 4 = 2 as there, count(*)::bigint as n from part group by all""")
+def allof_rules(spark, sf_dir):
+    """Of branches the last annotation counts; a required member may not be weakened, nor a type be contradicted."""
+
+    def branches(*said: str | None, required: bool = False, types: tuple = ("string", "string")) -> str:
+        branch = lambda a, t: {"properties": {"f": {"type": t, **({samples.REQUEST: a} if a else {})}}, **({"required": ["f"]} if required and not a else {})}
+        return json.dumps({"allOf": [branch(a, t) for a, t in zip(said, types, strict=True)]})
+
+    texts = [branches("omit", "required"), branches(None, "omit", required=True), branches(None, "required"), branches(None, None, types=("string", "number"))]
+    found = corpus_of.resolved(samples.part_corpus(spark, sf_dir, texts), CREATE)
+    there = F.coalesce(F.size(F.filter(elements(member(F.try_parse_json("content"), "allOf")), lambda b: member(member(b, "properties"), "f").isNotNull())) == 2, F.lit(False))
+    return found.groupBy(F.coalesce("fault", F.lit("ok")).alias("status"), there.alias("there")).agg(F.count("*").alias("n"))
+
+
+@query("""select p_partkey::varchar || '.json' as uri, target, least, most from part, (values (0, 'protocol', '2026-01-01', null), (1, 'protocol', '2026-01-01', '2026-06-01'), (1, 'a', '2026-02-01', null)) d(k, target, least, most) where p_partkey % 4 = k""")
+def requires_parsed(spark, sf_dir):
+    """Version demands of each document; malformed ones, wherever, make none of a document's demands count."""
+    asked = ({"protocol": {"min": "2026-01-01"}}, {"protocol": {"min": "2026-01-01", "max": "2026-06-01"}, "capabilities": {"a": {"min": "2026-02-01"}}}, {"protocol": {"min": "2026-01-01"}, "capabilities": {"a": {"min": "soon"}}}, {"capabilities": {"a": {"min": "2026-01-01", "max": None}}})
+    return corpus_of.demands(samples.part_corpus(spark, sf_dir, [json.dumps({"requires": x}) for x in asked]))
 
 
 @query("select o_orderpriority as priority, count(*)::bigint as n from orders where o_orderpriority is not null group by 1")
@@ -298,66 +418,56 @@ def transition_deprecated_usage(spark, sf_dir):
     return sent.where("priority is not null").groupBy("priority").agg(F.count("*").alias("n"))
 
 
-@query("select * from (values (false, 'line_items,priority,total'), (true, 'line_items,note,priority,total')) v(future, fields)")
-def include_future(spark, sf_dir):
-    fields = lambda future: ",".join(sorted(resolve(samples.ORDER, ResolveOptions("request", "create", include_future=future))["properties"]))
-    return rows(spark, "future boolean, fields string", [(f, fields(f)) for f in (False, True)])
-
-
-def _branches(*annotations: str | None, required: bool = False, types: tuple = ("string", "string")) -> dict:
-    branch = lambda a, t: {"properties": {"f": {"type": t, **({samples.REQUEST: a} if a else {})}}, **({"required": ["f"]} if required and not a else {})}
-    return {"allOf": [branch(a, t) for a, t in zip(annotations, types, strict=True)]}
-
+@query("""select o_orderkey as payload_id, 'request' as direction, '/total' as path, 'maximum' as keyword from orders where o_totalprice > 150000
+union all select o_orderkey, 'response', '', 'required' from orders where o_orderstatus <> 'P'""")
+def container_select(spark, sf_dir):
+    """Orders against the shape that a container has for the operation in each direction."""
+    found = [error_rows(validate(samples.orders(spark, sf_dir, _due()), samples.QUOTE, ResolveOptions(d, "price")), "payload_id").select("payload_id", F.lit(d).alias("direction"), "path", "keyword") for d in ("request", "response")]
+    return found[0].unionByName(found[1])
 
-@query("select * from (values ('last wins', 'ok'), ('weakened', 'MonotonicityViolation'), ('strengthened', 'ok'), ('types', 'TypeConflict')) v(name, status)")
-def allof_rules(spark, sf_dir):
-    from .model import PayloomError
 
-    def status(schema) -> str:
-        try:
-            resolve(schema, CREATE)
-        except PayloomError as e:
-            return e.kind
-        return "ok"
+@query("""select o_orderkey as payload_id, '/total' as path, 'maximum' as keyword from orders where o_totalprice > 250000
+union all select o_orderkey, '/total', 'minimum' from orders where o_totalprice < 50000 union all select o_orderkey, '', 'required' from orders where o_orderstatus <> 'P'""")
+def container_merge(spark, sf_dir):
+    """What two extensions say of one shape of a container stands in its place, together."""
+    schema = compose(parse_capabilities(samples.capabilities("2026-02-01", *samples.SHAPES[1:], root=samples.SHAPES[0])), samples.documents())
+    return error_rows(validate(samples.orders(spark, sf_dir, _due()), schema, ResolveOptions("request", "price")), "payload_id").select("payload_id", "path", "keyword")
 
-    cases = {"last wins": _branches("omit", "required"), "weakened": _branches(None, "omit", required=True), "strengthened": _branches(None, "required"), "types": _branches(None, None, types=("string", "number"))}
-    return rows(spark, "name string, status string", [(n, status(s)) for n, s in cases.items()])
 
+@query("""select * from (select l_orderkey as payload_id, '/line_items/' || (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) - 1) || '/quantity' as path, 'minimum' as keyword, l_quantity < 5 as bad
+  from lineitem where l_orderkey in (select o_orderkey from orders)) where bad""".replace("select * from", "select payload_id, path, keyword from", 1))
+def bundle_references(spark, sf_dir):
+    """References to another document, and within it, are inlined before orders are held against the schema."""
+    schema = {"properties": {"line_items": {"items": {"$ref": "order.json#/$defs/line", "title": "a line"}}}}
+    plain = samples.documents().bundle_remote(schema, f"{samples.BASE}/here.json")
+    return error_rows(validate(samples.orders(spark, sf_dir), plain, READ), "payload_id").select("payload_id", "path", "keyword")
 
-@query("select * from (values ('search', 'request', 'query'), ('search', 'response', 'products')) v(op, direction, required)")
-def container_select(spark, sf_dir):
-    found = []
-    for direction in ("request", "response"):
-        plain = select_shape(resolve(samples.QUOTE, ResolveOptions(direction, "price")), ResolveOptions(direction, "price"))
-        found.append(("search", direction, ",".join(plain["$defs"][plain["$ref"].rpartition("/")[2]]["required"])))
-    return rows(spark, "op string, direction string, required string", found)
 
+# Lint.
 
-@query(f"select * from (values ('{samples.ROOT}', 0), ('{samples.DISCOUNT}', 1), ('{samples.POINTS}', 2)) v(name, n_branches)")
-def compose_branches(spark, sf_dir):
-    """Branches of the composed schema with so many extensions."""
-    n = lambda *x: len(compose(parse_capabilities(samples.capabilities("2026-02-01", *x)), samples.documents()).get("allOf", []))
-    return rows(spark, "name string, n_branches int", [(samples.ROOT, n()), (samples.DISCOUNT, n(samples.DISCOUNT)), (samples.POINTS, n(samples.DISCOUNT, samples.POINTS))])
+_LINT = "lint as (select p_partkey::varchar || '.json' as file, unnest(codes) as code from part join (values " + ", ".join(f"({i}, {list(codes)}::varchar[])" for i, (_, codes) in enumerate(samples.KINDS)) + f") k(k, codes) on p_partkey % {len(samples.KINDS)} = k)"
+_FILES = f"{_LINT}, files as (select p_partkey::varchar || '.json' as file, count(code) filter (code like 'E%') as e, count(code) filter (code like 'W%') as w from part left join lint on lint.file = p_partkey::varchar || '.json' group by 1)"
 
 
-# Lint.
+def _linted(spark, sf_dir) -> DataFrame:
+    return samples.part_corpus(spark, sf_dir, [x if isinstance(x, str) else json.dumps(x) for x, _ in samples.KINDS])
 
 
-@query("""select * from (values ('E001', 1), ('E002', 1), ('E003', 2), ('E004', 3), ('E005', 2), ('E006', 2), ('E007', 1), ('E008', 1), ('W002', 1), ('W003', 1), ('W004', 1), ('W005', 1)) v(code, n)""")
+@query(f"with {_LINT} select code, count(*)::bigint as n from lint group by code")
 def lint_by_code(spark, sf_dir):
-    return lint.diagnostics(samples.corpus(spark)).groupBy("code").agg(F.count("*").cast("int").alias("n"))
+    return lint.diagnostics(_linted(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('good.json', 'ok'), ('refs.json', 'error'), ('notes.json', 'error'), ('needs.json', 'error'), ('broken.json', 'error')) v(file, status)")
+@query(f"with {_FILES} select file, case when e > 0 then 'error' when w > 0 then 'warning' else 'ok' end as status from files")
 def lint_file_status(spark, sf_dir):
-    corpus = samples.corpus(spark)
+    corpus = _linted(spark, sf_dir)
     return lint.file_results(corpus, lint.diagnostics(corpus)).select("file", "status")
 
 
-@query("select 5::bigint as files_checked, 1::bigint as passed, 4::bigint as failed, 13::bigint as errors, 4::bigint as warnings")
+@query(f"with {_FILES} select count(*)::bigint as files_checked, count(*) filter (e = 0 and w = 0)::bigint as passed, count(*) filter (e + w > 0)::bigint as failed, sum(e)::bigint as errors, sum(w)::bigint as warnings from files")
 def lint_summary(spark, sf_dir):
-    corpus = samples.corpus(spark)
-    return lint.summary(lint.file_results(corpus, lint.diagnostics(corpus)))
+    corpus = _linted(spark, sf_dir)
+    return lint.summary(lint.file_results(corpus, lint.diagnostics(corpus)), strict=True)
 
 
 # Reports.
@@ -395,23 +505,22 @@ def verdict_as_json(spark, sf_dir):
 
 
 def _self_described(spark, sf_dir) -> DataFrame:
-    """Orders as payloads of four kinds: a root alone, an extension, requests with a profile, and none."""
-    caps = {x: json.dumps(samples.capabilities("2026-02-01", *x)) for x in ((), (samples.DISCOUNT,))}
-    about = f'{{"{samples.ENVELOPE}": {{"capabilities": '
-    kind = F.col("payload_id") % 4
-    body = F.expr("substr(payload, 2)")
-    text = (
-        F.when(kind == 0, F.concat(F.lit(about + caps[()] + "}, "), body))
-        .when(kind == 1, F.concat(F.lit(about + caps[(samples.DISCOUNT,)] + '}, "discount": 0.01, '), body))
-        .when(kind == 2, F.concat(F.lit('{"meta": {"profile": "' + samples.PROFILE + '"}, "order": '), F.col("payload"), F.lit("}")))
-        .otherwise(F.col("payload"))
-    )
-    return samples.orders(spark, sf_dir).select("payload_id", text.alias("payload"))
-
-
-@query(f"""select case o_orderkey % 4 when 3 then 'none' when 2 then 'request' else 'response' end as direction,
-  case o_orderkey % 4 when 3 then 2 when 2 then 1 else 1 end as exit_code, count(*)::bigint as n from orders group by 1, 2""")
+    """Orders as payloads of five kinds: a root alone, with one extension or two, requests with a profile, and none."""
+    sets = [json.dumps(samples.capabilities("2026-02-01", *x, root=samples.TICKET)) for x in ((), (samples.REBATE,), (samples.REBATE, samples.PERKS))]
+    about, body = f'{{"{samples.ENVELOPE}": {{"capabilities": ', F.expr("substr(payload, 2)")
+    kind = F.col("payload_id") % 5
+    rebate = F.concat(F.lit('"rebate": '), (F.col("payload_id") % 100 / 1000).cast("string"), F.lit(", "))
+    text = F.when(kind == 3, F.concat(F.lit('{"meta": {"profile": "' + samples.PROFILE + '"}, "order": '), F.col("payload"), F.lit("}"))).when(kind == 4, F.col("payload"))
+    for i, caps in enumerate(sets):
+        text = text.when(kind == i, F.concat(F.lit(about + caps + "}, "), rebate, body))
+    return samples.orders(spark, sf_dir, _due()).select("payload_id", text.alias("payload"))
+
+
+@query("""select k, direction, exit_code, count(*)::bigint as n from (
+  select k, case k when 4 then 'none' when 3 then 'request' else 'response' end as direction,
+    case k when 4 then 2 when 3 then 1 when 0 then (total > 200000)::int when 1 then (status = 'O' or rebate < 0.03)::int else (status <> 'P' or rebate < 0.03)::int end as exit_code
+  from (select o_orderkey % 5 as k, o_orderstatus as status, o_totalprice as total, o_orderkey % 100 / 1000.0 as rebate from orders)) group by all""")
 def validate_self_described(spark, sf_dir):
-    """Each payload against what its own capabilities compose; ids, discounts and closed objects make all of them invalid."""
+    """Each payload against what its own capabilities compose: extensions stand for the root, together. Requests send a status, which none may."""
     checked = validate_by_capabilities(_self_described(spark, sf_dir), samples.documents(), "read")
-    return checked.groupBy(F.coalesce("direction", F.lit("none")).alias("direction"), "exit_code").agg(F.count("*").alias("n"))
+    return checked.groupBy((F.col("payload_id") % 5).alias("k"), F.coalesce("direction", F.lit("none")).alias("direction"), "exit_code").agg(F.count("*").alias("n"))

@@ -22,6 +22,30 @@ def test_contract_without_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
 
 
+def test_the_rest_passes_without_training_data_operators(tmp_path):
+    """Without the subpackage, its tests and the pipeline, the other tests are found and run."""
+    import shutil
+
+    for name in ("payloom", "tests"):
+        shutil.copytree(REPO / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", "-k", "(resolve or selection or matrix or needs_no_session) and not cli"], cwd=tmp_path, check=True)
+
+
+def test_a_missing_package_is_told(tmp_path):
+    """Only the subpackage itself may be missing."""
+    import shutil
+
+    shutil.copytree(REPO / "payloom", tmp_path / "payloom", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if not (REPO / name).exists():
+            return
+        shutil.copy(REPO / name, tmp_path)
+    (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError('no xxhash', name='xxhash')")
+    code = "import __spark_entry__ as e; e.queries()"
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True).returncode != 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

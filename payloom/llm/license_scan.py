@@ -1,8 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter, with overlaps resolved by priority and containment.
 
 A text is lower-cased (A-Z), its words (runs of digits, letters and everything beyond ASCII) are joined by single
-spaces, and the rules run on that, so that line breaks and punctuation do not matter. Rules are regular expressions made
-from license families, versions and the forms in which licenses are named. One pass of an Aho-Corasick automaton finds
+spaces, and the rules run on that, so that line breaks and punctuation do not matter. Rules are regular expressions: about two
+hundred signatures of license texts, written one by one, and the names of license families in the forms and versions in
+which they are given. One pass of an Aho-Corasick automaton finds
 which keywords a text holds, and only the rules of those keywords run. Of overlapping detections, those of higher
 priority, then longer ones, come first, and a detection inside one that is kept is dropped.
 
@@ -15,9 +16,11 @@ result; repeated rows are scanned one by one; columns besides doc_id and text ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import TEXTS
 
 #: Label and phrase that are always reported.
 BASE = (("cc-by", b"cc by"), ("gpl", b"general public license"), ("reserved", b"all rights reserved"))
@@ -94,23 +98,6 @@ FORMS = (
     (r"under(?: the)? terms of(?: the)? (?:{n})", 70),
     (r"(?:{n})", 50),
 )
-#: Label, expression, keyword, priority of texts that stand for themselves.
-TEXTS = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby", 90),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission to use", 90),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution and use", 85),
-    ("gpl", r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "you can redistribute", 88),
-    ("lgpl", r"you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e", "you can redistribute", 89),
-    ("apache-2.0", r"you may not use this file except in compliance with the licen[cs]e", "except in compliance", 84),
-    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "source code form", 92),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 90),
-    ("bsl-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy", "permission is hereby", 91),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain", 60),
-    ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)", "proprietary", 40),
-    ("reserved", r"all rights reserved", "rights reserved", 20),
-    ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", "copyright", 10),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -161,15 +148,24 @@ _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x
 def detect(words: str) -> list[tuple[int, int, str, int]]:
     """Start, end (characters), label, priority of what is kept; words: joined by spaces, with one on either side."""
     which = {i for _, some in _automaton().iter(words) for i in some}
-    hits = []
-    for i in sorted(which):
+    hits: dict[int, list[tuple[int, int, str]]] = {}
+    for i in which:
         rule = rules()[i]
-        hits += [(m.start(), m.end(), rule.label, rule.priority) for m in rule.expression.finditer(words)]
+        hits.setdefault(rule.priority, []).extend((m.start(), m.end(), rule.label) for m in rule.expression.finditer(words))
     kept: list[tuple[int, int, str, int]] = []
-    for hit in sorted(hits, key=lambda h: (-h[3], h[0] - h[1], h[0], h[2])):
-        if not any(k[0] <= hit[0] and hit[1] <= k[1] for k in kept):
-            kept.append(hit)
-    return sorted(kept)
+    starts: list[int] = []
+    reach: list[int] = []  # the farthest end of what is kept and starts there or before
+    for priority in sorted(hits, reverse=True):
+        mine, most = [], -1
+        for start, end, label in sorted(hits[priority], key=lambda h: (h[0], -h[1], h[2])):
+            at = bisect_right(starts, start) - 1
+            if end > most and (at < 0 or end > reach[at]):
+                mine.append((start, end, label, priority))
+            most = max(most, end)
+        kept = sorted([*kept, *mine])
+        starts = [k[0] for k in kept]
+        reach = list(accumulate((k[1] for k in kept), max))
+    return kept
 
 
 def scan(text: str | bytes | None) -> tuple:

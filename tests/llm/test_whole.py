@@ -245,6 +245,10 @@ def spelled(tree):
             some = spelled(arg[3])
         elif op == "BRANCH":
             some = [x for branch in arg[1] for x in spelled(branch)]
+        elif op == "ANY":
+            some = ["x"]
+        elif op == "MAX_REPEAT" and arg[0] == 1 and arg[1] > 1:
+            some = ["x "]
         elif op == "MAX_REPEAT":
             inner = spelled(arg[2])
             some = [x * n for n in range(arg[0], arg[1] + 1) for x in inner] if arg[1] == 1 else [x * arg[0] for x in inner]
@@ -262,6 +266,39 @@ def test_every_name_passes_its_prefilter():
             assert any(k in text for k in keywords.split("|")), (label, text)
 
 
+def test_every_text_is_told_and_not_without_a_word():
+    parse = re._parser.parse
+    for label, text, _, priority in license_scan.TEXTS:
+        whole = spelled(parse(text.replace(".{0,", ".{1,")))[0]
+        at = [k for k in license_scan.detect(f" {whole} ") if k[2] == label and k[3] == priority]
+        outer = license_scan.detect(f" {whole} ")
+        assert at or any(k[3] > priority for k in outer), (label, whole, outer)
+        if len(whole.split()) > 3:
+            for other in (whole.rpartition(" ")[0], whole.partition(" ")[2], whole[::-1]):
+                assert not any(k[3] == priority and k[2] == label and k[1] - k[0] == len(whole) for k in license_scan.detect(f" {other} ")), (label, other)
+    assert 150 < len(license_scan.TEXTS) < 200
+
+
+def test_containment_against_brute_force():
+    rng = random.Random(81)
+    parts = ["licensed under the apache license version 2 0", "mit license", "the", "under the terms of the gnu general public license v2", "gnu lesser general public license", "all rights reserved", "cc by sa 4 0", "copyright 2020", "released under the mit license", "bsd 3 clause license"]
+    for _ in range(100):
+        words = " " + " ".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) + " "
+        hits = sorted(((m.start(), m.end(), r.label, r.priority) for r in license_scan.rules() if any(k in words for k in r.keywords) for m in r.expression.finditer(words)), key=lambda h: (-h[3], h[0] - h[1], h[0], h[2]))
+        kept = []
+        for h in hits:
+            if not any(k[0] <= h[0] and h[1] <= k[1] for k in kept):
+                kept.append(h)
+        assert license_scan.detect(words) == sorted(kept)
+
+
+def test_a_long_text_of_notices_is_scanned_within_seconds():
+    text = "Licensed under the Apache License, Version 2.0. Released under the MIT License. All rights reserved. " * 50_000
+    started = time.time()
+    found = license_scan.scan(text)
+    assert found[5] == "apache-2.0,mit,reserved" and found[1] == 50_000 and time.time() - started < 60
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [("CC Attribution-ShareAlike 4.0", "cc-by-sa-4.0"), ("CC-NC-SA 3.0", "cc-by-nc-sa-3.0"), ("under CC-ND", "cc-by-nd"), ("CC NonCommercial", "cc-by-nc"), ("CC No Derivatives 2.0", "cc-by-nd-2.0"), ("CC Attribution", "cc-by")],

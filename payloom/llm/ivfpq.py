@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and the residuals' codebooks are fitted on a bounded sample (SAMPLE vectors, chosen by a hash of their
-ids); every vector is indexed. A query probes the lists whose centroids have the largest inner products with it, until
-it has the share PROBES of all lists and enough candidates. That share is for vectors spread evenly in all directions,
-which lists separate badly; where vectors form clusters, a smaller one has the same recall. In a list it looks up the inner products of its parts with all codewords
-once, adds them up by the vectors' codes, and scores the best RERANK different vectors, and all that tie with the last of
+ids); every vector is indexed. Lists grow with the square root of the number of vectors. A query probes the lists whose
+centroids have the largest inner products with it, until it has a share of all lists and enough candidates. That share is
+measured: TRIED vectors of the sample look for their neighbours in the sample, and the smallest share counts whose lists
+hold WANTED of them. Vectors spread evenly in all directions need most of the lists, clusters few. In a list a query
+looks up the inner products of its parts with all codewords once, adds them up by the vectors' codes, and scores the best RERANK different vectors, and all that tie with the last of
 them, exactly, from the original vectors. Equal vectors are one there, with the smallest ids that may be in a result.
 
 A list that holds more than VECTORS vectors, or is probed by more than ASKED queries, is cut into a grid of cells of
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Vectors used for fitting at most, and lists: as many, or the square root of the number of vectors if that is less.
-SAMPLE, LISTS = 20_000, 64
+#: Vectors used for fitting at most, and lists at most: the square root of the number of vectors, if that is less.
+SAMPLE, LISTS = 20_000, 1024
+#: Vectors of the sample that try shares of the lists, and how many of their neighbours the lists must hold.
+TRIED, WANTED = 200, 0.96
 ROUNDS, PARTS, CODES = 12, 16, 256
-PROBES, RERANK = 0.7, 50
+RERANK = 50
 VECTORS, ASKED, AT_ONCE = 20_000, 4_000, 128
 #: Candidates scored exactly at once.
 SCORED = 1 << 16
@@ -74,7 +77,17 @@ class Index:
         rest = x - self.centres[at]
         return at, np.stack([nearest(rest[:, p], book) for p, book in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
 
-    def probe(self, q: np.ndarray, sizes: np.ndarray, k: int, probes: float = PROBES) -> list[np.ndarray]:
+    def share(self, sample: np.ndarray, k: int) -> float:
+        """The smallest share of the lists that holds WANTED of the k nearest of TRIED vectors of the sample."""
+        at, tried = nearest(sample, self.centres), np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)
+        scores = sample[tried] @ sample.T
+        scores[np.arange(len(tried)), tried] = -np.inf
+        best = np.argsort(-scores, 1, kind="stable")[:, : min(k, len(sample) - 1)]
+        place = np.argsort(np.argsort(-(sample[tried] @ self.centres.T), 1, kind="stable"), 1)  # of each list in a query's order
+        needed = np.sort(place[np.arange(len(tried))[:, None], at[best]].ravel()) + 1
+        return float(needed[min(len(needed) - 1, int(np.ceil(WANTED * len(needed))))]) / len(self.centres) if len(needed) else 1.0
+
+    def probe(self, q: np.ndarray, sizes: np.ndarray, k: int, probes: float) -> list[np.ndarray]:
         """Lists of each query: the best ones, until there is the share `probes` of those that are not empty, and 2k + 1 candidates."""
         full = np.flatnonzero(sizes)
         order = full[np.argsort(-(q @ self.centres[full].T), 1, kind="stable")]
@@ -127,8 +140,8 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id is not null and size(v) > 0").where(finite & F.exists("v", lambda x: x != 0))
 
 
-def neighbours(vectors: DataFrame, is_query: F.Column, k: int, column: str = "embedding", probes: float = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found of each query."""
+def neighbours(vectors: DataFrame, is_query: F.Column, k: int, column: str = "embedding", probes: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found of each query; probes: the share of lists, measured if None."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     single = "array<float>" in vectors.select(column).dtypes[0][1]
@@ -140,7 +153,10 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int, column: str = "em
     width = Counter(len(r["v"]) for r in sample).most_common(1)[0][0]
     valid = valid.where(F.size("v") == width)
     lists = max(1, min(LISTS, len(sample), round(valid.count() ** 0.5)))
-    index = spark.sparkContext.broadcast(Index(np.array([r["v"] for r in sample if len(r["v"]) == width], np.float32), lists))
+    learnt = np.array([r["v"] for r in sample if len(r["v"]) == width], np.float32)
+    made = Index(learnt, lists)
+    share = made.share(learnt, k) if probes is None else probes
+    index = spark.sparkContext.broadcast(made)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,14 +168,14 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int, column: str = "em
 
     rows = cut(valid.mapInArrow(encoded, "vec_id long, list int, codes binary, v binary"))
     sizes = np.zeros(lists, np.int64)
-    for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect():  # LISTS rows at most
+    for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
         sizes[r["list"]] = r["n"]
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 q = np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(-1, width)
-                found = index.value.probe(q.astype(np.float32), sizes, k, probes)
+                found = index.value.probe(q.astype(np.float32), sizes, k, share)
                 again = np.repeat(np.arange(len(q)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(again)), pa.array(np.concatenate(found).astype(np.int32)), b.column("v").take(pa.array(again))], ["vec_id", "list", "v"])
 

@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams whose presence is scaled by naive Bayes log-count ratios.
 
-Training: a bounded sample of labelled rows (SAMPLE rows, half of each class where there are so many, chosen by a hash
-of doc_id) is turned into hashed n-grams on the executors; the driver counts the ratio of each n-gram, then fits a
+Training: a bounded sample of labelled rows (SAMPLE rows and CHARACTERS of text, half of each for either class, in the
+order of a hash of doc_id, texts of more than LONGEST characters left out) is turned into hashed n-grams on the executors; the driver counts the ratio of each n-gram, then fits a
 logistic regression on the scaled presences, weighted back to the classes' shares among all labelled rows. Rows whose
 crc32(doc_id) mod 5 is 0 are held out. Scoring maps whole texts, one by one, and shuffles nothing.
 
@@ -20,13 +20,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Most labelled rows used for fitting.
 SAMPLE = 4000
+#: Most characters of all texts used for fitting, and of one of them: a text has three n-grams a character at most, of four
+#: bytes each, so the driver holds 12 * CHARACTERS bytes of them.
+CHARACTERS, LONGEST = 12_000_000, 50_000
 BITS, ORDERS = 19, (3, 4, 5)
 #: Characters hashed at once, so that memory is bounded for texts of any length.
 CHUNK = 1 << 20
@@ -75,11 +78,15 @@ def labelled(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
     rows = labelled(labels)
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = rows.where("toxic = 1").orderBy(*order).limit(sample // 2).unionByName(rows.where("toxic = 0").orderBy(*order).limit(sample // 2))
+    known = docs.select("doc_id", F.length("text").alias("n")).where(F.col("n") <= LONGEST).join(rows, "doc_id")
+    known = known.groupBy("doc_id", "toxic").agg(F.sum("n").alias("n")).where(F.col("n") <= LONGEST)
+    first = [known.where(F.col("toxic") == y).orderBy(*order).limit(sample // 2) for y in (1, 0)]
+    upto = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # of `sample` rows
+    chosen = cut(first[0].unionByName(first[1]).withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= characters // 2).select("doc_id", "toxic"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)

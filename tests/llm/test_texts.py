@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -327,3 +328,50 @@ def test_toxicity_chunks_and_packing(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 37)
     assert (toxicity.ngrams(text, seen) == whole).all() and not seen.any()
     assert (toxicity.unpacked(toxicity.packed(whole.astype(np.int32))) == whole).all() and len(toxicity.unpacked(toxicity.packed(whole[:0].astype(np.int32)))) == 0
+
+
+def test_toxicity_against_brute_force(monkeypatch):
+    """Ratios, the loss, its gradient and the minimum, from sets of n-grams written out."""
+    monkeypatch.setattr(toxicity, "BITS", 6)
+    rng = np.random.default_rng(12)
+    y = np.array([1.0] * 7 + [0.0] * 9)
+    found = [np.unique(rng.integers(0, 64, rng.integers(1, 12))).astype(np.int32) for _ in y]
+    counts = {1: 30, 0: 170}
+    held = {}
+    monkeypatch.setattr(toxicity, "minimised", lambda loss, w: held.setdefault("loss", loss) and w)
+    toxicity.fit(iter(found), y, counts)
+    loss = held["loss"]
+    p = {k: 1.0 + sum(k in f for f, t in zip(found, y, strict=True) if t == 1) for k in range(64)}
+    q = {k: 1.0 + sum(k in f for f, t in zip(found, y, strict=True) if t == 0) for k in range(64)}
+    ratio = {k: math.log((p[k] / sum(p.values())) / (q[k] / sum(q.values()))) for k in range(64)}
+    share = 31 / 202
+
+    def plain(w):
+        total = toxicity.RIDGE / 2 * sum(x * x for x in w[:-1])
+        for f, t in zip(found, y, strict=True):
+            s = w[-1] + sum(w[k] * ratio[k] for k in f.tolist()) / math.sqrt(len(f))
+            weight = (share / (7 / 16) if t else (1 - share) / (9 / 16)) / 16
+            total += weight * math.log1p(math.exp(-s if t else s))
+        return total
+
+    w = rng.normal(size=65)
+    value, gradient = loss(w)
+    assert abs(value - plain(w)) < 1e-9
+    for k in range(65):
+        step = np.zeros(65)
+        step[k] = 1e-5
+        assert abs((plain(w + step) - plain(w - step)) / 2e-5 - gradient[k]) < 1e-6
+    monkeypatch.undo()
+    best = toxicity.minimised(loss, np.zeros(65), 200)
+    assert np.abs(loss(best)[1]).max() < 1e-3 and plain(best) <= plain(w)
+
+
+def test_toxicity_sample_is_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "LONGEST", 400)
+    rows = labelled_texts(300)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda found, y, counts: seen.setdefault("rows", (list(found), y, counts)))
+    toxicity.train(docs(*[(i, t if i % 10 else t * 100) for i, t, _ in rows]), labels, sample=100, characters=4000)
+    found, y, counts = seen["rows"]
+    assert 10 < len(found) < 60 and 0 < y.sum() < len(y) and sum(counts.values()) > 200 and sum(map(len, found)) <= 3 * 4200

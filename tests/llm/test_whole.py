@@ -109,6 +109,15 @@ def test_vectors_with_the_same_codes_are_all_scored():
     assert found.tolist() == ids[want].tolist() and np.allclose(score, exact[want])
 
 
+def test_the_share_of_lists_follows_the_data():
+    rng = np.random.default_rng(33)
+    even = rng.normal(size=(3000, 16)).astype(np.float32)
+    centres = rng.normal(size=(50, 16)) * 10
+    clusters = (centres[rng.integers(0, 50, 3000)] + rng.normal(size=(3000, 16))).astype(np.float32)
+    shares = [ivfpq.Index(x, 50).share(x, 20) for x in (even, clusters)]
+    assert shares[0] > 0.3 > shares[1] and 0 < shares[1] <= 1
+
+
 # op7_secret_scan.
 
 

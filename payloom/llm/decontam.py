@@ -8,8 +8,9 @@ holds the hit are the same. So a passage of SPAN words counts, wherever it stand
 be asked for the longest stretch alone.) An item of fewer than SPAN words is hit where all its words stand in a row.
 
 A Bloom filter of the benchmark's leading pairs of words, which all masks select, and one of its masked hashes stand in
-the plan, with a bound on their size, so that only windows that may hit leave their row. What passes is joined with the
-benchmark exactly; no document's text is shuffled.
+the plan, so that only windows that may hit leave their row. What passes is joined with the benchmark exactly; no
+document's text is shuffled. A benchmark whose filters would exceed MAX_BITS is dealt by hash into shards, and the documents
+pass once for each.
 
 Words are runs of letters and digits in lower case. Defined cases: a null or empty text has no words; an item without
 words cannot be hit; an empty benchmark contaminates nothing; rows repeated with one doc_id, or items with one
@@ -20,6 +21,7 @@ decontaminate().
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ from .common import bounded, cut, let, table
 MASKS = ("110110010111", "111010110011", "110101101101")
 SPAN, MARGIN, AGREE = len(MASKS[0]), 6, 0.8
 WORD = r"[\p{L}\p{N}]+"
-#: Bits of each filter at most (1 MiB); where a benchmark needs more, more windows pass the filter, and none is lost.
-MAX_BITS, PER_KEY, HASHES = 1 << 23, 12, 3
+#: Bits of each filter at most (2 MiB), and for each of its keys.
+MAX_BITS, PER_KEY, HASHES = 1 << 24, 12, 3
 
 
 def word_hashes(text: Column) -> Column:
@@ -70,7 +72,7 @@ class Filter:
 
     def __init__(self, keys: DataFrame):
         keys = keys.toDF("key").distinct()
-        self.bits = 64 * min(MAX_BITS // 64, max(1, math.ceil(keys.count() * PER_KEY / 64)))
+        self.bits = 64 * max(1, math.ceil(keys.count() * PER_KEY / 64))
         spots = keys.select(F.explode(F.array(*self._spots(F.col("key")))).alias("at"))
         words = spots.groupBy(F.expr("at div 64").cast("int").alias("word")).agg(F.bit_or(_bit(F.col("at"))).alias("mask")).collect()  # bits / 64 rows at most
         held = [0] * (self.bits // 64)
@@ -111,13 +113,11 @@ def _key(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
-    """doc_id, item_id, agreement (1) of each place where a whole item of fewer than SPAN words stands; None without such items."""
-    items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("words"))
-    items = cut(items.where((F.size("words") > 0) & (F.size("words") < SPAN)).distinct().withColumn("key", _key(F.col("words"))))
+def _short(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, agreement (1) of each place where a whole item(item_id, words, key) of fewer than SPAN words stands."""
     lengths = sorted(r["n"] for r in items.select(F.size("words").alias("n")).distinct().collect())  # SPAN - 1 rows at most
     if not lengths:
-        return None
+        return docs.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(1.0).alias("agreement"))
     first = Filter(items.select(F.get("words", F.lit(0))))
     keys = Filter(items.select("key"))
 
@@ -130,14 +130,29 @@ def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     return found.join(bounded(items.select("item_id", "words")), "words").select("doc_id", "item_id", F.lit(1.0).alias("agreement"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, item_id, n_hits and agreement (the best hit's share of equal words) of each document and item that overlap.
 
     With stretches, a hit's share is that of the best stretch of SPAN words or more around it, and short items count.
     """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
     known = cut(windows(benchmark))
+    # as many keys as a filter may hold: windows share their pairs, so there are no more of those than of hashes
+    shards = max(1, math.ceil(known.select("hash").distinct().count() * PER_KEY / max_bits))
+    parts = [known] if shards == 1 else [known.where(F.pmod("hash", F.lit(shards)) == i) for i in range(shards)]
+    checked = reduce(DataFrame.unionByName, (_checked(rows, part, stretches) for part in parts))
+    if stretches:
+        short = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("words"))
+        short = cut(short.where((F.size("words") > 0) & (F.size("words") < SPAN)).distinct().withColumn("key", _key(F.col("words"))))
+        shards = max(1, math.ceil(short.count() * PER_KEY / max_bits))
+        for i in range(shards):
+            checked = checked.unionByName(_short(rows, short.where(F.pmod("key", F.lit(shards)) == i)))
+    return checked.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("agreement").alias("agreement"))
+
+
+def _checked(rows: DataFrame, known: DataFrame, stretches: bool) -> DataFrame:
+    """doc_id, item_id, agreement of each hit of some of the benchmark's windows in rows(doc_id, h)."""
     pairs, hashes = Filter(known.select("pair")), Filter(known.select("hash"))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
 
     def hit(h: Column, i: Column, m: int) -> Column:
         # no struct where the filter says no
@@ -149,16 +164,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretches: bool = False)
 
     found = rows.select("doc_id", "h", F.explode(hits(F.col("h"))).alias("x"))
     found = found.select("doc_id", F.col("x.mask").alias("mask"), F.col("x.hash").alias("hash"), F.least("x.i", F.lit(MARGIN)).alias("own_before"), _around(F.col("h"), F.col("x.i")).alias("own"))
-    seeds = bounded(known.drop("pair"))
-    both = found.join(seeds, ["mask", "hash"])
+    both = found.join(bounded(known.drop("pair")), ["mask", "hash"])
     same = F.transform("around", lambda w, t: F.coalesce(F.get("own", t - F.col("before") + F.col("own_before")) == w, F.lit(False)).cast("int"))
     both = both.select("doc_id", "item_id", "before", same.alias("same"))
     best = let(F.col("same"), lambda s: F.when(F.forall(s, lambda x: x == 1), 1.0).otherwise(_best(s, F.col("before"))))
     agreement = best if stretches else _share(F.col("same"))
-    checked = both.select("doc_id", "item_id", agreement.alias("agreement")).where(F.col("agreement") >= AGREE)
-    short = _short(rows, benchmark) if stretches else None
-    checked = checked if short is None else checked.unionByName(short)
-    return checked.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("agreement").alias("agreement"))
+    return both.select("doc_id", "item_id", agreement.alias("agreement")).where(F.col("agreement") >= AGREE)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -235,6 +235,8 @@ def test_passages_of_items_are_found(spark, docs):
     bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short)), (2, ""), (3, None), (None, "w1")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(*texts), bench, stretches=True).collect()}
     assert want <= set(got) <= want | changed and all(decontam.AGREE <= r.agreement <= 1 for r in got.values())
+    shards = decontam.contaminated(docs(*texts), bench, stretches=True, max_bits=600)  # several
+    assert {tuple(r) for r in shards.collect()} == {tuple(r) for r in got.values()}
     assert {r.doc_id for r in decontam.decontaminate(docs(*texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in got}
 
 

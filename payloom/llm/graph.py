@@ -18,14 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     by a broadcast, to the others by a shuffle. Rounds grow with the logarithm of the longest path.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = edges.count(), None
+    state = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        large = joined_hot(both, least, ["u"], 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined_hot(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = joined_hot(large, least, ["u"], large.count())
+        small = joined_hot(large, least, ["u"])
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())

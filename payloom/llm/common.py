@@ -70,16 +70,21 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= most else df
 
 
-def joined_hot(rows: DataFrame, keyed: DataFrame, by: list[str], n: str = "n") -> DataFrame:
-    """rows joined with keyed, which has each key once and in n how many of the rows have it.
-
-    Keys of more than 1 / HOT of the rows are HOT at most: where there are such, they are broadcast, so that their rows
-    stay where they are; the others, of which none is large, are shuffled. keyed should be cut, since it is read several times.
-    """
+def hot_from(keyed: DataFrame, n: str = "n") -> int | None:
+    """Of how many rows keys are hot (they are HOT at most), where keyed has in n how many rows have a key; None if there are no such keys."""
     total, most = keyed.agg(F.sum(n), F.max(n)).first()
     least = max(256, (total or 0) // HOT)
-    if (most or 0) <= least:
+    return least if (most or 0) > least else None
+
+
+def joined_hot(rows: DataFrame, keyed: DataFrame, by: list[str], least: int | None, n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has each key once; least: hot_from().
+
+    Hot keys are broadcast, so that their rows stay where they are; the others, of which none is large, are shuffled.
+    """
+    if least is None:
         return rows.join(keyed, by)
+    keyed = cut(keyed)
     hot, usual = keyed.where(F.col(n) > least), keyed.where(F.col(n) <= least)
     cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(usual, by)
     return rows.join(F.broadcast(hot), by).unionByName(cold)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, joined_hot, let, located, prefixes, table
+from .common import bounded, cut, hot_from, joined_hot, let, located, prefixes, table
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind and expression, in the order in which spans that start together are listed.
@@ -128,7 +128,7 @@ def protected(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     documents = F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("doc_id"))).alias("b")
     known = entities.groupBy("kind", "value").agg(*documents).where(F.col("n") >= SUPPORT)
     known = cut(known.select("kind", "value", "n", F.xxhash64("n", "a", "b").alias("class")))
-    return joined_hot(entities, known, ["kind", "value"]).select("doc_id", "class").distinct(), known.select("class", F.col("n").alias("with_entity")).distinct()
+    return joined_hot(entities, known, ["kind", "value"], hot_from(known)).select("doc_id", "class").distinct(), known.select("class", F.col("n").alias("with_entity")).distinct()
 
 
 def _beginnings(term: Column, most: Column) -> Column:
@@ -173,7 +173,7 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     told = disclosures(docs, pairs, classes)
     if told is None or told.isEmpty():
         return None
-    hits = joined_hot(pairs, told, ["class", "term"])
+    hits = joined_hot(pairs, told, ["class", "term"], hot_from(told))
     # what two entities ask for: to be removed goes before a beginning, a shorter beginning before a longer one
     first = F.min(F.struct(F.length("value").alias("n"), "value", "kind")).alias("x")
     hits = hits.groupBy("doc_id", "term").agg(first).select("doc_id", "term", "x.kind", "x.value")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, joined_hot, shuffle_partitions, table
+from .common import bounded, cut, hot_from, joined_hot, shuffle_partitions, table
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -199,8 +199,8 @@ def _linked(nodes: DataFrame, by: list[tuple[int, int]], radius: int, both: int,
     made = F.array(*(F.struct(signed(m).alias("m"), signed(m2).alias("m2")) for m, m2 in by))
     key = F.xxhash64(F.col("fp").bitwiseAND(F.col("mask.m")), F.col("fp2").bitwiseAND(F.col("mask.m2")))
     keyed = nodes.select("fp", "fp2", "rep", F.posexplode(made).alias("part", "mask")).select("fp", "fp2", "rep", "part", key.alias("key"))
-    large = cut(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    keyed = joined_hot(keyed, large, ["part", "key"])  # a fingerprint alone in its bucket goes no further
+    large = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    keyed = joined_hot(keyed, large, ["part", "key"], hot_from(large))  # a fingerprint alone in its bucket goes no further
     chunks = F.ceil(F.col("n") / split).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -252,8 +252,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = cut(fingerprints(docs))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     named = components(links(nodes.where("rep is not null"), radius))
-    classes = cut(nodes.join(named, nodes["rep"] == named["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
-    return joined_hot(rows, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = nodes.join(named, nodes["rep"] == named["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return joined_hot(rows, classes, ["fp"], hot_from(nodes)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -308,9 +308,9 @@ def alike(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
 
 def verified(docs: DataFrame, groups: DataFrame, meet: int = MEET) -> DataFrame:
     """u, v: links between the nodes of groups(node, component) whose texts are similar, counted out."""
-    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("n")))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / meet).cast("int")
-    placed = joined_hot(groups, sizes, ["component"]).withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    placed = joined_hot(groups, sizes, ["component"], hot_from(sizes)).withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     placed = cut(placed.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
 
@@ -332,8 +332,8 @@ def similar(docs: DataFrame) -> DataFrame:
     nodes = cut(rows.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.count("*").alias("n")))
     groups = cut(candidates(nodes.where("rep is not null")))
     named = components(verified(docs, groups))
-    classes = cut(nodes.join(named, nodes["rep"] == named["node"], "left").select("same", "same2", "n", F.coalesce("component", "rep").alias("component_id")))
-    return joined_hot(rows, classes, ["same", "same2"]).select("doc_id", "component_id")
+    classes = nodes.join(named, nodes["rep"] == named["node"], "left").select("same", "same2", "n", F.coalesce("component", "rep").alias("component_id"))
+    return joined_hot(rows, classes, ["same", "same2"], hot_from(nodes)).select("doc_id", "component_id")
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a table up to which it is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes up to which joined_hot() broadcasts all keys.
+SMALL_BYTES = 32 << 20
 #: Keys that joined_hot() broadcasts at most.
 HOT = 10_000
 
@@ -80,11 +82,14 @@ def hot_from(keyed: DataFrame, n: str = "n") -> int | None:
 def joined_hot(rows: DataFrame, keyed: DataFrame, by: list[str], least: int | None, n: str = "n") -> DataFrame:
     """rows joined with keyed, which has each key once; least: hot_from().
 
-    Hot keys are broadcast, so that their rows stay where they are; the others, of which none is large, are shuffled.
+    Hot keys are broadcast, so that their rows stay where they are; the others, of which none is large, are shuffled, unless
+    all keys together are few enough to be broadcast.
     """
     if least is None:
         return rows.join(keyed, by)
     keyed = cut(keyed)
+    if bytes_of(keyed) <= SMALL_BYTES:
+        return rows.join(F.broadcast(keyed), by)
     hot, usual = keyed.where(F.col(n) > least), keyed.where(F.col(n) <= least)
     cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(usual, by)
     return rows.join(F.broadcast(hot), by).unionByName(cold)

@@ -11,7 +11,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from payloom.llm import decontam, graph, ivfpq, license_scan, pii, secret_scan, simhash
+from payloom.llm import common, decontam, graph, ivfpq, license_scan, pii, secret_scan, simhash
 from payloom.operators import capabilities
 from pyspark.sql import functions as F
 
@@ -321,6 +321,18 @@ def test_creative_commons_without_by(text, labels):
 # op4_simhash.
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k long, i long")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("m"))
+    least = common.hot_from(keyed)
+    assert least == 1000 and common.hot_from(keyed.where("k <> 0")) is None
+    want = sorted(map(tuple, rows.join(keyed, "k").collect()))
+    for small in (0, 1 << 20):
+        monkeypatch.setattr(common, "SMALL_BYTES", small)
+        assert sorted(map(tuple, common.joined_hot(rows, keyed, ["k"], least).collect())) == want
+
+
 @pytest.mark.parametrize("radius", [0, 4, 6, 9])
 def test_links_lose_nothing_at_any_radius(spark, radius):
     rng, fps = random.Random(61), set()

@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams whose presence is scaled by naive Bayes log-count ratios.
 
 Training: a bounded sample of labelled rows (SAMPLE rows and CHARACTERS of text, half of each for either class, in the
-order of a hash of doc_id, texts of more than LONGEST characters left out) is turned into hashed n-grams on the executors; the driver counts the ratio of each n-gram, then fits a
+order of a hash of doc_id, texts of more than LONGEST characters left out) is turned into hashed n-grams; a task counts the ratio of each n-gram, then fits a
 logistic regression on the scaled presences, weighted back to the classes' shares among all labelled rows. Rows whose
 crc32(doc_id) mod 5 is 0 are held out. Scoring maps whole texts, one by one, and shuffles nothing.
 
@@ -28,7 +28,7 @@ from .common import cut, table
 #: Most labelled rows used for fitting.
 SAMPLE = 4000
 #: Most characters of all texts used for fitting, and of one of them: a text has three n-grams a character at most, of four
-#: bytes each, so the driver holds 12 * CHARACTERS bytes of them.
+#: bytes each, so that task holds 12 * CHARACTERS bytes of them.
 CHARACTERS, LONGEST = 12_000_000, 50_000
 BITS, ORDERS = 19, (3, 4, 5)
 #: Characters hashed at once, so that memory is bounded for texts of any length.
@@ -94,10 +94,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
             found = [packed(ngrams(x.as_py(), seen)) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.binary())], ["toxic", "found"])
 
-    # at most `sample` rows of two numbers are broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, found binary").collect()
-    y = np.array([r["toxic"] for r in got], float)
-    return fit((unpacked(r["found"]) for r in _drained(got)), y, counts)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(y, f) for b in batches for y, f in zip(b.column("toxic").to_pylist(), b.column("found").to_pylist(), strict=True)]
+        y = np.array([r[0] for r in rows], float)
+        model = fit((unpacked(f) for _, f in _drained(rows)), y, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    # at most `sample` rows of two numbers are broadcast; what is fitted on is bounded, so one task does it, and not the driver
+    sampled = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, found binary"))
+    got = sampled.coalesce(1).mapInArrow(fitted, "weights binary, bias double").first()
+    if got is None:  # not even an empty partition
+        return fit([], np.empty(0), counts)
+    return Model(np.frombuffer(got["weights"], np.float32), got["bias"])
 
 
 def _drained(rows: list) -> Iterator:

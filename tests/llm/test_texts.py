@@ -370,8 +370,9 @@ def test_toxicity_sample_is_bounded(spark, docs, monkeypatch):
     monkeypatch.setattr(toxicity, "LONGEST", 400)
     rows = labelled_texts(300)
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
-    seen = {}
-    monkeypatch.setattr(toxicity, "fit", lambda found, y, counts: seen.setdefault("rows", (list(found), y, counts)))
+    seen = []
+    monkeypatch.setattr(toxicity, "cut", lambda df: seen.append(df.collect()) or df)
     toxicity.train(docs(*[(i, t if i % 10 else t * 100) for i, t, _ in rows]), labels, sample=100, characters=4000)
-    found, y, counts = seen["rows"]
-    assert 10 < len(found) < 60 and 0 < y.sum() < len(y) and sum(counts.values()) > 200 and sum(map(len, found)) <= 3 * 4200
+    chosen, sampled = seen
+    assert 10 < len(chosen) == len(sampled) < 60 and 0 < sum(r.toxic for r in sampled) < len(sampled)
+    assert sum(len(toxicity.unpacked(r.found)) for r in sampled) <= 3 * 4200 and all(r.doc_id % 10 for r in chosen)

@@ -16,7 +16,7 @@ BROADCAST_BYTES = 64 << 20
 #: Bytes up to which joined_hot() broadcasts all keys.
 SMALL_BYTES = 32 << 20
 #: Keys that joined_hot() broadcasts at most.
-HOT = 10_000
+HOT = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 #: A-Z and a-z, for lower-casing that leaves every other letter alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a table up to which it is broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: Bytes up to which joined_hot() broadcasts all keys.
-SMALL_BYTES = 32 << 20
+SMALL_BYTES = 8 << 20
 #: Keys that joined_hot() broadcasts at most.
 HOT = 100
 

@@ -41,7 +41,7 @@ SPLIT = 4096
 WORDS, LEAST = 5, 0.8
 #: Buckets of a 128-bit fingerprint and their bits. At LEAST, 64 bits differ in 10 +- 3 and 128 in 19 +- 4.
 TABLES, KEY_BITS, HALF, BOTH = 64, 14, 19, 33
-#: Tables whose links unite groups before those of the others are made.
+#: Tables whose links name nodes before those of the others are made.
 FIRST = 4
 #: Texts of a group of candidates that meet in a task are twice as many at most.
 MEET = 512
@@ -182,14 +182,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
 def candidates(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
     """node, component of the nodes(fp, fp2, rep) that may be similar to another.
 
-    The first tables unite most of a large group; the others then give the links between groups alone, not one for each
-    node and table.
+    By the first tables each node takes the smallest node it is linked to as its name; the others then give links
+    between the few names of a large group alone, not one for each node and table.
     """
     by = sampled()
-    begun = cut(components(_linked(nodes.select("fp", "fp2", "rep"), by[:FIRST], HALF, BOTH, split)))
-    grouped = nodes.join(begun, nodes["rep"] == begun["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("rep"))
-    more = _linked(grouped, by[FIRST:], HALF, BOTH, split)
-    return components(begun.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    begun = cut(_linked(nodes.select("fp", "fp2", "rep"), by[:FIRST], HALF, BOTH, split))
+    names = begun.groupBy("u").agg(F.min("v").alias("name"))
+    named = nodes.join(names, nodes["rep"] == names["u"], "left").select("fp", "fp2", F.coalesce("name", "rep").alias("rep"))
+    return components(begun.unionByName(_linked(named, by[FIRST:], HALF, BOTH, split)))
 
 
 def _linked(nodes: DataFrame, by: list[tuple[int, int]], radius: int, both: int, split: int) -> DataFrame:

@@ -351,10 +351,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     names = F.max(F.col("doc_id") == F.col("component_id"))
-    ids = cut(classes.where("doc_id is not null").groupBy("doc_id").agg(names.alias("names"), F.count("*").alias("n")))
-    gone = bounded(cut(ids.where("not names").select(F.col("doc_id").alias("__payloom_id"))))
+    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(names.alias("names"), F.count("*").alias("n"))
+    ids = cut(ids.where("not names or n > 1").withColumnRenamed("doc_id", "__payloom_id"))
+    gone = bounded(ids.where("not names").select("__payloom_id"))
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__payloom_id"), "left_anti")
-    again = cut(ids.where("names and n > 1").select(F.col("doc_id").alias("__payloom_id")))
+    again = ids.where("names").select("__payloom_id")
     if again.isEmpty():
         return kept
     again = bounded(again)

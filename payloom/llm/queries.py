@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("url_filter", "pii", "decontam", "simhash", "ivfpq", "substring", "secret_scan", "license_scan", "toxicity", "mixing")
+MODULES = ("url_filter", "pii", "decontam", "simhash", "ivfpq", "substring", "secret_scan", "license_scan", "toxicity", "mixing", "conversations", "kdmeans", "quality")
 
 
 def queries() -> dict:

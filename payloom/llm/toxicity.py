@@ -7,7 +7,7 @@ crc32(doc_id) mod 5 is 0 are held out. Scoring maps whole texts, one by one, and
 
 Defined cases: a null text counts as empty and gets the score of the bias alone; a label that is null, or whose doc_id
 is null, is ignored; a document labelled more than once has its largest label; without labels of both classes the score
-is the smoothed share of label 1; an empty table gives an empty result; repeated rows are scored one by one; columns
+is the smoothed share of label 1; where fewer than FEWEST rows of either class were learnt from, no document is removed; an empty table gives an empty result; repeated rows are scored one by one; columns
 besides doc_id and text are never read by a score.
 """
 
@@ -31,6 +31,8 @@ SAMPLE = 4000
 #: bytes each, so that task holds 12 * CHARACTERS bytes of them.
 CHARACTERS, LONGEST = 12_000_000, 50_000
 BITS, ORDERS = 19, (3, 4, 5)
+#: Rows of either class below which without_toxic() removes nothing.
+FEWEST = 10
 #: Characters hashed at once, so that memory is bounded for texts of any length.
 CHUNK = 1 << 20
 #: Rows whose n-grams are counted at once in a round of the fit.
@@ -42,6 +44,8 @@ SMOOTH, RIDGE, ROUNDS = 1.0, 1e-5, 25
 class Model:
     weights: np.ndarray
     bias: float
+    #: Rows of the rarer class that it was fitted on.
+    rows: int = 0
 
     def score(self, found: np.ndarray) -> float:
         if not len(found):
@@ -98,14 +102,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
         rows = [(y, f) for b in batches for y, f in zip(b.column("toxic").to_pylist(), b.column("found").to_pylist(), strict=True)]
         y = np.array([r[0] for r in rows], float)
         model = fit((unpacked(f) for _, f in _drained(rows)), y, counts)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.rows], pa.int32())], ["weights", "bias", "rows"])
 
     # at most `sample` rows of two numbers are broadcast; what is fitted on is bounded, so one task does it, and not the driver
     sampled = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, found binary"))
-    got = sampled.coalesce(1).mapInArrow(fitted, "weights binary, bias double").first()
+    got = sampled.coalesce(1).mapInArrow(fitted, "weights binary, bias double, rows int").first()
     if got is None:  # not even an empty partition
         return fit([], np.empty(0), counts)
-    return Model(np.frombuffer(got["weights"], np.float32), got["bias"])
+    return Model(np.frombuffer(got["weights"], np.float32), got["bias"], got["rows"])
 
 
 def _drained(rows: list) -> Iterator:
@@ -161,7 +165,7 @@ def fit(found: Iterable[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> M
         return total + RIDGE / 2 * float(w[:-1] @ w[:-1]), g
 
     w = minimised(loss, np.append(np.zeros(size), bias))
-    return Model((w[:-1] * ratio).astype(np.float32), float(w[-1]))
+    return Model((w[:-1] * ratio).astype(np.float32), float(w[-1]), int(min(y.sum(), len(y) - y.sum())))
 
 
 def minimised(loss, w: np.ndarray, rounds: int | None = None, memory: int = 3) -> np.ndarray:
@@ -215,7 +219,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns; all of them where too little was learnt."""
+    if model.rows < FEWEST:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

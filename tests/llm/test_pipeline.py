@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from payloom.llm import mixing, simhash
 from payloom.llm.queries import MODULES, oracle_sql, queries
@@ -56,6 +58,31 @@ def test_stages_take_effect(spark, tmp_path):
     assert run == sorted(map(str, docs.collect()))
 
 
+def test_nothing_goes_where_nothing_was_learnt(spark, tmp_path):
+    folder = str(tmp_path)
+    made(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for name, few in (("none", labels.limit(0)), ("one", labels.where("doc_id in (1, 8)"))):
+        few.write.parquet(f"{folder}/{name}/labels.parquet")
+        assert corpus_pipeline.toxicity(spark, docs, f"{folder}/{name}").count() == docs.count()
+
+
+def test_stages_with_columns_of_all_names_and_very_long_texts(spark, tmp_path):
+    folder = str(tmp_path)
+    texts = made(spark, folder)
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 8 <> 0 or doc_id > 399")
+    long = spark.createDataFrame([(900, text(rng, 60_000), "en", "src1", 0), (901, "x" * 400_000, None, None, None)], docs.schema)
+    docs = docs.unionByName(long).withColumns({k: F.lit(k) for k in ("toxic", "n", "node", "component", "hash", "mask", "u", "v", "part", "term", "score", "item_id", "start")})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, folder).write.parquet(f"{folder}/{name}-wide")
+        docs = spark.read.parquet(f"{folder}/{name}-wide")
+        assert docs.columns == columns and {900, 901} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    assert docs.where("doc_id < 400").count() >= 0.97 * sum(1 for i in texts if i < 400 and i % 8)
+
+
 def test_copies_stay_once(spark, tmp_path):
     docs = spark.createDataFrame([(i, "same words in this text here", "en", "s", 1) for i in range(50)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert [r.doc_id for r in simhash.one_of_each(docs).collect()] == [0]
@@ -63,5 +90,5 @@ def test_copies_stay_once(spark, tmp_path):
 
 def test_registered():
     names = queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {x.partition("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
-    assert set(oracle_sql()) <= set(names) and len(MODULES) == 10 and len(corpus_pipeline.STAGES) == 5
+    assert {f"op{n}_" for n in range(1, 14)} == {x.partition("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
+    assert set(oracle_sql()) <= set(names) and len(MODULES) == 13 and len(corpus_pipeline.STAGES) == 5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,10 +11,28 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Entries of an array that are added up at once.
+_BLOCK = 64
+
+
+def starts(sizes: Column) -> Column:
+    """For each of an array of sizes, the sum of those before it; by blocks, so that long arrays take time in proportion."""
+    add = lambda some: F.aggregate(some, F.lit(0), lambda t, n: t + n)
+
+    def running(blocks: Column, n: Column) -> Column:
+        before = F.transform(blocks, lambda _, b: add(F.slice(blocks, F.lit(1), b)))
+        return let(before, lambda s: F.transform(n, lambda _, j: F.get(s, F.floor(j / _BLOCK).cast("int")) + add(F.slice(n, F.floor(j / _BLOCK).cast("int") * _BLOCK + 1, j % _BLOCK))))
+
+    last = lambda n: F.floor((F.size(n) - 1) / _BLOCK).cast("int")
+    return let(sizes, lambda n: F.when(F.size(n) == 0, n).otherwise(let(F.transform(F.sequence(F.lit(0), last(n)), lambda b: add(F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK)))), lambda blocks: running(blocks, n))))
+
+
 def member(v: Column, name: str) -> Column:
     """Member of a variant object: NULL only if it is missing; a JSON null is a variant null."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(v, f"$['{quoted}']", "variant")
+    for quote in "'\"":
+        if quote not in name:  # a path has no escapes
+            return F.try_variant_get(v, f"$[{quote}{name}{quote}]", "variant")
+    return F.try_element_at(members(v), F.lit(name))
 
 
 def at_pointer(v: Column, pointer: str) -> Column:
@@ -56,3 +74,52 @@ def json_type(v: Column) -> Column:
         )
 
     return let(v, lambda x: F.when(x.isNotNull(), let(F.schema_of_variant(x), named)))
+
+
+_TOKEN = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
+
+def _canonical_number(token: Column) -> Column:
+    """Digits without zeros at either end, and the power of ten of the last one."""
+
+    def parts(p: Column) -> Column:
+        digits = F.regexp_replace(F.concat(p["whole"], p["part"]), "^0+", "")
+        bare = F.regexp_replace(digits, "0+$", "")
+        power = F.coalesce(p["power"].try_cast("int"), F.lit(0))
+        shift = power - F.length(p["part"]) + F.length(digits) - F.length(bare)
+        return F.when(bare == "", "0").otherwise(F.concat(p["sign"], bare, F.lit("e"), shift.cast("string")))
+
+    form = r"^(-?)([0-9]+)(?:\.([0-9]*))?(?:[eE]\+?(-?[0-9]+))?$"
+    group = lambda i: F.regexp_extract(token, form, i)
+    return let(F.struct(group(1).alias("sign"), group(2).alias("whole"), group(3).alias("part"), group(4).alias("power")), parts)
+
+
+def canonical_text(json: Column) -> Column:
+    """JSON text in which numbers are equal where their values are, at any depth and however they are written."""
+    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[-0-9]"), _canonical_number(t)).otherwise(t)), "")
+
+
+def canonical(v: Column) -> Column:
+    """Text of a variant that is equal for equal values: members in order, numbers by value; strings stay as they are."""
+    return canonical_text(F.to_json(v))
+
+
+_LARGE = r'"(?:[^"\\]|\\.)*+"|-?[0-9]+(?:\.[0-9]+)?[eE]\+?[0-9]{3,}|-?[0-9]{309,}'
+
+
+def parsed(text: Column) -> Column:
+    """A variant of JSON text; NULL for what is no JSON, and where a number is beyond all doubles."""
+    beyond = F.exists(F.regexp_extract_all(text, F.lit(_LARGE), F.lit(0)), lambda t: ~t.startswith('"') & (F.abs(t.try_cast("double")) == float("inf")))
+    return F.when(~(text.rlike("[0-9][eE][+]?[0-9]{3}|[0-9]{309}") & beyond), F.try_parse_json(text))
+
+
+def with_variant(rows: DataFrame, name: str, v: Column) -> DataFrame:
+    """rows with a variant; where it is parsed in v, of repeated keys the last one counts."""
+    conf, key = rows.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(key, "false")
+    conf.set(key, "true")  # taken into the expression as it is analysed, which withColumn does
+    try:
+        return rows.withColumn(name, v)
+    finally:
+        conf.set(key, before)

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.columns import member
+from ..functions.columns import json_type, member, members, parsed, text, with_variant
 from ..functions.names import short_name
-from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, ComposeError, Invalid, PayloomError, ResolveError, ResolveOptions, Vocabulary
-from ..plans.compiler import ERRORS, Compiled, error
+from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, Invalid, PayloomError, ResolveOptions, Vocabulary
+from ..plans import machine
+from ..plans.compiler import Compiled, error
 from ..plans.compose import compose, detect_direction, envelope_body, parse_capabilities, payload_capabilities, profile_capabilities
+from ..plans.drafts import readable
 from ..plans.interpreter import violations
+from ..plans.registry import rules
 from ..plans.resolve import resolve, select_shape
 from ..sources.documents import Documents
+from .capabilities import need_shared_folder
 
-#: Distinct sets of capabilities for which schemas are composed in one validation; more are an error, not a silent cut.
-MAX_SIGNATURES = 500
+#: Bytes of composed rules up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def plan(schema: Any, options: ResolveOptions) -> Any:
@@ -47,35 +53,23 @@ def validate_self_described(payload: Any, documents: Documents, operation: str,
 
 
 def as_variant(payload: Column, kind: str) -> Column:
-    return payload if kind == "variant" else F.try_parse_json(payload)
+    return payload if kind == "variant" else parsed(payload)
 
 
 def errors_of(v: Column, plain: Any) -> Column:
     """Errors of a variant; of one that could not be parsed, that alone."""
     compiled = Compiled(plain)
-    found = _interpreted(plain)(F.to_json(v)) if compiled.recursive else compiled.errors(v)
+    found = machine.errors(v, machine.constant(compiled.rules), compiled.rules.steps, compiled.rules.annotated) if compiled.large else compiled.errors(v)
     return F.when(v.isNull(), error(F.lit(""), "json", "the payload is no JSON")).otherwise(found)
 
 
-def _interpreted(plain: Any):
-    """A vectorised UDF, for schemas that contain themselves."""
-    text = json.dumps(plain)
-
-    @F.pandas_udf(T._parse_datatype_string(ERRORS))
-    def checked(payloads: pd.Series) -> pd.Series:
-        schema = json.loads(text)
-        return payloads.map(lambda p: [] if p is None else [{"path": x.path, "keyword": x.keyword, "message": x.message} for x in violations(schema, json.loads(p))])
-
-    return checked
-
-
 def validate(payloads: DataFrame, schema: Any, options: ResolveOptions, column: str = "payload") -> DataFrame:
     """payloads with valid, errors and exit_code, for one annotated schema; batch or streaming."""
     return with_verdict(payloads, as_variant(F.col(column), dict(payloads.dtypes)[column]), plan(schema, options))
 
 
 def with_verdict(payloads: DataFrame, v: Column, plain: Any) -> DataFrame:
-    return payloads.withColumn("__payloom_v", v).withColumn("errors", errors_of(F.col("__payloom_v"), plain)).drop("__payloom_v").withColumns(_verdict())
+    return with_variant(payloads, "__payloom_v", v).withColumn("errors", errors_of(F.col("__payloom_v"), plain)).drop("__payloom_v").withColumns(_verdict())
 
 
 def _verdict() -> dict[str, Column]:
@@ -92,57 +86,93 @@ def direction_of(v: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
 
 
 def signature_of(v: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
-    """What decides about the schema: the capabilities themselves (keys in order), or the profile's URL."""
+    """What decides about the schema: the capabilities themselves (keys in order), or the profile's URL; NULL if that is no string."""
     caps = F.to_json(member(member(v, vocabulary.envelope), "capabilities"))
-    return F.when(direction_of(v, vocabulary) == "response", caps).otherwise(F.try_variant_get(v, "$.meta.profile", "string"))
+    profile = member(member(v, "meta"), "profile")
+    return F.when(direction_of(v, vocabulary) == "response", caps).when(json_type(profile) == "string", text(profile))
+
+
+#: What a set of capabilities comes to: rules as JSON, or why there are none.
+PLAN = "direction string, __payloom_s string, key string, rules string, steps int, annotated boolean, kind string, message string, code int"
+
+
+def capability_plans(signatures: DataFrame, documents: Documents, operation: str, strict: bool = False) -> DataFrame:
+    """One row for each of signatures (direction, __payloom_s): the rules that it composes, or its fault.
+
+    Tasks compose them, each with its own copy of documents, so that each document is read once in a task at most.
+    """
+
+    schema = to_arrow_schema(T.StructType.fromDDL(PLAN))
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_plan(*pair, documents, operation, strict) for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_pylist(found, schema)
+
+    n = signatures.sparkSession.sparkContext.defaultParallelism
+    return signatures.repartition(n, "direction", "__payloom_s").mapInArrow(composed, PLAN)
+
+
+def _plan(direction: str, signature: str, documents: Documents, operation: str, strict: bool) -> dict:
+    row: dict[str, Any] = {"direction": direction, "__payloom_s": signature}
+    try:
+        options = ResolveOptions(direction, operation, strict, vocabulary=documents.vocabulary)
+        if direction == "response":
+            capabilities = parse_capabilities(json.loads(signature))
+        else:
+            capabilities = profile_capabilities(signature, documents)
+            row["key"] = short_name(next((c.name for c in capabilities if c.extends is None), ""))
+        found = rules(plan(compose(capabilities, documents), options))
+        return row | {"rules": json.dumps(machine.rows(found)), "steps": found.steps, "annotated": found.annotated}
+    except PayloomError as e:
+        return row | {"kind": e.kind, "message": e.message, "code": e.exit_code}
 
 
-def validate_by_capabilities(payloads: DataFrame, documents: Documents, operation: str, strict: bool = False, column: str = "payload", max_signatures: int = MAX_SIGNATURES) -> DataFrame:
+def validate_by_capabilities(payloads: DataFrame, documents: Documents, operation: str, strict: bool = False, column: str = "payload") -> DataFrame:
     """payloads with direction, valid, errors, exit_code, each against what its own capabilities compose.
 
-    Schemas are composed once for each distinct signature, on the driver; signatures that come to the same schema share
-    its expression, and each payload is sent to that of its signature by comparing hashes; no payload is shuffled. A
-    signature that cannot be composed is an error of its payloads, with the exit code of the failure. Batch only, since
-    the signatures are collected first.
+    Schemas are composed once for each distinct signature, and go to the payloads as rows of rules, so that the plan is the
+    same for any number of signatures. A signature that cannot be composed, or whose schema is none, is an error of its
+    own payloads, with the exit code of the failure. Rules are broadcast while they measure no more than
+    BROADCAST_BYTES; beyond, payloads are shuffled to them. Batch only.
     """
     words = documents.vocabulary
     v = as_variant(F.col(column), dict(payloads.dtypes)[column])
-    marked = payloads.withColumn("__payloom_v", v).withColumn("direction", direction_of(F.col("__payloom_v"), words)).withColumn("__payloom_s", signature_of(F.col("__payloom_v"), words))
-    marked = marked.withColumn("__payloom_h", F.xxhash64("direction", "__payloom_s"))
-    found = marked.select("direction", "__payloom_s", "__payloom_h").distinct().limit(max_signatures + 1).collect()
-    if len(found) > max_signatures:
-        raise ValueError(f"more than {max_signatures} distinct sets of capabilities; raise max_signatures, or validate in parts")
-    fault = lambda e: F.struct(error(F.lit(""), e.kind, e.message).alias("errors"), F.lit(e.exit_code).alias("failed"))
-    verdict = fault(ComposeError("NotSelfDescribing", "not a self-describing payload"))
-    verdict = F.when(F.col("__payloom_v").isNull(), fault(ResolveError("InvalidJson", "invalid JSON"))).otherwise(verdict)
-    ways: dict[str, tuple[list[int], Column]] = {}
-    for r in found:
-        if r["direction"] is None or r["__payloom_s"] is None:
-            continue
-        try:
-            options, key = ResolveOptions(r["direction"], operation, strict, vocabulary=words), None
-            if r["direction"] == "response":
-                capabilities, body = parse_capabilities(json.loads(r["__payloom_s"])), F.col("__payloom_v")
-            else:
-                capabilities = profile_capabilities(r["__payloom_s"], documents)
-                key = short_name(next((c.name for c in capabilities if c.extends is None), ""))
-                body = member(F.col("__payloom_v"), key)
-            plain = plan(compose(capabilities, documents), options)
-            way = json.dumps([key, plain])
-            if way not in ways:
-                here = F.struct(errors_of(body, plain).alias("errors"), F.lit(None).cast("int").alias("failed"))
-                if key is not None:
-                    here = F.when(body.isNull(), fault(ComposeError("InvalidEnvelope", f"invalid JSONRPC envelope: missing '{key}'"))).otherwise(here)
-                ways[way] = [], here
-        except PayloomError as e:
-            way = json.dumps([e.kind, e.message, e.exit_code])
-            ways.setdefault(way, ([], fault(e)))
-        ways[way][0].append(r["__payloom_h"])
-    for hashes, here in ways.values():
-        verdict = F.when(F.col("direction").isNotNull() & F.col("__payloom_s").isNotNull() & F.col("__payloom_h").isin(hashes), here).otherwise(verdict)
-    checked = marked.withColumn("__payloom_r", verdict).withColumn("errors", F.col("__payloom_r.errors")).withColumn("__payloom_f", F.col("__payloom_r.failed"))
-    code = F.coalesce(F.col("__payloom_f"), F.when(F.size("errors") == 0, OK).otherwise(INVALID))
-    return checked.withColumns({"valid": F.size("errors") == 0, "exit_code": code}).drop("__payloom_v", "__payloom_s", "__payloom_h", "__payloom_r", "__payloom_f")
+    marked = with_variant(payloads, "__payloom_v", v).withColumn("direction", direction_of(F.col("__payloom_v"), words)).withColumn("__payloom_s", signature_of(F.col("__payloom_v"), words))
+    need_shared_folder(payloads.sparkSession)
+    known = marked.where("direction is not null and __payloom_s is not null").select("direction", "__payloom_s").distinct()
+    plans = unreadable_patterns(capability_plans(known, documents, operation, strict).checkpoint())
+    size, annotated = plans.agg(F.sum(F.coalesce(F.length("rules"), F.lit(0)) * 4 + F.length("__payloom_s") + 64), F.max("annotated")).first()
+    plans = plans.withColumn("rules", F.from_json("rules", machine.RULES)).withColumnsRenamed({k: f"__payloom_{k}" for k in ("key", "rules", "steps", "annotated", "kind", "message", "code")})
+    joined = marked.join(F.broadcast(plans) if (size or 0) <= BROADCAST_BYTES else plans, ["direction", "__payloom_s"], "left")
+    col = lambda k: F.col(f"__payloom_{k}")
+    fault = lambda kind, message, code: F.struct(error(F.lit(""), kind, message).alias("errors"), F.lit(code).alias("failed"))
+    body = F.when(col("key").isNull(), col("v")).otherwise(F.try_element_at(members(col("v")), col("key")))
+    told = F.array(F.struct(F.lit("").alias("path"), col("kind").alias("keyword"), col("message").alias("message")))
+    verdict = (
+        F.when(col("v").isNull(), fault("InvalidJson", "invalid JSON", BAD_SCHEMA))
+        .when(F.col("direction").isNull(), fault("NotSelfDescribing", "not a self-describing payload", BAD_SCHEMA))
+        .when(col("s").isNull(), fault("InvalidEnvelope", "invalid JSONRPC envelope: meta.profile must be a string", BAD_SCHEMA))
+        .when(col("kind").isNotNull(), F.struct(told.alias("errors"), col("code").alias("failed")))
+        .when(body.isNull(), fault("InvalidEnvelope", F.concat(F.lit("invalid JSONRPC envelope: missing '"), col("key"), F.lit("'")), BAD_SCHEMA))
+        .otherwise(F.struct(machine.errors(body, col("rules"), col("steps"), bool(annotated)).alias("errors"), F.lit(None).cast("int").alias("failed")))
+    )
+    checked = joined.withColumn("__payloom_r", verdict).withColumn("errors", F.col("__payloom_r.errors"))
+    checked = checked.withColumns({"valid": F.size("errors") == 0, "exit_code": F.coalesce(F.col("__payloom_r.failed"), F.when(F.size("errors") == 0, OK).otherwise(INVALID))})
+    return checked.select(*payloads.columns, "direction", "errors", "valid", "exit_code")
+
+
+def unreadable_patterns(plans: DataFrame) -> DataFrame:
+    """plans, with a fault in place of rules that have a pattern which the JVM cannot read; tasks have asked Python's engine only."""
+    listed = "array<struct<pattern:string,patterns:array<struct<pattern:string>>>>"
+    each = plans.select(F.explode(F.from_json("rules", listed)).alias("r")).select(F.explode(F.array_compact(F.concat(F.array("r.pattern"), F.coalesce("r.patterns.pattern", F.array().cast("array<string>"))))).alias("p"))
+    bad = [r["p"] for r in each.distinct().toLocalIterator() if not readable(r["p"])]  # one after the other; what is kept are faults
+    if not bad:
+        return plans
+    of = F.from_json("rules", listed)
+    hit = F.exists(of, lambda r: r["pattern"].isin(bad) | F.exists(r["patterns"], lambda p: p["pattern"].isin(bad)))
+    hit = F.coalesce(hit, F.lit(False))
+    return plans.withColumns({"kind": F.when(hit, "InvalidSchema").otherwise(F.col("kind")), "message": F.when(hit, "invalid schema: a pattern cannot be read").otherwise(F.col("message")), "code": F.when(hit, BAD_SCHEMA).otherwise(F.col("code"))})
 
 
 # Reports.

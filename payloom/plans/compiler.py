@@ -1,8 +1,10 @@
-"""Compiles plain JSON Schema (2020-12, and older drafts by $schema) into Columns over a variant.
+"""Compiles the rules of a JSON Schema into Columns over a variant.
 
 errors(v) is an array of (path, keyword, message), one entry for each way in which the value breaks the schema; the
-expressions run in the JVM. References within the document are expanded while compiling. A schema that contains itself
-has no finite expression: Compiled.recursive is then true, and validation takes the interpreter instead.
+expressions run in the JVM. Each rule is compiled once for each place it is used at: where unevaluatedProperties or
+unevaluatedItems need it, an in-place rule gives its errors and what it has evaluated together, as one struct that all its
+users share. A schema that contains itself has no finite expression, and one whose references write out too large should not
+be one: Compiled.large is then true, and validation takes the machine instead.
 """
 
 from __future__ import annotations
@@ -14,48 +16,49 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.columns import elements, json_type, let, member, members, number, text
-from ..model import ResolveError
-from ..sources.documents import navigate
-from .drafts import LISTS, MAPS, ONE, modern, portable
+from ..functions.columns import canonical, elements, json_type, let, member, members, number, text
+from .drafts import portable
+from .registry import rules
 
 ERRORS = "array<struct<path:string,keyword:string,message:string>>"
-
+#: What a rule comes to where others ask for more than its errors.
+FOUND = f"struct<errors:{ERRORS},names:array<string>,items:array<int>>"
 
 #: From here on not all integers are doubles.
 EXACT = 1 << 53
 
 
-def is_recursive(root: Any) -> bool:
-    """Whether a reference that is used leads back to itself."""
-    done: set[str] = set()
+def pointer_part(name: str) -> str:
+    return name.replace("~", "~0").replace("/", "~1")
 
-    def walk(schema: Any, stack: tuple[str, ...]) -> bool:
-        if not isinstance(schema, dict):
-            return False
-        below = [schema[k] for k in ONE if k in schema]
-        below += [x for k in LISTS if isinstance(schema.get(k), list) for x in schema[k]]
-        below += [x for k in MAPS if k not in ("$defs", "definitions") for x in schema.get(k, {}).values()]
-        return any(walk(x, stack) for x in below) or any(follow(ref, stack) for ref in references(schema))
 
-    def follow(ref: str, stack: tuple[str, ...]) -> bool:
-        if ref == "#" or ref in stack:
-            return True
-        if ref in done:  # led nowhere when it was first met
-            return False
-        found = walk(reference(root, ref), (*stack, ref))
-        done.add(ref)
-        return found
+def none() -> Column:
+    return F.array().cast(ERRORS)
 
-    return walk(root, ())
 
+def no_names() -> Column:
+    return F.array().cast("array<string>")
 
-def pointer_part(name: str) -> str:
-    return name.replace("~", "~0").replace("/", "~1")
 
+def no_items() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _struct(errors: Column, names: Column, items: Column) -> Column:
+    return F.struct(errors.alias("errors"), names.alias("names"), items.alias("items")).cast(FOUND)
 
-def none() -> Column:
-    return F.array().cast(ERRORS)
+
+def _held(value: Any) -> list[tuple[Any, int]]:
+    """Names and numbers of the rules that a keyword holds."""
+    return [(None, value)] if isinstance(value, int) else list(value.items()) if isinstance(value, dict) else list(enumerate(value))
+
+
+def _passing(passed) -> Column:
+    return sum((F.when(p, 1).otherwise(0) for p in passed), F.lit(0))
+
+
+#: What is said of alternatives.
+ANY_OF, ONE_OF, NOT = "must fit one of the alternatives at least", "must fit exactly one of the alternatives", "must not fit what is excluded"
 
 
 def error(path: Column, keyword: str, message: str | Column) -> Column:
@@ -85,11 +88,6 @@ def exactly(v: Column, bound: int, holds) -> Column:
     return F.coalesce(holds(whole(v), F.lit(Decimal(bound))), holds(number(v), float(bound)))
 
 
-def canonical(v: Column) -> Column:
-    """JSON text in which equal values are equal: members in order, numbers without trailing zeros; strings stay as they are."""
-    return F.regexp_replace(F.to_json(v), r'("(?:[^"\\]|\\.)*+")|(-?[0-9]+)(?:\.0+|(\.[0-9]*?[1-9])0+)?(?=[,\]}]|$)', "$1$2$3")
-
-
 class Value:
     """A variant, its type and its pointer, as Columns; map and array views are made on demand."""
 
@@ -102,64 +100,68 @@ class Value:
     def below_col(self, name: Column) -> Column:
         return F.concat(self.path, F.lit("/"), F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
 
+    def keys(self) -> Column:
+        return F.coalesce(F.map_keys(members(self.v)), no_names())
+
+    def indices(self) -> Column:
+        return F.coalesce(F.transform(elements(self.v), lambda e, i: i), no_items())
+
     def when(self, kind: str, errors: Column) -> Column:
         return F.when(self.kind == kind, errors).otherwise(none())
 
 
 class Compiled:
     def __init__(self, schema: Any):
-        self.schema = modern(schema)
-        self.recursive = is_recursive(self.schema)
+        self.rules = rules(schema)
+        self.large = self.rules.large
 
     def errors(self, v: Column) -> Column:
-        return self._at(self.schema, v, F.lit(""), ())
+        return self._at(0, v, F.lit(""))
+
+    def _plain(self, rule: int) -> bool | None:
+        """True or False for a rule that needs no look at the value."""
+        node = self.rules.nodes[rule]
+        return node if isinstance(node, bool) else None
 
     # One value.
 
-    def _at(self, schema: Any, v: Column, path: Column, stack: tuple[str, ...]) -> Column:
+    def _at(self, rule: int, v: Column, path: Column) -> Column:
         """Binds the value and its type once; pointers are put together only where there is an error."""
-        if schema is True or schema == {}:
+        if self._plain(rule) is True:
             return none()
-        if schema is False:
+        if self._plain(rule) is False:
             return error(path, "false", "no value is allowed here")
-        return let(v, lambda x: self._typed(schema, x, path, stack))
+        return let(v, lambda x: self._typed(rule, x, path))
 
-    def _typed(self, schema: Any, v: Column, path: Column, stack: tuple[str, ...]) -> Column:
-        return let(json_type(v), lambda kind: self._errors(schema, Value(v, kind, path), stack))
+    def _typed(self, rule: int, v: Column, path: Column) -> Column:
+        return let(json_type(v), lambda kind: self._errors(rule, Value(v, kind, path)))
 
-    def _if_there(self, schema: Any, v: Column, path: Column, stack: tuple[str, ...]) -> Column:
+    def _if_there(self, rule: int, v: Column, path: Column) -> Column:
         """Nothing for a value that is missing."""
-        if schema is False:
+        if self._plain(rule) is False:
             return F.when(v.isNotNull(), error(path, "false", "no value is allowed here")).otherwise(none())
-        return let(v, lambda x: F.when(x.isNotNull(), self._typed(schema, x, path, stack)).otherwise(none()))
-
-    def _errors(self, schema: Any, x: Value, stack: tuple[str, ...]) -> Column:
-        if schema is False:
-            return error(x.path, "false", "no value is allowed here")
-        if not isinstance(schema, dict) or not schema:
-            return none()
+        return let(v, lambda x: F.when(x.isNotNull(), self._typed(rule, x, path)).otherwise(none()))
+
+    def _errors(self, rule: int, x: Value) -> Column:
+        if self._plain(rule) is not None:
+            return none() if self._plain(rule) else error(x.path, "false", "no value is allowed here")
+        node = self.rules.nodes[rule]
+        if "unevaluatedProperties" in node or "unevaluatedItems" in node:
+            return self._found(rule, x, "unevaluatedProperties" in node, "unevaluatedItems" in node)["errors"]
         found = []
-        for ref in references(schema):
-            target, below = self._target(ref, stack)
-            found.append(self._errors(target, x, below))
-        for keyword, compile_ in KEYWORDS.items():
-            if keyword in schema:
-                made = compile_(self, schema, schema[keyword], x, stack)
+        for keyword, compile_ in (KEYWORDS | IN_PLACE).items():
+            if keyword in node:
+                made = compile_(self, node, node[keyword], x)
                 if made is not None:
                     found.append(made)
         return found[0] if len(found) == 1 else F.concat(*found) if found else none()
 
-    def _passes(self, schema: Any, x: Value, stack: tuple[str, ...]) -> Column:
-        if schema is True or schema == {}:
-            return F.lit(True)
-        return F.size(self._errors(schema, x, stack)) == 0
-
-    def _target(self, ref: str, stack: tuple[str, ...]) -> tuple[Any, tuple[str, ...]]:
-        return reference(self.schema, ref), (*stack, ref)
+    def _passes(self, rule: int, x: Value) -> Column:
+        return F.lit(True) if self._plain(rule) is True else F.size(self._errors(rule, x)) == 0
 
     # Keywords; each gives errors, or None where there is nothing to check.
 
-    def _type(self, schema, allowed, x, stack):
+    def _type(self, schema, allowed, x):
         allowed = [allowed] if isinstance(allowed, str) else list(allowed)
         plain = [t for t in allowed if t != "integer"]
         holds = x.kind.isin(plain) if plain else F.lit(False)
@@ -178,7 +180,7 @@ class Compiled:
             return x.kind == "null"
         return (x.kind == ("array" if isinstance(value, list) else "object")) & (canonical(x.v) == canonical(F.parse_json(F.lit(json.dumps(value)))))
 
-    def _enum(self, schema, values, x, stack):
+    def _enum(self, schema, values, x):
         holds = F.lit(False)
         texts = [v for v in values if isinstance(v, str)]
         if texts:
@@ -188,17 +190,17 @@ class Compiled:
                 holds = holds | F.coalesce(self._same(value, x), F.lit(False))
         return unless(F.coalesce(holds, F.lit(False)), x.path, "enum", f"must be one of {short(values)}")
 
-    def _const(self, schema, value, x, stack):
+    def _const(self, schema, value, x):
         return unless(F.coalesce(self._same(value, x), F.lit(False)), x.path, "const", f"must be {short(value)}")
 
     def _limit(keyword, words, holds):
-        def compile_(self, schema, bound, x, stack):
+        def compile_(self, schema, bound, x):
             kept = exactly(x.v, bound, holds) if is_large(bound) else holds(number(x.v), float(bound))
             return x.when("number", unless(kept, x.path, keyword, f"must be {words} {bound}"))
 
         return compile_
 
-    def _multiple(self, schema, of, x, stack):
+    def _multiple(self, schema, of, x):
         ratio = number(x.v) / F.lit(float(of))
         near = F.abs(ratio - F.round(ratio)) < 1e-9
         if of == int(of) and abs(of) < EXACT:  # a whole number's multiples are whole, and told exactly
@@ -206,37 +208,37 @@ class Compiled:
         return x.when("number", unless(near, x.path, "multipleOf", f"must be a multiple of {of}"))
 
     def _count(keyword, kind, size, holds, words):
-        def compile_(self, schema, bound, x, stack):
+        def compile_(self, schema, bound, x):
             return x.when(kind, unless(holds(size(x.v), int(bound)), x.path, keyword, f"{words} {bound}"))
 
         return compile_
 
-    def _pattern(self, schema, pattern, x, stack):
+    def _pattern(self, schema, pattern, x):
         return x.when("string", unless(text(x.v).rlike(portable(pattern)), x.path, "pattern", f"must match {pattern}"))
 
-    def _required(self, schema, names, x, stack):
+    def _required(self, schema, names, x):
         names = [n for n in names if isinstance(n, str)]
         if not names:
             return None
         return x.when("object", F.concat(*(unless(member(x.v, n).isNotNull(), x.path, "required", f"{short(n)} is required") for n in names)))
 
-    def _properties(self, schema, properties, x, stack):
-        checks = [self._if_there(s, member(x.v, n), x.below(n), stack) for n, s in properties.items() if s is not True and s != {}]
+    def _properties(self, schema, properties, x):
+        checks = [self._if_there(s, member(x.v, n), x.below(n)) for n, s in properties.items() if self._plain(s) is not True]
         return x.when("object", F.concat(*checks)) if checks else None
 
-    def _entries(self, x, schema, stack, wanted) -> Column:
+    def _entries(self, x, schema, wanted) -> Column:
         """Errors of the members whose names are wanted."""
         entries = F.filter(F.map_entries(members(x.v)), lambda e: wanted(e["key"]))
-        return x.when("object", F.flatten(F.transform(entries, lambda e: self._at(schema, e["value"], x.below_col(e["key"]), stack))))
+        return x.when("object", F.flatten(F.transform(entries, lambda e: self._at(schema, e["value"], x.below_col(e["key"])))))
 
-    def _pattern_properties(self, schema, patterns, x, stack):
-        checks = [self._entries(x, s, stack, _matching(p)) for p, s in patterns.items()]
+    def _pattern_properties(self, schema, patterns, x):
+        checks = [self._entries(x, s, _matching(p)) for p, s in patterns.items()]
         return F.concat(*checks) if checks else None
 
-    def _property_names(self, schema, names, x, stack):
+    def _property_names(self, schema, names, x):
         keys = F.map_keys(members(x.v))
         named = lambda k: F.try_variant_get(F.parse_json(F.to_json(F.array(k))), "$[0]", "variant")  # noqa: E731  the name as a value
-        return x.when("object", F.flatten(F.transform(keys, lambda k: self._at(names, named(k), x.path, stack))))
+        return x.when("object", F.flatten(F.transform(keys, lambda k: self._at(names, named(k), x.path))))
 
     @staticmethod
     def _unknown(schema, key) -> Column:
@@ -247,52 +249,19 @@ class Compiled:
             free = free & ~key.rlike(portable(p))
         return free
 
-    def _additional(self, schema, extra, x, stack):
-        if extra is True or extra == {}:
+    def _additional(self, schema, extra, x):
+        if self._plain(extra) is True:
             return None
-        if extra is False:
+        if self._plain(extra) is False:
             return x.when("object", self._strangers(F.filter(F.map_keys(members(x.v)), lambda k: self._unknown(schema, k)), x, "additionalProperties"))
-        return self._entries(x, extra, stack, lambda k: self._unknown(schema, k))
+        return self._entries(x, extra, lambda k: self._unknown(schema, k))
 
     @staticmethod
     def _strangers(names: Column, x: Value, keyword: str) -> Column:
         """One error for all names that are not allowed."""
         return let(names, lambda n: F.when(F.size(n) > 0, error(x.path, keyword, F.concat(F.lit("not allowed: "), F.array_join(n, ", ")))).otherwise(none()))
 
-    def _unevaluated(self, schema, extra, x, stack):
-        if extra is True or extra == {}:
-            return None
-        left = F.array_except(F.map_keys(members(x.v)), self._evaluated({k: v for k, v in schema.items() if k != "unevaluatedProperties"}, x, stack))
-        if extra is False:
-            return x.when("object", self._strangers(left, x, "unevaluatedProperties"))
-        return let(F.when(x.kind == "object", left), lambda names: F.coalesce(self._entries(x, extra, stack, lambda k: F.array_contains(names, k)), none()))
-
-    def _evaluated(self, schema, x, stack) -> Column:
-        """Names that a schema, and what it applies in place and passes, speaks of."""
-        empty = F.array().cast("array<string>")
-        if not isinstance(schema, dict):
-            return empty
-        keys = F.coalesce(F.map_keys(members(x.v)), empty)
-        if "additionalProperties" in schema or "unevaluatedProperties" in schema:
-            return keys
-        parts = []
-        if schema.get("properties"):
-            parts.append(F.array(*map(F.lit, schema["properties"])))
-        for p in schema.get("patternProperties", {}):
-            parts.append(F.filter(keys, _matching(p)))
-        for ref in references(schema):
-            target, below = self._target(ref, stack)
-            parts.append(self._evaluated(target, x, below))
-        for s in (*schema.get("allOf", ()), *schema.get("anyOf", ()), *schema.get("oneOf", ())):
-            parts.append(F.when(self._passes(s, x, stack), self._evaluated(s, x, stack)).otherwise(empty))
-        if "if" in schema:
-            then = F.array_union(self._evaluated(schema["if"], x, stack), self._evaluated(schema.get("then"), x, stack))
-            parts.append(F.when(self._passes(schema["if"], x, stack), then).otherwise(self._evaluated(schema.get("else"), x, stack)))
-        for name, s in schema.get("dependentSchemas", {}).items():
-            parts.append(F.when(member(x.v, name).isNotNull(), self._evaluated(s, x, stack)).otherwise(empty))
-        return F.concat(*parts) if parts else empty
-
-    def _dependent_required(self, schema, needs, x, stack):
+    def _dependent_required(self, schema, needs, x):
         checks = [
             F.when(member(x.v, name).isNotNull(), F.concat(*(unless(member(x.v, n).isNotNull(), x.path, "dependentRequired", f"{short(n)} is required with {short(name)}") for n in names))).otherwise(none())
             for name, names in needs.items()
@@ -300,121 +269,128 @@ class Compiled:
         ]
         return x.when("object", F.concat(*checks)) if checks else None
 
-    def _dependent_schemas(self, schema, needs, x, stack):
-        checks = [F.when(member(x.v, name).isNotNull(), self._errors(s, x, stack)).otherwise(none()) for name, s in needs.items()]
-        return x.when("object", F.concat(*checks)) if checks else None
-
-    def _items(self, schema, items, x, stack):
-        if items is True or items == {}:
+    def _items(self, schema, items, x):
+        if self._plain(items) is True:
             return None
         skip = len(schema.get("prefixItems", ()))
         rest = elements(x.v) if not skip else F.slice(elements(x.v), skip + 1, 1 << 30)
-        return x.when("array", F.flatten(F.transform(rest, lambda e, i: self._at(items, e, F.concat(x.path, F.lit("/"), (i + skip).cast("string")), stack))))
+        return x.when("array", F.flatten(F.transform(rest, lambda e, i: self._at(items, e, F.concat(x.path, F.lit("/"), (i + skip).cast("string"))))))
 
-    def _prefix_items(self, schema, prefix, x, stack):
-        checks = [self._if_there(s, F.get(elements(x.v), F.lit(i)), x.below(str(i)), stack) for i, s in enumerate(prefix)]
+    def _prefix_items(self, schema, prefix, x):
+        checks = [self._if_there(s, F.get(elements(x.v), F.lit(i)), x.below(str(i))) for i, s in enumerate(prefix)]
         return x.when("array", F.concat(*checks)) if checks else None
 
-    def _unique(self, schema, unique, x, stack):
+    def _unique(self, schema, unique, x):
         if unique is not True:
             return None
         plain = F.transform(elements(x.v), canonical)
         return x.when("array", let(plain, lambda p: unless(F.size(F.array_distinct(p)) == F.size(p), x.path, "uniqueItems", "must have no item twice")))
 
-    def _contains(self, schema, wanted, x, stack):
+    def _contains(self, schema, wanted, x):
         least, most = schema.get("minContains", 1), schema.get("maxContains")
-        fit = F.size(F.filter(elements(x.v), lambda e: F.size(self._at(wanted, e, F.lit(""), stack)) == 0))
+        fit = F.size(F.filter(elements(x.v), lambda e: F.size(self._at(wanted, e, F.lit(""))) == 0))
         holds = lambda n: (n >= least) & (n <= most if most is not None else F.lit(True))
         return x.when("array", let(fit, lambda n: unless(holds(n), x.path, "contains", f"must contain {least} to {most if most is not None else 'any number of'} fitting items")))
 
-    def _unevaluated_items(self, schema, extra, x, stack):
-        if extra is True or extra == {}:
-            return None
-        here = self._evaluated_items({k: v for k, v in schema.items() if k != "unevaluatedItems"}, x, stack)
-        left = F.array_except(self._indices(x), here)
-        if extra is False:
-            return x.when("array", let(left, lambda n: F.when(F.size(n) > 0, error(x.path, "unevaluatedItems", F.concat(F.lit("not allowed: "), F.array_join(n.cast("array<string>"), ", ")))).otherwise(none())))
-        return x.when("array", F.flatten(F.transform(left, lambda i: self._at(extra, F.get(elements(x.v), i), F.concat(x.path, F.lit("/"), i.cast("string")), stack))))
+    # Subschemas that are applied to the same value.
 
-    @staticmethod
-    def _indices(x: Value) -> Column:
-        return F.coalesce(F.transform(elements(x.v), lambda e, i: i), F.array().cast("array<int>"))
-
-    def _evaluated_items(self, schema, x, stack) -> Column:
-        """Positions that a schema, and what it applies in place and passes, speaks of."""
-        empty = F.array().cast("array<int>")
-        if not isinstance(schema, dict):
-            return empty
-        if "items" in schema or "unevaluatedItems" in schema:
-            return self._indices(x)
-        parts = []
-        if "prefixItems" in schema:
-            parts.append(F.filter(self._indices(x), lambda i: i < len(schema["prefixItems"])))
-        if "contains" in schema:
-            parts.append(F.filter(self._indices(x), lambda i: F.size(self._at(schema["contains"], F.get(elements(x.v), i), F.lit(""), stack)) == 0))
-        for ref in references(schema):
-            target, below = self._target(ref, stack)
-            parts.append(self._evaluated_items(target, x, below))
-        for s in (*schema.get("allOf", ()), *schema.get("anyOf", ()), *schema.get("oneOf", ())):
-            parts.append(F.when(self._passes(s, x, stack), self._evaluated_items(s, x, stack)).otherwise(empty))
-        if "if" in schema:
-            then = F.array_union(self._evaluated_items(schema["if"], x, stack), self._evaluated_items(schema.get("then"), x, stack))
-            parts.append(F.when(self._passes(schema["if"], x, stack), then).otherwise(self._evaluated_items(schema.get("else"), x, stack)))
-        return F.concat(*parts) if parts else empty
-
-    def _all_of(self, schema, branches, x, stack):
-        return F.concat(*(self._errors(s, x, stack) for s in branches)) if branches else None
-
-    def _passing(self, branches, x, stack) -> Column:
-        n = F.lit(0)
-        for s in branches:
-            n = n + F.when(self._passes(s, x, stack), 1).otherwise(0)
-        return n
-
-    def _any_of(self, schema, branches, x, stack):
-        return unless(self._passing(branches, x, stack) > 0, x.path, "anyOf", "must fit one of the alternatives at least")
-
-    def _one_of(self, schema, branches, x, stack):
-        return unless(self._passing(branches, x, stack) == 1, x.path, "oneOf", "must fit exactly one of the alternatives")
-
-    def _not(self, schema, other, x, stack):
-        return unless(~self._passes(other, x, stack), x.path, "not", "must not fit what is excluded")
-
-    def _if(self, schema, condition, x, stack):
-        then, other = schema.get("then", True), schema.get("else", True)
-        return F.when(self._passes(condition, x, stack), self._errors(then, x, stack)).otherwise(self._errors(other, x, stack))
+    def _refs(self, schema, refs, x):
+        return F.concat(*(self._errors(s, x) for s in refs))
 
+    def _all_of(self, schema, branches, x):
+        return F.concat(*(self._errors(s, x) for s in branches)) if branches else None
 
-def _matching(pattern: str):
-    return lambda key: key.rlike(portable(pattern))
+    def _any_of(self, schema, branches, x):
+        return unless(_passing(self._passes(s, x) for s in branches) > 0, x.path, "anyOf", ANY_OF)
 
+    def _one_of(self, schema, branches, x):
+        return unless(_passing(self._passes(s, x) for s in branches) == 1, x.path, "oneOf", ONE_OF)
 
-def references(schema: dict) -> list[str]:
-    """Where a schema refers to; a dynamic reference is taken for one to its own document."""
-    return [schema[k] for k in ("$ref", "$dynamicRef") if isinstance(schema.get(k), str)]
+    def _not(self, schema, other, x):
+        return unless(~self._passes(other, x), x.path, "not", NOT)
 
+    def _if(self, schema, condition, x):
+        then, other = (self._errors(schema[k], x) if k in schema else none() for k in ("then", "else"))
+        return F.when(self._passes(condition, x), then).otherwise(other)
 
-def reference(root: Any, ref: str) -> Any:
-    """What a reference within the document points to: a JSON Pointer or an anchor."""
-    if not ref.startswith("#"):
-        raise ResolveError("InvalidSchema", f"invalid schema: reference {ref} is not within the document", ref=ref)
-    target = navigate(root, ref[1:]) if ref.startswith("#/") else anchored(root, ref[1:])
-    if target is None:
-        raise ResolveError("InvalidSchema", f"invalid schema: reference {ref} points nowhere", ref=ref)
-    return target
+    def _dependent_schemas(self, schema, needs, x):
+        checks = [F.when(member(x.v, name).isNotNull(), self._errors(s, x)).otherwise(none()) for name, s in needs.items()]
+        return x.when("object", F.concat(*checks)) if checks else None
+
+    # The same with what has been evaluated: names of members, positions of items.
+
+    def _found(self, rule: int, x: Value, names: bool, items: bool) -> Column:
+        """FOUND of a rule; names and items tell what is asked for."""
+        node = self.rules.nodes[rule]
+        if isinstance(node, bool):
+            return _struct(self._errors(rule, x), no_names(), no_items())
+        names_too, items_too = names or "unevaluatedProperties" in node, items or "unevaluatedItems" in node
+        held = [(k, name, s) for k in IN_PLACE if k in node for name, s in _held(node[k])]
+        held += [(k, None, node[k]) for k in ("then", "else") if "if" in node and k in node]
+
+        def put_together(below: Column | None) -> Column:
+            at = {(k, name): F.get(below, F.lit(i)) for i, (k, name, _) in enumerate(held)}
+            errors = [made for k, compile_ in KEYWORDS.items() if k in node and (made := compile_(self, node, node[k], x)) is not None]
+            # which of them count: all that were applied and passed; of if, then and else only two
+            counts = {key: F.size(found["errors"]) == 0 for key, found in at.items()}
+            there = {key: member(x.v, key[1]).isNotNull() for key in at if key[0] == "dependentSchemas"}
+            for key, found in at.items():
+                if key[0] in ("$ref", "allOf"):
+                    errors.append(found["errors"])
+                elif key[0] == "dependentSchemas":
+                    errors.append(F.when(there[key], found["errors"]).otherwise(none()))
+                    counts[key] = counts[key] & there[key]
+                elif key[0] in ("then", "else"):
+                    on = F.size(at["if", None]["errors"]) == 0 if key[0] == "then" else F.size(at["if", None]["errors"]) > 0
+                    errors.append(F.when(on, found["errors"]).otherwise(none()))
+                    counts[key] = counts[key] & on
+            for keyword, holds, message in (("anyOf", lambda n: n > 0, ANY_OF), ("oneOf", lambda n: n == 1, ONE_OF)):
+                if keyword in node:
+                    errors.append(unless(holds(_passing(c for key, c in counts.items() if key[0] == keyword)), x.path, keyword, message))
+            if "not" in node:
+                errors.append(unless(~counts.pop(("not", None)), x.path, "not", NOT))
+            merged = lambda field, empty: [F.when(c, at[key][field]).otherwise(empty) for key, c in counts.items()]
+            seen = F.concat(*self._own_names(node, x), *merged("names", no_names()), no_names()) if names_too else no_names()
+            places = F.concat(*self._own_items(node, x), *merged("items", no_items()), no_items()) if items_too else no_items()
+            for keyword, make in (("unevaluatedProperties", lambda s: self._unevaluated(s, seen, x)), ("unevaluatedItems", lambda s: self._unevaluated_items(s, places, x))):
+                if keyword in node and self._plain(node[keyword]) is not True:
+                    errors.append(make(node[keyword]))
+            return _struct(F.concat(*errors, none()), x.keys() if "unevaluatedProperties" in node else seen, x.indices() if "unevaluatedItems" in node else places)
+
+        if not held:
+            return put_together(None)
+        return let(F.array(*(self._found(s, x, names_too, items_too) for _, _, s in held)), put_together)
+
+    def _own_names(self, node, x) -> list[Column]:
+        """Names that the rule itself speaks of."""
+        if "additionalProperties" in node:
+            return [x.keys()]
+        parts = [F.array(*map(F.lit, node["properties"]))] if node.get("properties") else []
+        return parts + [F.filter(x.keys(), _matching(p)) for p in node.get("patternProperties", {})]
+
+    def _own_items(self, node, x) -> list[Column]:
+        if "items" in node:
+            return [x.indices()]
+        parts = [F.filter(x.indices(), lambda i: i < len(node["prefixItems"]))] if "prefixItems" in node else []
+        if "contains" in node:
+            parts.append(F.filter(x.indices(), lambda i: F.size(self._at(node["contains"], F.get(elements(x.v), i), F.lit(""))) == 0))
+        return parts
+
+    def _unevaluated(self, extra: int, seen: Column, x: Value) -> Column:
+        left = F.array_except(x.keys(), seen)
+        if self._plain(extra) is False:
+            return x.when("object", self._strangers(left, x, "unevaluatedProperties"))
+        return let(F.when(x.kind == "object", left), lambda names: F.coalesce(self._entries(x, extra, lambda k: F.array_contains(names, k)), none()))
+
+    def _unevaluated_items(self, extra: int, seen: Column, x: Value) -> Column:
+        left = F.array_except(x.indices(), seen)
+        if self._plain(extra) is False:
+            return x.when("array", let(left, lambda n: F.when(F.size(n) > 0, error(x.path, "unevaluatedItems", F.concat(F.lit("not allowed: "), F.array_join(n.cast("array<string>"), ", ")))).otherwise(none())))
+        return x.when("array", F.flatten(F.transform(left, lambda i: self._at(extra, F.get(elements(x.v), i), F.concat(x.path, F.lit("/"), i.cast("string"))))))
 
 
-def anchored(value: Any, name: str) -> Any:
-    """The first schema with the anchor."""
-    if isinstance(value, dict):
-        if name in (value.get("$anchor"), value.get("$dynamicAnchor")):
-            return value
-        value = list(value.values())
-    for v in value if isinstance(value, list) else ():
-        found = anchored(v, name)
-        if found is not None:
-            return found
-    return None
+def _matching(pattern: str):
+    return lambda key: key.rlike(portable(pattern))
 
 
 _C = Compiled
@@ -438,18 +414,19 @@ KEYWORDS = {
     "minProperties": _C._count("minProperties", "object", lambda v: F.size(members(v)), lambda n, b: n >= b, "must have members, at least"),
     "maxProperties": _C._count("maxProperties", "object", lambda v: F.size(members(v)), lambda n, b: n <= b, "must have members, at most"),
     "dependentRequired": _C._dependent_required,
-    "dependentSchemas": _C._dependent_schemas,
     "prefixItems": _C._prefix_items,
     "items": _C._items,
     "minItems": _C._count("minItems", "array", lambda v: F.size(elements(v)), lambda n, b: n >= b, "must have items, at least"),
     "maxItems": _C._count("maxItems", "array", lambda v: F.size(elements(v)), lambda n, b: n <= b, "must have items, at most"),
     "uniqueItems": _C._unique,
     "contains": _C._contains,
+}
+IN_PLACE = {
+    "$ref": _C._refs,
     "allOf": _C._all_of,
     "anyOf": _C._any_of,
     "oneOf": _C._one_of,
     "not": _C._not,
     "if": _C._if,
-    "unevaluatedProperties": _C._unevaluated,
-    "unevaluatedItems": _C._unevaluated_items,
+    "dependentSchemas": _C._dependent_schemas,
 }

@@ -5,6 +5,15 @@ from __future__ import annotations
 import re
 from typing import Any
 
+try:
+    import regex
+except ImportError:  # then patterns with \p{...} are not known here, only in the JVM
+    regex = re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 from ..model import ResolveError
 
 #: Keywords that hold schemas: one, a list of them, or a map.
@@ -35,10 +44,15 @@ def modern(schema: Any) -> Any:
 def _modern(schema: Any, of: int) -> Any:
     if not isinstance(schema, dict):
         return schema
+    own = schema.get("$id", schema.get("id") if of == 4 else None)
+    if isinstance(own, str) and isinstance(schema.get("$schema"), str):  # a resource may have a draft of its own
+        of = draft(schema)
     if of >= 2020 and isinstance(schema.get("items"), list):
         raise ResolveError("InvalidSchema", "invalid schema: items is a list, which 2020-12 calls prefixItems")
     unknown = {k for since, keys in SINCE.items() if since > of for k in keys}
     out = {k: v for k, v in schema.items() if k not in unknown}
+    if of == 4 and isinstance(own, str):
+        out["$id"] = out.pop("id", own)
     for k in ONE:
         if isinstance(out.get(k), dict):
             out[k] = _modern(out[k], of)
@@ -79,6 +93,10 @@ def _modern(schema: Any, of: int) -> Any:
 _SPACE = r"\t\n\x0b\f\r    -     　﻿"
 
 
+#: Classes as ECMA 262 has them: digits and letters are ASCII, spaces are not.
+_CLASSES = {"s": _SPACE, "d": "0-9", "w": "A-Za-z0-9_"}
+
+
 def portable(pattern: str) -> str:
     """A pattern with the meaning of ECMA 262: $ is the end alone, a dot stops at four line ends, \\s has all spaces, [ in a set is itself."""
     out, inside, i = [], False, 0
@@ -86,7 +104,10 @@ def portable(pattern: str) -> str:
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
-            out.append((_SPACE if inside else f"[{_SPACE}]") if n == "s" else f"[^{_SPACE}]" if n == "S" and not inside else c + n)
+            if n in _CLASSES:
+                out.append(_CLASSES[n] if inside else f"[{_CLASSES[n]}]")
+            else:
+                out.append(f"[^{_CLASSES[n.lower()]}]" if n in "SDW" and not inside else c + n)
             i += 2
             continue
         if inside:
@@ -99,3 +120,28 @@ def portable(pattern: str) -> str:
             out.append(r"(?![\s\S])" if c == "$" else r"[^\n\r  ]" if c == "." else c)
         i += 1
     return "".join(out)
+
+
+def compiled(pattern: str) -> Any:
+    return regex.compile(portable(pattern))
+
+
+def fault_of_pattern(pattern: str) -> str | None:
+    """What is wrong about a pattern, as both engines see it."""
+    try:
+        compiled(pattern)
+    except (re.error, regex.error) as e:
+        return f"{pattern} is no pattern: {e}"
+    return None if readable(portable(pattern)) else f"{pattern} is no pattern"
+
+
+def readable(portable_pattern: str) -> bool:
+    """Whether the JVM reads a pattern, if there is one to ask: in tasks there is none."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return True
+    try:
+        session._jvm.java.util.regex.Pattern.compile(portable_pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True

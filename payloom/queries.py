@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import samples
@@ -17,6 +17,7 @@ from .operators import lint
 from .operators.validate import direction_of, error_rows, exit_codes, validate, validate_by_capabilities, verdict_json, violation_summary, with_verdict
 from .plans.compose import compose, parse_capabilities
 from .plans.resolve import resolve
+from .sources.documents import Documents
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -226,6 +227,7 @@ def keyword_query(name: str, plain: dict, sql: str, *extra) -> None:
     query(sql)(run)
 
 
+_NOT_P = "o_orderstatus <> 'P'"
 _AT = "select o_orderkey as payload_id, '{path}' as path, '{keyword}' as keyword from orders where {where}"
 
 
@@ -234,48 +236,48 @@ def _due():
     return F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("due")
 
 
-keyword_query("required", {"required": ["id", "due"]}, _AT.format(path="", keyword="required", where="o_orderstatus <> 'P'"), _due)
-keyword_query("type", _property("total", {"type": "integer"}), _AT.format(path="/total", keyword="type", where="o_totalprice <> floor(o_totalprice)"))
-keyword_query("enum", _property("status", {"enum": ["P", "F", 3]}), _AT.format(path="/status", keyword="enum", where="o_orderstatus not in ('P', 'F')"))
-keyword_query("const", _property("status", {"const": "P"}), _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'"))
-keyword_query("minimum", _property("total", {"minimum": 100000}), _AT.format(path="/total", keyword="minimum", where="o_totalprice < 100000"))
-keyword_query("maximum", _property("total", {"exclusiveMaximum": 300000.5}), _AT.format(path="/total", keyword="exclusiveMaximum", where="o_totalprice >= 300000.5"))
-keyword_query("pattern", _property("priority", {"pattern": "^[12]-"}), _AT.format(path="/priority", keyword="pattern", where="not regexp_matches(o_orderpriority, '^[12]-')"))
-keyword_query("minlength", _property("id", {"minLength": 4}), _AT.format(path="/id", keyword="minLength", where="length(o_orderkey::varchar) < 4"))
-keyword_query("strict_unknown", {"properties": {k: True for k in ("id", "status", "priority", "total", "line_items")}, "additionalProperties": False}, _AT.format(path="", keyword="additionalProperties", where="o_orderstatus = 'P'"), _due)
+keyword_query("required", {"required": ["number", "due"]}, _AT.format(path="", keyword="required", where="o_orderstatus <> 'P'"), _due)
+keyword_query("type", _property("amount", {"type": "integer"}), _AT.format(path="/amount", keyword="type", where="o_totalprice <> floor(o_totalprice)"))
+keyword_query("enum", _property("state", {"enum": ["P", "F", 3]}), _AT.format(path="/state", keyword="enum", where="o_orderstatus not in ('P', 'F')"))
+keyword_query("const", _property("state", {"const": "P"}), _AT.format(path="/state", keyword="const", where="o_orderstatus <> 'P'"))
+keyword_query("minimum", _property("amount", {"minimum": 100000}), _AT.format(path="/amount", keyword="minimum", where="o_totalprice < 100000"))
+keyword_query("maximum", _property("amount", {"exclusiveMaximum": 300000.5}), _AT.format(path="/amount", keyword="exclusiveMaximum", where="o_totalprice >= 300000.5"))
+keyword_query("pattern", _property("urgency", {"pattern": "^[12]-"}), _AT.format(path="/urgency", keyword="pattern", where="not regexp_matches(o_orderpriority, '^[12]-')"))
+keyword_query("minlength", _property("number", {"minLength": 4}), _AT.format(path="/number", keyword="minLength", where="length(o_orderkey::varchar) < 4"))
+keyword_query("strict_unknown", {"properties": {k: True for k in ("number", "state", "urgency", "amount", "lines")}, "additionalProperties": False}, _AT.format(path="", keyword="additionalProperties", where="o_orderstatus = 'P'"), _due)
 keyword_query(
     "unevaluated",
-    {"allOf": [{"properties": {"id": True, "status": {"const": "P"}, "priority": True}}, {"properties": {"total": True, "line_items": True, "due": True}}], "unevaluatedProperties": False},
+    {"allOf": [{"properties": {"number": True, "state": {"const": "P"}, "urgency": True}}, {"properties": {"amount": True, "lines": True, "due": True}}], "unevaluatedProperties": False},
     # a branch that fails evaluates nothing
-    _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="", keyword="unevaluatedProperties", where="o_orderstatus <> 'P'"),
+    _AT.format(path="/state", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="", keyword="unevaluatedProperties", where="o_orderstatus <> 'P'"),
     _due,
 )
-keyword_query("anyof", {"anyOf": [_property("status", {"const": "P"}), _property("total", {"minimum": 150000})]}, _AT.format(path="", keyword="anyOf", where="o_orderstatus <> 'P' and o_totalprice < 150000"))
-keyword_query("oneof", {"oneOf": [_property("status", {"const": "P"}), _property("total", {"minimum": 150000})]}, _AT.format(path="", keyword="oneOf", where="(o_orderstatus = 'P') = (o_totalprice >= 150000)"))
+keyword_query("anyof", {"anyOf": [_property("state", {"const": "P"}), _property("amount", {"minimum": 150000})]}, _AT.format(path="", keyword="anyOf", where="o_orderstatus <> 'P' and o_totalprice < 150000"))
+keyword_query("oneof", {"oneOf": [_property("state", {"const": "P"}), _property("amount", {"minimum": 150000})]}, _AT.format(path="", keyword="oneOf", where="(o_orderstatus = 'P') = (o_totalprice >= 150000)"))
 keyword_query(
     "allof",
-    {"allOf": [_property("status", {"const": "P"}), _property("total", {"minimum": 150000})]},
-    _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="/total", keyword="minimum", where="o_totalprice < 150000"),
+    {"allOf": [_property("state", {"const": "P"}), _property("amount", {"minimum": 150000})]},
+    _AT.format(path="/state", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="/amount", keyword="minimum", where="o_totalprice < 150000"),
 )
-keyword_query("not", {"not": _property("status", {"const": "P"})}, _AT.format(path="", keyword="not", where="o_orderstatus = 'P'"))
+keyword_query("not", {"not": _property("state", {"const": "P"})}, _AT.format(path="", keyword="not", where="o_orderstatus = 'P'"))
 keyword_query(
     "if",
-    {"if": _property("status", {"const": "P"}), "then": _property("total", {"minimum": 150000}), "else": _property("total", {"maximum": 250000})},
-    _AT.format(path="/total", keyword="minimum", where="o_orderstatus = 'P' and o_totalprice < 150000") + " union all " + _AT.format(path="/total", keyword="maximum", where="o_orderstatus <> 'P' and o_totalprice > 250000"),
+    {"if": _property("state", {"const": "P"}), "then": _property("amount", {"minimum": 150000}), "else": _property("amount", {"maximum": 250000})},
+    _AT.format(path="/amount", keyword="minimum", where="o_orderstatus = 'P' and o_totalprice < 150000") + " union all " + _AT.format(path="/amount", keyword="maximum", where="o_orderstatus <> 'P' and o_totalprice > 250000"),
 )
-_LINES = "select l_orderkey as payload_id, '/line_items/' || (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) - 1) || '/{name}' as path, '{keyword}' as keyword, {bad} as bad from lineitem"
+_LINES = "select l_orderkey as payload_id, '/lines/' || (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) - 1) || '/{name}' as path, '{keyword}' as keyword, {bad} as bad from lineitem"
 keyword_query(
     "items_paths",
-    _property("line_items", {"items": _property("quantity", {"minimum": 5})}),
-    f"select payload_id, path, keyword from ({_LINES.format(name='quantity', keyword='minimum', bad='l_quantity < 5')}) where bad and payload_id in (select o_orderkey from orders)",
+    _property("lines", {"items": _property("units", {"minimum": 5})}),
+    f"select payload_id, path, keyword from ({_LINES.format(name='units', keyword='minimum', bad='l_quantity < 5')}) where bad and payload_id in (select o_orderkey from orders)",
 )
-keyword_query("min_items", _property("line_items", {"minItems": 4}), "select l_orderkey as payload_id, '/line_items' as path, 'minItems' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) < 4")
+keyword_query("min_items", _property("lines", {"minItems": 4}), "select l_orderkey as payload_id, '/lines' as path, 'minItems' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) < 4")
 
 
-keyword_query("exclusive_minimum", _property("total", {"exclusiveMinimum": 100000.5}), _AT.format(path="/total", keyword="exclusiveMinimum", where="o_totalprice <= 100000.5"))
+keyword_query("exclusive_minimum", _property("amount", {"exclusiveMinimum": 100000.5}), _AT.format(path="/amount", keyword="exclusiveMinimum", where="o_totalprice <= 100000.5"))
 keyword_query("multiple_of", _property("due", {"multipleOf": 3}), _AT.format(path="/due", keyword="multipleOf", where="o_orderstatus = 'P' and o_orderkey % 3 <> 0"), _due)
-keyword_query("maxlength", _property("priority", {"maxLength": 5}), _AT.format(path="/priority", keyword="maxLength", where="length(o_orderpriority) > 5"))
-keyword_query("max_items", _property("line_items", {"maxItems": 4}), "select l_orderkey as payload_id, '/line_items' as path, 'maxItems' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) > 4")
+keyword_query("maxlength", _property("urgency", {"maxLength": 5}), _AT.format(path="/urgency", keyword="maxLength", where="length(o_orderpriority) > 5"))
+keyword_query("max_items", _property("lines", {"maxItems": 4}), "select l_orderkey as payload_id, '/lines' as path, 'maxItems' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) > 4")
 
 
 def _tags():
@@ -291,8 +293,8 @@ keyword_query("unique_items", _property("tags", {"uniqueItems": True}), _AT.form
 keyword_query("contains", _property("tags", {"contains": {"const": "F"}}), _AT.format(path="/tags", keyword="contains", where="o_orderstatus <> 'F'"), _tags)
 keyword_query(
     "contains_counted",
-    _property("line_items", {"contains": _property("quantity", {"minimum": 25}), "minContains": 2, "maxContains": 3}),
-    "select l_orderkey as payload_id, '/line_items' as path, 'contains' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) filter (l_quantity::int >= 25) not between 2 and 3",
+    _property("lines", {"contains": _property("units", {"minimum": 25}), "minContains": 2, "maxContains": 3}),
+    "select l_orderkey as payload_id, '/lines' as path, 'contains' as keyword from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) filter (l_quantity::int >= 25) not between 2 and 3",
 )
 keyword_query("prefix_items", _property("tags", {"prefixItems": [{"const": "P"}, True], "items": {"const": "x"}}), _AT.format(path="/tags/0", keyword="const", where="o_orderstatus <> 'P'"), _tags)
 keyword_query("unevaluated_items", _property("pair", {"contains": {"const": "P"}, "unevaluatedItems": False}), _AT.format(path="/pair", keyword="unevaluatedItems", where="o_orderstatus <> 'P'"), _pair)
@@ -300,17 +302,17 @@ _N_MEMBERS = f"(4 + ({_LINED})::int + (o_orderstatus = 'P')::int)"
 keyword_query("min_properties", {"minProperties": 6}, _AT.format(path="", keyword="minProperties", where=f"{_N_MEMBERS} < 6"), _due)
 keyword_query("max_properties", {"maxProperties": 5}, _AT.format(path="", keyword="maxProperties", where=f"{_N_MEMBERS} > 5"), _due)
 keyword_query("pattern_properties", {"patternProperties": {"^d": {"type": "string"}}}, _AT.format(path="/due", keyword="type", where="o_orderstatus = 'P'"), _due)
-keyword_query("property_names", {"propertyNames": {"maxLength": 7}}, _AT.format(path="", keyword="maxLength", where="true") + " union all " + _AT.format(path="", keyword="maxLength", where=_LINED))
-keyword_query("dependent_required", {"dependentRequired": {"due": ["id", "paid"]}}, _AT.format(path="", keyword="dependentRequired", where="o_orderstatus = 'P'"), _due)
-keyword_query("dependent_schemas", {"dependentSchemas": {"due": _property("total", {"minimum": 150000})}}, _AT.format(path="/total", keyword="minimum", where="o_orderstatus = 'P' and o_totalprice < 150000"), _due)
-keyword_query("anchor", _property("status", {"$ref": "#p"}) | {"$defs": {"p": {"$anchor": "p", "const": "P"}}}, _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'"))
-keyword_query("dynamic_ref", _property("status", {"$dynamicRef": "#p"}) | {"$defs": {"p": {"$dynamicAnchor": "p", "const": "P"}}}, _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'"))
-keyword_query("format_is_a_remark", _property("id", {"format": "email", "minLength": 4}), _AT.format(path="/id", keyword="minLength", where="length(o_orderkey::varchar) < 4"))
+keyword_query("property_names", {"propertyNames": {"maxLength": 5}}, " union all ".join(_AT.format(path="", keyword="maxLength", where="true") for _ in range(3)))  # number, urgency and amount are longer
+keyword_query("dependent_required", {"dependentRequired": {"due": ["number", "paid"]}}, _AT.format(path="", keyword="dependentRequired", where="o_orderstatus = 'P'"), _due)
+keyword_query("dependent_schemas", {"dependentSchemas": {"due": _property("amount", {"minimum": 150000})}}, _AT.format(path="/amount", keyword="minimum", where="o_orderstatus = 'P' and o_totalprice < 150000"), _due)
+keyword_query("anchor", _property("state", {"$ref": "#p"}) | {"$defs": {"p": {"$anchor": "p", "const": "P"}}}, _AT.format(path="/state", keyword="const", where="o_orderstatus <> 'P'"))
+keyword_query("dynamic_ref", _property("state", {"$dynamicRef": "#p"}) | {"$defs": {"p": {"$dynamicAnchor": "p", "const": "P"}}}, _AT.format(path="/state", keyword="const", where="o_orderstatus <> 'P'"))
+keyword_query("format_is_a_remark", _property("number", {"format": "email", "minLength": 4}), _AT.format(path="/number", keyword="minLength", where="length(o_orderkey::varchar) < 4"))
 keyword_query("boolean", _property("due", False), _AT.format(path="/due", keyword="false", where="o_orderstatus = 'P'"), _due)
 keyword_query(
     "additional_schema",
-    {"properties": {"id": True}, "additionalProperties": {"type": "string"}},
-    " union all ".join(_AT.format(path=p, keyword="type", where=w) for p, w in (("/total", "true"), ("/line_items", _LINED), ("/due", "o_orderstatus = 'P'"))),
+    {"properties": {"number": True}, "additionalProperties": {"type": "string"}},
+    " union all ".join(_AT.format(path=p, keyword="type", where=w) for p, w in (("/amount", "true"), ("/lines", _LINED), ("/due", "o_orderstatus = 'P'"))),
     _due,
 )
 keyword_query(
@@ -322,32 +324,145 @@ keyword_query(
 )
 keyword_query(
     "recursive",
-    {"properties": {"status": {"const": "P"}, "within": {"$ref": "#"}}},
-    _AT.format(path="/status", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="/within/status", keyword="const", where="o_orderpriority <> '1-URGENT'"),
-    lambda: F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "P").otherwise("F").alias("status")).alias("within"),
+    {"properties": {"state": {"const": "P"}, "within": {"$ref": "#"}}},
+    _AT.format(path="/state", keyword="const", where="o_orderstatus <> 'P'") + " union all " + _AT.format(path="/within/state", keyword="const", where="o_orderpriority <> '1-URGENT'"),
+    lambda: F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "P").otherwise("F").alias("state")).alias("within"),
 )
 keyword_query("large_integers", _property("big", {"maximum": 2**53 + 1000}), _AT.format(path="/big", keyword="maximum", where="o_orderkey > 1000"), lambda: (F.col("o_orderkey") + 2**53).alias("big"))
 keyword_query("pattern_end", _property("code", {"pattern": "^[A-Z]$"}), _AT.format(path="/code", keyword="pattern", where="o_orderstatus = 'P'"), lambda: F.when(F.col("o_orderstatus") == "P", "P\n").otherwise("F").alias("code"))
 
 
+# Rules: resources, faults of schemas, recursion, values.
+
+_RECEIPT = {
+    "$id": f"{samples.BASE}/receipt.json",
+    "properties": {"state": {"$ref": "state.json"}, "amount": {"$ref": "limits.json#/$defs/most%20of%20all"}, "lines": {"items": {"$ref": f"{samples.BASE}/line.json#own"}}},
+    "$defs": {
+        "s": {"$id": "state.json", "const": "P"},
+        "l": {"$id": "limits.json", "$defs": {"most of all": {"maximum": 250000}}},
+        "i": {"$id": "line.json", "$defs": {"x": {"$anchor": "own", "properties": {"units": {"$ref": "#/$defs/u"}}}, "u": {"minimum": 5}}},
+    },
+}
+keyword_query(
+    "embedded_resources",
+    _RECEIPT,
+    f"{_AT.format(path='/state', keyword='const', where=_NOT_P)} union all {_AT.format(path='/amount', keyword='maximum', where='o_totalprice > 250000')} union all "
+    f"select payload_id, path, keyword from ({_LINES.format(name='units', keyword='minimum', bad='l_quantity < 5')}) where bad and payload_id in (select o_orderkey from orders)",
+)
+_ODD = ("customer's", 'said "so"', "a\\b", "a.b/c~d", "it's \"both\"")
+keyword_query(
+    "odd_names",
+    {"properties": {n: {"const": "P"} for n in _ODD}, "required": list(_ODD)},
+    " union all ".join(
+        _AT.format(path="/" + n.replace("~", "~0").replace("/", "~1").replace("'", "''"), keyword="const", where=_NOT_P + " and o_orderkey % 2 = 0") + " union all " + _AT.format(path="", keyword="required", where="o_orderkey % 2 = 1") for n in _ODD
+    ),
+    *(lambda n=n: F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias(n) for n in _ODD),
+)
+keyword_query(
+    "dynamic_scope",
+    {
+        "$id": f"{samples.BASE}/strict.json",
+        "$dynamicAnchor": "node",
+        "$ref": "nested.json",
+        "unevaluatedProperties": False,
+        "$defs": {"n": {"$id": "nested.json", "$dynamicAnchor": "node", "properties": {**{k: True for k in ("number", "state", "urgency", "amount", "lines")}, "within": {"$dynamicRef": "#node"}}}},
+    },
+    # what fails has evaluated nothing, so the outer node is closed to all of it then
+    " union all ".join(_AT.format(path=p, keyword="unevaluatedProperties", where="o_orderstatus = 'F'") for p in ("/within", "")),
+    lambda: F.struct(F.col("o_orderstatus").alias("state"), F.when(F.col("o_orderstatus") == "F", 1).alias("odd")).alias("within"),
+)
+
+
+def _nested(depth: int):
+    """Structs in each other, each with the state of the order's digit at its depth."""
+    digit = lambda i: F.substring(F.lpad(F.col("o_orderkey").cast("string"), depth, "0"), i + 1, 1)
+    value = F.struct(digit(depth - 1).alias("digit"))
+    for i in range(depth - 2, -1, -1):
+        value = F.struct(digit(i).alias("digit"), F.array(value).alias("parts"))
+    return value.alias("tree")
+
+
+keyword_query(
+    "recursive_deep",
+    {"properties": {"tree": {"$ref": "#/$defs/t"}}, "$defs": {"t": {"type": "object", "properties": {"digit": {"pattern": r"^[\p{L}0-6]$"}, "parts": {"items": {"$ref": "#/$defs/t"}}}, "unevaluatedProperties": False}}},
+    " union all ".join(_AT.format(path="/tree" + "/parts/0" * i + "/digit", keyword="pattern", where=f"substr(lpad(o_orderkey::varchar, 12, '0'), {i + 1}, 1) > '6'") for i in range(12)),
+    lambda: _nested(12),
+)
+
+
+def _levels(n: int) -> dict:
+    """allOf in allOf, each level closed to what it has not spoken of."""
+    names = ("number", "state", "urgency", "amount", "lines")
+    schema: dict = {"properties": {"number": True}}
+    for i in range(1, n + 1):
+        schema = {"allOf": [schema, {"properties": {names[i % 5]: True}}], "unevaluatedProperties": False} if i == n else {"allOf": [schema, {"properties": {names[i % 5]: True}}]}
+    return {**schema, "allOf": [*schema["allOf"], {"anyOf": [{"properties": {"state": {"const": "P"}, "due": True}, "required": ["due"]}, True]}]}
+
+
+keyword_query("unevaluated_nested", _levels(10), _AT.format(path="", keyword="unevaluatedProperties", where="o_orderkey % 3 = 0"), lambda: F.when((F.col("o_orderstatus") == "P") | (F.col("o_orderkey") % 3 == 0), 1).alias("due"), lambda: F.when(F.col("o_orderkey") % 3 == 0, 1).alias("more"))
+
+
+@query(f"""{_AT.format(path='/both', keyword='uniqueItems', where='o_orderkey % 3 <> 0')} union all {_AT.format(path='/state', keyword='const', where=_NOT_P)}""")
+def validate_written_values(spark, sf_dir):
+    """Numbers are equal by value, however deep and however written; of repeated keys the last one counts."""
+    key = (F.col("o_orderkey") + 1).cast("string")
+    power = F.when(F.col("o_orderkey") % 3 == 0, "2").otherwise("1")
+    text = F.concat(F.lit('{"state": "none", "both": [[{"n": '), key, F.lit('0}], [{"n": '), key, F.lit("e"), power, F.lit('}]], "state": "'), F.col("o_orderstatus"), F.lit('"}'))
+    payloads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"), text.alias("payload"))
+    return error_rows(validate(payloads, {"properties": {"both": {"uniqueItems": True}, "state": {"const": "P"}}}, READ), "payload_id").select("payload_id", "path", "keyword")
+
+
+@query("select case when o_orderkey % 7 = 0 then 2 when o_totalprice > 200000 then 1 else 0 end as exit_code, count(*)::bigint as n_payloads from orders group by 1")
+def validate_beyond_all_numbers(spark, sf_dir):
+    """A number that no double holds makes a document invalid, whether the schema contains itself or not."""
+    text = F.concat(F.lit('{"amount": '), F.when(F.col("o_orderkey") % 7 == 0, "1e400").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), F.lit(', "note": "1e400"}'))
+    payloads = table(spark, sf_dir, "orders").select(text.alias("payload"))
+    return exit_codes(validate(payloads, {"properties": {"amount": {"maximum": 200000}, "within": {"$ref": "#"}}}, READ))
+
+
+def _rooted(spark, sf_dir, name: Column) -> DataFrame:
+    """Orders that name the schema of their own root capability."""
+    about = F.concat(F.lit(f'{{"{samples.ENVELOPE}": {{"capabilities": {{"{samples.TICKET}": [{{"version": "2026-02-01", "schema": "{samples.BASE}/'), name, F.lit('.json"}]}}, '))
+    return samples.orders(spark, sf_dir).select("payload_id", F.concat(about, F.expr("substr(payload, 2)")).alias("payload"))
+
+
+@query("select k, case when k in (0, 1, 2) then 2 else (o_totalprice > 200000)::int end as exit_code, count(*)::bigint as n from (select *, o_orderkey % 5 as k from orders) group by all")
+def validate_bad_schema_isolated(spark, sf_dir):
+    """Schemas that are none are the fault of the payloads that ask for them, and of no others."""
+    files = ({"properties": {"amount": {"type": 5}}}, {"properties": {"number": {"pattern": "["}}}, {"properties": {"state": {"enum": "P"}}}, {"properties": {"amount": {"maximum": 200000}}}, {"allOf": [{"properties": {"amount": {"maximum": 200000}}}]})
+    docs = Documents(fetch=lambda url: json.dumps(files[int(url.rpartition("/")[2].removesuffix(".json"))]))
+    k = F.col("payload_id") % 5
+    checked = validate_by_capabilities(_rooted(spark, sf_dir, k.cast("string")), docs, "read")
+    return checked.groupBy(k.alias("k"), "exit_code").agg(F.count("*").alias("n"))
+
+
+@query("select (o_totalprice > 100000 + o_orderkey % 5000 * 50)::int as exit_code, count(*)::bigint as n, count(distinct o_orderkey % 5000)::bigint as n_sets from orders group by 1")
+def validate_many_signatures(spark, sf_dir):
+    """Orders under 5,000 sets of capabilities, each with a limit of its own; rules are rows, so the plan is that of one set."""
+    docs = Documents(fetch=lambda url: json.dumps({"type": "object", "properties": {"amount": {"type": "number", "maximum": 100000 + 50 * int(url.rpartition("/")[2].removesuffix(".json"))}}}))
+    k = F.col("payload_id") % 5000
+    checked = validate_by_capabilities(_rooted(spark, sf_dir, k.cast("string")), docs, "read")
+    return checked.groupBy("exit_code").agg(F.count("*").alias("n"), F.count_distinct(k).alias("n_sets"))
+
+
 # Resolution.
 
 
 @query(_AT.format(path="", keyword="additionalProperties", where="o_orderkey % 3 <> 0"))
 def resolve_omit_rejected(spark, sf_dir):
     """A create request must not send what is omitted from it: two of three orders send their id and status."""
-    short = F.regexp_replace("payload", r'^\{"id":"[0-9]+","status":"[A-Z]",', "{")
+    short = F.regexp_replace("payload", r'^\{"number":"[0-9]+","state":"[A-Z]",', "{")
     sent = samples.orders(spark, sf_dir).withColumn("payload", F.when(F.col("payload_id") % 3 == 0, short).otherwise(F.col("payload")))
     checked = validate(sent, samples.ORDER, CREATE)
     return error_rows(checked, "payload_id").where("keyword = 'additionalProperties' and path = ''").select("payload_id", "path", "keyword")
 
 
 @query(_AT.format(path="", keyword="additionalProperties", where="o_orderstatus = 'P'") + """
-union all select l_orderkey, '/line_items/' || (row_number() over (partition by l_orderkey) - 1), 'additionalProperties' from lineitem where l_orderkey in (select o_orderkey from orders)""")
+union all select l_orderkey, '/lines/' || (row_number() over (partition by l_orderkey) - 1), 'additionalProperties' from lineitem where l_orderkey in (select o_orderkey from orders)""")
 def resolve_strict(spark, sf_dir):
     """Strictly, objects that say nothing of further members allow none: neither orders nor their lines, which have a price."""
-    line = {"type": "object", "properties": {"sku": True, "quantity": True}}
-    schema = {"type": "object", "properties": {**{k: True for k in ("id", "status", "priority", "total")}, "line_items": {"type": "array", "items": line}}}
+    line = {"type": "object", "properties": {"part": True, "units": True}}
+    schema = {"type": "object", "properties": {**{k: True for k in ("number", "state", "urgency", "amount")}, "lines": {"type": "array", "items": line}}}
     checked = validate(samples.orders(spark, sf_dir, _due()), schema, ResolveOptions("response", "read", strict=True))
     return error_rows(checked, "payload_id").select("payload_id", "path", "keyword")
 
@@ -418,7 +533,7 @@ def transition_deprecated_usage(spark, sf_dir):
     return sent.where("priority is not null").groupBy("priority").agg(F.count("*").alias("n"))
 
 
-@query("""select o_orderkey as payload_id, 'request' as direction, '/total' as path, 'maximum' as keyword from orders where o_totalprice > 150000
+@query("""select o_orderkey as payload_id, 'request' as direction, '/amount' as path, 'maximum' as keyword from orders where o_totalprice > 150000
 union all select o_orderkey, 'response', '', 'required' from orders where o_orderstatus <> 'P'""")
 def container_select(spark, sf_dir):
     """Orders against the shape that a container has for the operation in each direction."""
@@ -426,19 +541,19 @@ def container_select(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-@query("""select o_orderkey as payload_id, '/total' as path, 'maximum' as keyword from orders where o_totalprice > 250000
-union all select o_orderkey, '/total', 'minimum' from orders where o_totalprice < 50000 union all select o_orderkey, '', 'required' from orders where o_orderstatus <> 'P'""")
+@query("""select o_orderkey as payload_id, '/amount' as path, 'maximum' as keyword from orders where o_totalprice > 250000
+union all select o_orderkey, '/amount', 'minimum' from orders where o_totalprice < 50000 union all select o_orderkey, '', 'required' from orders where o_orderstatus <> 'P'""")
 def container_merge(spark, sf_dir):
     """What two extensions say of one shape of a container stands in its place, together."""
     schema = compose(parse_capabilities(samples.capabilities("2026-02-01", *samples.SHAPES[1:], root=samples.SHAPES[0])), samples.documents())
     return error_rows(validate(samples.orders(spark, sf_dir, _due()), schema, ResolveOptions("request", "price")), "payload_id").select("payload_id", "path", "keyword")
 
 
-@query("""select * from (select l_orderkey as payload_id, '/line_items/' || (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) - 1) || '/quantity' as path, 'minimum' as keyword, l_quantity < 5 as bad
+@query("""select * from (select l_orderkey as payload_id, '/lines/' || (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) - 1) || '/units' as path, 'minimum' as keyword, l_quantity < 5 as bad
   from lineitem where l_orderkey in (select o_orderkey from orders)) where bad""".replace("select * from", "select payload_id, path, keyword from", 1))
 def bundle_references(spark, sf_dir):
     """References to another document, and within it, are inlined before orders are held against the schema."""
-    schema = {"properties": {"line_items": {"items": {"$ref": "order.json#/$defs/line", "title": "a line"}}}}
+    schema = {"properties": {"lines": {"items": {"$ref": "order.json#/$defs/line", "title": "a line"}}}}
     plain = samples.documents().bundle_remote(schema, f"{samples.BASE}/here.json")
     return error_rows(validate(samples.orders(spark, sf_dir), plain, READ), "payload_id").select("payload_id", "path", "keyword")
 
@@ -473,12 +588,12 @@ def lint_summary(spark, sf_dir):
 # Reports.
 
 _SUMMARY = """
-  select 'enum' as keyword, '/status' as place from orders where o_orderstatus not in ('P', 'F')
-  union all select 'minLength', '/id' from orders where length(o_orderkey::varchar) < 4
-  union all select 'pattern', '/id' from orders where not regexp_matches(o_orderkey::varchar, '[02468]$')
-  union all select 'maximum', '/total' from orders where o_totalprice > 200000
+  select 'enum' as keyword, '/state' as place from orders where o_orderstatus not in ('P', 'F')
+  union all select 'minLength', '/number' from orders where length(o_orderkey::varchar) < 4
+  union all select 'pattern', '/number' from orders where not regexp_matches(o_orderkey::varchar, '[02468]$')
+  union all select 'maximum', '/amount' from orders where o_totalprice > 200000
   union all select 'required', '' from orders where o_orderkey not in (select l_orderkey from lineitem)
-  union all select 'minimum', '/line_items/*/quantity' from lineitem where l_quantity < 5 and l_orderkey in (select o_orderkey from orders)"""
+  union all select 'minimum', '/lines/*/units' from lineitem where l_quantity < 5 and l_orderkey in (select o_orderkey from orders)"""
 
 
 @query(f"select keyword, place, count(*)::bigint as n_errors from ({_SUMMARY}) group by 1, 2")
@@ -498,9 +613,9 @@ def verdict_exit_code(spark, sf_dir):
     return exit_codes(validate(spoilt, samples.ORDER, READ))
 
 
-@query("""select o_orderkey as payload_id, case when o_orderstatus = 'P' then '{"valid":true}' else '{"valid":false,"errors":[{"path":"/status","message":"must be \\"P\\""}]}' end as verdict from orders""")
+@query("""select o_orderkey as payload_id, case when o_orderstatus = 'P' then '{"valid":true}' else '{"valid":false,"errors":[{"path":"/state","message":"must be \\"P\\""}]}' end as verdict from orders""")
 def verdict_as_json(spark, sf_dir):
-    plain = _property("status", {"const": "P"})
+    plain = _property("state", {"const": "P"})
     return verdict_json(with_verdict(samples.orders(spark, sf_dir), F.try_parse_json("payload"), plain), "payload_id")
 
 

@@ -31,7 +31,7 @@ def http_fetch(url: str) -> str:
 
 def parse_json(text: str) -> Any:
     try:
-        return json.loads(text, parse_constant=_no_constant)
+        return json.loads(text, parse_constant=_no_constant, parse_float=_finite)
     except (ValueError, RecursionError) as e:
         raise ResolveError("InvalidJson", f"invalid JSON: {e}") from e
 
@@ -40,6 +40,13 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+def _finite(text: str) -> float:
+    number = float(text)
+    if number in (float("inf"), float("-inf")):
+        raise ValueError(f"{text} is beyond all numbers")
+    return number
+
+
 class Documents:
     """Loads documents and keeps them, so that each is read once however many schemas refer to it."""
 

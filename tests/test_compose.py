@@ -58,7 +58,7 @@ def test_diamonds_are_sound():
 def test_composition_of_samples():
     docs = samples.documents()
     root = compose(parse_capabilities(samples.capabilities("2026-02-01")), docs)
-    assert root["properties"]["line_items"]["items"]["required"] == ["sku", "quantity"]
+    assert root["properties"]["lines"]["items"]["required"] == ["units", "part"]
     both = compose(parse_capabilities(samples.capabilities("2026-02-01", samples.DISCOUNT, samples.POINTS)), docs)
     assert list(both) == ["allOf"] and len(both["allOf"]) == 2 and both["allOf"][1]["properties"]["points"]["required"] == ["earned"]
     with pytest.raises(ComposeError) as e:

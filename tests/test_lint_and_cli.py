@@ -37,9 +37,9 @@ def test_lint_of_odd_documents(spark):
 def folder(tmp_path):
     put = lambda name, value: (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
     put("schema.json", samples.ORDER)
-    put("create.json", {"line_items": [{"sku": "s", "quantity": 6}]})
+    put("create.json", {"lines": [{"part": "s", "units": 6}]})
     put("bad.json", {"id": "x"})
-    put("payload.json", {"about": {"capabilities": {"com.example.order": [{"version": "2026-01-01", "schema": "https://example.com/schema.json"}]}}, "id": "1234", "status": "P", "line_items": [{"sku": "s", "quantity": 6}]})
+    put("payload.json", {"about": {"capabilities": {"com.example.order": [{"version": "2026-01-01", "schema": "https://example.com/schema.json"}]}}, "number": "1234", "state": "P", "lines": [{"part": "s", "units": 6}]})
     put("broken.json", "{")
     put("external.json", {"$id": "e", "properties": {"l": {"$ref": "schema.json#/$defs/line"}}})
     return tmp_path
@@ -52,9 +52,9 @@ def run(capsys, *args):
 
 def test_cli_resolve(folder, capsys):
     code, out, _ = run(capsys, "resolve", folder / "schema.json", "--request", "--op", "create")
-    assert code == 0 and list(json.loads(out)["properties"]) == ["line_items", "priority", "total"]
+    assert code == 0 and list(json.loads(out)["properties"]) == ["urgency", "amount", "lines"]
     code, out, _ = run(capsys, "resolve", folder / "external.json", "--response", "--op", "read", "--bundle", "--output", folder / "out.json", "--pretty")
-    assert code == 0 and out == "" and json.loads((folder / "out.json").read_text())["properties"]["l"]["required"] == ["sku", "quantity"]
+    assert code == 0 and out == "" and json.loads((folder / "out.json").read_text())["properties"]["l"]["required"] == ["units", "part"]
     assert "cannot infer direction" in run(capsys, "resolve", folder / "schema.json", "--op", "read")[2]
     code, _, err = run(capsys, "resolve", folder / "payload.json", "--op", "read", "--bundle", "--schema-local-base", folder)
     assert code == 2 and "--bundle does not apply to payload input" in err

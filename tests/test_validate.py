@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from payloom import samples
 from payloom.model import Invalid, ResolveError, ResolveOptions, Vocabulary
 from payloom.operators.validate import error_rows, exit_codes, validate, validate_by_capabilities, validate_payload, validate_self_described, verdict_json, violation_summary, with_verdict
-from payloom.plans.compiler import Compiled, is_recursive
+from payloom.plans.compiler import Compiled
 from payloom.plans.interpreter import violations
+from payloom.plans.registry import rules
 from payloom.plans.resolve import resolve
 from payloom.sources.documents import Documents
 from payloom.streaming.validate import rolling_violations, split_stream, validate_stream
@@ -38,7 +39,7 @@ SCHEMA = {
         "w": {"allOf": [{"prefixItems": [{"type": "string"}]}, {"contains": {"const": True}}], "unevaluatedItems": False},
         "y": {"$ref": "#count", "anyOf": [{"prefixItems": [True, True]}], "unevaluatedItems": {"type": "null"}},
     },
-    "$defs": {"count": {"$anchor": "count", "type": "array", "maxItems": 3}, "item": {"type": "object", "required": ["sku", "quantity"], "properties": {"sku": {"type": ["string", "null"]}, "quantity": {"type": "integer", "minimum": 1}}}},
+    "$defs": {"count": {"$anchor": "count", "type": "array", "maxItems": 3}, "item": {"type": "object", "required": ["part", "units"], "properties": {"part": {"type": ["string", "null"]}, "units": {"type": "integer", "minimum": 1}}}},
 }
 
 
@@ -57,13 +58,13 @@ def random_value(rng, depth=0):
         return rng.choice(simple)
     if kind < 0.65:
         return [random_value(rng, depth + 1) for _ in range(rng.randint(0, 4))]
-    names = ["sku", "quantity", "a", "b", "k", "z", "q", "r", "x1", "x/~", "long"]
+    names = ["part", "units", "a", "b", "k", "z", "q", "r", "x1", "x/~", "long"]
     return {k: random_value(rng, depth + 1) for k in rng.sample(names, rng.randint(0, 4))}
 
 
 def test_compiled_schema_agrees_with_interpreter(spark):
     rng = random.Random(5)
-    values = [3, None, "x", [], {"id": "ab", "items": [{"sku": "s", "quantity": 1}]}, {"id": "ab", "items": [{"sku": None, "quantity": 1.0}], "e": {"a": "x", "b": [1, 2.0]}, "s": {"a": [2], "b": 1}, "u": {"a": "x", "b": True}}]
+    values = [3, None, "x", [], {"id": "ab", "items": [{"part": "s", "units": 1}]}, {"id": "ab", "items": [{"part": None, "units": 1.0}], "e": {"a": "x", "b": [1, 2.0]}, "s": {"a": [2], "b": 1}, "u": {"a": "x", "b": True}}]
     for _ in range(300):
         keys = rng.sample(list(SCHEMA["properties"]) + ["other", "more"], rng.randint(0, 8))
         values.append({k: random_value(rng, 0 if rng.random() < 0.9 else 3) for k in keys})
@@ -92,9 +93,9 @@ def test_random_schemas_agree(spark, schema, values):
     same_errors(spark, schema, values)
 
 
-def test_recursive_schemas_take_the_interpreter(spark):
+def test_recursive_schemas_take_the_machine(spark):
     tree = {"type": "object", "properties": {"v": {"type": "integer"}, "next": {"$ref": "#"}, "down": {"$ref": "#/$defs/d"}}, "$defs": {"d": {"items": {"$ref": "#/$defs/d"}, "type": "array"}}}
-    assert Compiled(tree).recursive and not Compiled(SCHEMA).recursive
+    assert Compiled(tree).large and not Compiled(SCHEMA).large
     same_errors(spark, tree, [{"v": 1, "next": {"v": "x", "next": {"v": True}}}, {"down": [[], [[3]]]}, {}])
 
 
@@ -135,7 +136,8 @@ def test_older_drafts(spark):
 
 def test_shared_references_are_walked_once():
     chain = {"$defs": {f"d{i}": {"properties": {"a": {"$ref": f"#/$defs/d{i + 1}"}, "b": {"$ref": f"#/$defs/d{i + 1}"}}} for i in range(60)} | {"d60": {"type": "string"}}, "$ref": "#/$defs/d0"}
-    assert not is_recursive(chain)
+    found = rules(chain)
+    assert not found.loops and found.large and len(found.nodes) < 100
 
 
 def test_errors_are_worked_out_once(spark):
@@ -179,8 +181,8 @@ def test_validation_plans_have_no_shuffle(spark):
 
 
 def test_self_described_payloads(spark):
-    good = {"about": {"capabilities": samples.capabilities("2026-02-01", samples.DISCOUNT)}, "id": "1234", "status": "P", "line_items": [{"sku": "s", "quantity": 6}], "discount": 0.1}
-    request = {"meta": {"profile": samples.PROFILE}, "order": {"id": "1234", "line_items": [{"sku": "s", "quantity": 6}]}}
+    good = {"about": {"capabilities": samples.capabilities("2026-02-01", samples.DISCOUNT)}, "number": "1234", "state": "P", "lines": [{"part": "s", "units": 6}], "discount": 0.1}
+    request = {"meta": {"profile": samples.PROFILE}, "order": {"number": "1234"}}
     broken = {"about": {"capabilities": {"com.other.x": [{"version": "2026-01-01", "schema": f"{samples.BASE}/order.json"}]}}}
     cases = [good, {**good, "discount": 0}, request, {"meta": {"profile": samples.PROFILE}}, {"a": 1}, broken, {"meta": {"profile": "https://nowhere.example.com/p"}}]
     def fetch(url):
@@ -196,13 +198,11 @@ def test_self_described_payloads(spark):
     validate_self_described(good, docs, "complete")
     with pytest.raises(Invalid):
         validate_self_described({**good, "discount": 0}, docs, "complete")
-    with pytest.raises(ValueError, match="distinct sets"):
-        validate_by_capabilities(rows, docs, "complete", max_signatures=2)
 
 
 def test_single_payloads():
     with pytest.raises(Invalid) as e:
-        validate_payload({"id": 3}, samples.ORDER, ResolveOptions("response", "read"))
+        validate_payload({"number": 3}, samples.ORDER, ResolveOptions("response", "read"))
     assert e.value.exit_code == 1 and {v.keyword for v in e.value.violations} == {"required", "type"}
 
 

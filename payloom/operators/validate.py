@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import json_type, member, members, parsed, text, with_variant
 from ..functions.names import short_name
-from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, Invalid, PayloomError, ResolveOptions, Vocabulary
+from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, Capability, Invalid, PayloomError, ResolveOptions, Vocabulary
 from ..plans import machine
 from ..plans.compiler import Compiled, error
 from ..plans.compose import compose, detect_direction, envelope_body, parse_capabilities, payload_capabilities, profile_capabilities
@@ -23,6 +24,7 @@ from ..plans.interpreter import violations
 from ..plans.registry import rules
 from ..plans.resolve import resolve, select_shape
 from ..sources.documents import Documents
+from .bundle import bundle_corpus, compose_from_tables
 from .capabilities import need_shared_folder
 
 #: Bytes of composed rules up to which they are broadcast.
@@ -96,39 +98,71 @@ def signature_of(v: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
 PLAN = "direction string, __payloom_s string, key string, rules string, steps int, annotated boolean, kind string, message string, code int"
 
 
-def capability_plans(signatures: DataFrame, documents: Documents, operation: str, strict: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Tables:
+    """Schemas and profiles as tables (uri, content), in place of documents that are fetched; references in schemas are inlined first."""
+
+    schemas: DataFrame
+    profiles: DataFrame
+    vocabulary: Vocabulary = DEFAULT
+
+
+def capability_plans(signatures: DataFrame, documents: Documents | Tables, operation: str, strict: bool = False) -> DataFrame:
     """One row for each of signatures (direction, __payloom_s): the rules that it composes, or its fault.
 
     Tasks compose them, each with its own copy of documents, so that each document is read once in a task at most.
     """
 
-    schema = to_arrow_schema(T.StructType.fromDDL(PLAN))
+    schema, n = to_arrow_schema(T.StructType.fromDDL(PLAN)), signatures.sparkSession.sparkContext.defaultParallelism
+    if isinstance(documents, Tables):
+        return _plans_from(signatures, documents, operation, strict, schema)
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_plan(*pair, documents, operation, strict) for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_pylist(found, schema)
 
-    n = signatures.sparkSession.sparkContext.defaultParallelism
     return signatures.repartition(n, "direction", "__payloom_s").mapInArrow(composed, PLAN)
 
 
+def _plans_from(signatures: DataFrame, tables: Tables, operation: str, strict: bool, schema: pa.Schema) -> DataFrame:
+    response, s, words = F.col("direction") == "response", F.col("__payloom_s"), tables.vocabulary
+    sets = signatures.select(F.to_json(F.struct("direction", "__payloom_s")).alias("key"), F.when(response, s).alias("capabilities"), F.when(~response, s).alias("profile"))
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, capabilities, content, kind, message, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = json.loads(key)
+                try:
+                    if kind is not None:
+                        row |= {"kind": kind, "message": message, "code": code}
+                    else:
+                        row |= _ruled(row["direction"], parse_capabilities(json.loads(capabilities)), json.loads(content), operation, strict, words)
+                except PayloomError as e:
+                    row |= {"kind": e.kind, "message": e.message, "code": e.exit_code}
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return compose_from_tables(sets, bundle_corpus(tables.schemas), tables.profiles, words).mapInArrow(planned, PLAN)
+
+
+def _ruled(direction: str, capabilities: list[Capability], composed: Any, operation: str, strict: bool, words: Vocabulary) -> dict:
+    key = None if direction == "response" else short_name(next((c.name for c in capabilities if c.extends is None), ""))
+    found = rules(plan(composed, ResolveOptions(direction, operation, strict, vocabulary=words)))
+    return {"key": key, "rules": json.dumps(machine.rows(found)), "steps": found.steps, "annotated": found.annotated}
+
+
 def _plan(direction: str, signature: str, documents: Documents, operation: str, strict: bool) -> dict:
     row: dict[str, Any] = {"direction": direction, "__payloom_s": signature}
     try:
-        options = ResolveOptions(direction, operation, strict, vocabulary=documents.vocabulary)
-        if direction == "response":
-            capabilities = parse_capabilities(json.loads(signature))
-        else:
-            capabilities = profile_capabilities(signature, documents)
-            row["key"] = short_name(next((c.name for c in capabilities if c.extends is None), ""))
-        found = rules(plan(compose(capabilities, documents), options))
-        return row | {"rules": json.dumps(machine.rows(found)), "steps": found.steps, "annotated": found.annotated}
+        capabilities = parse_capabilities(json.loads(signature)) if direction == "response" else profile_capabilities(signature, documents)
+        return row | _ruled(direction, capabilities, compose(capabilities, documents), operation, strict, documents.vocabulary)
     except PayloomError as e:
         return row | {"kind": e.kind, "message": e.message, "code": e.exit_code}
 
 
-def validate_by_capabilities(payloads: DataFrame, documents: Documents, operation: str, strict: bool = False, column: str = "payload") -> DataFrame:
+def validate_by_capabilities(payloads: DataFrame, documents: Documents | Tables, operation: str, strict: bool = False, column: str = "payload") -> DataFrame:
     """payloads with direction, valid, errors, exit_code, each against what its own capabilities compose.
 
     Schemas are composed once for each distinct signature, and go to the payloads as rows of rules, so that the plan is the

@@ -11,10 +11,11 @@ from . import samples
 from .functions.columns import at_pointer, elements, json_type, member, members
 from .functions.names import binding_status_col, is_url_col, is_version_col, join_url_col, map_prefix_col, reverse_labels_col, url_path_col
 from .model import ResolveOptions
+from .operators import bundle
 from .operators import capabilities as graph
 from .operators import corpus as corpus_of
 from .operators import lint
-from .operators.validate import direction_of, error_rows, exit_codes, validate, validate_by_capabilities, verdict_json, violation_summary, with_verdict
+from .operators.validate import Tables, direction_of, error_rows, exit_codes, validate, validate_by_capabilities, verdict_json, violation_summary, with_verdict
 from .plans.compose import compose, parse_capabilities
 from .plans.resolve import resolve
 from .sources.documents import Documents
@@ -558,6 +559,60 @@ def bundle_references(spark, sf_dir):
     return error_rows(validate(samples.orders(spark, sf_dir), plain, READ), "payload_id").select("payload_id", "path", "keyword")
 
 
+def _linked(spark, sf_dir) -> DataFrame:
+    """A document for each part: chains over three documents, pairs that lead back to themselves, and references to nothing."""
+    key, next_ = F.col("p_partkey"), lambda n: (F.col("p_partkey") + n).cast("string")
+    ref = lambda n, fragment, more="": F.concat(F.lit('{"properties": {"f": {"$ref": "'), next_(n), F.lit(f'.json{fragment}"{more}}}}}}}'))
+    text = (
+        F.when(key % 7 == 0, ref(1, "#/properties/f", ', "title": "first"'))
+        .when(key % 7 == 1, ref(1, "#/$defs/a~1b"))
+        .when(key % 7 == 2, F.lit('{"$defs": {"a/b": {"$ref": "#/$defs/c", "description": "own"}, "c": {"type": "string", "title": "last", "description": "c", "x": {"$ref": "#"}}}}'))
+        .when(key % 7 == 3, ref(1, ""))
+        .when(key % 7 == 4, ref(-1, ""))
+        .when(key % 7 == 5, F.lit('{"properties": {"f": {"$ref": "nothing.json"}}}'))
+        .otherwise(F.lit('{"properties": {"f": {"$ref": "#/$defs/gone"}}}'))
+    )
+    return table(spark, sf_dir, "part").select(F.concat(key.cast("string"), F.lit(".json")).alias("uri"), text.alias("content"))
+
+
+@query("""with k as (select p_partkey as key, p_partkey % 7 as k, (select max(p_partkey) from part) as m, (select min(p_partkey) from part) as least from part)
+select key::varchar || '.json' as uri, k in (0, 1) and key + 2 - k <= m as found, case when k = 0 and key + 2 <= m then 'first' when k = 1 and key < m then 'last' end as title,
+  case when k in (0, 1) and key + 2 - k <= m then 'own' end as description, case when k in (0, 1) and key + 2 - k <= m then '#' end as own_root,
+  case when k = 2 then null when k in (0, 1) and key + 2 - k <= m then null when k in (3, 4) and key + 4 - k <= m and key + 3 - k >= least then 'circular' else 'missing' end as fault from k""")
+def bundle_corpus(spark, sf_dir):
+    """References over chains of documents, inlined by joins; what is circular or missing is a fault of its document."""
+    v = F.try_parse_json("content")
+    f = F.try_variant_get(v, "$.properties.f", "variant")
+    part = lambda path: F.try_variant_get(f, path, "string")
+    fault = F.when(F.col("fault").contains("circular"), "circular").when(F.col("fault").isNotNull(), "missing")
+    return bundle.bundle_corpus(_linked(spark, sf_dir)).select("uri", F.coalesce(part("$.type") == "string", F.lit(False)).alias("found"), part("$.title").alias("title"), part("$.description").alias("description"), part("$.x['$ref']").alias("own_root"), fault.alias("fault"))
+
+
+@query("""select k, case k when 5 then 3 when 4 then 3 when 3 then (o_orderstatus <> 'P' or o_totalprice > 150000)::int when 2 then 2 when 1 then (o_orderstatus = 'O' or o_totalprice > 200000)::int else (o_totalprice > 200000)::int end as exit_code, count(*)::bigint as n
+from (select *, o_orderkey % 6 as k from orders) group by all""")
+def compose_from_tables(spark, sf_dir):
+    """Orders against schemas composed from a table of schemas, whose references are inlined by joins, and a table of profiles."""
+    root, more = samples.TICKET, samples.REBATE
+    limit = {"type": "object", "properties": {"amount": {"$ref": "limits.json#/$defs/most"}}}
+    schemas = {
+        "ticket": limit,
+        "limits": {"$defs": {"most": {"maximum": 200000}, "least": {"maximum": 150000}}},
+        "rebate": {"$defs": {root: {"properties": {"state": {"enum": ["P", "F"]}, "amount": {"$ref": "limits.json#/$defs/most"}}}}},
+        "loop": {"$ref": "loop.json"},
+        "asked": {"properties": {"state": {"const": "P"}, "amount": {"$ref": "limits.json#/$defs/least"}}},
+    }
+    profile = {samples.ENVELOPE: {"capabilities": {"com.example.schemas.order": [{"version": "2026-02-01", "schema": f"{samples.BASE}/asked.json"}]}}}
+    of = lambda name: {"version": "2026-02-01", "schema": f"{samples.BASE}/{name}.json"}
+    sets = [{root: [of("ticket")]}, {root: [of("ticket")], more: [of("rebate") | {"extends": root}]}, {root: [of("ticket")], more: [of("rebate") | {"extends": "com.example.none"}]}, None, {root: [of("loop")]}, {root: [of("gone")]}]
+    texts = [f'{{"{samples.ENVELOPE}": {{"capabilities": {json.dumps(x)}}}, ' if x else '{"meta": {"profile": "' + samples.PROFILE + '"}, "order": {' for x in sets]
+    key = F.col("payload_id")
+    payloads = samples.orders(spark, sf_dir).select("payload_id", F.concat(samples.by_number(key, texts), F.expr("substr(payload, 2)"), F.when(key % 6 == 3, "}").otherwise("")).alias("payload"))
+    here = lambda name: F.concat(F.lit(f"{samples.BASE}/"), name, F.lit(".json"))
+    corpus = spark.createDataFrame([(n, json.dumps(v)) for n, v in schemas.items()], "name string, content string").select(here(F.col("name")).alias("uri"), "content")
+    tables = Tables(corpus, spark.createDataFrame([(samples.PROFILE, json.dumps(profile))], "uri string, content string"))
+    return validate_by_capabilities(payloads, tables, "read").groupBy((key % 6).alias("k"), "exit_code").agg(F.count("*").alias("n"))
+
+
 # Lint.
 
 _LINT = "lint as (select p_partkey::varchar || '.json' as file, unnest(codes) as code from part join (values " + ", ".join(f"({i}, {list(codes)}::varchar[])" for i, (_, codes) in enumerate(samples.KINDS)) + f") k(k, codes) on p_partkey % {len(samples.KINDS)} = k)"

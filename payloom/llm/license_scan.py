@@ -24,6 +24,7 @@ from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,22 @@ FORMS = (
     (r"(?:{n})", 50),
 )
 
+#: Identifiers of SPDX, fixed values: label and words. A tag may join several by and, or and with.
+IDENTIFIERS = (
+    ("mit", "mit"), ("mit-0", "mit 0"), ("isc", "isc"), ("0bsd", "0bsd"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("bsd-4-clause", "bsd 4 clause"),
+    ("apache-1.1", "apache 1 1"), ("apache-2.0", "apache 2 0"), ("gpl-1.0", "gpl 1 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("lgpl-2.0", "lgpl 2 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3.0", "lgpl 3 0"),
+    ("agpl-1.0", "agpl 1 0"), ("agpl-3.0", "agpl 3 0"), ("gfdl-1.1", "gfdl 1 1"), ("gfdl-1.2", "gfdl 1 2"), ("gfdl-1.3", "gfdl 1 3"), ("mpl-1.0", "mpl 1 0"), ("mpl-1.1", "mpl 1 1"), ("mpl-2.0", "mpl 2 0"),
+    ("epl-1.0", "epl 1 0"), ("epl-2.0", "epl 2 0"), ("cddl-1.0", "cddl 1 0"), ("cddl-1.1", "cddl 1 1"), ("cpl-1.0", "cpl 1 0"), ("ipl-1.0", "ipl 1 0"), ("eupl-1.1", "eupl 1 1"), ("eupl-1.2", "eupl 1 2"), ("cecill-2.1", "cecill 2 1"),
+    ("artistic-1.0", "artistic 1 0"), ("artistic-2.0", "artistic 2 0"), ("afl-3.0", "afl 3 0"), ("osl-3.0", "osl 3 0"), ("ofl-1.1", "ofl 1 1"), ("odbl-1.0", "odbl 1 0"), ("odc-by-1.0", "odc by 1 0"), ("pddl-1.0", "pddl 1 0"),
+    ("cc0-1.0", "cc0 1 0"), ("cc-by-3.0", "cc by 3 0"), ("cc-by-4.0", "cc by 4 0"), ("cc-by-sa-3.0", "cc by sa 3 0"), ("cc-by-sa-4.0", "cc by sa 4 0"), ("cc-by-nc-4.0", "cc by nc 4 0"), ("cc-by-nd-4.0", "cc by nd 4 0"), ("cc-by-nc-sa-4.0", "cc by nc sa 4 0"), ("cc-by-nc-nd-4.0", "cc by nc nd 4 0"),
+    ("zlib", "zlib"), ("bsl-1.0", "bsl 1 0"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("psf-2.0", "psf 2 0"), ("php-3.01", "php 3 01"), ("ruby", "ruby"), ("openssl", "openssl"), ("postgresql", "postgresql"),
+    ("zpl-2.1", "zpl 2 1"), ("qpl-1.0", "qpl 1 0"), ("w3c", "w3c"), ("ncsa", "ncsa"), ("upl-1.0", "upl 1 0"), ("vim", "vim"), ("x11", "x11"), ("lppl-1.3c", "lppl 1 3c"), ("sspl-1.0", "sspl 1 0"), ("busl-1.1", "busl 1 1"), ("elastic-2.0", "elastic 2 0"),
+)
+#: Names that are too short to stand alone, but not after these words.
+BARE = (("mit", "mit"), ("isc", "isc"), ("bsd", "bsd"), ("zlib", "zlib"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("mpl", "mpl"))
+#: Words before a notice that turn it into its opposite.
+DENIED = r"(?:not|never|neither|isn t|aren t|nor)(?: [a-z]+){0,2} (?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|governed)(?: under| by| as)(?: the)?(?: terms of)?(?: the| any)? "
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -112,8 +129,18 @@ def rules() -> tuple[Rule, ...]:
     """Every family in every form, without and with each version, then the texts; in order of priority."""
     made = []
 
-    def add(label: str, expression: str, keywords: str, priority: int) -> None:
-        made.append(Rule(label, re.compile(f"(?<= )(?:{expression})(?= )"), tuple(keywords.split("|")), priority))
+    def add(label: str, expression: str, keywords: str, priority: int, engine=re) -> None:
+        made.append(Rule(label, engine.compile(f"(?<= )(?:{expression})(?= )"), tuple(keywords.split("|")), priority))
+
+    for label, words in IDENTIFIERS:  # each word of a tag's expression is a place of its own, so that one does not contain the other
+        tail = "(?: only| or later)?"
+        add(label, rf"(?<=spdx licen[cs]e identifier (?:[a-z0-9]+ ){{0,24}}?){words}{tail}(?<=identifier {words}{tail}|(?:and|or|with) {words}{tail})", "spdx licen", 96, regex)
+    for label, name in BARE:
+        add(label, rf"(?:re)?licen[cs]ed under(?: the)?(?: terms of)?(?: the)? {name}(?! (?:v|version|[0-9]))", f"under {name}|under the {name}|terms of {name}|of the {name}", 78)
+    for _, names, keywords, _ in FAMILIES:  # no label: such a place only keeps others out
+        add("", rf"{DENIED}(?:{names})(?:(?: version| v)? ?v?[0-9]+(?: [0-9]+)?)?(?: or(?: any)? later(?: version)?)?(?: licen[cs]e)?", keywords, 98)
+    for label, name in BARE:
+        add("", rf"{DENIED}{name}(?:(?: version| v)? ?v?[0-9]+(?: [0-9]+)?)?(?: licen[cs]e)?", f"under {name}|under the {name}|terms of {name}|of the {name}|any {name}", 98)
 
     for label, names, keywords, versions in FAMILIES:
         for form, priority in FORMS:
@@ -122,7 +149,7 @@ def rules() -> tuple[Rule, ...]:
             for version in versions.split():
                 major, minor = version.split(".")
                 number = major + (f"(?: {minor})?" if minor == "0" else f" {minor}")
-                add(f"{label}-{version}", form.format(n=f"(?:{names})(?: version| v)? v?{number}(?: or(?: \\(?at your option\\)?)?(?: any)? later(?: version)?| international| unported| only)?"), keywords, priority + 2)
+                add(f"{label}-{version}", form.format(n=f"(?:{names})(?:(?: version| v)? v?|v?){number}(?: or(?: \\(?at your option\\)?)?(?: any)? later(?: version)?| international| unported| only)?"), keywords, priority + 2)
     for text in TEXTS:
         add(*text)
     return tuple(sorted(made, key=lambda r: -r.priority))
@@ -185,6 +212,7 @@ def scan(text: str | bytes | None) -> tuple:
             base.add(label)
             at = joined.find(b" " + phrase + b" ", at + 1)
     kept = detect(joined.decode("utf-8", "replace")) if words else []
+    kept = [k for k in kept if k[2]]
     labels = base | {k[2] for k in kept}
     score = max((k[3] / 100 for k in kept), default=0.0)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max(score, 0.3 if base else 0.0)

@@ -4,7 +4,8 @@ Fixed patterns find assignments to sensitive names, access keys and long hexadec
 CANDIDATE characters that follows a sensitive word closely is a candidate: it is compressed behind the code around it,
 with a dictionary of identifiers and code loaded into the compressor, and its marginal cost is what it adds to the
 compressed context. A candidate made of known words costs little; one whose cost nears its own length is reported as
-"novel".
+"novel". In a longer run that is not novel as a whole, parts of WINDOW characters are measured one by one, each behind what
+is before it, and those that are novel are reported, together where they meet: a key at the end of a long path is found.
 
 Defined cases: a null text counts as empty and has no spans; an empty table gives an empty result; repeated rows are
 scanned one by one; columns besides doc_id and text are ignored; texts are scanned whole, whatever their length; spans
@@ -41,6 +42,9 @@ NOVEL = 0.7
 #: Longest candidate that is measured at once; longer ones are measured by their parts of this length.
 PART = 512
 
+#: Length of the parts of a longer run, and steps from one to the next: a key of WINDOW + STEP characters holds a whole part.
+WINDOW, STEP = 32, 8
+
 #: What code is made of: the compressor knows it before it sees a text.
 DICTIONARY = " ".join(
     """
@@ -96,9 +100,28 @@ def novel_spans(text: str) -> list[tuple[str, int, int]]:
         while m := CANDIDATE.search(text, at, word.end() + REACH + SHORTEST):
             start = m.start()
             at = done = end = CANDIDATE.match(text, start).end()  # whole, even beyond REACH
-            s = text[start:end]
-            if sum(bool(re.search(kind, s)) for kind in ("[a-z]", "[A-Z]", "[0-9]")) >= 2 and novelty(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVEL:
+            if _is_novel(text, start, end):
                 found.append(("novel", start, end))
+            elif end - start > 2 * WINDOW:
+                found += novel_parts(text, start, end)
+    return found
+
+
+def _is_novel(text: str, start: int, end: int) -> bool:
+    s = text[start:end]
+    return sum(bool(re.search(kind, s)) for kind in ("[a-z]", "[A-Z]", "[0-9]")) >= 2 and novelty(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVEL
+
+
+def novel_parts(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """The novel parts of a run, put together where they meet. Of a part all three kinds of characters are asked for, since words are everywhere."""
+    found: list[tuple[str, int, int]] = []
+    for at in [*range(start, end - WINDOW, STEP), end - WINDOW]:
+        s = text[at : at + WINDOW]
+        if all(re.search(kind, s) for kind in ("[a-z]", "[A-Z]", "[0-9]")) and novelty(s, text[max(0, at - AROUND) : at]) >= NOVEL:
+            if found and at <= found[-1][2]:
+                found[-1] = "novel", found[-1][1], at + WINDOW
+            else:
+                found.append(("novel", at, at + WINDOW))
     return found
 
 

@@ -8,8 +8,8 @@ others' words are removed. Removed windows go to groups of documents, where they
 document; that row is joined with the text, and the words outside the intervals are kept.
 
 There are as many buckets and groups as the texts' bytes ask for (a window takes two bytes of text at least), so that
-none has more than BUCKET windows, whatever the table's size, but for chunks that repeat one window; partitions grow with
-them. Texts are only ever held in batches.
+none has more than BUCKET windows, whatever the table's size, but for chunks that repeat one window; PARTITIONS tasks
+at most take them, one after the other. Texts are only ever held in batches.
 
 Two different windows are taken for equal with a chance of 2^-64 a pair.
 
@@ -38,6 +38,8 @@ WINDOW = 20
 BASE = 0xD6E8FEB86659FD93
 #: Windows that a task counts together, and windows of a bucket at most.
 CHUNK, BUCKET = 1 << 21, 1 << 21
+#: Tasks among which buckets are dealt, at most, unless Spark is set to more.
+PARTITIONS = 1 << 15
 #: Numbers from which packed columns are compressed.
 COMPRESSED = 64
 INTERVALS = 1
@@ -165,7 +167,8 @@ def removals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, data: the packed maximal intervals of words to remove of each document that loses some."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << (max(1, -(-text_bytes // (2 * BUCKET))) - 1).bit_length()
-    partitions = max(shuffle_partitions(docs.sparkSession), buckets)
+    # a task takes its buckets one after the other, so that their number may be larger than any scheduler's tasks
+    partitions = min(buckets, max(shuffle_partitions(docs.sparkSession), PARTITIONS))
 
     def later(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, start, end = [], [], []

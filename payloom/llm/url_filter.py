@@ -22,10 +22,9 @@ from .common import ascii_lower, cut, let, table
 
 #: (verdict, rule); a rule is host/path-prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: The blocklist that the query uses: each name, alone and with each number up to NUMBERS, under each domain, is blocked with its
-#: subdomains where no rule fits.
-NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "click-mill", "fake-shop", "free-bets", "malware-drop", "phish-login", "spam-farm", "torrent-dump", "warez-hub")
-NUMBERS, DOMAINS = 99, ("example.com", "example.net", "example.org")
+#: The query's list stands for one that comes from outside: domains of the corpus whose hash under SEED begins with one of these
+#: digits are blocked with their subdomains where no rule fits. It has no others, and grows with the corpus.
+SEED, PICKED = "blocked:", "01"
 #: Largest cascade, in bits over all its levels, that is put into the plan (2 MiB).
 MAX_BITS = 1 << 24
 MAX_LEVELS = 64
@@ -160,15 +159,15 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bits: int = MAX_
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "listed")
 
 
-def blocklist(spark: SparkSession, names=NAMES, numbers: int = NUMBERS, domains=DOMAINS) -> DataFrame:
-    """key of every name, alone and numbered, under every domain."""
-    number = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.lit(numbers)), lambda i: i.cast("string"))))
-    every = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", number.alias("number"))
-    return every.select("name", "number", F.explode(F.array(*map(F.lit, domains))).alias("domain")).select(F.concat("name", "number", F.lit("."), "domain").alias("key"))
+def blocklist(pages: DataFrame, seed: str = SEED, picked: str = PICKED) -> DataFrame:
+    """key of the domains of pages(url) that are picked; names without a dot are no domains."""
+    keys = pages.select(url_host(F.col("url")).alias("host")).distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
+    return keys.where(F.col("key").contains(".") & F.substring(F.sha2(F.concat(F.lit(seed), "key"), 256), 1, 1).isin(*picked))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), blocklist(spark))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, blocklist(pages))
 
 
 def _oracle() -> str:
@@ -183,9 +182,9 @@ with parsed as (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
   from pages),
 rules as ({" union all ".join(fit)}),
-blocked as (
-  select n.name || i.number || '.' || d.domain as key
-  from (select unnest([{texts(NAMES)}]) as name) n, (select '' as number union all select range::varchar from range(1, {NUMBERS + 1})) i, (select unnest([{texts(DOMAINS)}]) as domain) d),
+labels as (select distinct string_split(host, '.') as l from parsed where host <> ''),
+keys as (select distinct array_to_string(l[i:], '.') as key from labels, range(1, 200) r(i) where i <= len(l)),
+blocked as (select key from keys where contains(key, '.') and substr(sha256('{SEED}' || key), 1, 1) in ({texts(PICKED)})),
 judged as (
   select p.*, (select r.rule from rules r where (p.host = r.name or ends_with(p.host, '.' || r.name)) and starts_with(p.path, r.prefix)
                order by length(r.rule) desc limit 1) as rule,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,18 +18,18 @@ from ..functions.columns import json_type, member, members, parsed, text, with_v
 from ..functions.names import short_name
 from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, Capability, Invalid, PayloomError, ResolveOptions, Vocabulary
 from ..plans import machine
-from ..plans.compiler import Compiled, error
+from ..plans.compiler import ERRORS, Compiled, error
 from ..plans.compose import compose, detect_direction, envelope_body, parse_capabilities, payload_capabilities, profile_capabilities
 from ..plans.drafts import readable
 from ..plans.interpreter import violations
-from ..plans.registry import rules
+from ..plans.registry import Rules, rules
 from ..plans.resolve import resolve, select_shape
 from ..sources.documents import Documents
 from .bundle import bundle_corpus, compose_from_tables
 from .capabilities import need_shared_folder
 
-#: Bytes of composed rules up to which they are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of composed rules up to which they are broadcast, and different rules up to which each is an expression of its own.
+BROADCAST_BYTES, COMPILED = 16 << 20, 16
 
 
 def plan(schema: Any, options: ResolveOptions) -> Any:
@@ -60,9 +61,11 @@ def as_variant(payload: Column, kind: str) -> Column:
 
 def errors_of(v: Column, plain: Any) -> Column:
     """Errors of a variant; of one that could not be parsed, that alone."""
-    compiled = Compiled(plain)
-    found = machine.errors(v, machine.constant(compiled.rules), compiled.rules.steps, compiled.rules.annotated) if compiled.large else compiled.errors(v)
-    return F.when(v.isNull(), error(F.lit(""), "json", "the payload is no JSON")).otherwise(found)
+    return F.when(v.isNull(), error(F.lit(""), "json", "the payload is no JSON")).otherwise(_errors_by(Compiled(plain), v))
+
+
+def _errors_by(compiled: Compiled, v: Column) -> Column:
+    return machine.errors(v, machine.constant(compiled.rules), compiled.rules.steps, compiled.rules.annotated) if compiled.large else compiled.errors(v)
 
 
 def validate(payloads: DataFrame, schema: Any, options: ResolveOptions, column: str = "payload") -> DataFrame:
@@ -95,7 +98,7 @@ def signature_of(v: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
 
 
 #: What a set of capabilities comes to: rules as JSON, or why there are none.
-PLAN = "direction string, __payloom_s string, key string, rules string, steps int, annotated boolean, kind string, message string, code int"
+PLAN = "direction string, __payloom_s string, key string, nodes string, rules string, steps int, annotated boolean, kind string, message string, code int"
 
 
 @dataclass(frozen=True)
@@ -150,7 +153,7 @@ def _plans_from(signatures: DataFrame, tables: Tables, operation: str, strict: b
 def _ruled(direction: str, capabilities: list[Capability], composed: Any, operation: str, strict: bool, words: Vocabulary) -> dict:
     key = None if direction == "response" else short_name(next((c.name for c in capabilities if c.extends is None), ""))
     found = rules(plan(composed, ResolveOptions(direction, operation, strict, vocabulary=words)))
-    return {"key": key, "rules": json.dumps(machine.rows(found)), "steps": found.steps, "annotated": found.annotated}
+    return {"key": key, "nodes": json.dumps(found.nodes), "rules": json.dumps(machine.rows(found)), "steps": found.steps, "annotated": found.annotated}
 
 
 def _plan(direction: str, signature: str, documents: Documents, operation: str, strict: bool) -> dict:
@@ -166,7 +169,8 @@ def validate_by_capabilities(payloads: DataFrame, documents: Documents | Tables,
     """payloads with direction, valid, errors, exit_code, each against what its own capabilities compose.
 
     Schemas are composed once for each distinct signature, and go to the payloads as rows of rules, so that the plan is the
-    same for any number of signatures. A signature that cannot be composed, or whose schema is none, is an error of its
+    same for any number of signatures; where they come to no more than COMPILED different rules, each of these is compiled,
+    which is faster and gives the same. A signature that cannot be composed, or whose schema is none, is an error of its
     own payloads, with the exit code of the failure. Rules are broadcast while they measure no more than
     BROADCAST_BYTES; beyond, payloads are shuffled to them. Batch only.
     """
@@ -176,12 +180,20 @@ def validate_by_capabilities(payloads: DataFrame, documents: Documents | Tables,
     need_shared_folder(payloads.sparkSession)
     known = marked.where("direction is not null and __payloom_s is not null").select("direction", "__payloom_s").distinct()
     plans = unreadable_patterns(capability_plans(known, documents, operation, strict).checkpoint())
+    few = [r["nodes"] for r in plans.where("kind is null").select("nodes").distinct().limit(COMPILED + 1).collect()]
     size, annotated = plans.agg(F.sum(F.coalesce(F.length("rules"), F.lit(0)) * 4 + F.length("__payloom_s") + 64), F.max("annotated")).first()
-    plans = plans.withColumn("rules", F.from_json("rules", machine.RULES)).withColumnsRenamed({k: f"__payloom_{k}" for k in ("key", "rules", "steps", "annotated", "kind", "message", "code")})
+    names = ("key", "set", "rules", "steps", "annotated", "kind", "message", "code")
+    plans = plans.withColumn("set", F.md5("nodes")).drop("nodes").withColumn("rules", F.lit(None) if len(few) <= COMPILED else F.from_json("rules", machine.RULES)).withColumnsRenamed({k: f"__payloom_{k}" for k in names})
     joined = marked.join(F.broadcast(plans) if (size or 0) <= BROADCAST_BYTES else plans, ["direction", "__payloom_s"], "left")
     col = lambda k: F.col(f"__payloom_{k}")
     fault = lambda kind, message, code: F.struct(error(F.lit(""), kind, message).alias("errors"), F.lit(code).alias("failed"))
     body = F.when(col("key").isNull(), col("v")).otherwise(F.try_element_at(members(col("v")), col("key")))
+    if len(few) <= COMPILED:
+        found = F.lit(None).cast(ERRORS)
+        for nodes in few:
+            found = F.when(col("set") == hashlib.md5(nodes.encode()).hexdigest(), _errors_by(Compiled.of(Rules.of(json.loads(nodes))), body)).otherwise(found)
+    else:
+        found = machine.errors(body, col("rules"), col("steps"), bool(annotated))
     told = F.array(F.struct(F.lit("").alias("path"), col("kind").alias("keyword"), col("message").alias("message")))
     verdict = (
         F.when(col("v").isNull(), fault("InvalidJson", "invalid JSON", BAD_SCHEMA))
@@ -189,7 +201,7 @@ def validate_by_capabilities(payloads: DataFrame, documents: Documents | Tables,
         .when(col("s").isNull(), fault("InvalidEnvelope", "invalid JSONRPC envelope: meta.profile must be a string", BAD_SCHEMA))
         .when(col("kind").isNotNull(), F.struct(told.alias("errors"), col("code").alias("failed")))
         .when(body.isNull(), fault("InvalidEnvelope", F.concat(F.lit("invalid JSONRPC envelope: missing '"), col("key"), F.lit("'")), BAD_SCHEMA))
-        .otherwise(F.struct(machine.errors(body, col("rules"), col("steps"), bool(annotated)).alias("errors"), F.lit(None).cast("int").alias("failed")))
+        .otherwise(F.struct(found.alias("errors"), F.lit(None).cast("int").alias("failed")))
     )
     checked = joined.withColumn("__payloom_r", verdict).withColumn("errors", F.col("__payloom_r.errors"))
     checked = checked.withColumns({"valid": F.size("errors") == 0, "exit_code": F.coalesce(F.col("__payloom_r.failed"), F.when(F.size("errors") == 0, OK).otherwise(INVALID))})

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical, elements, json_type, let, member, members, number, text
 from .drafts import portable
-from .registry import rules
+from .registry import Rules, rules
 
 ERRORS = "array<struct<path:string,keyword:string,message:string>>"
 #: What a rule comes to where others ask for more than its errors.
@@ -113,7 +113,16 @@ class Value:
 class Compiled:
     def __init__(self, schema: Any):
         self.rules = rules(schema)
-        self.large = self.rules.large
+
+    @classmethod
+    def of(cls, found: Rules) -> Compiled:
+        made = cls.__new__(cls)
+        made.rules = found
+        return made
+
+    @property
+    def large(self) -> bool:
+        return self.rules.large
 
     def errors(self, v: Column) -> Column:
         return self._at(0, v, F.lit(""))

@@ -205,22 +205,22 @@ def _own(o: Column, r: Column) -> Column:
     listed = F.when(r["texts"].isNotNull(), is_("string") & F.array_contains(r["texts"], text(v))).when(r["enum"].isNotNull(), let(canonical(v), lambda c: F.exists(r["enum"], lambda e: canonical(F.try_parse_json(e)) == c)))
     checks = [
         F.when(r["plain"] == F.lit(False), error(o["path"], "false", "no value is allowed here")).otherwise(none()),
-        _unless(F.coalesce(typed, F.lit(False)) | r["types"].isNull(), o, "type", F.concat(F.lit("must be of type "), F.array_join(r["types"], " or "))),
-        _unless(F.coalesce(listed, r["enum_text"].isNull()), o, "enum", F.concat(F.lit("must be one of "), r["enum_text"])),
-        _unless((canonical(v) == canonical(F.try_parse_json(r["const"]))) | r["const"].isNull(), o, "const", F.concat(F.lit("must be "), r["const_text"])),
+        _unless(r["types"].isNull() | F.coalesce(typed, F.lit(False)), o, "type", F.concat(F.lit("must be of type "), F.array_join(r["types"], " or "))),
+        F.when(r["enum_text"].isNotNull(), _unless(F.coalesce(listed, F.lit(False)), o, "enum", F.concat(F.lit("must be one of "), r["enum_text"]))).otherwise(none()),
+        F.when(r["const"].isNotNull(), _unless(canonical(v) == canonical(F.try_parse_json(r["const"])), o, "const", F.concat(F.lit("must be "), r["const_text"]))).otherwise(none()),
     ]
     for k, (words, holds) in _LIMITS.items():
         kept = F.coalesce(holds(whole(v), r[k]["exact"]), holds(number(v), r[k]["near"]))
-        checks.append(F.when(is_("number"), _unless(kept, o, k, F.concat(F.lit(f"must be {words} "), r[k]["text"]))).otherwise(none()))
+        checks.append(F.when(is_("number") & r[k].isNotNull(), _unless(kept, o, k, F.concat(F.lit(f"must be {words} "), r[k]["text"]))).otherwise(none()))
     of = r["multipleOf"]
     ratio = number(v) / of["near"]
     near = F.abs(ratio - F.round(ratio)) < 1e-9
     near = F.when(of["exact"].isNotNull(), (number(v) % F.lit(1.0) == 0) & F.coalesce(whole(v) % of["exact"] == 0, near)).otherwise(near)
-    checks.append(F.when(is_("number"), _unless(near, o, "multipleOf", F.concat(F.lit("must be a multiple of "), of["text"]))).otherwise(none()))
+    checks.append(F.when(is_("number") & of.isNotNull(), _unless(near, o, "multipleOf", F.concat(F.lit("must be a multiple of "), of["text"]))).otherwise(none()))
     sizes = {"string": F.char_length(text(v)), "array": F.size(elements(v)), "object": F.size(members(v))}
     for k, (what, words, holds) in _COUNTS.items():
         checks.append(F.when(is_(what) & r[k].isNotNull(), _unless(holds(sizes[what], r[k]), o, k, F.concat(F.lit(f"must have {words} "), r[k].cast("string")))).otherwise(none()))
-    checks.append(F.when(is_("string"), _unless(F.rlike(text(v), r["pattern"]), o, "pattern", F.concat(F.lit("must match "), r["pattern_text"]))).otherwise(none()))
+    checks.append(F.when(is_("string") & r["pattern"].isNotNull(), _unless(F.rlike(text(v), r["pattern"]), o, "pattern", F.concat(F.lit("must match "), r["pattern_text"]))).otherwise(none()))
 
     def of_object(held: Column) -> Column:
         missing = F.filter(r["required"], lambda n: ~F.map_contains_key(held, n["name"]))

@@ -123,6 +123,15 @@ class Rules:
     #: Rules that there are if each reference is written out; without meaning for loops.
     expanded: int = 0
 
+    @classmethod
+    def of(cls, nodes: list[Any]) -> Rules:
+        found = cls(nodes)
+        if _cycle(found, IN_PLACE):
+            raise invalid("a reference leads back to itself without going into the value")
+        found.loops = _cycle(found, IN_PLACE + BELOW)
+        found.expanded = 0 if found.loops else _expanded(found)
+        return found
+
     @property
     def large(self) -> bool:
         return self.loops or self.expanded > EXPANDED
@@ -203,11 +212,7 @@ def rules(schema: Any, others: dict[str, Any] | None = None) -> Rules:
             elif k in MAPS and isinstance(v, dict):
                 node[k] = {name: number(x, base, scope) for name, x in v.items()}
         out.nodes[at] = node
-    if _cycle(out, IN_PLACE):
-        raise invalid("a reference leads back to itself without going into the value")
-    out.loops = _cycle(out, IN_PLACE + BELOW)
-    out.expanded = 0 if out.loops else _expanded(out)
-    return out
+    return Rules.of(out.nodes)
 
 
 def _cycle(found: Rules, keywords: tuple[str, ...]) -> bool:

@@ -245,11 +245,12 @@ def test_many_sets_of_capabilities_in_one_plan(spark):
     """Signatures are data: the plan is as long for three hundred sets as for three."""
 
     def run(n):
-        docs = Documents(fetch=lambda url: json.dumps({"required": ["k"], "properties": {"k": {"maximum": int(url.rpartition("/")[2]) % 5}}}))
+        docs = Documents(fetch=lambda url: json.dumps({"required": ["k"], "properties": {"k": {"maximum": int(url.rpartition("/")[2]) % 5}}, "title": url}))
         rows = spark.range(n).select("id", F.concat(F.lit('{"about": {"capabilities": {"com.example.root": [{"version": "2026-01-01", "schema": "https://example.com/'), F.col("id").cast("string"), F.lit('"}]}}, "k": 2}')).alias("payload"))
         return validate_by_capabilities(rows, docs, "read")
 
-    few, many = run(3), run(300)
+    some, few, many = run(12), run(30), run(300)
+    assert {r.id: r.exit_code for r in some.select("id", "exit_code").collect()} == {i: int(2 > i % 5) for i in range(12)}
     plan = lambda df: re.sub(r"[0-9]+", "", df._jdf.queryExecution().optimizedPlan().toString())
     assert len(plan(few)) == len(plan(many))
     assert {r.id: r.exit_code for r in many.select("id", "exit_code").collect()} == {i: int(2 > i % 5) for i in range(300)}

@@ -174,12 +174,24 @@ def validate_by_capabilities(payloads: DataFrame, documents: Documents | Tables,
     own payloads, with the exit code of the failure. Rules are broadcast while they measure no more than
     BROADCAST_BYTES; beyond, payloads are shuffled to them. Batch only.
     """
-    words = documents.vocabulary
-    v = as_variant(F.col(column), dict(payloads.dtypes)[column])
-    marked = with_variant(payloads, "__payloom_v", v).withColumn("direction", direction_of(F.col("__payloom_v"), words)).withColumn("__payloom_s", signature_of(F.col("__payloom_v"), words))
+    marked = by_signature(payloads, documents.vocabulary, column)
     need_shared_folder(payloads.sparkSession)
-    known = marked.where("direction is not null and __payloom_s is not null").select("direction", "__payloom_s").distinct()
-    plans = unreadable_patterns(capability_plans(known, documents, operation, strict).checkpoint())
+    plans = unreadable_patterns(capability_plans(signatures(marked), documents, operation, strict).checkpoint())
+    return with_plans(marked, plans, payloads.columns)
+
+
+def by_signature(payloads: DataFrame, vocabulary: Vocabulary = DEFAULT, column: str = "payload") -> DataFrame:
+    """payloads with __payloom_v (the variant), direction and __payloom_s (the signature)."""
+    v = as_variant(F.col(column), dict(payloads.dtypes)[column])
+    return with_variant(payloads, "__payloom_v", v).withColumn("direction", direction_of(F.col("__payloom_v"), vocabulary)).withColumn("__payloom_s", signature_of(F.col("__payloom_v"), vocabulary))
+
+
+def signatures(marked: DataFrame) -> DataFrame:
+    return marked.where("direction is not null and __payloom_s is not null").select("direction", "__payloom_s").distinct()
+
+
+def with_plans(marked: DataFrame, plans: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, direction, errors, valid, exit_code of by_signature(), by plans that have been written down."""
     few = [r["nodes"] for r in plans.where("kind is null").select("nodes").distinct().limit(COMPILED + 1).collect()]
     size, annotated = plans.agg(F.sum(F.coalesce(F.length("rules"), F.lit(0)) * 4 + F.length("__payloom_s") + 64), F.max("annotated")).first()
     names = ("key", "set", "rules", "steps", "annotated", "kind", "message", "code")
@@ -205,7 +217,7 @@ def validate_by_capabilities(payloads: DataFrame, documents: Documents | Tables,
     )
     checked = joined.withColumn("__payloom_r", verdict).withColumn("errors", F.col("__payloom_r.errors"))
     checked = checked.withColumns({"valid": F.size("errors") == 0, "exit_code": F.coalesce(F.col("__payloom_r.failed"), F.when(F.size("errors") == 0, OK).otherwise(INVALID))})
-    return checked.select(*payloads.columns, "direction", "errors", "valid", "exit_code")
+    return checked.select(*columns, "direction", "errors", "valid", "exit_code")
 
 
 def unreadable_patterns(plans: DataFrame) -> DataFrame:

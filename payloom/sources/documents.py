@@ -20,10 +20,10 @@ TIMEOUT = 10
 Fetcher = Callable[[str], str]
 
 
-def http_fetch(url: str) -> str:
+def http_fetch(url: str, timeout: float = TIMEOUT) -> str:
     """Text at a URL; a status other than 2xx is an error."""
     try:
-        with urllib.request.urlopen(url, timeout=TIMEOUT) as answer:  # noqa: S310
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
             return answer.read().decode("utf-8")
     except (urllib.error.URLError, OSError, ValueError) as e:
         raise ResolveError("NetworkError", f"failed to fetch {url}: {e}", url=url) from e

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import VERSION, BindingError
+from .hosts import to_ascii, to_ascii_col
 
 
 def reverse_labels(host: str) -> str:
@@ -107,14 +108,11 @@ def check_binding(name: str, url: str) -> None:
         host = unquote(host)
         if re.search(_FORBIDDEN, host):
             raise fault("Unparsable", "has a host with a character that none may hold")
-    host = host.rstrip(".").lower()
+    host = to_ascii(host.rstrip("."))
+    if host is None:
+        raise fault("Unparsable", "has a host that is no domain name")
     if not host:
         raise fault("Unparsable", "has no host")
-    if not host.isascii():
-        try:
-            host = host.encode("idna").decode()
-        except UnicodeError as e:
-            raise fault("Unparsable", f"has a host that is no domain name: {e}") from e
     if _is_address(host) or "." not in host:
         raise fault("NonDomainHost", "must have a domain name of two labels at least, and no address, for its host")
     prefix = reverse_labels(host)
@@ -133,7 +131,7 @@ def _is_address(host: str) -> bool:
 
 
 def binding_status_col(name: Column, url: Column) -> Column:
-    """ok, or the kind of the first rule broken, as check_binding() tells it; hosts beyond ASCII become ASCII in the JVM."""
+    """ok, or the kind of the first rule broken, as check_binding() tells it; hosts beyond ASCII become ASCII in the JVM, by UTS 46."""
     at = lambda i: F.regexp_extract(F.trim(url), _AUTHORITY.pattern, i)
     scheme, authority = F.lower(at(1)), at(2)
     user = F.regexp_extract(authority, r"^(.*)@[^@]*$", 1)
@@ -141,8 +139,8 @@ def binding_status_col(name: Column, url: Column) -> Column:
     shape = r"(?s)^(\[[^\]]*\]|[^:]*)(?::(.*))?$"
     port, raw = F.regexp_extract(place, shape, 2), F.regexp_extract(place, shape, 1)
     decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    named = F.lower(F.regexp_replace(F.when(raw.startswith("["), raw).otherwise(decoded), r"\.+$", ""))
-    host = F.when(named.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), named)).otherwise(named)
+    named = F.regexp_replace(F.when(raw.startswith("["), raw).otherwise(decoded), r"\.+$", "")
+    host = F.when(named.rlike(r"[^\x00-\x7F]"), to_ascii_col(named)).otherwise(F.lower(named))
     bad_port = (port != "") & ~(port.rlike("^[0-9]+$") & port.try_cast("decimal(38,0)").between(0, 65535))
     return (
         F.when(url.isNull() | (scheme == ""), "Unparsable")

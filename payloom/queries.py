@@ -187,6 +187,19 @@ def namespace_binding(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(binding_status_col(name, url).alias("status")).agg(F.count("*").alias("n"))
 
 
+#: Hosts, and what they are in ASCII; None for what is no host.
+_HOSTS = (("faß.example", "xn--fa-hia.example"), ("ΒΌΛΟΣ.example", "xn--nxasmq6b.example"), ("βόλος.example", "xn--nxasmm1c.example"), ("BÜCHER。example", "xn--bcher-kva.example"), ("a\u200db.example", None), ("x%C2%ADy.example", "xy.example"))
+
+
+@query("select page_id, [" + ", ".join(f"'{'ok' if a else 'Unparsable'}'" for _, a in _HOSTS) + f"][page_id % {len(_HOSTS)} + 1] as status from pages")
+def binding_of_international_hosts(spark, sf_dir):
+    """Names under the reversed host, of hosts beyond ASCII as UTS 46 reads them."""
+    of = lambda texts: samples.by_number(F.col("page_id"), texts)
+    name = F.concat(of([".".join(reversed((a or "a.example").split("."))) for _, a in _HOSTS]), F.lit(".a"))
+    url = F.concat(F.lit("https://"), of([h for h, _ in _HOSTS]), F.lit("/x"))
+    return table(spark, sf_dir, "pages").select("page_id", binding_status_col(name, url).alias("status"))
+
+
 @query(f"select page_id, array_to_string(list_reverse(string_split({_HOST}, '.')), '.') as reversed from pages")
 def reverse_labels(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", reverse_labels_col(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("reversed"))

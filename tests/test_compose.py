@@ -192,6 +192,14 @@ def test_versions():
         ("com.example.a", "https://exam%2Fple.com/x", "Unparsable"),
         ("example.xn--bcher-kva.a", "https://bücher.example/x", None),
         ("example.bücher.a", "https://bücher.example/x", "AuthorityMismatch"),
+        ("de.xn--fa-hia.a", "https://faß.de/x", None),
+        ("de.fass.a", "https://FAẞ.de/x", "AuthorityMismatch"),
+        ("com.xn--nxasmm1c.a", "https://βόλος.com/x", None),
+        ("com.xn--nxasmq6b.a", "https://ΒΌΛΟΣ.com/x", None),
+        ("jp.xn--wgv71a119e.a", "https://日本語。jp/x", None),
+        ("com.xn--10cl1a0b660p.a", "https://ශ්‍රී.com/x", None),
+        ("com.ab.a", "https://a‍b.com/x", "Unparsable"),
+        ("com.ab.a", "https://a%C2%ADb.com/x", None),
     ],
 )
 def test_binding(spark, name, url, kind):
@@ -208,8 +216,19 @@ def test_binding(spark, name, url, kind):
     assert spark.range(1).select(binding_status_col(F.lit(name), F.lit(url))).first()[0] == (kind or "ok")
 
 
-def test_international_hosts():
-    check_binding("example.xn--bcher-kva.a", "https://bücher.example/x")
+def test_international_hosts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from payloom.functions.hosts import to_ascii, to_ascii_col
+
+    rng = random.Random(1)
+    hosts = ["BÜCHER.Example", "münchen-ö-ñandú.org", "правда.рф", "مثال.إختبار", "é" * 60 + ".de", "żółć.pl", "straße-außen.de", "ﬁx.de", "你好你好.中国", "ἀρχή.gr", "..é", "a\u2028.é", "\u0301a.de", "क्\u200dष.in", "नी\u200cx.de", "x.Y", ""]
+    hosts += ["".join(rng.choice("abz-09äöüßéñçждя中文日αβς") for _ in range(rng.randint(1, 14))) + ".com" for _ in range(80)]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", to_ascii_col(F.col("h")).alias("a")).collect()
+    assert {r.h: r.a for r in rows} == {h: to_ascii(h) for h in hosts}
+    assert to_ascii("bücher.de") == "xn--bcher-kva.de" and to_ascii("правда.рф") == "xn--80aafi6cg.xn--p1ai"
 
 
 def test_url_helpers():

@@ -116,14 +116,14 @@ def run_resolve(args: argparse.Namespace) -> int:
     described = detect_direction(source, docs.vocabulary)
     log.info("read %s (%s)", args.source, f"{described} payload" if described else "schema")
     if described and args.bundle:
-        raise ResolveError("InvalidSchema", "--bundle does not apply to payload input: its schemas are bundled as they are composed")
+        raise ResolveError("InvalidSchema", "--bundle is for schemas: those of a payload are bundled as they are composed")
     if described:
         source = compose_payload(source, docs)
     elif args.bundle:
         source = docs.bundle_remote(source, args.source) if is_url(args.source) else docs.bundle(source, Path(args.source).parent)
     direction = args.direction or described
     if direction is None:
-        raise ResolveError("InvalidSchema", "cannot infer direction from a schema: give --request or --response")
+        raise ResolveError("InvalidSchema", "a schema does not tell its direction: give --request or --response")
     options = ResolveOptions(direction, args.op, args.strict == "true", args.include_future, args.def_name, docs.vocabulary)
     log.info("resolving for %s %s", options.direction, options.operation)
     return written(plan(source, options) if args.def_name else resolve(source, options), args)
@@ -133,7 +133,7 @@ def run_compose(args: argparse.Namespace) -> int:
     docs = documents(args)
     payload = docs.file(args.source)
     if detect_direction(payload, docs.vocabulary) is None:
-        raise ComposeError("NotSelfDescribing", "not a self-describing payload")
+        raise ComposeError("NotSelfDescribing", "nothing in the payload says which schema it follows")
     return written(compose_payload(payload, docs), args)
 
 

@@ -149,7 +149,7 @@ def compose_from_tables(sets: DataFrame, schemas: DataFrame, profiles: DataFrame
         try:
             if capabilities is None:
                 if told is None:
-                    raise ComposeError("ProfileFetch", f"failed to fetch profile from {profile}: it is not in the table", url=profile)
+                    raise ComposeError("ProfileFetch", f"the profile {profile} is not in the table", url=profile)
                 capabilities = json.dumps(profile_envelope(parse_json(told), profile, key))
             urls = sorted({c.schema_url for c in parse_capabilities(json.loads(capabilities))})
             return key_, capabilities, urls, None, None, None

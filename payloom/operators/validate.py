@@ -209,10 +209,10 @@ def with_plans(marked: DataFrame, plans: DataFrame, columns: list[str]) -> DataF
     told = F.array(F.struct(F.lit("").alias("path"), col("kind").alias("keyword"), col("message").alias("message")))
     verdict = (
         F.when(col("v").isNull(), fault("InvalidJson", "invalid JSON", BAD_SCHEMA))
-        .when(F.col("direction").isNull(), fault("NotSelfDescribing", "not a self-describing payload", BAD_SCHEMA))
-        .when(col("s").isNull(), fault("InvalidEnvelope", "invalid JSONRPC envelope: meta.profile must be a string", BAD_SCHEMA))
+        .when(F.col("direction").isNull(), fault("NotSelfDescribing", "nothing in the payload says which schema it follows", BAD_SCHEMA))
+        .when(col("s").isNull(), fault("InvalidEnvelope", "meta.profile of a request has to be a string", BAD_SCHEMA))
         .when(col("kind").isNotNull(), F.struct(told.alias("errors"), col("code").alias("failed")))
-        .when(body.isNull(), fault("InvalidEnvelope", F.concat(F.lit("invalid JSONRPC envelope: missing '"), col("key"), F.lit("'")), BAD_SCHEMA))
+        .when(body.isNull(), fault("InvalidEnvelope", F.concat(F.lit("the request holds no '"), col("key"), F.lit("'")), BAD_SCHEMA))
         .otherwise(F.struct(found.alias("errors"), F.lit(None).cast("int").alias("failed")))
     )
     checked = joined.withColumn("__payloom_r", verdict).withColumn("errors", F.col("__payloom_r.errors"))

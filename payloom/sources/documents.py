@@ -26,7 +26,7 @@ def http_fetch(url: str, timeout: float = TIMEOUT) -> str:
         with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
             return answer.read().decode("utf-8")
     except (urllib.error.URLError, OSError, ValueError) as e:
-        raise ResolveError("NetworkError", f"failed to fetch {url}: {e}", url=url) from e
+        raise ResolveError("NetworkError", f"{url} does not answer with a document: {e}", url=url) from e
 
 
 def parse_json(text: str) -> Any:
@@ -99,11 +99,11 @@ class Documents:
         else:
             where, new_folder, new_url = id(root), folder, url
         if (where, fragment) in stack:
-            raise ResolveError("BundleError", f"failed to bundle schema: circular reference: {ref}", ref=ref)
+            raise ResolveError("BundleError", f"inlining {ref} leads back to it: the reference is circular", ref=ref)
         target_root = root if not place else self._referred(where, ref)
         target = navigate(target_root, fragment) if fragment else target_root
         if target is None:
-            raise ResolveError("BundleError", f"failed to bundle schema: {ref} points nowhere", ref=ref)
+            raise ResolveError("BundleError", f"{ref} cannot be inlined: it points nowhere", ref=ref)
         target = self._inlined(target, target_root, new_folder, new_url, (*stack, (where, fragment)))
         own = {k: self._inlined(v, root, folder, url, stack) for k, v in value.items() if k != "$ref"}
         return {**own, **{k: v for k, v in target.items() if k not in own}} if isinstance(target, dict) else own
@@ -122,7 +122,7 @@ class Documents:
         try:
             return self.any(where)
         except ResolveError as e:
-            raise ResolveError("BundleError", f"failed to bundle schema: {ref}: {e.message}", ref=ref) from e
+            raise ResolveError("BundleError", f"{ref} cannot be inlined: {e.message}", ref=ref) from e
 
     def capability_schema(self, url: str) -> Any:
         """Schema that a capability names, with its references inlined."""
@@ -134,21 +134,21 @@ class Documents:
             path = self._local(url)
             return self.bundle(self.file(path), Path(path).parent)
         except PayloomError as e:
-            raise ComposeError("SchemaFetch", f"failed to fetch schema from {url}: {e.message}", url=url) from e
+            raise ComposeError("SchemaFetch", f"the schema {url} cannot be had: {e.message}", url=url) from e
 
     def _local(self, url: str) -> str:
         if self.base.remote and url.startswith(self.base.remote):
             return map_prefix(url, self.base.local, self.base.remote)
         path = url_path(url)
         if path is None:
-            raise ComposeError("InvalidUrl", f"invalid URL '{url}': it has no path", url=url)
+            raise ComposeError("InvalidUrl", f"'{url}' names no document: it has no path", url=url)
         return map_prefix(path, self.base.local, None)
 
     def profile(self, url: str) -> Any:
         try:
             return self.any(url)
         except ResolveError as e:
-            raise ComposeError("ProfileFetch", f"failed to fetch profile from {url}: {e.message}", url=url) from e
+            raise ComposeError("ProfileFetch", f"the profile {url} cannot be had: {e.message}", url=url) from e
 
 
 def navigate(value: Any, pointer: str) -> Any:

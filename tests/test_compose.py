@@ -84,14 +84,14 @@ def test_containers_merge_what_extensions_say():
 def test_failures_before_and_at_reading():
     with pytest.raises(ComposeError) as e:
         compose([], Documents())
-    assert e.value.kind == "EmptyCapabilities" and "no capabilities" in e.value.message
+    assert e.value.kind == "EmptyCapabilities" and "empty" in e.value.message
     with pytest.raises(ComposeError) as e:
         compose([Capability("com.other.a", "1", "https://example.com/s.json")], Documents())
     assert e.value.kind == "NamespaceBindingViolation"
     with pytest.raises(ComposeError) as e:
         compose([cap("nowhere")], Documents())
     assert e.value.kind == "SchemaFetch" and e.value.exit_code == 3 and "failed to fetch schema" in e.value.message
-    with pytest.raises(ComposeError, match="not a self-describing payload"):
+    with pytest.raises(ComposeError, match="nothing in the payload says"):
         compose_payload({}, Documents())
 
 

@@ -55,9 +55,9 @@ def test_cli_resolve(folder, capsys):
     assert code == 0 and list(json.loads(out)["properties"]) == ["urgency", "amount", "lines"]
     code, out, _ = run(capsys, "resolve", folder / "external.json", "--response", "--op", "read", "--bundle", "--output", folder / "out.json", "--pretty")
     assert code == 0 and out == "" and json.loads((folder / "out.json").read_text())["properties"]["l"]["required"] == ["units", "part"]
-    assert "cannot infer direction" in run(capsys, "resolve", folder / "schema.json", "--op", "read")[2]
+    assert "does not tell its direction" in run(capsys, "resolve", folder / "schema.json", "--op", "read")[2]
     code, _, err = run(capsys, "resolve", folder / "payload.json", "--op", "read", "--bundle", "--schema-local-base", folder)
-    assert code == 2 and "--bundle does not apply to payload input" in err
+    assert code == 2 and "--bundle is for schemas" in err
     assert run(capsys, "resolve", folder / "payload.json", "--op", "read", "--schema-local-base", folder)[0] == 0
     assert run(capsys, "resolve", folder / "none.json", "--request", "--op", "read")[0] == 3
     assert run(capsys, "resolve", folder / "schema.json", "--request", "--op", "read", "--output", folder / "no" / "x")[0] == 3
@@ -81,7 +81,7 @@ def test_cli_validate(folder, capsys):
 
 def test_cli_compose_and_lint(spark, folder, capsys):
     assert json.loads(run(capsys, "compose", folder / "payload.json", "--schema-local-base", folder)[1])["$id"] == samples.ORDER["$id"]
-    assert "not a self-describing payload" in run(capsys, "compose", folder / "bad.json")[2]
+    assert "nothing in the payload says" in run(capsys, "compose", folder / "bad.json")[2]
     code, out, _ = run(capsys, "lint", folder, "--format", "json")
     report = json.loads(out)
     assert code == 1 and report["files_checked"] == 6 and report["failed"] == 1

@@ -90,7 +90,7 @@ def test_failures_before_and_at_reading():
     assert e.value.kind == "NamespaceBindingViolation"
     with pytest.raises(ComposeError) as e:
         compose([cap("nowhere")], Documents())
-    assert e.value.kind == "SchemaFetch" and e.value.exit_code == 3 and "failed to fetch schema" in e.value.message
+    assert e.value.kind == "SchemaFetch" and e.value.exit_code == 3 and "cannot be had" in e.value.message
     with pytest.raises(ComposeError, match="nothing in the payload says"):
         compose_payload({}, Documents())
 

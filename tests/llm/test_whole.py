@@ -118,6 +118,34 @@ def test_the_share_of_lists_follows_the_data():
     assert shares[0] > 0.3 > shares[1] and 0 < shares[1] <= 1
 
 
+def odd_vectors(kind, rng, n=3000, width=16):
+    if kind == "scales":  # half of them close to each other, far from the rest; codes tell these apart only roughly
+        x = rng.normal(size=(n, width)) * 10
+        x[::2] = 30 * np.eye(width)[0] + rng.normal(size=(n // 2, width)) * 1e-3
+    elif kind == "lengths":  # few long ones, which are near to all
+        x = rng.normal(size=(n, width)) * np.exp(rng.normal(size=(n, 1)) * 3)
+    elif kind == "asked":  # queries unlike other rows
+        x = rng.normal(size=(n, width))
+        x[::20] = x[::20] * 0.01 - 5
+    else:  # one direction for all
+        x = rng.normal(size=(n, width)) + 1000
+    return x
+
+
+@pytest.mark.parametrize("kind", ["scales", "lengths", "asked", "shifted"])
+def test_nothing_near_is_missed_whatever_the_rows(spark, kind, monkeypatch):
+    monkeypatch.setattr(ivfpq, "SAMPLE", 600)
+    x = odd_vectors(kind, np.random.default_rng(34))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {q: [] for q in range(0, len(x), 20)}
+    for r in ivfpq.neighbours(frame, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q, found in got.items():
+        scores = (x * x[q]).sum(1)
+        scores[q] = -np.inf
+        assert found == np.lexsort((np.arange(len(x)), -scores))[:20].tolist()
+
+
 # op7_secret_scan.
 
 

@@ -107,6 +107,11 @@ def from_nodes(found: DataFrame, operations: tuple[str, ...] = OPERATIONS, vocab
     return reduce(DataFrame.unionByName, rules)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus; Spark takes nodes for as small as the table that they were made from, and would broadcast them."""
+    return df.hint("merge")
+
+
 def _rows(df: DataFrame, code: str, path: Column, message: Column) -> DataFrame:
     severity = "error" if code.startswith("E") else "warning"
     return df.select(F.col("uri").alias("file"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.alias("path"), message.alias("message"))
@@ -134,12 +139,12 @@ def _references(read: DataFrame) -> list[DataFrame]:
     own = refs.where(F.col("ref").startswith("#") & (F.col("ref") != "#")).withColumn("to_uri", F.col("uri"))
     other = refs.where("target_uri is not null").withColumn("to_uri", F.col("target_uri"))
     # a file that is there but cannot be read has no nodes with anchors; that is told once, by E001
-    known = other.where("fragment is not null and fragment <> '#'").join(files, "to_uri", "left_semi")
+    known = other.where("fragment is not null and fragment <> '#'").join(_shuffled(files), "to_uri", "left_semi")
     anchored = own.unionByName(known).withColumn("to_anchor", canonical_anchor(F.col("fragment")))
-    missing = anchored.join(there, ["to_uri", "to_anchor"], "left_anti")
+    missing = anchored.join(_shuffled(there), ["to_uri", "to_anchor"], "left_anti")
     return [
         _rows(missing, "E003", F.col("pointer"), _said("anchor not found: ", F.col("ref"))),
-        _rows(other.join(files, "to_uri", "left_anti"), "E002", F.col("pointer"), _said("file not found: ", F.substring_index("ref", "#", 1))),
+        _rows(other.join(_shuffled(files), "to_uri", "left_anti"), "E002", F.col("pointer"), _said("file not found: ", F.substring_index("ref", "#", 1))),
     ]
 
 
@@ -194,7 +199,7 @@ def _requires(read: DataFrame) -> list[DataFrame]:
         _rows(sound.where(has_most & most.isNull()), "E006", _said(here, "/max"), F.lit('"max" must be a string')),
         _rows(sound.where(most.isNotNull() & ~is_version_col(F.coalesce(most, F.lit("")))), "E006", _said(here, "/max"), _said('invalid version "', most, '": YYYY-MM-DD is expected')),
         _rows(sound.where(is_version_col(F.coalesce(most, F.lit(""))) & (least > most)), "W004", here, _said("min (", least, ") is after max (", most, ")")),
-        _rows(named.join(defs, ["uri", "key"], "left_anti"), "E007", here, _said('"', F.col("key"), '" of requires.capabilities is not in $defs')),
+        _rows(named.join(_shuffled(defs), ["uri", "key"], "left_anti"), "E007", here, _said('"', F.col("key"), '" of requires.capabilities is not in $defs')),
     ]
 
 

@@ -89,3 +89,10 @@ def test_cli_compose_and_lint(spark, folder, capsys):
     assert code == 0 and "1 files checked: 1 passed" in out
     assert run(capsys, "lint", folder / "none")[0] == 2
     assert run(capsys, "lint", folder / "bad.json", "--strict")[0] == 1
+
+
+def test_nothing_of_a_corpus_is_broadcast(spark):
+    corpus = samples.corpus(spark)
+    found = lint.diagnostics(corpus)
+    for frame in (found,):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()

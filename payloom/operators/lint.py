@@ -206,7 +206,7 @@ def _requires(read: DataFrame) -> list[DataFrame]:
 def file_results(corpus: DataFrame, found: DataFrame) -> DataFrame:
     """file, n_errors, n_warnings, status of every document of the corpus."""
     counts = found.groupBy("file").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
-    every = corpus.select(F.col("uri").alias("file")).join(counts, "file", "left").na.fill(0, ["n_errors", "n_warnings"])
+    every = corpus.select(F.col("uri").alias("file")).join(_shuffled(counts), "file", "left").na.fill(0, ["n_errors", "n_warnings"])
     return every.withColumn("status", F.when(F.col("n_errors") > 0, "error").when(F.col("n_warnings") > 0, "warning").otherwise("ok"))
 
 

@@ -94,5 +94,5 @@ def test_cli_compose_and_lint(spark, folder, capsys):
 def test_nothing_of_a_corpus_is_broadcast(spark):
     corpus = samples.corpus(spark)
     found = lint.diagnostics(corpus)
-    for frame in (found,):
+    for frame in (found, lint.file_results(corpus, found)):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -65,7 +65,12 @@ def errors_of(v: Column, plain: Any) -> Column:
 
 
 def _errors_by(compiled: Compiled, v: Column) -> Column:
-    return machine.errors(v, machine.constant(compiled.rules), compiled.rules.steps, compiled.rules.annotated) if compiled.large else compiled.errors(v)
+    """By expressions, where the rules are few or the value is no deeper than loops are written out; else by the machine, which is slower and says the same."""
+    if not compiled.large:
+        return compiled.errors(v)
+    by_machine = machine.errors(v, machine.constant(compiled.rules), compiled.rules.steps, compiled.rules.annotated)
+    flat = compiled.rules.written_out() if compiled.rules.loops else None
+    return by_machine if flat is None else F.when(machine.depth(v) <= flat[1], Compiled.of(flat[0]).errors(v)).otherwise(by_machine)
 
 
 def validate(payloads: DataFrame, schema: Any, options: ResolveOptions, column: str = "payload") -> DataFrame:

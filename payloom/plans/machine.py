@@ -178,7 +178,7 @@ def _levels(v: Column, rules: Column, rounds: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), rounds), begun, step)["levels"]
 
 
-def _depth(v: Column) -> Column:
+def depth(v: Column) -> Column:
     """How deep a value's brackets go."""
     marks = F.regexp_extract_all(F.to_json(v), F.lit(r'"(?:[^"\\]|\\.)*+"|[\[{\]}]'), F.lit(0))
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
@@ -283,7 +283,7 @@ def _result(o: Column, r: Column, found: Column, annotated: bool) -> Column:
 
 def errors(v: Column, rules: Column, steps: int | Column, annotated: bool = True) -> Column:
     """Errors of a value by the rules of type RULES beside it, of which the first is the root. steps: how many rules follow on each other in place."""
-    rounds = (_depth(v) + 1) * F.lit(steps) if isinstance(steps, int) else (_depth(v) + 1) * steps
+    rounds = (depth(v) + 1) * F.lit(steps) if isinstance(steps, int) else (depth(v) + 1) * steps
     nothing = F.array().cast(f"array<{RESULT}>")
 
     done = let(rules, lambda known: F.aggregate(F.reverse(_levels(v, known, rounds)), nothing, lambda below, level: _up(below, level, known, annotated)))

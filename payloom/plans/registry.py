@@ -24,6 +24,8 @@ IN_PLACE = ("$ref", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "dep
 BELOW = ("properties", "patternProperties", "additionalProperties", "propertyNames", "prefixItems", "items", "contains", "unevaluatedProperties", "unevaluatedItems")
 #: Subschemas that a schema may come to when references are followed, up to which it is one expression.
 EXPANDED = 4000
+#: Steps into the value up to which a schema that contains itself is written out, and subschemas that it may come to by that.
+DEEP, WRITTEN_OUT = 4, 400
 
 
 def invalid(message: str, **details: Any) -> ResolveError:
@@ -156,6 +158,38 @@ class Rules:
                     longest[at] = 1 + max((longest[c] for c in self.children(at, IN_PLACE)), default=0)
         return max(longest.values(), default=1)
 
+    def written_out(self) -> tuple[Rules, int] | None:
+        """Rules without loops that say the same of values as deep as the number beside them; None where even flat values would need too many."""
+        for depth in range(DEEP, 0, -1):
+            found = self._down_to(depth)
+            if found.expanded <= WRITTEN_OUT:
+                return found, depth
+        return None
+
+    def _down_to(self, depth: int) -> Rules:
+        numbers, nodes, pending = {(0, 0): 0}, [None], [(0, 0)]
+
+        def number(rule: int, steps: int) -> int:
+            if (rule, steps) not in numbers:
+                numbers[rule, steps] = len(nodes)
+                nodes.append(None)
+                pending.append((rule, steps))
+            return numbers[rule, steps]
+
+        while pending:
+            rule, steps = pending.pop()
+            node = self.nodes[rule]
+            if isinstance(node, dict) and steps > depth:
+                node = True  # no value is there
+            elif isinstance(node, dict):
+                node = dict(node)
+                for k in IN_PLACE + BELOW:
+                    if k in node:
+                        held, at = node[k], steps + (k in BELOW)
+                        node[k] = number(held, at) if isinstance(held, int) else {n: number(r, at) for n, r in held.items()} if isinstance(held, dict) else [number(r, at) for r in held]
+            nodes[numbers[rule, steps]] = node
+        return Rules.of(nodes)
+
     def children(self, number: int, keywords: tuple[str, ...] = IN_PLACE + BELOW) -> list[int]:
         node, found = self.nodes[number], []
         if isinstance(node, dict):

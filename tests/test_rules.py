@@ -254,3 +254,20 @@ def test_many_sets_of_capabilities_in_one_plan(spark):
     plan = lambda df: re.sub(r"[0-9]+", "", df._jdf.queryExecution().optimizedPlan().toString())
     assert len(plan(few)) == len(plan(many))
     assert {r.id: r.exit_code for r in many.select("id", "exit_code").collect()} == {i: int(2 > i % 5) for i in range(300)}
+
+
+def test_shallow_values_go_by_written_out_rules(spark):
+    from payloom.model import ResolveOptions
+    from payloom.operators.validate import error_rows, validate
+    from payloom.plans.interpreter import violations
+    from payloom.plans.registry import DEEP, rules
+
+    schema = {"type": "object", "properties": {"n": {"maximum": 3}, "next": {"$ref": "#"}, "all": {"items": {"anyOf": [{"$ref": "#"}, {"const": 1}]}}}, "unevaluatedProperties": False}
+    flat, depth = rules(schema).written_out()
+    assert not flat.large and 1 < depth <= DEEP
+    values = [{"n": 5, "all": [1, 2, {"n": 4}, {"all": [3]}]}]
+    for i in range(DEEP + 2):
+        values.append({"n": i, "next": values[-1], **({"odd": 1} if i % 3 == 0 else {})})
+    frame = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "id int, payload string")
+    found = sorted((r.id, r.path, r.keyword) for r in error_rows(validate(frame, schema, ResolveOptions("response", "read")), "id").collect())
+    assert found == sorted((i, e.path, e.keyword) for i, v in enumerate(values) for e in violations(schema, v))

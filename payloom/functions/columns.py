@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, use) -> Column:
-    """use(value), with value computed once, also where use() puts it into other functions' lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with value computed once, also where use() puts it into other functions' lambdas.
+
+    An aggregate over nothing hands its first value to its last step. get(transform(array(value), use), 0) gives the same, but
+    works out the type of all that use() holds again for each row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
+
+
+def joined(arrays: Column) -> Column:
+    """Arrays in one; flatten() asks for the type of its argument for each row, which let() has at hand."""
+    return let(arrays, F.flatten)
+
+
+def count(array: Column) -> Column:
+    """The size of an array that takes a long expression, of which size() would ask the type for each row."""
+    return let(array, F.size)
 
 
 #: Entries of an array that are added up at once.
@@ -27,12 +41,15 @@ def starts(sizes: Column) -> Column:
     return let(sizes, lambda n: F.when(F.size(n) == 0, n).otherwise(let(F.transform(F.sequence(F.lit(0), last(n)), lambda b: add(F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK)))), lambda blocks: running(blocks, n))))
 
 
+def quoted(name: str) -> str | None:
+    """A name as a step of a variant path, which has no escapes; None for one with both quotes."""
+    return next((f"[{quote}{name}{quote}]" for quote in "'\"" if quote not in name), None)
+
+
 def member(v: Column, name: str) -> Column:
     """Member of a variant object: NULL only if it is missing; a JSON null is a variant null."""
-    for quote in "'\"":
-        if quote not in name:  # a path has no escapes
-            return F.try_variant_get(v, f"$[{quote}{name}{quote}]", "variant")
-    return F.try_element_at(members(v), F.lit(name))
+    step = quoted(name)
+    return F.try_variant_get(v, f"${step}", "variant") if step else F.try_element_at(members(v), F.lit(name))
 
 
 def at_pointer(v: Column, pointer: str) -> Column:
@@ -47,6 +64,16 @@ def members(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def keys(v: Column) -> Column:
+    """Names of a variant object's members, which are not copied for it; NULL for anything else."""
+    return F.map_keys(F.try_variant_get(v, "$", "map<string,struct<>>"))
+
+
+def places(v: Column) -> Column:
+    """An array as long as a variant array, whose items are not copied for it; NULL for anything else."""
+    return F.try_variant_get(v, "$", "array<struct<>>")
+
+
 def elements(v: Column) -> Column:
     """A variant array as an array, NULL for anything else."""
     return F.try_variant_get(v, "$", "array<variant>")
@@ -61,19 +88,19 @@ def number(v: Column) -> Column:
 
 
 def json_type(v: Column) -> Column:
-    """object, array, string, boolean, null or number; NULL for a missing value."""
+    """object, array, string, boolean, null or number; NULL for a missing value. Only values that hold none are asked for their schema, which takes all that is within."""
 
     def named(kind: Column) -> Column:
         return (
-            F.when(kind.startswith("OBJECT"), "object")
-            .when(kind.startswith("ARRAY"), "array")
-            .when(kind == "STRING", "string")
+            F.when(kind == "STRING", "string")
             .when(kind == "BOOLEAN", "boolean")
             .when(kind == "VOID", "null")
             .otherwise("number")
         )
 
-    return let(v, lambda x: F.when(x.isNotNull(), let(F.schema_of_variant(x), named)))
+    is_ = lambda x, shape: F.try_variant_get(x, "$", shape).isNotNull()
+    inner = lambda x: F.when(is_(x, "struct<>"), "object").when(is_(x, "array<struct<>>"), "array").otherwise(let(F.schema_of_variant(x), named))
+    return let(v, lambda x: F.when(x.isNotNull(), inner(x)))
 
 
 _TOKEN = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
@@ -114,6 +141,12 @@ def parsed(text: Column) -> Column:
     return F.when(~(text.rlike("[0-9][eE][+]?[0-9]{3}|[0-9]{309}") & beyond), F.try_parse_json(text))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to all cores by keys. Checks take far longer than their bytes let Spark expect, which would leave small tables to one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def with_variant(rows: DataFrame, name: str, v: Column) -> DataFrame:
     """rows with a variant; where it is parsed in v, of repeated keys the last one counts."""
     conf, key = rows.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"

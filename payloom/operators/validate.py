@@ -18,7 +18,7 @@ from ..functions.columns import json_type, member, members, parsed, text, with_v
 from ..functions.names import short_name
 from ..model import BAD_SCHEMA, DEFAULT, INVALID, OK, Capability, Invalid, PayloomError, ResolveOptions, Vocabulary
 from ..plans import machine
-from ..plans.compiler import ERRORS, Compiled, error
+from ..plans.compiler import ERRORS, Compiled, error, errors_in_rounds
 from ..plans.compose import compose, detect_direction, envelope_body, parse_capabilities, payload_capabilities, profile_capabilities
 from ..plans.drafts import readable
 from ..plans.interpreter import violations
@@ -65,9 +65,12 @@ def errors_of(v: Column, plain: Any) -> Column:
 
 
 def _errors_by(compiled: Compiled, v: Column) -> Column:
-    """By expressions, where the rules are few or the value is no deeper than loops are written out; else by the machine, which is slower and says the same."""
+    """By expressions, where the rules are few, loops only add errors, or the value is no deeper than loops are written out; else by the machine, which is slower and says the same."""
     if not compiled.large:
         return compiled.errors(v)
+    rounds = compiled.rules.in_rounds() if compiled.rules.loops else None
+    if rounds is not None:
+        return errors_in_rounds(v, rounds, (machine.depth(v) + 1) * compiled.rules.steps)
     by_machine = machine.errors(v, machine.constant(compiled.rules), compiled.rules.steps, compiled.rules.annotated)
     flat = compiled.rules.written_out() if compiled.rules.loops else None
     return by_machine if flat is None else F.when(machine.depth(v) <= flat[1], Compiled.of(flat[0]).errors(v)).otherwise(by_machine)

@@ -16,9 +16,9 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical, elements, json_type, let, member, members, number, text
+from ..functions.columns import canonical, count, elements, joined, json_type, keys, let, member, members, number, places, quoted, text
 from .drafts import portable
-from .registry import Rules, rules
+from .registry import ADDING, Rules, rules
 
 ERRORS = "array<struct<path:string,keyword:string,message:string>>"
 #: What a rule comes to where others ask for more than its errors.
@@ -101,10 +101,10 @@ class Value:
         return F.concat(self.path, F.lit("/"), F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
 
     def keys(self) -> Column:
-        return F.coalesce(F.map_keys(members(self.v)), no_names())
+        return F.coalesce(keys(self.v), no_names())
 
     def indices(self) -> Column:
-        return F.coalesce(F.transform(elements(self.v), lambda e, i: i), no_items())
+        return F.coalesce(F.transform(places(self.v), lambda e, i: i), no_items())
 
     def when(self, kind: str, errors: Column) -> Column:
         return F.when(self.kind == kind, errors).otherwise(none())
@@ -112,25 +112,30 @@ class Value:
 
 class Compiled:
     def __init__(self, schema: Any):
-        self.rules = rules(schema)
+        self.rules, self._silent = rules(schema), {}
 
     @classmethod
     def of(cls, found: Rules) -> Compiled:
         made = cls.__new__(cls)
-        made.rules = found
+        made.rules, made._silent = found, {}
         return made
 
     @property
     def large(self) -> bool:
         return self.rules.large
 
-    def errors(self, v: Column) -> Column:
-        return self._at(0, v, F.lit(""))
+    def errors(self, v: Column, path: Column | None = None) -> Column:
+        return self._at(0, v, F.lit("") if path is None else path)
 
     def _plain(self, rule: int) -> bool | None:
         """True or False for a rule that needs no look at the value."""
         node = self.rules.nodes[rule]
-        return node if isinstance(node, bool) else None
+        if isinstance(node, bool):
+            return node
+        if rule not in self._silent:
+            checks = node.keys() & (KEYWORDS.keys() | IN_PLACE.keys() | {"unevaluatedProperties", "unevaluatedItems"})
+            self._silent[rule] = all(k in ADDING and all(self._plain(c) is True for c in self.rules.children(rule, (k,))) for k in checks)
+        return True if self._silent[rule] else None
 
     # One value.
 
@@ -166,7 +171,7 @@ class Compiled:
         return found[0] if len(found) == 1 else F.concat(*found) if found else none()
 
     def _passes(self, rule: int, x: Value) -> Column:
-        return F.lit(True) if self._plain(rule) is True else F.size(self._errors(rule, x)) == 0
+        return F.lit(True) if self._plain(rule) is True else count(self._errors(rule, x)) == 0
 
     # Keywords; each gives errors, or None where there is nothing to check.
 
@@ -238,16 +243,16 @@ class Compiled:
     def _entries(self, x, schema, wanted) -> Column:
         """Errors of the members whose names are wanted."""
         entries = F.filter(F.map_entries(members(x.v)), lambda e: wanted(e["key"]))
-        return x.when("object", F.flatten(F.transform(entries, lambda e: self._at(schema, e["value"], x.below_col(e["key"])))))
+        return x.when("object", joined(F.transform(entries, lambda e: self._at(schema, e["value"], x.below_col(e["key"])))))
 
     def _pattern_properties(self, schema, patterns, x):
         checks = [self._entries(x, s, _matching(p)) for p, s in patterns.items()]
         return F.concat(*checks) if checks else None
 
     def _property_names(self, schema, names, x):
-        keys = F.map_keys(members(x.v))
+        held = keys(x.v)
         named = lambda k: F.try_variant_get(F.parse_json(F.to_json(F.array(k))), "$[0]", "variant")  # noqa: E731  the name as a value
-        return x.when("object", F.flatten(F.transform(keys, lambda k: self._at(names, named(k), x.path))))
+        return x.when("object", joined(F.transform(held, lambda k: self._at(names, named(k), x.path))))
 
     @staticmethod
     def _unknown(schema, key) -> Column:
@@ -262,7 +267,7 @@ class Compiled:
         if self._plain(extra) is True:
             return None
         if self._plain(extra) is False:
-            return x.when("object", self._strangers(F.filter(F.map_keys(members(x.v)), lambda k: self._unknown(schema, k)), x, "additionalProperties"))
+            return x.when("object", self._strangers(F.filter(keys(x.v), lambda k: self._unknown(schema, k)), x, "additionalProperties"))
         return self._entries(x, extra, lambda k: self._unknown(schema, k))
 
     @staticmethod
@@ -283,7 +288,7 @@ class Compiled:
             return None
         skip = len(schema.get("prefixItems", ()))
         rest = elements(x.v) if not skip else F.slice(elements(x.v), skip + 1, 1 << 30)
-        return x.when("array", F.flatten(F.transform(rest, lambda e, i: self._at(items, e, F.concat(x.path, F.lit("/"), (i + skip).cast("string"))))))
+        return x.when("array", joined(F.transform(rest, lambda e, i: self._at(items, e, F.concat(x.path, F.lit("/"), (i + skip).cast("string"))))))
 
     def _prefix_items(self, schema, prefix, x):
         checks = [self._if_there(s, F.get(elements(x.v), F.lit(i)), x.below(str(i))) for i, s in enumerate(prefix)]
@@ -297,7 +302,7 @@ class Compiled:
 
     def _contains(self, schema, wanted, x):
         least, most = schema.get("minContains", 1), schema.get("maxContains")
-        fit = F.size(F.filter(elements(x.v), lambda e: F.size(self._at(wanted, e, F.lit(""))) == 0))
+        fit = F.size(F.filter(elements(x.v), lambda e: count(self._at(wanted, e, F.lit(""))) == 0))
         holds = lambda n: (n >= least) & (n <= most if most is not None else F.lit(True))
         return x.when("array", let(fit, lambda n: unless(holds(n), x.path, "contains", f"must contain {least} to {most if most is not None else 'any number of'} fitting items")))
 
@@ -382,7 +387,7 @@ class Compiled:
             return [x.indices()]
         parts = [F.filter(x.indices(), lambda i: i < len(node["prefixItems"]))] if "prefixItems" in node else []
         if "contains" in node:
-            parts.append(F.filter(x.indices(), lambda i: F.size(self._at(node["contains"], F.get(elements(x.v), i), F.lit(""))) == 0))
+            parts.append(F.filter(x.indices(), lambda i: count(self._at(node["contains"], F.get(elements(x.v), i), F.lit(""))) == 0))
         return parts
 
     def _unevaluated(self, extra: int, seen: Column, x: Value) -> Column:
@@ -395,7 +400,74 @@ class Compiled:
         left = F.array_except(x.indices(), seen)
         if self._plain(extra) is False:
             return x.when("array", let(left, lambda n: F.when(F.size(n) > 0, error(x.path, "unevaluatedItems", F.concat(F.lit("not allowed: "), F.array_join(n.cast("array<string>"), ", ")))).otherwise(none())))
-        return x.when("array", F.flatten(F.transform(left, lambda i: self._at(extra, F.get(elements(x.v), i), F.concat(x.path, F.lit("/"), i.cast("string"))))))
+        return x.when("array", joined(F.transform(left, lambda i: self._at(extra, F.get(elements(x.v), i), F.concat(x.path, F.lit("/"), i.cast("string"))))))
+
+
+#: A value that is still to be held against a rule.
+TASK = "struct<v:variant,rule:int,path:string>"
+
+
+class Leading:
+    """Of rules as Rules.in_rounds() gives them second, the values that they lead on to, each with the number of its rule."""
+
+    def __init__(self, found: Rules):
+        self.rules = found
+
+    def tasks(self, v: Column, path: Column, rule: int = 0, at: str = "$") -> Column | None:
+        """Of the value at the variant path at, which is taken out only where it is needed: that copies all that is within."""
+        node = self.rules.nodes[rule]
+        if isinstance(node, bool):
+            return None
+        value = v if at == "$" else F.try_variant_get(v, at, "variant")
+        if "const" in node:
+            return let(value, lambda y: F.when(y.isNotNull(), F.array(F.struct(y.alias("v"), F.lit(node["const"]).alias("rule"), path.alias("path"))).cast(f"array<{TASK}>")))
+        x = Value(value, F.lit(""), path)
+        parts = [self.tasks(v, path, c, at) for k in ("$ref", "allOf") for c in node.get(k, ())]
+        for n, c in node.get("properties", {}).items():
+            if self._leads(c):
+                parts.append(self.tasks(v, x.below(n), c, at + quoted(n)) if quoted(n) else let(member(value, n), lambda y: self.tasks(y, x.below(n), c)))
+        some = [(c, _matching(p)) for p, c in node.get("patternProperties", {}).items() if self._leads(c)]
+        if self._leads(node.get("additionalProperties")):
+            some.append((node["additionalProperties"], lambda k: Compiled._unknown(node, k)))
+        for c, wanted in some:
+            entries = F.filter(F.map_entries(members(value)), lambda e: wanted(e["key"]))
+            parts.append(joined(F.transform(entries, lambda e: F.coalesce(self.tasks(e["value"], x.below_col(e["key"]), c), no_tasks()))))
+        items = F.try_variant_get(v, at, "array<variant>")
+        parts += [let(F.get(items, F.lit(i)), lambda y: self.tasks(y, x.below(str(i)), c)) for i, c in enumerate(node.get("prefixItems", ())) if self._leads(c)]
+        if self._leads(node.get("items")):
+            skip = len(node.get("prefixItems", ()))
+            rest = items if not skip else F.slice(items, skip + 1, 1 << 30)
+            parts.append(joined(F.transform(rest, lambda e, i: F.coalesce(self.tasks(e, F.concat(path, F.lit("/"), (i + skip).cast("string")), node["items"]), no_tasks()))))
+        parts = [F.coalesce(p, no_tasks()) for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+
+    def _leads(self, rule: int | None) -> bool:
+        return rule is not None and not isinstance(self.rules.nodes[rule], bool)
+
+
+def no_tasks() -> Column:
+    return F.array().cast(f"array<{TASK}>")
+
+
+def errors_in_rounds(v: Column, found: dict[int, tuple[Rules, Rules]], rounds: Column) -> Column:
+    """Errors by the rules of Rules.in_rounds(): each round holds the values that the one before led on to against their rules."""
+
+    def told(t: Column) -> Column:
+        errors, on = none(), no_tasks()
+        for rule, (own, leading) in found.items():
+            errors = F.when(t["rule"] == rule, Compiled.of(own).errors(t["v"], t["path"])).otherwise(errors)
+            tasks = Leading(leading).tasks(t["v"], t["path"])
+            on = on if tasks is None else F.when(t["rule"] == rule, tasks).otherwise(on)
+        return F.struct(errors.alias("errors"), on.alias("tasks"))
+
+    def step(acc: Column, _: Column) -> Column:
+        made = lambda m: F.struct(F.concat(acc["errors"], F.array(joined(F.transform(m, lambda t: t["errors"])))).alias("errors"), joined(F.transform(m, lambda t: t["tasks"])).alias("tasks"))
+        return F.when(F.size(acc["tasks"]) == 0, acc).otherwise(let(F.transform(acc["tasks"], told), made)).cast(kept)
+
+    kept = f"struct<errors:array<{ERRORS}>,tasks:array<{TASK}>>"
+    first = F.array(F.struct(v.alias("v"), F.lit(0).alias("rule"), F.lit("").alias("path")))
+    begun = F.struct(F.array().cast(f"array<{ERRORS}>").alias("errors"), first.alias("tasks")).cast(kept)
+    return joined(F.aggregate(F.sequence(F.lit(1), rounds), begun, step)["errors"])
 
 
 def _matching(pattern: str):
@@ -420,13 +492,13 @@ KEYWORDS = {
     "patternProperties": _C._pattern_properties,
     "propertyNames": _C._property_names,
     "additionalProperties": _C._additional,
-    "minProperties": _C._count("minProperties", "object", lambda v: F.size(members(v)), lambda n, b: n >= b, "must have members, at least"),
-    "maxProperties": _C._count("maxProperties", "object", lambda v: F.size(members(v)), lambda n, b: n <= b, "must have members, at most"),
+    "minProperties": _C._count("minProperties", "object", lambda v: F.size(keys(v)), lambda n, b: n >= b, "must have members, at least"),
+    "maxProperties": _C._count("maxProperties", "object", lambda v: F.size(keys(v)), lambda n, b: n <= b, "must have members, at most"),
     "dependentRequired": _C._dependent_required,
     "prefixItems": _C._prefix_items,
     "items": _C._items,
-    "minItems": _C._count("minItems", "array", lambda v: F.size(elements(v)), lambda n, b: n >= b, "must have items, at least"),
-    "maxItems": _C._count("maxItems", "array", lambda v: F.size(elements(v)), lambda n, b: n <= b, "must have items, at most"),
+    "minItems": _C._count("minItems", "array", lambda v: F.size(places(v)), lambda n, b: n >= b, "must have items, at least"),
+    "maxItems": _C._count("maxItems", "array", lambda v: F.size(places(v)), lambda n, b: n <= b, "must have items, at most"),
     "uniqueItems": _C._unique,
     "contains": _C._contains,
 }

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical, elements, json_type, let, members, number, starts, text
+from ..functions.columns import canonical, elements, joined, json_type, keys, let, members, number, places, starts, text
 from .compiler import ANY_OF, ERRORS, NOT, ONE_OF, error, is_large, no_items, no_names, none, short, whole
 from .drafts import portable
 from .registry import Rules
@@ -157,8 +157,8 @@ def _below(o: Column, r: Column) -> Column:
         left = F.when(~r["no_left_items"], r["left_items"])
         return F.concat(_if_any(own, down(own, "down")), _if_any(r["contains"], down(r["contains"], "contains")), _if_any(left, down(left, "left")))
 
-    objects = F.when(o["kind"] == "object", F.flatten(F.transform(F.map_entries(held), member_tasks)))
-    arrays = F.when(o["kind"] == "array", F.flatten(F.transform(elements(o["v"]), item_tasks)))
+    objects = F.when(o["kind"] == "object", joined(F.transform(F.map_entries(held), member_tasks)))
+    arrays = F.when(o["kind"] == "array", joined(F.transform(elements(o["v"]), item_tasks)))
     return F.concat(*in_place, F.coalesce(objects, arrays, _tasks()))
 
 
@@ -171,7 +171,7 @@ def _levels(v: Column, rules: Column, rounds: Column) -> Column:
         def placed(next_: Column) -> Column:
             at = starts(F.transform(next_, F.size))
             level = let(at, lambda s: F.transform(acc["last"], lambda o, j: F.struct(*(o[k].alias(k) for k in ("v", "kind", "rule", "path", "op", "key")), F.get(s, j).alias("start"), F.size(F.get(next_, j)).alias("below"))))
-            return F.struct(F.concat(acc["levels"], F.array(level.cast(_LEVEL))).alias("levels"), F.flatten(next_).cast(f"array<{TASK}>").alias("last"))
+            return F.struct(F.concat(acc["levels"], F.array(level.cast(_LEVEL))).alias("levels"), joined(next_).cast(f"array<{TASK}>").alias("last"))
 
         return F.when(F.size(acc["last"]) == 0, acc).otherwise(let(F.transform(acc["last"], lambda o: let(F.get(rules, o["rule"]), lambda r: _below(o, r))), placed))
 
@@ -217,7 +217,7 @@ def _own(o: Column, r: Column) -> Column:
     near = F.abs(ratio - F.round(ratio)) < 1e-9
     near = F.when(of["exact"].isNotNull(), (number(v) % F.lit(1.0) == 0) & F.coalesce(whole(v) % of["exact"] == 0, near)).otherwise(near)
     checks.append(F.when(is_("number") & of.isNotNull(), _unless(near, o, "multipleOf", F.concat(F.lit("must be a multiple of "), of["text"]))).otherwise(none()))
-    sizes = {"string": F.char_length(text(v)), "array": F.size(elements(v)), "object": F.size(members(v))}
+    sizes = {"string": F.char_length(text(v)), "array": F.size(places(v)), "object": F.size(keys(v))}
     for k, (what, words, holds) in _COUNTS.items():
         checks.append(F.when(is_(what) & r[k].isNotNull(), _unless(holds(sizes[what], r[k]), o, k, F.concat(F.lit(f"must have {words} "), r[k].cast("string")))).otherwise(none()))
     checks.append(F.when(is_("string") & r["pattern"].isNotNull(), _unless(F.rlike(text(v), r["pattern"]), o, "pattern", F.concat(F.lit("must match "), r["pattern_text"]))).otherwise(none()))
@@ -226,7 +226,7 @@ def _own(o: Column, r: Column) -> Column:
         missing = F.filter(r["required"], lambda n: ~F.map_contains_key(held, n["name"]))
         without = F.filter(r["needs"], lambda n: F.map_contains_key(held, n["name"]) & ~F.map_contains_key(held, n["needed"]))
         stranger = F.when(r["no_additional"], _strangers(F.filter(F.map_keys(held), lambda k: _free(r, k)), o, "additionalProperties"))
-        told = lambda faults, keyword: F.coalesce(F.flatten(F.transform(faults, lambda n: error(o["path"], keyword, n["text"]))), none())
+        told = lambda faults, keyword: F.coalesce(joined(F.transform(faults, lambda n: error(o["path"], keyword, n["text"]))), none())
         return F.concat(told(missing, "required"), F.coalesce(stranger, none()), told(without, "dependentRequired"))
 
     checks.append(F.when(is_("object"), let(members(v), of_object)).otherwise(none()))
@@ -247,7 +247,7 @@ def _result(o: Column, r: Column, found: Column, annotated: bool) -> Column:
     """RESULT of a task, from those of the tasks that it asked for."""
     of = lambda *ops: F.filter(found, lambda c: c["op"].isin(*ops))
     count = lambda op: F.size(F.filter(found, lambda c: (c["op"] == op) & _passed(c)))
-    errors = lambda *ops: F.flatten(F.transform(of(*ops), lambda c: c["errors"]))
+    errors = lambda *ops: joined(F.transform(of(*ops), lambda c: c["errors"]))
     holds = F.exists(found, lambda c: (c["op"] == "if") & _passed(c))
     most = F.coalesce(r["max_contains"].cast("string"), F.lit("any number of"))
     least = F.coalesce(r["min_contains"], F.lit(1))
@@ -265,18 +265,18 @@ def _result(o: Column, r: Column, found: Column, annotated: bool) -> Column:
         return F.struct(o["op"].alias("op"), o["key"].alias("key"), F.concat(*made).alias("errors"), no_names().alias("names"), no_items().alias("items"))
 
     applied = F.filter(found, lambda c: _passed(c) & (c["op"].isin("every", "any", "one", "if") | (c["op"] == F.when(holds, "then").otherwise("else"))))
-    names, places = F.when(o["kind"] == "object", F.map_keys(members(o["v"]))), F.when(o["kind"] == "array", F.transform(elements(o["v"]), lambda e, i: i))
+    names, spots = F.when(o["kind"] == "object", keys(o["v"])), F.when(o["kind"] == "array", F.transform(places(o["v"]), lambda e, i: i))
     prefix = F.when(r["prefix"].isNull(), 0).otherwise(F.size(r["prefix"]))
     contained = F.transform(F.filter(found, lambda c: (c["op"] == "contains") & _passed(c)), lambda c: c["key"].try_cast("int"))
-    seen = F.when(r["additional"].isNotNull(), names).otherwise(F.concat(F.filter(names, lambda k: ~_free(r, k)), F.flatten(F.transform(applied, lambda c: c["names"]))))
-    done = F.when(r["items"].isNotNull(), places).otherwise(F.concat(F.filter(places, lambda i: i < prefix), contained, F.flatten(F.transform(applied, lambda c: c["items"]))))
+    seen = F.when(r["additional"].isNotNull(), names).otherwise(F.concat(F.filter(names, lambda k: ~_free(r, k)), joined(F.transform(applied, lambda c: c["names"]))))
+    done = F.when(r["items"].isNotNull(), spots).otherwise(F.concat(F.filter(spots, lambda i: i < prefix), contained, joined(F.transform(applied, lambda c: c["items"]))))
     seen, done = F.coalesce(seen, no_names()), F.coalesce(done, no_items())
 
     def put_together(s: Column) -> Column:
         left = F.filter(found, lambda c: (c["op"] == "left") & F.when(o["kind"] == "object", ~F.array_contains(s["names"], c["key"])).otherwise(~F.array_contains(s["items"], c["key"].try_cast("int"))))
-        strange = F.when(r["no_left_names"] & names.isNotNull(), _strangers(F.array_except(names, s["names"]), o, "unevaluatedProperties")).when(r["no_left_items"] & places.isNotNull(), _strangers(F.array_except(places, s["items"]), o, "unevaluatedItems"))
-        every = F.concat(*made, F.flatten(F.transform(left, lambda c: c["errors"])), F.coalesce(strange, none()))
-        return F.struct(o["op"].alias("op"), o["key"].alias("key"), every.alias("errors"), F.when(r["left_names"].isNotNull() & names.isNotNull(), names).otherwise(s["names"]).alias("names"), F.when(r["left_items"].isNotNull() & places.isNotNull(), places).otherwise(s["items"]).alias("items"))
+        strange = F.when(r["no_left_names"] & names.isNotNull(), _strangers(F.array_except(names, s["names"]), o, "unevaluatedProperties")).when(r["no_left_items"] & spots.isNotNull(), _strangers(F.array_except(spots, s["items"]), o, "unevaluatedItems"))
+        every = F.concat(*made, joined(F.transform(left, lambda c: c["errors"])), F.coalesce(strange, none()))
+        return F.struct(o["op"].alias("op"), o["key"].alias("key"), every.alias("errors"), F.when(r["left_names"].isNotNull() & names.isNotNull(), names).otherwise(s["names"]).alias("names"), F.when(r["left_items"].isNotNull() & spots.isNotNull(), spots).otherwise(s["items"]).alias("items"))
 
     return let(F.struct(seen.alias("names"), done.alias("items")), put_together)
 

@@ -26,6 +26,8 @@ BELOW = ("properties", "patternProperties", "additionalProperties", "propertyNam
 EXPANDED = 4000
 #: Steps into the value up to which a schema that contains itself is written out, and subschemas that it may come to by that.
 DEEP, WRITTEN_OUT = 4, 400
+#: Keywords whose subschemas only add their errors, in place and below.
+ADDING = ("$ref", "allOf", "properties", "patternProperties", "additionalProperties", "prefixItems", "items")
 
 
 def invalid(message: str, **details: Any) -> ResolveError:
@@ -166,6 +168,86 @@ class Rules:
                 return found, depth
         return None
 
+    def in_rounds(self) -> dict[int, tuple[Rules, Rules]] | None:
+        """Rules without loops for the root and for each rule that others lead back to, by their numbers; None where these do more than add errors.
+
+        The first of two leaves out what leads on to such a rule; the second holds only that, with the number of the rule as const.
+        """
+        back = self._back()
+        reaching = self._reaching(back)
+        todo, seen = [0, *back], set()
+        while todo:
+            at = todo.pop()
+            if at in seen or not isinstance(self.nodes[at], dict):
+                continue
+            seen.add(at)
+            closed = "unevaluatedProperties" in self.nodes[at] or "unevaluatedItems" in self.nodes[at]
+            adding = [k for k in ADDING if not (closed and k in IN_PLACE)]  # what fails has evaluated nothing
+            if any(c in reaching for c in self.children(at, tuple(k for k in IN_PLACE + BELOW if k not in adding))):
+                return None
+            todo += self.children(at, tuple(adding))
+        found = {rule: (self._until(rule, back, reaching, False), self._until(rule, back, reaching, True)) for rule in sorted({0} | back)}
+        return found if sum(own.expanded + on.expanded for own, on in found.values()) <= EXPANDED else None
+
+    def _back(self) -> set[int]:
+        """Rules that others lead back to on the way from the root."""
+        found, on_way, done, stack = set(), {0}, set(), [(0, iter(self.children(0)))]
+        while stack:
+            at, rest = stack[-1]
+            for to in rest:
+                if to in on_way:
+                    found.add(to)
+                elif to not in done:
+                    on_way.add(to)
+                    stack.append((to, iter(self.children(to))))
+                    break
+            else:
+                stack.pop()
+                on_way.discard(at)
+                done.add(at)
+        return found
+
+    def _reaching(self, wanted: set[int]) -> set[int]:
+        """Rules that lead to one of those wanted, and these."""
+        above: dict[int, list[int]] = {}
+        for at in range(len(self.nodes)):
+            for c in self.children(at):
+                above.setdefault(c, []).append(at)
+        found, todo = set(), list(wanted)
+        while todo:
+            at = todo.pop()
+            if at not in found:
+                found.add(at)
+                todo += above.get(at, ())
+        return found
+
+    def _until(self, start: int, back: set[int], reaching: set[int], leading: bool) -> Rules:
+        """The rules from start on that end at those of back; of leading ones, only what leads there."""
+        numbers, nodes, pending = {start: 0}, [None], [start]
+
+        def number(rule: int) -> int:
+            key = -1 - rule if rule in back else rule
+            if leading and rule not in reaching:
+                key = len(self.nodes)
+            if key not in numbers:
+                numbers[key] = len(nodes)
+                nodes.append({"const": rule} if leading and key < 0 else True if key < 0 or key == len(self.nodes) else None)
+                if nodes[-1] is None:
+                    pending.append(rule)
+            return numbers[key]
+
+        while pending:
+            rule = pending.pop()
+            node = self.nodes[rule]
+            if isinstance(node, dict):
+                node = {k: v for k, v in node.items() if not leading or k in ADDING}
+                for k in IN_PLACE + BELOW:
+                    if k in node:
+                        held = node[k]
+                        node[k] = number(held) if isinstance(held, int) else {n: number(r) for n, r in held.items()} if isinstance(held, dict) else [number(r) for r in held]
+            nodes[numbers[rule]] = node
+        return Rules.of(nodes)
+
     def _down_to(self, depth: int) -> Rules:
         numbers, nodes, pending = {(0, 0): 0}, [None], [(0, 0)]
 

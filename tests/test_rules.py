@@ -271,3 +271,39 @@ def test_shallow_values_go_by_written_out_rules(spark):
     frame = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "id int, payload string")
     found = sorted((r.id, r.path, r.keyword) for r in error_rows(validate(frame, schema, ResolveOptions("response", "read")), "id").collect())
     assert found == sorted((i, e.path, e.keyword) for i, v in enumerate(values) for e in violations(schema, v))
+
+
+def test_loops_that_only_add_errors_go_by_rounds(spark):
+    """Deep values are held against the rules round by round; where a loop does more than add errors, rounds are not used."""
+    node = {
+        "type": "object",
+        "properties": {"n": {"maximum": 3}, "a'b\"c": {"$ref": "#"}, "list": {"type": "array", "minItems": 1, "prefixItems": [{"const": 0}, {"$ref": "#"}], "items": {"$ref": "#/$defs/other"}}},
+        "patternProperties": {"^p": {"allOf": [{"$ref": "#"}, {"required": ["n"]}]}},
+        "unevaluatedProperties": False,
+        "$defs": {"other": {"properties": {"n": {"minimum": 2}}, "additionalProperties": {"items": {"$ref": "#"}}}},
+    }
+    assert rules(node).in_rounds() is not None
+    for odd in ({"anyOf": [{"items": {"$ref": "#"}}, True]}, {"not": {"items": {"$ref": "#"}}}, {"contains": {"$ref": "#"}}, {"allOf": [{"properties": {"a": {"$ref": "#"}}}], "unevaluatedProperties": False}):
+        assert rules(odd).in_rounds() is None
+    rng = random.Random(5)
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.1:
+            return rng.choice([1, 5, "x", None, [], {}, {"n": 4}, {"odd": 1}])
+        inner = {"n": rng.randint(0, 5)} if rng.random() < 0.7 else {}
+        for name in ("a'b\"c", "p/~1", "q"):
+            if rng.random() < 0.4:
+                inner[name] = value(depth - 1)
+        if rng.random() < 0.6:
+            inner["list"] = [rng.choice([0, 1]), value(depth - 1), {"n": rng.randint(0, 3), "more": [value(depth - 1)]}][: rng.randint(0, 3)]
+        return inner
+
+    values = [value(rng.randint(0, 9)) for _ in range(150)]
+    frame = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, payload string")
+    got = {r.i: told(r.errors) for r in validate(frame, node, READ).collect()}
+    assert got == {i: told(violations(node, v)) for i, v in enumerate(values)}
+    deep: dict = {"n": 9}
+    for _ in range(60):
+        deep = {"list": [0, deep]}
+    row = validate(spark.createDataFrame([(json.dumps(deep),)], "payload string"), node, READ).first()
+    assert told(row.errors) == told(violations(node, deep)) == [("/list/1" * 60 + "/n", "maximum", "must be at most 3")]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import samples
-from .functions.columns import at_pointer, elements, json_type, member, members
+from .functions.columns import at_pointer, elements, json_type, member, members, spread
 from .functions.names import binding_status_col, is_url_col, is_version_col, join_url_col, map_prefix_col, reverse_labels_col, url_path_col
 from .model import ResolveOptions
 from .operators import bundle
@@ -422,7 +422,7 @@ def validate_written_values(spark, sf_dir):
     key = (F.col("o_orderkey") + 1).cast("string")
     power = F.when(F.col("o_orderkey") % 3 == 0, "2").otherwise("1")
     text = F.concat(F.lit('{"state": "none", "both": [[{"n": '), key, F.lit('0}], [{"n": '), key, F.lit("e"), power, F.lit('}]], "state": "'), F.col("o_orderstatus"), F.lit('"}'))
-    payloads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"), text.alias("payload"))
+    payloads = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("payload_id"), text.alias("payload"))
     return error_rows(validate(payloads, {"properties": {"both": {"uniqueItems": True}, "state": {"const": "P"}}}, READ), "payload_id").select("payload_id", "path", "keyword")
 
 
@@ -430,7 +430,7 @@ def validate_written_values(spark, sf_dir):
 def validate_beyond_all_numbers(spark, sf_dir):
     """A number that no double holds makes a document invalid, whether the schema contains itself or not."""
     text = F.concat(F.lit('{"amount": '), F.when(F.col("o_orderkey") % 7 == 0, "1e400").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), F.lit(', "note": "1e400"}'))
-    payloads = table(spark, sf_dir, "orders").select(text.alias("payload"))
+    payloads = spread(table(spark, sf_dir, "orders")).select(text.alias("payload"))
     return exit_codes(validate(payloads, {"properties": {"amount": {"maximum": 200000}, "within": {"$ref": "#"}}}, READ))
 
 

@@ -217,3 +217,13 @@ def test_streams(spark, tmp_path):
     query = rolling_violations(checked, "t").writeStream.format("memory").queryName("rolling").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {r.keyword: r.n_errors for r in spark.table("rolling").collect()} == {"type": 1, "json": 1}
+
+
+def test_small_tables_are_checked_by_all_cores(spark, tmp_path):
+    """Orders of a few kB do not come to one task, whatever their bytes: checks take time by rows."""
+    line = "1L as l_linenumber, id as l_partkey, 3.0D as l_quantity, 1.5D as l_extendedprice"
+    spark.range(400).selectExpr("id as o_orderkey", "'P' as o_orderstatus", "'low' as o_orderpriority", "1.0D as o_totalprice").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(400).selectExpr("id as l_orderkey", *line.split(", ")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    checked = validate(samples.orders(spark, str(tmp_path)), samples.ORDER, ResolveOptions("response", "read"))
+    tasks = checked.select(F.spark_partition_id().alias("p"), F.size("errors").alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and sum(r.n for r in tasks) >= 400
